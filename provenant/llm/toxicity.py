@@ -39,7 +39,7 @@ KINDS = ("I", "i", "J", "A", "T", "t", "U", "V")
 TOXIC_ROWS, CLEAN_ROWS = 3000, 6000
 PREFIXES = range(3, 9)
 #: Evidence that a learned stem needs: nats of log-likelihood ratio, and its share of toxic texts.
-EVIDENCE, PRECISION = 14.0, 0.6
+EVIDENCE, PRECISION = 14.0, 0.75
 
 
 class Transducer:
@@ -233,13 +233,16 @@ def learn_lexicon(examples: list[tuple[list[str], list[int], bool]]) -> Lexicon:
     for words, toxic in kept:
         if not toxic:
             in_all.update(patterns(words) & candidates)
+    longer = Counter({p[:-1]: 0 for p in candidates})
+    for p in candidates:
+        longer[p[:-1]] = max(longer[p[:-1]], in_bad[p])
     base = bad / total
     stems: dict[str, float] = {}
     exact = dict.fromkeys(INSULTS, 1.0)
     for p in candidates:
         n, k = in_all[p], in_bad[p]
         share = k / n
-        if share < PRECISION:
+        if share < PRECISION or longer[p] >= 0.85 * k:  # a longer pattern says the same
             continue
         gain = k * math.log(share / base) + ((n - k) * math.log((1 - share) / (1 - base)) if n > k else 0.0)
         if gain >= EVIDENCE:
