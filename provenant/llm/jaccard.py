@@ -2,9 +2,9 @@
 
 Sets are embedded by 128 minwise hashes.  A run samples a few of them and sends
 a set down one path for each sampled value; sets on one path form a bucket.
-Small buckets are compared by brute force, larger ones are split again on newly
-sampled values, and very large ones are split by whole-cluster steps, after
-their members have been compared with a leader that absorbs its near copies.
+Small buckets are compared by brute force; larger ones are split again on newly
+sampled values, after their members have been compared with a leader that
+absorbs its near copies.
 Runs are repeated until a pair at the threshold is met with the target recall.
 What meets is grouped, and within groups every pair is verified exactly on the
 shingles, in blocks; links are counted there, never written pair by pair.
@@ -29,8 +29,8 @@ WIDTH, THRESHOLD, RECALL = 5, 0.8, 0.99
 HASHES = 128
 #: Estimated similarity from which two sets are compared exactly, and from which a leader absorbs a set.
 NEAR, SAME = 0.68, 0.92
-#: Buckets up to BRUTE sets are compared pair by pair, up to BUCKET sets they are split within one task.
-BRUTE, BUCKET = 48, 1024
+#: Buckets up to so many sets are compared pair by pair; larger ones are split.
+BUCKET = 1024
 MOST_LEVELS = 12
 #: Sets and shingles of a block of exact comparison.
 BLOCK_SETS, BLOCK_SHINGLES = 256, 2_000_000
@@ -122,39 +122,14 @@ def signatures(rows: DataFrame, threshold: float, runs: int) -> DataFrame:
 
 def estimate(sketches: np.ndarray, other: np.ndarray) -> np.ndarray:
     """Estimated similarity of each sketch to another one, corrected for chance matches of 8-bit values."""
-    return ((sketches == other).mean(axis=-1) - 1 / 256) / (1 - 1 / 256)
+    return (np.count_nonzero(sketches == other, axis=-1) / HASHES - 1 / 256) / (1 - 1 / 256)
 
 
-def meet(sketches: np.ndarray, seed: int, threshold: float = THRESHOLD, depth: int = 0) -> list[tuple[int, int]]:
-    """Candidate links of one bucket: a forest over its positions.
-
-    Small buckets by brute force.  A larger one first loses the near copies of a
-    leader, then splits on sampled hashes; what is left after the deepest level is
-    compared by brute force.
-    """
-    n = len(sketches)
-    if n < 2:
-        return []
+def meet(sketches: np.ndarray) -> list[tuple[int, int]]:
+    """Candidate links of one small bucket by brute force: a forest over its positions."""
     links: list[tuple[int, int]] = []
-    if n <= BRUTE or depth >= MOST_LEVELS:
-        for i in range(n - 1):
-            links += [(i, i + 1 + int(j)) for j in np.flatnonzero(estimate(sketches[i + 1 :], sketches[i]) >= NEAR)]
-        return forest(links)
-    similar = estimate(sketches, sketches[0])
-    links += [(0, int(j)) for j in np.flatnonzero(similar >= NEAR) if j]
-    rest = np.flatnonzero(similar < SAME)
-    for run in range(3):
-        child = (seed * 1_000_003 + 17 * run + depth) & (2**63 - 1)
-        for i in sampled(child, threshold):
-            values = sketches[rest, i]
-            order = np.argsort(values, kind="stable")
-            cuts = np.flatnonzero(np.append(True, values[order][1:] != values[order][:-1])) if len(order) else []
-            for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
-                members = rest[order[a:b]]
-                if len(members) > 1 and len(members) < n:
-                    links += [(int(members[x]), int(members[y])) for x, y in meet(sketches[members], child + int(i), threshold, depth + 1)]
-                elif len(members) == n:
-                    links += [(int(members[x]), int(members[y])) for x, y in meet(sketches[members], child + int(i), threshold, MOST_LEVELS)]
+    for i in range(len(sketches) - 1):
+        links += [(i, i + 1 + j) for j in np.flatnonzero(estimate(sketches[i + 1 :], sketches[i]) >= NEAR).tolist()]
     return forest(links)
 
 
@@ -180,12 +155,12 @@ def forest(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _bucket_links(table: pa.Table, threshold: float) -> pa.Table:
+def _bucket_links(table: pa.Table) -> pa.Table:
     ids = table["id"].to_numpy()
     order = np.argsort(ids, kind="stable")
     ids = ids[order]
     sketches = np.frombuffer(b"".join(table["sketch"].to_pylist()), dtype=np.uint8).reshape(len(ids), HASHES)[order]
-    links = meet(sketches, int(table["key"][0].as_py()) & (2**62 - 1), threshold)
+    links = meet(sketches)
     return pa.table([pa.array([int(ids[x]) for x, _ in links], pa.int64()), pa.array([int(ids[y]) for _, y in links], pa.int64())], schema=_EDGES)
 
 
@@ -203,7 +178,7 @@ def candidate_links(sets: DataFrame, threshold: float) -> DataFrame:
         huge = checked(sizes.filter(F.col("c") > BUCKET).select("key"))
         small = sizes.filter(F.col("c") <= BUCKET).select("key")
         bucketed = rows.join(huge, "key", "left_anti").join(small, "key", "left_semi")
-        out.append(bucketed.groupBy("key").applyInArrow(lambda t: _bucket_links(t, threshold), "a long, b long"))
+        out.append(bucketed.groupBy("key").applyInArrow(_bucket_links, "a long, b long"))
         if sizes.filter(F.col("c") > BUCKET).isEmpty():
             break
         members = rows.join(huge, "key", "left_semi")
@@ -217,7 +192,15 @@ def candidate_links(sets: DataFrame, threshold: float) -> DataFrame:
                     continue
                 own, lead = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, HASHES) for c in (2, 4))
                 near = estimate(own, lead)
-                splits = [[int(mix(np.array([(k * 31 + int(i) * 257 + int(s[i]) + level) & (2**64 - 1)], dtype=np.uint64)).astype(np.int64)[0]) for i in sampled((k ^ level) & (2**64 - 1), threshold)] for k, s in zip(batch.column(0).to_pylist(), own, strict=True)]
+                splits: list = [None] * batch.num_rows
+                keys = batch.column(0).to_numpy().astype(np.uint64)
+                for key in np.unique(keys):
+                    rows_of = np.flatnonzero(keys == key)
+                    chosen = sampled(int(key) ^ level, threshold)
+                    path = mix(np.uint64(key) + np.uint64(level + 1) * np.uint64(0xD6E8FEB86659FD93) + chosen.astype(np.uint64) * np.uint64(257))
+                    following = mix(path[None, :] + own[rows_of][:, chosen].astype(np.uint64)).astype(np.int64)
+                    for at, found in zip(rows_of.tolist(), following, strict=True):
+                        splits[at] = found
                 yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), batch.column(3), pa.array(near, pa.float64()), pa.array(splits, pa.list_(pa.int64()))], names=["id", "sketch", "leader", "near", "next"])
 
         judged = durable(led.mapInArrow(compare, "id long, sketch binary, leader long, near double, next array<long>"))
