@@ -155,13 +155,40 @@ def forest(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _bucket_links(table: pa.Table) -> pa.Table:
-    ids = table["id"].to_numpy()
-    order = np.argsort(ids, kind="stable")
-    ids = ids[order]
-    sketches = np.frombuffer(b"".join(table["sketch"].to_pylist()), dtype=np.uint8).reshape(len(ids), HASHES)[order]
-    links = meet(sketches)
-    return pa.table([pa.array([int(ids[x]) for x, _ in links], pa.int64()), pa.array([int(ids[y]) for _, y in links], pa.int64())], schema=_EDGES)
+def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidate links of the buckets of (key, id, sketch) batches sorted by key; the last bucket of a batch waits."""
+    held: list[pa.RecordBatch] = []
+
+    def links_of(rows: pa.Table) -> pa.RecordBatch:
+        keys, ids = rows["key"].to_numpy(), rows["id"].to_numpy()
+        order = np.lexsort((ids, keys))
+        keys, ids = keys[order], ids[order]
+        cuts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        ends = np.append(cuts[1:], len(keys))
+        many = ends - cuts > 1
+        sketches = np.frombuffer(b"".join(rows["sketch"].to_pylist()), dtype=np.uint8).reshape(len(keys), HASHES)
+        found: list[tuple[int, int]] = []
+        for a, b in zip(cuts[many].tolist(), ends[many].tolist(), strict=True):
+            found += [(a + x, a + y) for x, y in meet(sketches[order[a:b]])]
+        return pa.RecordBatch.from_arrays([pa.array(ids[[x for x, _ in found]] if found else [], pa.int64()), pa.array(ids[[y for _, y in found]] if found else [], pa.int64())], schema=_EDGES)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(0).to_numpy()
+        first = int(np.searchsorted(keys, keys[-1]))
+        if held and (first or held[-1].column(0)[-1].as_py() != keys[0]):
+            if held[-1].column(0)[-1].as_py() == keys[0]:
+                same = int(np.searchsorted(keys, keys[0], side="right"))
+                held.append(batch.slice(0, same))
+                batch, first = batch.slice(same), first - same
+            yield links_of(pa.Table.from_batches(held))
+            held = []
+        if first:
+            yield links_of(pa.Table.from_batches([batch.slice(0, first)]))
+        held.append(batch.slice(first))
+    if held:
+        yield links_of(pa.Table.from_batches(held))
 
 
 def checked(table: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -174,12 +201,11 @@ def candidate_links(sets: DataFrame, threshold: float) -> DataFrame:
     rows = sets.select("id", "sketch", F.explode("keys").alias("key"))
     out = []
     for level in range(MOST_LEVELS + 1):
-        sizes = durable(rows.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"))
-        huge = checked(sizes.filter(F.col("c") > BUCKET).select("key"))
-        small = sizes.filter(F.col("c") <= BUCKET).select("key")
-        bucketed = rows.join(huge, "key", "left_anti").join(small, "key", "left_semi")
-        out.append(bucketed.groupBy("key").applyInArrow(_bucket_links, "a long, b long"))
-        if sizes.filter(F.col("c") > BUCKET).isEmpty():
+        sizes = durable(rows.groupBy("key").agg(F.count("*").alias("c")).filter(F.col("c") > BUCKET).select("key"))
+        huge = checked(sizes)
+        bucketed = rows.join(huge, "key", "left_anti").select("key", "id", "sketch")
+        out.append(bucketed.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_links, "a long, b long"))
+        if sizes.isEmpty():
             break
         members = rows.join(huge, "key", "left_semi")
         leaders = checked(durable(members.groupBy("key").agg(F.min_by(F.struct("id", "sketch"), F.xxhash64("id", F.lit(level))).alias("leader"))))
