@@ -19,7 +19,6 @@ from pandas.util import hash_array
 SLICE_BYTES = 12 << 20
 
 WORD = regex.compile(r"[\p{L}\p{M}\p{N}_]+")
-WORD_OR_END = regex.compile(r"[\p{L}\p{M}\p{N}_]+|\n")
 
 
 def bounded_batches(spark, rows: int = 2000) -> None:
@@ -90,33 +89,63 @@ class Expander:
         return gather_runs(pool, starts[codes], run), offsets_of(run)[offsets]
 
 
-def words_of(text: str) -> list[str]:
-    """The words of a text: lower-cased runs of letters, marks, digits and underscores."""
-    return WORD.findall(text.lower())
-
-
-def hash_words(words: list[str]) -> np.ndarray:
+def hash_words(words: list[str] | np.ndarray) -> np.ndarray:
     """64-bit hashes of words."""
-    if not words:
+    if not len(words):
         return np.zeros(0, dtype=np.uint64)
-    return hash_array(np.array(words, dtype=object), categorize=False)
+    return hash_array(np.asarray(words, dtype=object), categorize=False)
 
 
-def chunk_words(chunks: list[str]) -> tuple[list[str], np.ndarray]:
-    """The words of all chunks in order, and how many each chunk has.  A chunk holds no line feed."""
-    found = WORD_OR_END.findall("\n".join([*chunks, ""]).lower())
-    ends = np.flatnonzero(np.fromiter((w == "\n" for w in found), dtype=bool, count=len(found)))
-    return [w for w in found if w != "\n"], np.diff(ends, prepend=-1) - 1
+def chunk_words(chunks: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct words, the number of each word of the chunks in order, and how many words each chunk has.
+
+    A word is a lower-cased run of letters, marks, digits and underscores.  Most
+    chunks hold one and are stripped by Arrow; the others are searched one by one.
+    """
+    lower = pc.utf8_lower(chunks)
+    single = pc.match_substring_regex(lower, r"^[^\pL\pM\pN_]*[\pL\pM\pN_]+[^\pL\pM\pN_]*$")
+    plain = single.to_numpy(zero_copy_only=False).astype(bool)
+    encoded = pc.replace_substring_regex(lower.filter(single), r"[^\pL\pM\pN_]+", "").dictionary_encode()
+    words = encoded.dictionary.to_pylist()
+    lengths = plain.astype(np.int64)
+    if plain.all():
+        return words, encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64), lengths
+    index = dict(zip(words, range(len(words)), strict=True))
+    odd = [WORD.findall(c) for c in lower.filter(pc.invert(single)).to_pylist()]
+    lengths[~plain] = [len(o) for o in odd]
+    for found in odd:
+        for word in found:
+            if word not in index:
+                index[word] = len(words)
+                words.append(word)
+    codes = np.empty(int(lengths.sum()), dtype=np.int64)
+    starts = offsets_of(lengths)[:-1]
+    codes[starts[plain]] = encoded.indices.to_numpy(zero_copy_only=False)
+    flat = [index[w] for found in odd for w in found]
+    if flat:
+        run = lengths[~plain]
+        codes[np.arange(len(flat)) + np.repeat(starts[~plain] - offsets_of(run)[:-1], run)] = flat
+    return words, codes, lengths
+
+
+def text_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct words of some texts, the number of every word in order, and the offsets of each text."""
+    dictionary, chunk, offsets = split_chunks(texts)
+    words, codes, lengths = chunk_words(dictionary)
+    run = lengths[chunk]
+    return words, gather_runs(codes, offsets_of(lengths)[:-1][chunk], run), offsets_of(run)[offsets]
 
 
-def word_hashes() -> Expander:
-    """Expands texts to the 64-bit hashes of their words."""
+def words_of(text: str) -> list[str]:
+    """The words of one text."""
+    words, codes, _ = text_words(pa.array([text], pa.string()))
+    return [words[c] for c in codes]
 
-    def run(chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        words, lengths = chunk_words(chunks.to_pylist())
-        return hash_words(words), lengths
 
-    return Expander(run)
+def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit hashes of all words of some texts, and the offsets of each text."""
+    words, codes, offsets = text_words(texts)
+    return hash_words(words)[codes], offsets
 
 
 def mix(values: np.ndarray) -> np.ndarray:

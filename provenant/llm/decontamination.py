@@ -18,14 +18,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .columnar import bounded_batches, hash_words, shingles, slices, text_array, word_hashes, words_of
+from .columnar import bounded_batches, hash_words, offsets_of, shingles, slices, text_array, text_words, words_of
 
 K1, B = 1.2, 0.75
 WIDTH, OVERLAP, THRESHOLD = 5, 0.8, 0.5
 POSTINGS_PER_BLOCK = 8
-ITEMS_PER_BLOCK = 16
-#: Text of one index; a larger benchmark is cut into several indexes.
-INDEX_BYTES = 32 << 20
+#: Items of a block of the bounds table, and of one index; a larger benchmark has several indexes.
+ITEMS_PER_BLOCK, INDEX_ITEMS = 4, 512
+#: Terms whose greatest impact is smaller are bounded by that alone.
+LIGHT = 0.004
+#: Text of the indexes of one pass over the corpus; a larger benchmark takes several passes.
+PASS_BYTES = 32 << 20
 LEAST_PASSAGE = 32
 
 
@@ -82,6 +85,7 @@ class BlockMaxIndex:
         self.bounds = np.zeros((len(self.terms) + 1, blocks), dtype=np.float32)
         if n:
             np.maximum.at(self.bounds, (term, owner // ITEMS_PER_BLOCK), impact.astype(np.float32))
+        self.peaks = self.bounds.max(axis=1) if n else np.zeros(len(self.terms) + 1, np.float32)
         self.lists = [self._list(t) for t in range(len(self.terms))]
 
     def _list(self, t: int) -> tuple[list[int], list[float], list[int], list[float], float]:
@@ -165,35 +169,81 @@ class BlockMaxIndex:
 Hit = tuple[int, int, float, float, float, float, int]
 
 
-def leaks_of(index: BlockMaxIndex, words: np.ndarray, offsets: np.ndarray, threshold: float) -> list[Hit]:
+class Passages:
+    """Overlapping passages of some texts: twice as long as the longest item, each a stride after the one before."""
+
+    def __init__(self, texts: pa.Array, longest: int) -> None:
+        words, self.codes, self.offsets = text_words(texts)
+        self.hashes = hash_words(words)
+        self.stride = max(LEAST_PASSAGE, longest)
+        lengths = np.diff(self.offsets)
+        self.cells = -(-lengths // self.stride)
+        self.first = offsets_of(self.cells)
+        self.owner = np.repeat(np.arange(len(lengths)), self.cells)
+        start = self.offsets[:-1][self.owner] + (np.arange(len(self.owner)) - self.first[self.owner]) * self.stride
+        self.starts = start
+        self.ends = np.minimum(start + 2 * self.stride, self.offsets[1:][self.owner])
+
+    def terms(self, index: BlockMaxIndex) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct (passage, term) pairs, sorted."""
+        size = len(index.terms)
+        numbers = index.term_numbers(self.hashes)[self.codes] if len(self.hashes) else np.zeros(0, np.int64)
+        at = np.flatnonzero(numbers < size)
+        cell = np.searchsorted(self.starts, at, side="right") - 1
+        before = cell - 1
+        shared = np.flatnonzero((cell > 0) & (self.owner[before] == self.owner[cell])) if len(cell) else at
+        pairs = np.unique(np.concatenate([cell * size + numbers[at], before[shared] * size + numbers[at[shared]]]))
+        return pairs // max(1, size), pairs % max(1, size)
+
+    def words(self, passage: int) -> np.ndarray:
+        return self.hashes[self.codes[self.starts[passage] : self.ends[passage]]]
+
+
+def possible(index: BlockMaxIndex, passage: np.ndarray, term: np.ndarray, threshold: float, pairs_at_once: int = 200_000) -> np.ndarray:
+    """Positions of the passages' first pairs whose block bounds let some item reach the threshold."""
+    starts = np.flatnonzero(np.append(True, passage[1:] != passage[:-1])) if len(passage) else np.zeros(0, np.int64)
+    bound = np.zeros(len(starts))
+    at = 0
+    while at < len(starts):
+        stop = max(at + 1, int(np.searchsorted(starts, starts[at] + pairs_at_once)))
+        a, b = starts[at], starts[stop] if stop < len(starts) else len(passage)
+        peaks = index.peaks[term[a:b]]
+        run = np.repeat(np.arange(stop - at), np.diff(np.append(starts[at:stop], b)))
+        heavy = peaks >= LIGHT
+        small = np.bincount(run, weights=np.where(heavy, 0, peaks), minlength=stop - at)
+        owner = run[heavy]
+        if len(owner):
+            cuts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+            best = np.add.reduceat(index.bounds[term[a:b][heavy]], cuts, axis=0).max(axis=1)
+            small[owner[cuts]] += best
+        bound[at:stop] = small
+        at = stop
+    return starts[bound >= threshold - 1e-4]
+
+
+def leaks_of(indexes: list[BlockMaxIndex], texts: pa.Array, threshold: float) -> list[Hit]:
     """(text, item, score, whole, question, answer, first word) for the best passage of each retrieved item.
 
-    Passages overlap by half and are twice as long as the longest item, so every
-    occurrence of an item lies within one.
+    Passages overlap by half, so every occurrence of an item lies within one.  Items
+    are numbered through all indexes.
     """
-    if not index.items or not len(words):
-        return []
-    stride = max(LEAST_PASSAGE, index.longest)
-    lengths = np.diff(offsets)
-    cells = -(-lengths // stride)
-    owner = np.repeat(np.arange(len(lengths)), cells)
-    first = np.cumsum(cells) - cells
-    starts = offsets[:-1][owner] + (np.arange(len(owner)) - first[owner]) * stride
-    numbers = index.term_numbers(words)
-    running = np.add.reduceat(index.bounds[numbers], starts, axis=0) if len(starts) else np.zeros((0, 1))
-    passage = running.copy()
-    same = np.flatnonzero(owner[1:] == owner[:-1]) if len(owner) > 1 else np.zeros(0, np.int64)
-    passage[same] += running[same + 1]
     best: dict[tuple[int, int], Hit] = {}
-    for cell in np.flatnonzero(passage.max(axis=1) >= threshold - 1e-4):
-        text = int(owner[cell])
-        a, b = int(starts[cell]), int(min(starts[cell] + 2 * stride, offsets[text + 1]))
-        terms = np.unique(numbers[a:b])
-        for item, score in index.search(terms[terms < len(index.terms)].tolist(), threshold):
-            whole, question, answer = index.verify(item, words[a:b])
-            hit = (text, item, score, whole, question, answer, a - int(offsets[text]))
-            if (text, item) not in best or (whole, score) > (best[text, item][3], best[text, item][2]):
-                best[text, item] = hit
+    passages = Passages(texts, max((i.longest for i in indexes), default=0))
+    base = 0
+    for index in indexes:
+        if index.items and len(passages.codes):
+            cells, terms = passages.terms(index)
+            for a in possible(index, cells, terms, threshold):
+                cell = int(cells[a])
+                text = int(passages.owner[cell])
+                b = int(np.searchsorted(cells, cell, side="right"))
+                words = passages.words(cell)
+                for item, score in index.search(terms[a:b].tolist(), threshold):
+                    whole, question, answer = index.verify(item, words)
+                    hit = (text, base + item, score, whole, question, answer, int(passages.starts[cell] - passages.offsets[text]))
+                    if (text, base + item) not in best or (whole, score) > (best[text, base + item][3], best[text, base + item][2]):
+                        best[text, base + item] = hit
+        base += len(index.items)
     return list(best.values())
 
 
@@ -202,14 +252,14 @@ def verified(whole: float, question: float, answer: float, overlap: float = OVER
     return (question >= overlap and answer >= overlap) or whole >= overlap
 
 
-def item_indexes(benchmark: DataFrame, id_col: str, text_col: str, index_bytes: int = INDEX_BYTES) -> Iterator[BlockMaxIndex]:
-    """Indexes of the whole benchmark, each of bounded size."""
+def item_indexes(benchmark: DataFrame, id_col: str, text_col: str, pass_bytes: int = PASS_BYTES) -> Iterator[list[BlockMaxIndex]]:
+    """Indexes of the whole benchmark: a list for each pass, of bounded size."""
     items = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    parts = max(1, -(-size // index_bytes))
+    parts = max(1, -(-size // pass_bytes))
     for part in range(parts):
-        rows = items.filter(F.pmod(F.xxhash64("text"), F.lit(parts)) == part).orderBy("item_id", "text").collect()  # about index_bytes
-        yield BlockMaxIndex([(r["item_id"], r["text"]) for r in rows])
+        rows = items.filter(F.pmod(F.xxhash64("text"), F.lit(parts)) == part).orderBy("item_id", "text").collect()  # about pass_bytes
+        yield [BlockMaxIndex([(r["item_id"], r["text"]) for r in rows[at : at + INDEX_ITEMS]]) for at in range(0, max(1, len(rows)), INDEX_ITEMS)]
 
 
 LEAK_SCHEMA = "item_id long, score double, item_overlap double, question_overlap double, answer_overlap double, first_word long, leaked boolean"
@@ -226,15 +276,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     out = None
-    for index in item_indexes(benchmark, item_col, item_text_col):
+    for indexes in item_indexes(benchmark, item_col, item_text_col):
 
-        def run(batches: Iterator[pa.RecordBatch], index: BlockMaxIndex = index) -> Iterator[pa.RecordBatch]:
-            expand = word_hashes()
+        def run(batches: Iterator[pa.RecordBatch], indexes: list[BlockMaxIndex] = indexes) -> Iterator[pa.RecordBatch]:
+            items = [i.item_id for index in indexes for i in index.items]
             for batch in batches:
                 for part in slices(batch, 1):
-                    hits = leaks_of(index, *expand(text_array(part.column(1))), threshold)
+                    hits = leaks_of(indexes, text_array(part.column(1)), threshold)
                     ids = part.column(0).take(pa.array([h[0] for h in hits], pa.int64()))
-                    columns = [[index.items[h[1]].item_id for h in hits], *([h[i] for h in hits] for i in range(2, 7)), [verified(*h[3:6], overlap) for h in hits]]
+                    columns = [[items[h[1]] for h in hits], *([h[i] for h in hits] for i in range(2, 7)), [verified(*h[3:6], overlap) for h in hits]]
                     types = [pa.int64(), *[pa.float64()] * 4, pa.int64(), pa.bool_()]
                     yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["doc_id", "item_id", "score", "item_overlap", "question_overlap", "answer_overlap", "first_word", "leaked"])
 
@@ -248,13 +298,12 @@ def drop_leaking(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text
     bounded_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
     out = docs
-    for index in item_indexes(benchmark, item_col, item_text_col):
+    for indexes in item_indexes(benchmark, item_col, item_text_col):
 
-        def run(batches: Iterator[pa.RecordBatch], index: BlockMaxIndex = index) -> Iterator[pa.RecordBatch]:
-            expand = word_hashes()
+        def run(batches: Iterator[pa.RecordBatch], indexes: list[BlockMaxIndex] = indexes) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in slices(batch, at):
-                    bad = {h[0] for h in leaks_of(index, *expand(text_array(part.column(at))), threshold) if verified(*h[3:6], overlap)}
+                    bad = {h[0] for h in leaks_of(indexes, text_array(part.column(at)), threshold) if verified(*h[3:6], overlap)}
                     yield part.filter(pa.array([i not in bad for i in range(part.num_rows)], pa.bool_()))
 
         out = out.mapInArrow(run, docs.schema)

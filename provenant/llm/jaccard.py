@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .columnar import bounded_batches, mix, shingles, slices, text_array, word_hashes
+from .columnar import bounded_batches, hashed_words, mix, shingles, slices, text_array
 from .graph import components
 from .storage import durable
 
@@ -97,10 +97,9 @@ def signatures(rows: DataFrame, threshold: float, runs: int) -> DataFrame:
     """Set keys, sketches and first keys of (doc_id, row_key, text) rows; sets without shingles have null keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        expand = word_hashes()
         for batch in batches:
             for part in slices(batch, 2):
-                values, offsets = unique_sets(*shingles(*expand(text_array(part.column(2))), WIDTH))
+                values, offsets = unique_sets(*shingles(*hashed_words(text_array(part.column(2))), WIDTH))
                 counts = np.diff(offsets)
                 live = np.flatnonzero(counts)
                 starts = offsets[live]
@@ -296,10 +295,9 @@ def verify(groups: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     rows = texts.join(checked(placed), "row_key").dropDuplicates(["id"]).select("id", "root", "copies", "block", "blocks", "text")
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        expand = word_hashes()
         for batch in batches:
             for part in slices(batch, 5):
-                values, offsets = unique_sets(*shingles(*expand(text_array(part.column(5))), WIDTH))
+                values, offsets = unique_sets(*shingles(*hashed_words(text_array(part.column(5))), WIDTH))
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.astype(np.int64)))
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(5)), lists], names=["id", "root", "copies", "block", "blocks", "shingles"])
 

@@ -17,10 +17,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .columnar import Expander, bounded_batches, chunk_words, offsets_of, shingles, slices, text_array, word_hashes
+from .columnar import Expander, bounded_batches, chunk_words, hashed_words, offsets_of, shingles, slices, text_array, text_words
 
 # The words that the grammar knows without labels.
 INSULTS = ("idiot", "idiots", "moron", "morons", "stupid", "dumb", "loser", "losers", "scum", "trash", "pathetic", "worthless", "disgusting", "clown", "clowns", "imbecile", "bastard", "coward", "pig", "vermin", "filth", "retard", "idiota", "imbécile", "connard", "salaud", "dummkopf", "arschloch", "trottel", "estúpido", "basura")
@@ -121,18 +122,13 @@ class Lexicon:
         """Texts to word codes; a chunk with closing punctuation adds the code of a clause end."""
 
         def run(chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-            texts = chunks.to_pylist()
-            words, counts = chunk_words(texts)
-            known: dict[str, int] = {}
-            for w in words:
-                if w not in known:
-                    known[w] = self.code(w)
-            stops = np.fromiter((any(p in t for p in ".!?;") for t in texts), dtype=bool, count=len(texts))
+            words, codes, counts = chunk_words(chunks)
+            known = np.fromiter(map(self.code, words), dtype=np.int16, count=len(words))
+            stops = pc.match_substring_regex(chunks, "[.!?;]").to_numpy(zero_copy_only=False)
             lengths = counts + stops
-            out = np.ones(int(lengths.sum()), dtype=np.int16)
-            ends = offsets_of(lengths)
-            place = np.arange(len(words)) + np.repeat(ends[:-1] - offsets_of(counts)[:-1], counts)
-            out[place] = np.fromiter((known[w] for w in words), dtype=np.int16, count=len(words))
+            out = np.full(int(lengths.sum()), CODES[STOP], dtype=np.int16)
+            place = np.arange(len(codes)) + np.repeat(offsets_of(lengths)[:-1] - offsets_of(counts)[:-1], counts)
+            out[place] = known[codes]
             return out, lengths
 
         return Expander(run)
@@ -276,12 +272,12 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     sample = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).filter("text is not null").join(F.broadcast(picked), "_id").select("_toxic", "text")
 
     def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = word_hashes()
         for batch in batches:
             for part in slices(batch, 1):
                 texts = text_array(part.column(1))
-                marks = _signatures(*hashes(texts))
-                words = [sorted(set(chunk_words(t.split())[0])) for t in texts.to_pylist()]
+                marks = _signatures(*hashed_words(texts))
+                known, codes, offsets = text_words(texts)
+                words = [[known[c] for c in np.unique(codes[a:b])] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(words, pa.list_(pa.string())), pa.array(marks.tolist(), pa.list_(pa.int64()))], names=["toxic", "words", "marks"])
 
     rows = sample.mapInArrow(distinct_words, "toxic int, words array<string>, marks array<long>").toArrow()
