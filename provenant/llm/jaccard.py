@@ -206,7 +206,7 @@ def candidate_links(sets: DataFrame, threshold: float) -> DataFrame:
         out.append(bucketed.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_links, "a long, b long"))
         if sizes.isEmpty():
             break
-        members = rows.join(huge, "key", "left_semi")
+        members = durable(rows.join(huge, "key", "left_semi"))
         leaders = checked(durable(members.groupBy("key").agg(F.min_by(F.struct("id", "sketch"), F.xxhash64("id", F.lit(level))).alias("leader"))))
         led = members.join(leaders, "key").select("key", "id", "sketch", F.col("leader.id").alias("leader"), F.col("leader.sketch").alias("leader_sketch"))
         last = level == MOST_LEVELS
