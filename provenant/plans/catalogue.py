@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from provenant.plans import research
+
+REGISTRIES = (research.registry,)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {n: q for r in REGISTRIES for n, q in r.queries().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {n: s for r in REGISTRIES for n, s in r.sql.items()}
