@@ -18,12 +18,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .columnar import bounded_batches, offsets_of, slices, split_chunks, text_array
+from .columnar import bounded_batches, gather_runs, offsets_of, slices, split_chunks, text_array
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3, 4)
 #: Bound of the labelled sample that the weights are fitted on; idf is counted over all training rows.
-LABELLED_ROWS = 4000
+LABELLED_ROWS = 3000
 UNKNOWN = "und"
 
 
@@ -113,10 +113,7 @@ class Ftrl:
         """One batch: feature rows, the example each belongs to, its value, and the classes of the examples."""
         used, local = np.unique(rows, return_inverse=True)
         w = self.weights(used)
-        logits = np.zeros((len(target), self.classes))
-        for k in range(self.classes):
-            logits[:, k] = np.bincount(owner, weights=w[local, k] * values, minlength=len(target))
-        p = softmax(logits)
+        p = softmax(_logits(local, owner, values, w, len(target)))
         p[np.arange(len(target)), target] -= 1
         g = np.stack([np.bincount(local, weights=p[owner, k] * values, minlength=len(used)) for k in range(self.classes)], axis=1)
         old = self.n[used]
@@ -149,20 +146,28 @@ class LanguageModel:
 SCALE = 100.0
 
 
-def fit(examples: list[tuple[np.ndarray, np.ndarray]], classes: list[str], idf: np.ndarray, epochs: int = 6, batch: int = 32, seed: int = 5) -> LanguageModel:
-    """Fit the weights on four fifths of the examples and the temperature on the rest."""
+def fit(buckets: np.ndarray, counts: np.ndarray, offsets: np.ndarray, classes: list[str], idf: np.ndarray, epochs: int = 6, batch: int = 32, seed: int = 5) -> LanguageModel:
+    """Fit the weights on four fifths of the examples and the temperature on the rest.
+
+    The distinct buckets of the examples and their counts lie flat, bounded by
+    ``offsets``.
+    """
     labels = sorted(set(classes)) or [UNKNOWN]
     target = np.array([labels.index(c) for c in classes], dtype=np.int64)
     model = Ftrl(len(idf) + 1, len(labels))
-    values = [np.append(SCALE * idf[b] * c / max(1.0, c.sum()), 1.0) for b, c in examples]
-    rows = [np.append(b, len(idf)) for b, _ in examples]
     rng = np.random.default_rng(seed)
-    order = rng.permutation(len(examples))
+    order = rng.permutation(len(classes))
     apart = order[: len(order) // 5]
     kept = order[len(order) // 5 :]
 
     def packed(index: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return np.concatenate([rows[i] for i in index]), np.repeat(np.arange(len(index)), [len(rows[i]) for i in index]), np.concatenate([values[i] for i in index])
+        """Feature rows, examples and values of some examples; the last feature is the bias."""
+        run = offsets[index + 1] - offsets[index]
+        b, c = gather_runs(buckets, offsets[index], run), gather_runs(counts, offsets[index], run).astype(np.float64)
+        owner = np.repeat(np.arange(len(index)), run)
+        total = np.maximum(np.bincount(owner, weights=c, minlength=len(index)), 1.0)
+        ones = np.ones(len(index))
+        return np.concatenate([b, np.full(len(index), len(idf))]), np.concatenate([owner, np.arange(len(index))]), np.concatenate([SCALE * idf[b] * c / total[owner], ones])
 
     for _ in range(epochs if len(kept) else 0):
         rng.shuffle(kept)
@@ -172,14 +177,17 @@ def fit(examples: list[tuple[np.ndarray, np.ndarray]], classes: list[str], idf:
     w = model.weights()
     temperature = 1.0
     if len(apart):
-        r, owner, v = packed(apart)
-        logits = np.stack([np.bincount(owner, weights=w[r, k] * v, minlength=len(apart)) for k in range(len(labels))], axis=1)
+        logits = np.concatenate([_logits(*packed(apart[at : at + 256]), w, min(256, len(apart) - at)) for at in range(0, len(apart), 256)])
         grid = np.exp(np.linspace(np.log(0.2), np.log(5.0), 41))
         loss = [-np.log(np.maximum(softmax(logits / t)[np.arange(len(apart)), target[apart]], 1e-12)).mean() for t in grid]
         temperature = float(grid[int(np.argmin(loss))])
     return LanguageModel(labels, (SCALE * idf[:, None] * w[:-1]).astype(np.float32), w[-1], temperature)
 
 
+def _logits(rows: np.ndarray, owner: np.ndarray, values: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
+    return np.stack([np.bincount(owner, weights=w[rows, k] * values, minlength=n) for k in range(w.shape[1])], axis=1)
+
+
 def document_frequencies(texts: DataFrame, buckets: int = BUCKETS) -> tuple[np.ndarray, int]:
     """In how many texts each bucket occurs, over the whole table (column ``text``)."""
 
@@ -214,9 +222,10 @@ def train(training: DataFrame, *, text_col: str = "text", lang_col: str = "lang"
                 yield pa.RecordBatch.from_arrays([part.column(1), pa.array([b.astype(np.int32) for b, _ in counts], pa.list_(pa.int32())), pa.array([c.astype(np.float32) for _, c in counts], pa.list_(pa.float32()))], names=["lang", "buckets", "counts"])
 
     order = F.xxhash64("text", F.lit(11))
-    sample = rows.orderBy(order, "lang").limit(labelled_rows).mapInArrow(features, "lang string, buckets array<int>, counts array<float>").toPandas()
-    examples = [(np.asarray(b, dtype=np.int64), np.asarray(c, dtype=np.float64)) for b, c in zip(sample["buckets"], sample["counts"], strict=True)]
-    return fit(examples, sample["lang"].tolist(), idf)
+    sample = rows.orderBy(order, "lang").limit(labelled_rows).mapInArrow(features, "lang string, buckets array<int>, counts array<float>").toArrow()
+    buckets, counts = (sample[c].combine_chunks() for c in ("buckets", "counts"))
+    lengths = np.diff(buckets.offsets.to_numpy()) if len(buckets) else np.zeros(0, np.int64)
+    return fit(buckets.flatten().to_numpy(), counts.flatten().to_numpy(), offsets_of(lengths), sample["lang"].to_pylist(), idf)
 
 
 def with_language(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", out: str = "lang_pred", score: str = "lang_score") -> DataFrame:
