@@ -37,7 +37,7 @@ INSULT_BASE, THREAT_BASE = 1000, 2000
 #: What the composed grammar can find: plain, negated, reported and aimed insults and threats.
 KINDS = ("I", "i", "J", "A", "T", "t", "U", "V")
 #: Bounds of the labelled sample, by label.
-TOXIC_ROWS, CLEAN_ROWS = 3000, 6000
+TOXIC_ROWS, CLEAN_ROWS = 2000, 4000
 PREFIXES = range(3, 9)
 #: Evidence that a learned stem needs: nats of log-likelihood ratio, and its share of toxic texts.
 EVIDENCE, PRECISION = 14.0, 0.75
