@@ -124,7 +124,7 @@ def audience(value: Column) -> Column:
 
 def professions(value: Column) -> Column:
     """Distinct professions of a list joined by commas, ``und`` or ``sowie``."""
-    return F.array_distinct(F.filter(F.transform(F.split(value, r"\s*,\s*|\s+und\s+|\s+sowie\s+"), F.trim), lambda p: p != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(value, r"\s*,\s*|\s+und\s+|\s+sowie\s+"), lambda p: F.trim(p)), lambda p: p != ""))
 
 
 def backoff_seconds(attempt: Column, base: int = 90, most: int = 1800) -> Column:

@@ -39,6 +39,8 @@ class Registry:
             parts = [p.strip().strip(",") for p in (head, more) if p.strip()]
             text = ",\n".join(parts) if head else ("WITH " + parts[0] if parts else "")
             tail = sql.strip()
+            if tail.startswith(",") and not text:
+                text, tail = "WITH", tail[1:]
             self.sql[name] = counting(f"{text}{tail}" if tail.startswith(",") else f"{text}\n{tail}")
 
     def query(self, tables: tuple[str, ...], more: str, sql: str | None) -> Callable[[Plan], Plan]:
