@@ -8,24 +8,25 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Hosts, locale prefixes and vocabularies that the normalisers accept.
 COMMUNITY_HOSTS = ("reddit.com", "old.reddit.com", "new.reddit.com", "np.reddit.com", "redd.it")
 LOCALES = ("en", "de", "fr", "es", "it")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalize_identifier(values: pd.Series) -> pd.Series:
     """NFKC, trimmed, case-folded, white space collapsed; empty becomes null."""
     return values.map(lambda v: " ".join(unicodedata.normalize("NFKC", v).casefold().split()) or None, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def casefold(values: pd.Series) -> pd.Series:
     return values.map(str.casefold, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescape_html(values: pd.Series) -> pd.Series:
     return values.map(html.unescape, na_action="ignore")
 
