@@ -134,9 +134,17 @@ class TokenRuns:
         return gather_runs(self.pool, self.starts[pieces], run), run.reshape(-1, 2).sum(axis=1)
 
 
+_EXPANDERS: dict[str, Expander] = {}
+
+
 def token_expander(tokenizer_path: str) -> Expander:
-    """Texts to token ids; the tokenizer never joins across ASCII white space."""
-    return Expander(TokenRuns(tokenizer_path))
+    """Texts to token ids; the tokenizer never joins across ASCII white space.
+
+    A Python worker keeps one for all its tasks, with the words that it has seen.
+    """
+    if tokenizer_path not in _EXPANDERS:
+        _EXPANDERS[tokenizer_path] = Expander(TokenRuns(tokenizer_path))
+    return _EXPANDERS[tokenizer_path]
 
 
 class TierPool:
