@@ -10,6 +10,7 @@ question's five-word shingles and the answer's words must lie in the passage.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -103,6 +104,27 @@ class BlockMaxIndex:
         return np.where(self.terms[at] == words, at, len(self.terms))
 
     def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
+        """All items whose score for the distinct terms reaches the threshold.
+
+        Terms of little impact are left to the end: what they can add at most lowers
+        the threshold of the search over the others.
+        """
+        light = [t for t in terms if self.peaks[t] < LIGHT]
+        spare = float(sum(self.lists[t][4] for t in light))
+        if not light or threshold <= spare:
+            return self.wand(terms, threshold)
+        found = []
+        for item, score in self.wand([t for t in terms if self.peaks[t] >= LIGHT], threshold - spare):
+            for t in light:
+                docs, values = self.lists[t][:2]
+                at = bisect_left(docs, item)
+                if at < len(docs) and docs[at] == item:
+                    score += values[at]
+            if score >= threshold - 1e-9:
+                found.append((item, score))
+        return found
+
+    def wand(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
         """All items whose score for the distinct terms reaches the threshold, by block-max WAND."""
         cursors = [[self.lists[t], 0, 0] for t in terms if self.lists[t][0]]  # list, position, block
         found = []
@@ -192,7 +214,8 @@ class Passages:
         cell = np.searchsorted(self.starts, at, side="right") - 1
         before = cell - 1
         shared = np.flatnonzero((cell > 0) & (self.owner[before] == self.owner[cell])) if len(cell) else at
-        pairs = np.unique(np.concatenate([cell * size + numbers[at], before[shared] * size + numbers[at[shared]]]))
+        pairs = np.sort(np.concatenate([cell * size + numbers[at], before[shared] * size + numbers[at[shared]]]))
+        pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])] if len(pairs) else pairs
         return pairs // max(1, size), pairs % max(1, size)
 
     def words(self, passage: int) -> np.ndarray:
