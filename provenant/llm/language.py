@@ -219,10 +219,12 @@ def train(training: DataFrame, *, text_col: str = "text", lang_col: str = "lang"
         for batch in batches:
             for part in slices(batch, 0):
                 counts = document_counts(text_array(part.column(0)))
-                yield pa.RecordBatch.from_arrays([part.column(1), pa.array([b.astype(np.int32) for b, _ in counts], pa.list_(pa.int32())), pa.array([c.astype(np.float32) for _, c in counts], pa.list_(pa.float32()))], names=["lang", "buckets", "counts"])
+                yield pa.RecordBatch.from_arrays([part.column(2), part.column(1), pa.array([b.astype(np.int32) for b, _ in counts], pa.list_(pa.int32())), pa.array([c.astype(np.float32) for _, c in counts], pa.list_(pa.float32()))], names=["h", "lang", "buckets", "counts"])
 
-    order = F.xxhash64("text", F.lit(11))
-    sample = rows.orderBy(order, "lang").limit(labelled_rows).mapInArrow(features, "lang string, buckets array<int>, counts array<float>").toArrow()
+    hashed = rows.withColumn("h", F.xxhash64("text", F.lit(11)))
+    last = hashed.select("h").distinct().orderBy("h").limit(labelled_rows).agg(F.max("h")).first()[0]
+    chosen = hashed.filter(F.col("h") <= F.lit(last)).groupBy("h").agg(F.first("text").alias("text"), F.min("lang").alias("lang"))  # labelled_rows distinct texts
+    sample = chosen.select("text", "lang", "h").mapInArrow(features, "h long, lang string, buckets array<int>, counts array<float>").toArrow().sort_by("h")
     buckets, counts = (sample[c].combine_chunks() for c in ("buckets", "counts"))
     lengths = np.diff(buckets.offsets.to_numpy()) if len(buckets) else np.zeros(0, np.int64)
     return fit(buckets.flatten().to_numpy(), counts.flatten().to_numpy(), offsets_of(lengths), sample["lang"].to_pylist(), idf)
