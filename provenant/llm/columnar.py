@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 import regex
 from pandas.util import hash_array
 
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 8 << 20
 
 WORD = regex.compile(r"[\p{L}\p{M}\p{N}_]+")
 
@@ -38,6 +38,7 @@ def slices(batch: pa.RecordBatch, column: str | int, most: int = SLICE_BYTES) ->
         floor = ends[start - 1] if start else 0
         stop = max(start + 1, int(np.searchsorted(ends, floor + most, side="right")))
         yield batch.slice(start, stop - start)
+        pa.default_memory_pool().release_unused()
         start = stop
 
 

@@ -25,50 +25,58 @@ ORDERS = (1, 2, 3, 4)
 #: Bound of the labelled sample that the weights are fitted on; idf is counted over all training rows.
 LABELLED_ROWS = 3000
 UNKNOWN = "und"
+#: Text that is worked on at once; its n-grams take some thirty times as much.
+TEXT_BYTES = 4 << 20
 
 
-def chunk_ngrams(chunks: pa.Array, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket numbers of the n-grams of each chunk's letters (with a mark at both ends), and their counts by chunk."""
+def gram_orders(chunks: pa.Array, buckets: int = BUCKETS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each order: the buckets of the n-grams of the chunks' letters (with a mark at both ends), and their chunks."""
     clean = pc.replace_substring_regex(pc.utf8_lower(chunks), r"[^\pL\pM]+", "\x02")
     clean = pc.utf8_trim(clean, "\x02")
     framed = pc.if_else(pc.equal(clean, ""), "", pc.binary_join_element_wise("\x02", clean, "\x02", ""))
     lengths = pc.utf8_length(framed).to_numpy(zero_copy_only=False).astype(np.int64)
-    points = np.frombuffer("".join(framed.to_pylist()).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-    offsets = offsets_of(lengths)
-    owner = np.repeat(np.arange(len(lengths)), lengths)
-    room = offsets[1:][owner] - np.arange(len(points))
+    points = np.frombuffer("".join(framed.to_pylist()).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    owner = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+    room = (offsets_of(lengths)[1:][owner] - np.arange(len(points))).astype(np.int32)
     rolling = np.zeros(len(points), dtype=np.uint64)
-    found, owners = [], []
     for order in range(1, max(ORDERS) + 1):
-        tail = np.zeros(len(points), dtype=np.uint64)
+        rolling *= np.uint64(0x9E3779B97F4A7C15)
+        rolling += np.uint64(1)
         if order <= len(points):
-            tail[: len(points) - order + 1] = points[order - 1 :]
-        rolling = rolling * np.uint64(0x9E3779B97F4A7C15) + tail + np.uint64(1)
+            rolling[: len(points) - order + 1] += points[order - 1 :]
         if order in ORDERS:
-            live = room >= order
-            if order == 1:
-                live &= points != 2
+            live = (room >= order) & (points != 2) if order == 1 else room >= order
             hashed = rolling[live]
-            found.append(((hashed ^ (hashed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40)).astype(np.int64) % buckets)
-            owners.append(owner[live])
-    values, owners_ = np.concatenate(found), np.concatenate(owners)
-    order_ = np.argsort(owners_, kind="stable")
-    return values[order_], np.bincount(owners_, minlength=len(lengths))
+            hashed ^= hashed >> np.uint64(29)
+            hashed *= np.uint64(0xBF58476D1CE4E5B9)
+            yield ((hashed >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32), owner[live]
+
+
+def chunk_ngrams(chunks: pa.Array, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the n-grams of all orders, chunk by chunk, and their number by chunk."""
+    parts = list(gram_orders(chunks, buckets))
+    values, owner = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return values[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(chunks))
+
+
+def _run_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sums of the rows of each run, 0 for empty ones."""
+    out = np.zeros((len(offsets) - 1, *values.shape[1:]), dtype=values.dtype)
+    some = np.flatnonzero(np.diff(offsets))
+    if len(some):
+        out[some] = np.add.reduceat(values, offsets[some], axis=0)
+    return out
 
 
 def document_sums(texts: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sums of ``table`` rows over all n-grams of each text, and the numbers of n-grams."""
     dictionary, codes, offsets = split_chunks(texts)
-    grams, counts = chunk_ngrams(dictionary)
-    ends = offsets_of(counts)
-    running = np.zeros((len(grams) + 1, table.shape[1]))
-    np.cumsum(table[grams], axis=0, out=running[1:])
-    by_chunk = running[ends[1:]] - running[ends[:-1]]
-    totals = np.zeros((len(codes) + 1, table.shape[1]))
-    np.cumsum(by_chunk[codes], axis=0, out=totals[1:])
-    number = np.zeros(len(codes) + 1, dtype=np.int64)
-    np.cumsum(counts[codes], out=number[1:])
-    return totals[offsets[1:]] - totals[offsets[:-1]], number[offsets[1:]] - number[offsets[:-1]]
+    by_chunk, counts = np.zeros((len(dictionary), table.shape[1])), np.zeros(len(dictionary), dtype=np.int64)
+    for grams, owner in gram_orders(dictionary):
+        number = np.bincount(owner, minlength=len(dictionary))
+        by_chunk += _run_sums(table[grams].astype(np.float64), offsets_of(number))
+        counts += number
+    return _run_sums(by_chunk[codes], offsets), _run_sums(counts[codes], offsets)
 
 
 def document_counts(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -194,7 +202,7 @@ def document_frequencies(texts: DataFrame, buckets: int = BUCKETS) -> tuple[np.n
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets + 1, dtype=np.int64)
         for batch in batches:
-            for part in slices(batch, 0):
+            for part in slices(batch, 0, TEXT_BYTES):
                 for found, _ in document_counts(text_array(part.column(0))):
                     total[found] += 1
                 total[buckets] += part.num_rows
@@ -217,7 +225,7 @@ def train(training: DataFrame, *, text_col: str = "text", lang_col: str = "lang"
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 0):
+            for part in slices(batch, 0, TEXT_BYTES):
                 counts = document_counts(text_array(part.column(0)))
                 yield pa.RecordBatch.from_arrays([part.column(2), part.column(1), pa.array([b.astype(np.int32) for b, _ in counts], pa.list_(pa.int32())), pa.array([c.astype(np.float32) for _, c in counts], pa.list_(pa.float32()))], names=["h", "lang", "buckets", "counts"])
 
@@ -243,7 +251,7 @@ def with_language(docs: DataFrame, model: LanguageModel, *, text_col: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, at):
+            for part in slices(batch, at, TEXT_BYTES):
                 label, p = model.predict(text_array(part.column(at)))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(label, pa.string()), pa.array(p, pa.float64())], names=[*names, out, score])
 
