@@ -56,6 +56,8 @@ Piece = tuple[int, int, int]
 
 #: Set between words when many are tokenised at once; a word that holds it is tokenised alone.
 MARK = "\x01"
+#: How the vocabulary spells the end of a word, and the number of words tokenised at once.
+WORD_END, WORDS_AT_ONCE = "</w>", 200
 #: Words whose ids are kept between slices; the cache starts anew beyond this.
 CACHE_WORDS = 600_000
 
@@ -74,6 +76,8 @@ class TokenRuns:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.mark = self._encode(MARK)
+        self.closing = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        self.closing[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(WORD_END)]] = True
         self._reset()
 
     def _reset(self) -> None:
@@ -90,8 +94,18 @@ class TokenRuns:
         runs = [self._encode(w) for w in words]
         return np.concatenate([*runs, np.zeros(0, np.uint32)]), np.array([len(r) for r in runs], dtype=np.int64)
 
-    def _together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.mark) == 1 and not any(MARK in w for w in words):
+    def _together(self, words: list[str], plain: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many words tokenised as one text.
+
+        Words of letters alone end where an id closes a word; others are told apart
+        by a mark.  Whatever does not come out even is tokenised word by word.
+        """
+        if plain:
+            ids = self._encode(" ".join(words))
+            ends = np.flatnonzero(self.closing[ids])
+            if len(ends) == len(words) and (not len(ids) or ends[-1] == len(ids) - 1):
+                return ids, np.diff(ends, prepend=-1)
+        elif len(self.mark) == 1 and not any(MARK in w for w in words):
             ids = self._encode(f" {MARK} ".join([*words, ""]))
             ends = np.flatnonzero(ids == self.mark[0])
             if len(ends) == len(words):
@@ -99,19 +113,23 @@ class TokenRuns:
         return self._apart(words)
 
     def _learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), 2000):
-            some = words[at : at + 2000]
-            ids, lengths = self._together(some)
-            first, total = len(self.index), self.used + len(ids)
-            while total > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-            while first + len(some) > len(self.starts):
-                self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
-            self.pool[self.used : total] = ids
-            self.starts[first : first + len(some)] = self.used + offsets_of(lengths)[:-1]
-            self.lengths[first : first + len(some)] = lengths
-            self.index.update(zip(some, range(first, first + len(some)), strict=True))
-            self.used = total
+        letters = [w for w in words if w.isalpha()]
+        for some, plain in ((letters, True), ([w for w in words if not w.isalpha()], False)):
+            for at in range(0, len(some), WORDS_AT_ONCE):
+                self._keep(some[at : at + WORDS_AT_ONCE], plain)
+
+    def _keep(self, words: list[str], plain: bool) -> None:
+        ids, lengths = self._together(words, plain)
+        first, total = len(self.index), self.used + len(ids)
+        while total > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        while first + len(words) > len(self.starts):
+            self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
+        self.pool[self.used : total] = ids
+        self.starts[first : first + len(words)] = self.used + offsets_of(lengths)[:-1]
+        self.lengths[first : first + len(words)] = lengths
+        self.index.update(zip(words, range(first, first + len(words)), strict=True))
+        self.used = total
 
     def _look_up(self, words: pa.Array) -> np.ndarray:
         encoded = words.dictionary_encode()
@@ -337,7 +355,7 @@ def pack_documents(
     repeated rows are packed once each; other columns are ignored; an empty
     table gives no rows.
     """
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, 4000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pack_partition(batches, tokenizer_path, tuple(sorted(tiers)), eos_id, unit_tokens, step_tokens)
