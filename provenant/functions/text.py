@@ -144,3 +144,43 @@ def http_failure(status: Column) -> Column:
         .when(status.isin(401, 403) | (status >= 500), "MODEL_UNAVAILABLE")
         .otherwise("UNKNOWN_ERROR")
     )
+
+
+# Failure labels and the patterns that give them; the first that matches counts.
+FAILURE_RULES = (
+    ("rate-limited", r"rate.?limit|too many requests|429|usage limit|hit your.*limit|try again at"),
+    ("quota-exceeded", r"insufficient.*(quota|credit)|quota exceeded|out of quota"),
+    ("auth-failed", r"invalid api.?key|unauthorized|401|authentication failed|token.*expired"),
+    ("access-denied", r"403|forbidden|no access"),
+    ("network", r"network|connection|dns|timed? out|econn"),
+    ("model-unavailable", r"model not found|unsupported model|unknown model"),
+    ("policy-blocked", r"sandbox|policy"),
+)
+
+
+def failure_label(message: Column) -> Column:
+    """A coarse label of a failure message that repeats nothing of it."""
+    said = F.lower(F.coalesce(message, F.lit("")))
+    out = F.lit("unknown-error")
+    for label, pattern in reversed(FAILURE_RULES):
+        out = F.when(said.rlike(pattern), F.lit(label)).otherwise(out)
+    return out
+
+
+def salvaged_json(answer: Column) -> Column:
+    """The JSON object of a chatty answer: the last line that is one, else the whole, else the outermost braces; null if none is valid."""
+    lines = F.filter(F.split(answer, "\n"), lambda line: F.ltrim(line).startswith("{"))
+    candidates = F.array(F.element_at(F.when(F.size(lines) > 0, lines), -1), F.regexp_replace(F.trim(answer), r"(?s)^```(?:json)?\s*|\s*```$", ""), F.regexp_extract(answer, r"(?s)(\{.*\})", 1))
+    return F.get(F.filter(candidates, lambda c: F.json_object_keys(c).isNotNull()), 0)
+
+
+def run_gate_reasons(adapter_ready: Column, credentials: Column, configured: Column, rights: Column) -> Column:
+    """Why a live run is not allowed; empty if it is."""
+    return F.array_compact(
+        F.array(
+            F.when(~adapter_ready, "technical adapter is not ready"),
+            F.when(~credentials, "provider credentials are not available in the environment"),
+            F.when(~configured, "provider configuration (e.g. query IDs) is missing or invalid"),
+            F.when(~rights.eqNullSafe(F.lit("PRODUCTION_APPROVED")), F.concat(F.lit("rights status is "), F.coalesce(rights, F.lit("UNKNOWN")), F.lit(", not PRODUCTION_APPROVED"))),
+        )
+    )

@@ -186,3 +186,106 @@ def scope_summary(cases: DataFrame, members: DataFrame, observations: DataFrame,
         F.min("published_at").alias("first_published"),
         F.max("published_at").alias("last_published"),
     )
+
+
+def upsert(current: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
+    """Replace rows by key; nulls in keys are equal, other rows stay."""
+    return absent(current, incoming, keys).unionByName(incoming.select(*current.columns))
+
+
+def set_status(rows: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
+    """Rows with new statuses (``key, status``); unchanged ones stay."""
+    new = changes.select(F.col(key).alias("_k"), F.col("status").alias("_s"))
+    return rows.join(new, F.col(key) == F.col("_k"), "left").withColumn("status", F.coalesce("_s", "status")).select(*rows.columns)
+
+
+def unknown_keys(changes: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:
+    """Keys of changes that meet no row."""
+    return changes.select(key).join(rows.select(key), key, "left_anti")
+
+
+def upsert_items(current: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Source items by (source, external id): new texts and columns win, the first sighting stays."""
+    keys = ["source_id", "external_id"]
+    new = incoming.select(*(F.col(c).alias(f"n_{c}") for c in incoming.columns))
+    both = current.join(new, (F.col("source_id") == F.col("n_source_id")) & (F.col("external_id") == F.col("n_external_id")), "full_outer")
+    first = F.coalesce("first_seen_at", "n_first_seen_at").alias("first_seen_at")
+    pick = lambda c: F.when(F.col("n_source_id").isNotNull(), F.col(f"n_{c}")).otherwise(F.col(c)).alias(c)
+    merged = both.select("id", *(first if c == "first_seen_at" else pick(c) for c in current.columns if c not in ("id",)))
+    return with_new_ids(merged.select(*current.columns), current, keys[1])
+
+
+def acquisition_upsert(current: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Acquisitions by (discovery, provider): item and completeness are kept where the new ones are unknown."""
+    new = incoming.select(*(F.col(c).alias(f"n_{c}") for c in incoming.columns))
+    both = current.join(new, (F.col("discovery_id") == F.col("n_discovery_id")) & (F.col("provider") == F.col("n_provider")), "full_outer")
+    kept = ("source_item_id", "completeness")
+    there = F.col("n_discovery_id").isNotNull()
+    return both.select(*(F.coalesce(f"n_{c}", c).alias(c) if c in kept else F.when(there, F.col(f"n_{c}")).otherwise(F.col(c)).alias(c) for c in current.columns))
+
+
+def satisfy_passes(passes: DataFrame, results: DataFrame) -> DataFrame:
+    """Passes with their results (``case_id, pass_type, outcome, summary_claim_id``)."""
+    new = results.select(F.col("case_id").alias("_c"), F.col("pass_type").alias("_p"), F.col("outcome").alias("_o"), F.col("summary_claim_id").alias("_s"))
+    done = F.col("_c").isNotNull()
+    out = passes.join(new, (F.col("case_id") == F.col("_c")) & (F.col("pass_type") == F.col("_p")), "left")
+    return out.withColumns({"status": F.when(done, "SATISFIED").otherwise(F.col("status")), "outcome": F.when(done, F.col("_o")).otherwise(F.col("outcome")), "summary_claim_id": F.when(done, F.col("_s")).otherwise(F.col("summary_claim_id"))}).select(*passes.columns)
+
+
+def save_opportunities(saved: DataFrame, notes: DataFrame) -> DataFrame:
+    """Bookmarks with new notes (``opportunity_id, note, saved_at``); the first time of saving stays."""
+    new = notes.select(F.col("opportunity_id").alias("_o"), F.col("note").alias("_n"), F.col("saved_at").alias("_t"))
+    both = saved.join(new, F.col("opportunity_id") == F.col("_o"), "full_outer")
+    return both.select(F.coalesce("opportunity_id", "_o").alias("opportunity_id"), F.when(F.col("_o").isNotNull(), F.col("_n")).otherwise(F.col("note")).alias("note"), F.coalesce("saved_at", "_t").alias("saved_at"))
+
+
+def append_health(current: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """History with new checks, and checks that repeat a (source, provider, time) with another payload."""
+    keys = ["source_id", "provider", "checked_at"]
+    fields = [c for c in incoming.columns if c not in keys]
+    old = current.select(*(F.col(k).alias(f"_{k}") for k in keys), F.struct(*fields).alias("_old"))
+    same = None
+    for k in keys:
+        one = F.col(k) == F.col(f"_{k}")
+        same = one if same is None else same & one
+    conflicts = incoming.join(old, same).filter(~F.struct(*fields).eqNullSafe(F.col("_old"))).select(*keys)
+    return current.select(*incoming.columns).unionByName(absent(incoming, current, keys)), conflicts
+
+
+def merge_products(current: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Products by key: a tagline is kept where the new one is unknown, hits are replaced; ``is_new`` marks first sightings."""
+    new = incoming.select(*(F.col(c).alias(f"n_{c}") for c in incoming.columns))
+    both = current.join(new, F.col("key") == F.col("n_key"), "full_outer")
+    there = F.col("n_key").isNotNull()
+    return both.select(
+        F.coalesce("key", "n_key").alias("key"), F.when(there, F.col("n_name")).otherwise(F.col("name")).alias("name"), F.coalesce("n_tagline", "tagline").alias("tagline"),
+        F.when(there, F.col("n_pain_hits")).otherwise(F.col("pain_hits")).alias("pain_hits"), F.coalesce("seen_date", "n_seen_date").alias("seen_date"), F.col("key").isNull().alias("is_new"),
+    )
+
+
+def create_claims(drafts: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Claims and links of drafts (``id, observation_id, claim_kind, text, evidence_span_ids``), and facts that lack a span of their own observation."""
+    links = drafts.select(F.col("id").alias("claim_id"), "observation_id", F.explode("evidence_span_ids").alias("evidence_span_id"))
+    owned = links.join(spans.select(F.col("id").alias("evidence_span_id"), F.col("observation_id").alias("_owner")), "evidence_span_id").filter(F.col("observation_id").isNull() | F.col("observation_id").eqNullSafe(F.col("_owner"))).select("claim_id", "evidence_span_id").distinct()
+    refused = drafts.filter("claim_kind = 'FACT'").join(owned.select(F.col("claim_id").alias("id")), "id", "left_anti").select("id")
+    return drafts.select("id", "observation_id", "claim_kind", "text").join(refused, "id", "left_anti"), owned, refused
+
+
+def case_report(cases: DataFrame, members: DataFrame, observations: DataFrame, spans: DataFrame, passes: DataFrame, competitors: DataFrame, counter: DataFrame, unknowns: DataFrame, questions: DataFrame) -> DataFrame:
+    """One nested row per case with all that a report shows; each list is gathered once and joined."""
+
+    def listed(rows: DataFrame, name: str, *columns: str) -> DataFrame:
+        return rows.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
+
+    evidence = members.join(observations.select(F.col("id").alias("observation_id"), "problem", "actor", "evidence_scope"), "observation_id").join(spans.select("observation_id", F.col("id").alias("span_id"), "excerpt"), "observation_id", "left")
+    own = cases.select(F.col("id").alias("case_id"), "cluster_id").join(evidence, "cluster_id")
+    out = cases.select(F.col("id").alias("case_id"), "title", "status")
+    for side in (listed(own, "evidence", "observation_id", "span_id", "problem", "actor", "evidence_scope", "excerpt"), listed(passes, "passes", "pass_type", "status", "outcome", "summary_claim_id"), listed(competitors, "competitors", "name", "solution_type", "pricing"), listed(counter, "counter_evidence", "evidence_type", "factual_claim_id"), listed(unknowns, "unknowns", "statement"), listed(questions, "questions", "question")):
+        out = out.join(side, "case_id", "left")
+    return out
+
+
+def funnel(items: DataFrame, screened: DataFrame, observations: DataFrame, strong: Column) -> DataFrame:
+    """Counts of each stage, one row."""
+    parts = [items.agg(F.count("*").alias("items")), screened.agg(F.count("*").alias("screened")), observations.agg(F.count("*").alias("observations"), F.count_if(strong).alias("strong"))]
+    return parts[0].crossJoin(F.broadcast(parts[1])).crossJoin(F.broadcast(parts[2]))  # three single rows

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from provenant.plans import research, text, writes
+from provenant.plans import pipelines, research, text, writes
 
-REGISTRIES = (research.registry, text.registry, writes.registry)
+REGISTRIES = (research.registry, text.registry, writes.registry, pipelines.registry)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
