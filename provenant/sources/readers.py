@@ -210,3 +210,52 @@ def readiness_suites(spark: SparkSession, path: str) -> DataFrame:
 def select_items(items: DataFrame, ids: DataFrame) -> DataFrame:
     """Stored items of an id list, by id."""
     return items.join(ids, "id", "left_semi").orderBy("id")
+
+
+def select_health_sources(sources: DataFrame, *, name: str | None = None, manifest: DataFrame | None = None, relevance: DataFrame | None = None) -> DataFrame:
+    """Sources to check: exactly one of a name, a manifest of names, or profiles of a relevance; unknown names are refused."""
+    if sum(x is not None for x in (name, manifest, relevance)) != 1:
+        raise ValueError("choose exactly one of name, manifest and relevance")
+    known = sources.select("id", "name")
+    if relevance is not None:
+        return known.join(relevance.select(F.col("source_id").alias("id")), "id", "left_semi")
+    asked = sources.sparkSession.createDataFrame([(name,)], "asked string") if manifest is None else manifest.select(F.col("subreddit").alias("asked"))
+    unknown = asked.join(known, F.lower("asked") == F.lower("name"), "left_anti").limit(5).collect()
+    if unknown:
+        raise ValueError("unregistered sources: " + ", ".join(r["asked"] for r in unknown))
+    return known.join(asked, F.lower("name") == F.lower("asked"), "left_semi")
+
+
+def query_manifest(spark: SparkSession, path: str, most: int = 5) -> DataFrame:
+    """Sources of a provider query manifest: one to five distinct names with their query ids."""
+    rows = spark.read.schema("sources array<struct<name: string, query_id: string>>").json(path, multiLine=True).select(F.explode("sources").alias("s")).select("s.*")
+    found = rows.limit(most + 1).collect()
+    names = {(r["name"] or "").strip().lower() for r in found}
+    if not 1 <= len(found) <= most or len(names) != len(found) or "" in names:
+        raise ValueError(f"a query manifest names 1 to {most} distinct sources")
+    return rows
+
+
+def launch_products(spark: SparkSession, path: str) -> DataFrame:
+    """Products of a launch feed: key, name, tagline, URL and day."""
+    rows = spark.read.format("xml").option("rowTag", "entry").schema("id string, title string, link struct<_href: string>, published string, content struct<_VALUE: string>").load(path)
+    return rows.select(F.concat(F.lit("launch:"), "id").alias("key"), F.col("title").alias("name"), text.html_text(F.col("content._VALUE")).alias("tagline"), F.col("link._href").alias("url"), F.substring("published", 1, 10).alias("seen_date"))
+
+
+def story_products(spark: SparkSession, path: str) -> DataFrame:
+    """Products of a story search page: the part of a title after the colon names and describes them."""
+    rows = spark.read.schema("hits array<struct<objectID: string, title: string, url: string, created_at: string>>").json(path, multiLine=True).select(F.explode("hits").alias("h")).select("h.*")
+    shown = F.regexp_replace("title", r"(?i)^show hn:\s*", "")
+    return rows.select(F.concat(F.lit("story:"), "objectID").alias("key"), F.trim(F.regexp_extract(shown, r"^(.*?)(?:\s+[–-]\s+.*)?$", 1)).alias("name"), F.nullif(F.trim(F.regexp_extract(shown, r"\s+[–-]\s+(.*)$", 1)), F.lit("")).alias("tagline"), "url", F.substring("created_at", 1, 10).alias("seen_date"))
+
+
+def baseline_ids(*tables: DataFrame) -> DataFrame:
+    """External ids of other stores, each once, folded for comparison."""
+    return reduce(DataFrame.unionByName, (t.select(F.lower(F.trim("external_id")).alias("external_id")) for t in tables)).distinct()
+
+
+def health_capture(spark: SparkSession, path: str) -> Parsed:
+    """A health capture: exact keys, and each source once."""
+    parsed = read_json(spark, path, "health")
+    again = duplicates(parsed.rows, F.lower("source").alias("source")).select(F.lit(path).alias("file"), F.col("source").alias("line"), F.lit("a source is captured once").alias("problem"))
+    return Parsed(parsed.rows, parsed.errors.unionByName(again))

@@ -145,3 +145,50 @@ def test_sinks(spark, tmp_path):
     assert sinks.status_table(df).splitlines()[0].split() == ["b", "a", "c"]
     held = sinks.evidence_excerpts(spark.createDataFrame([("x", False)], "excerpt string, display_approved boolean")).first()[0]
     assert held.startswith("[withheld")
+
+
+def test_more_readers(spark, tmp_path):
+    sources = spark.createDataFrame([(1, "Foo"), (2, "Bar")], "id long, name string")
+    assert rows(readers.select_health_sources(sources, name="foo")) == [(1, "Foo")]
+    with pytest.raises(ValueError, match="unregistered"):
+        readers.select_health_sources(sources, name="baz")
+    with pytest.raises(ValueError, match="exactly one"):
+        readers.select_health_sources(sources)
+    (tmp_path / "q.json").write_text(json.dumps({"sources": [{"name": "a", "query_id": "1"}, {"name": "b"}]}))
+    assert rows(readers.query_manifest(spark, str(tmp_path / "q.json")), "name") == [("a", "1"), ("b", None)]
+    (tmp_path / "q.json").write_text(json.dumps({"sources": [{"name": "a"}, {"name": "A"}]}))
+    with pytest.raises(ValueError, match="distinct"):
+        readers.query_manifest(spark, str(tmp_path / "q.json"))
+    (tmp_path / "h.json").write_text(json.dumps({"hits": [{"objectID": "7", "title": "Show HN: Tool - does it", "url": "u", "created_at": "2026-01-02T03:04:05Z"}]}))
+    assert rows(readers.story_products(spark, str(tmp_path / "h.json"))) == [("story:7", "Tool", "does it", "u", "2026-01-02")]
+    (tmp_path / "g.json").write_text(json.dumps({"version": "1", "suites": [{"name": "s", "kind": "k", "minimum_coverage": {"cases": 5}, "minimum_metrics": {"f1": 0.8}}]}))
+    assert rows(readers.readiness_suites(spark, str(tmp_path / "g.json")), "gate") == [("s", "k", "coverage", "cases", 5.0), ("s", "k", "metrics", "f1", 0.8)]
+    line = {"source": "a", "provider": "p", "checked_at": "t", "access_result": "PUBLIC_CONTENT", "http_status": 200, "latest_visible_item_at": None, "visible_item_count": 1, "sample_window_start": None, "sample_window_end": None, "coverage_complete": True, "reason": "r", "evidence_urls": [], "latency_ms": None, "cost_usd": None}
+    (tmp_path / "c.jsonl").write_text(json.dumps(line) + "\n" + json.dumps(line | {"source": "A"}))
+    assert [r["problem"] for r in readers.health_capture(spark, str(tmp_path / "c.jsonl")).errors.collect()] == ["a source is captured once"]
+    del line["cost_usd"]
+    (tmp_path / "c.jsonl").write_text(json.dumps(line))
+    assert [r["problem"] for r in readers.health_capture(spark, str(tmp_path / "c.jsonl")).errors.collect()] == ["missing keys: cost_usd"]
+
+
+def test_replays_default_to_unavailable(spark):
+    captures = spark.createDataFrame([("q1", "RESULTS")], "query string, availability string")
+    assert rows(readers.replay_search(captures, spark.createDataFrame([("q1",), ("q2",)], "query string")), "query") == [("q1", "RESULTS"), ("q2", "SOURCE_UNAVAILABLE")]
+    taken = spark.createDataFrame([("https://old.reddit.com/r/x/comments/Q1/s/", "CONTENT_COMPLETE")], "url string, state string")
+    urls = spark.createDataFrame([("https://www.reddit.com/r/x/comments/q1/",), ("https://u/",)], "canonical_url string")
+    assert sorted(r["state"] for r in readers.replay_acquisition(taken, urls).collect()) == ["ACQUISITION_FAILED", "CONTENT_COMPLETE"]
+
+
+def test_reports(spark, tmp_path):
+    from provenant.sources import reports
+
+    plan = spark.createDataFrame([(1, "a", "CORE", True, 50), (2, "b", "PILOT", False, 25)], "ordering int, source_name string, strict_relevance string, ready boolean, pilot_size long")
+    assert json.loads(reports.plan_json(plan))["planned_items"] == 50
+    assert "| 2 | b | PILOT | false | 25 |" in reports.plan_markdown(plan)
+    row = {"title": "T", "status": "OPEN", "evidence": [{"observation_id": 1, "evidence_scope": "DACH", "problem": "p", "excerpt": "x"}], "passes": None, "competitors": [{"name": "V", "solution_type": "S", "pricing": None}], "counter_evidence": [], "unknowns": [], "questions": []}
+    shown, held = reports.opportunity_report(row), reports.opportunity_report(row, approved_sources=set(), language="de")
+    assert "“x”" in shown and "unknown" in shown and reports.WITHHELD in held and "## Belege" in held and "unbekannt" in held
+    reports.write_review(spark.createDataFrame([("s", 1)], "source string, observation_id long"), str(tmp_path / "r"))
+    assert readers.read_csv(spark, str(tmp_path / "r"), reports.REVIEW_COLUMNS).count() == 1
+    assert reports.next_sources(["a", "b", "c"], reports.load_state('{"a": "COMPLETE", "b": "FAILED"}')) == ["b", "c"]
+    assert reports.load_state("broken") == {}
