@@ -42,6 +42,16 @@ def slices(batch: pa.RecordBatch, column: str | int, most: int = SLICE_BYTES) ->
         start = stop
 
 
+def hash_bound(most: int, rows: int) -> int:
+    """The value below which the 64-bit hashes of some more than ``most`` of ``rows`` rows lie.
+
+    A sample is cut by it before the rows are put in the order of their hash, so that
+    no task gathers ``most`` rows from every partition.
+    """
+    share = min(1.0, 1.3 * most / max(1, rows))
+    return min(2**63 - 1, int(-(2**63) + share * 2**64))
+
+
 def text_array(column: pa.Array) -> pa.Array:
     """The column as strings with nulls made empty."""
     return pc.fill_null(column.cast(pa.string()), "")

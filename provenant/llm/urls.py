@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .columnar import hash_words
+from .columnar import hash_bound, hash_words
 
 #: (host, path prefix, verdict)
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
@@ -194,7 +194,9 @@ def judge_urls(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url
     host, path = url_parts(url)
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url")).select("page_id", "url", host.alias("host"), path.alias("path"))
     source = labels if labels is not None else labelled(rows)
-    sample = source.select("url", "host", "path", "blocked").filter("url is not null").dropDuplicates(["url"]).orderBy(F.xxhash64("url"), "url").limit(labelled_rows).toPandas()
+    hashed = source.select("url", "host", "path", "blocked", F.xxhash64("url").alias("h")).filter("url is not null")
+    bound = hash_bound(labelled_rows, hashed.count())
+    sample = hashed.filter(F.col("h") <= F.lit(bound)).dropDuplicates(["url"]).orderBy("h", "url").limit(labelled_rows).toPandas()
     model = train(sample["url"].tolist(), sample["host"].tolist(), sample["path"].tolist(), sample["blocked"].tolist())
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
