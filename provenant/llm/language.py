@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .columnar import bounded_batches, gather_runs, offsets_of, slices, split_chunks, text_array
+from .columnar import bounded_batches, gather_runs, hash_bound, offsets_of, slices, split_chunks, text_array
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3, 4)
@@ -229,9 +229,9 @@ def train(training: DataFrame, *, text_col: str = "text", lang_col: str = "lang"
                 counts = document_counts(text_array(part.column(0)))
                 yield pa.RecordBatch.from_arrays([part.column(2), part.column(1), pa.array([b.astype(np.int32) for b, _ in counts], pa.list_(pa.int32())), pa.array([c.astype(np.float32) for _, c in counts], pa.list_(pa.float32()))], names=["h", "lang", "buckets", "counts"])
 
-    hashed = rows.withColumn("h", F.xxhash64("text", F.lit(11)))
+    hashed = rows.withColumn("h", F.xxhash64("text", F.lit(11))).filter(F.col("h") <= F.lit(hash_bound(labelled_rows, number)))
     last = hashed.select("h").distinct().orderBy("h").limit(labelled_rows).agg(F.max("h")).first()[0]
-    chosen = hashed.filter(F.col("h") <= F.lit(last)).groupBy("h").agg(F.first("text").alias("text"), F.min("lang").alias("lang"))  # labelled_rows distinct texts
+    chosen = hashed.filter(F.col("h") <= F.lit(last).cast("long")).groupBy("h").agg(F.first("text").alias("text"), F.min("lang").alias("lang"))  # labelled_rows distinct texts
     sample = chosen.select("text", "lang", "h").mapInArrow(features, "h long, lang string, buckets array<int>, counts array<float>").toArrow().sort_by("h")
     buckets, counts = (sample[c].combine_chunks() for c in ("buckets", "counts"))
     lengths = np.diff(buckets.offsets.to_numpy()) if len(buckets) else np.zeros(0, np.int64)
