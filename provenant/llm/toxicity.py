@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .columnar import Expander, bounded_batches, chunk_words, hashed_words, offsets_of, shingles, slices, text_array, text_words
+from .columnar import Expander, bounded_batches, chunk_words, hash_bound, hashed_words, offsets_of, shingles, slices, text_array, text_words
 
 # The words that the grammar knows without labels.
 INSULTS = ("idiot", "idiots", "moron", "morons", "stupid", "dumb", "loser", "losers", "scum", "trash", "pathetic", "worthless", "disgusting", "clown", "clowns", "imbecile", "bastard", "coward", "pig", "vermin", "filth", "retard", "idiota", "imbécile", "connard", "salaud", "dummkopf", "arschloch", "trottel", "estúpido", "basura")
@@ -266,8 +266,8 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     bounded_batches(docs.sparkSession)
     marked = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_toxic"))
     order = F.xxhash64("_id", F.lit(3))
-    chosen = [marked.filter(F.col("_toxic") == v).orderBy(order, "_id").limit(n) for v, n in ((1, toxic_rows), (0, clean_rows))]
     counts = {r["_toxic"]: r["count"] for r in marked.groupBy("_toxic").count().collect()}  # two rows
+    chosen = [marked.filter((F.col("_toxic") == v) & (order <= F.lit(hash_bound(n, counts.get(v, 0))))).orderBy(order, "_id").limit(n) for v, n in ((1, toxic_rows), (0, clean_rows))]
     picked = chosen[0].unionByName(chosen[1])  # toxic_rows + clean_rows at most
     sample = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).filter("text is not null").join(F.broadcast(picked), "_id").select("_toxic", "text")
 
