@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provenant.functions.predicates import completed, strong_signal
 from provenant.functions.text import fingerprint
 
-IMPACT_FIELDS = ("time_impact",)
+#: Free-text impact fields of an observation; those that a table lacks count as unknown.
+IMPACT_FIELDS = ("time_impact", "financial_impact", "revenue_impact", "error_impact", "delay_impact", "risk_impact")
 
 
 def flags(observations: DataFrame, workarounds: DataFrame, impacts: DataFrame, payments: DataFrame, spans: DataFrame) -> DataFrame:
@@ -27,7 +31,7 @@ def flags(observations: DataFrame, workarounds: DataFrame, impacts: DataFrame, p
         F.col("job_to_be_done").isNotNull().alias("has_job"),
         F.col("context").isNotNull().alias("has_context"),
         (F.col("current_workaround").isNotNull() | no("_w")).alias("has_workaround"),
-        (F.greatest(*(F.col(c).isNotNull() for c in (*IMPACT_FIELDS, *IMPACT_FIELDS))) | no("_i")).alias("has_impact"),
+        reduce(or_, (F.col(c).isNotNull() for c in IMPACT_FIELDS if c in observations.columns), no("_i")).alias("has_impact"),
         no("_q").alias("has_quantified"),
         (F.col("existing_spend").isNotNull() | F.col("paid_workaround").isNotNull() | no("_p")).alias("has_payment"),
         no("_e").alias("has_evidence"),
