@@ -8,6 +8,7 @@ the whole texts.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,6 +18,8 @@ import regex
 from pandas.util import hash_array
 
 SLICE_BYTES = 8 << 20
+#: The C library's function for it, where there is one.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 WORD = regex.compile(r"[\p{L}\p{M}\p{N}_]+")
 
@@ -27,6 +30,13 @@ def bounded_batches(spark, rows: int = 2000) -> None:
         spark.conf.set(f"spark.sql.execution.arrow.{key}", str(value))
 
 
+def give_back() -> None:
+    """Return freed memory to the system, so that workers that live long do not keep what one task needed."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def slices(batch: pa.RecordBatch, column: str | int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that the texts of a slice hold about ``most`` bytes."""
     if not batch.num_rows:
@@ -38,7 +48,7 @@ def slices(batch: pa.RecordBatch, column: str | int, most: int = SLICE_BYTES) ->
         floor = ends[start - 1] if start else 0
         stop = max(start + 1, int(np.searchsorted(ends, floor + most, side="right")))
         yield batch.slice(start, stop - start)
-        pa.default_memory_pool().release_unused()
+        give_back()
         start = stop
 
 

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .columnar import bounded_batches, gather_runs, hash_bound, offsets_of, slices, split_chunks, text_array
+from .columnar import bounded_batches, gather_runs, give_back, hash_bound, offsets_of, slices, split_chunks, text_array
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3, 4)
@@ -235,7 +235,10 @@ def train(training: DataFrame, *, text_col: str = "text", lang_col: str = "lang"
     sample = chosen.select("text", "lang", "h").mapInArrow(features, "h long, lang string, buckets array<int>, counts array<float>").toArrow().sort_by("h")
     buckets, counts = (sample[c].combine_chunks() for c in ("buckets", "counts"))
     lengths = np.diff(buckets.offsets.to_numpy()) if len(buckets) else np.zeros(0, np.int64)
-    return fit(buckets.flatten().to_numpy(), counts.flatten().to_numpy(), offsets_of(lengths), sample["lang"].to_pylist(), idf)
+    model = fit(buckets.flatten().to_numpy(), counts.flatten().to_numpy(), offsets_of(lengths), sample["lang"].to_pylist(), idf)
+    del sample, buckets, counts
+    give_back()
+    return model
 
 
 def with_language(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", out: str = "lang_pred", score: str = "lang_score") -> DataFrame:

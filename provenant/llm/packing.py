@@ -59,7 +59,7 @@ MARK = "\x01"
 #: How the vocabulary spells the end of a word, and the number of words tokenised at once.
 WORD_END, WORDS_AT_ONCE = "</w>", 200
 #: Words whose ids are kept between slices; the cache starts anew beyond this.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 
 
 class TokenRuns:

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .columnar import Expander, bounded_batches, chunk_words, hash_bound, hashed_words, offsets_of, shingles, slices, text_array, text_words
+from .columnar import Expander, bounded_batches, chunk_words, give_back, hash_bound, hashed_words, offsets_of, shingles, slices, text_array, text_words
 
 # The words that the grammar knows without labels.
 INSULTS = ("idiot", "idiots", "moron", "morons", "stupid", "dumb", "loser", "losers", "scum", "trash", "pathetic", "worthless", "disgusting", "clown", "clowns", "imbecile", "bastard", "coward", "pig", "vermin", "filth", "retard", "idiota", "imbécile", "connard", "salaud", "dummkopf", "arschloch", "trottel", "estúpido", "basura")
@@ -281,8 +281,14 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(words, pa.list_(pa.string())), pa.array(marks.tolist(), pa.list_(pa.int64()))], names=["toxic", "words", "marks"])
 
     rows = sample.mapInArrow(distinct_words, "toxic int, words array<string>, marks array<long>").toArrow()
-    examples = sorted(zip(rows["words"].to_pylist(), rows["marks"].to_pylist(), [bool(t) for t in rows["toxic"].to_pylist()], strict=True), key=lambda e: e[1])
+    lists = rows["words"].combine_chunks()
+    known = lists.flatten().dictionary_encode()
+    spelled, codes, ends = known.dictionary.to_pylist(), known.indices.to_numpy(), lists.offsets.to_numpy() if len(lists) else np.zeros(1, np.int32)
+    words = [[spelled[c] for c in codes[a:b]] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    examples = sorted(zip(words, rows["marks"].to_pylist(), [bool(t) for t in rows["toxic"].to_pylist()], strict=True), key=lambda e: e[1])
     lexicon = learn_lexicon(examples)
+    del rows, lists, known, spelled, codes, words, examples
+    give_back()
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = lexicon.expander()
