@@ -9,14 +9,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
+#: Used only where the session names no shared folder, as in tests on one machine.
+_own: str | None = None
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    global _own
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='provenant-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
+        _own = _own or f"file://{tempfile.mkdtemp(prefix='provenant-')}"
+        folder = _own
     return folder.rstrip("/")
 
 
