@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provenant.functions.predicates import POLICY_FIELDS, approved, iso_date, missing_policy_fields
@@ -81,7 +81,7 @@ def mismatched_signals(table: str) -> Callable[[Tables], DataFrame]:
     return check
 
 
-def not_fact(table: str, claim: str, key: str, where: Column | None = None) -> Callable[[Tables], DataFrame]:
+def not_fact(table: str, claim: str, key: str, where: str | None = None) -> Callable[[Tables], DataFrame]:
     """Rows whose claim is not a fact with evidence."""
 
     def check(t: Tables) -> DataFrame:
@@ -135,6 +135,17 @@ def invalid_ready_opportunities(t: Tables) -> DataFrame:
     return _keys(out.filter("_done is null or _typed is null or _claimed is null"))
 
 
+def lacking(rows: str, where: str | None, table: str, on: tuple[str, str], other: str | None = None, key: str = "id") -> Callable[[Tables], DataFrame]:
+    """Rows (that meet a condition) without a counterpart (that meets another) in a table."""
+
+    def check(t: Tables) -> DataFrame:
+        left = t[rows].filter(where) if where else t[rows]
+        right = t[table].filter(other) if other else t[table]
+        return _keys(left.join(right.select(F.col(on[1]).alias("_there")), F.col(on[0]) == F.col("_there"), "left_anti"), key)
+
+    return check
+
+
 #: Guards over committed state, by name.
 GUARDS: dict[str, Callable[[Tables], DataFrame]] = {
     "fact_requires_evidence": unsupported_facts,
@@ -143,12 +154,21 @@ GUARDS: dict[str, Callable[[Tables], DataFrame]] = {
     "workaround_evidence_matches": mismatched_signals("workarounds"),
     "impact_evidence_matches": mismatched_signals("impact_signals"),
     "payment_evidence_matches": mismatched_signals("payment_signals"),
-    "research_pass_fact": lambda t: not_fact("research_passes", "summary_claim_id", "case_id", (F.col("status") == "SATISFIED") & (F.col("outcome") == "EVIDENCE_FOUND"))(t),
+    "research_pass_fact": not_fact("research_passes", "summary_claim_id", "case_id", "status = 'SATISFIED' and outcome = 'EVIDENCE_FOUND'"),
     "research_pass_dach_assessment": pass_without("DACH_TRANSFER", "dach_assessments", outcome=False),
     "research_pass_competition_inventory": pass_without("COMPETITION", "competitors"),
     "research_pass_counter_evidence": pass_without("COUNTER_EVIDENCE", "counter_evidence"),
     "counter_evidence_fact": not_fact("counter_evidence", "factual_claim_id", "id"),
     "competitor_profile_fact": not_fact("competitors", "profile_claim_id", "id"),
+    "observation_revision_evidence_matches": mismatched_signals("observation_revisions"),
+    "case_stakeholder_fact": not_fact("case_stakeholders", "factual_claim_id", "case_id", "knowledge = 'KNOWN'"),
+    "competitor_evidence_fact": not_fact("competitor_evidence", "claim_id", "competitor_id"),
+    "competitor_complaint_fact": not_fact("competitor_complaints", "summary_claim_id", "id"),
+    "competitor_complaint_evidence_fact": not_fact("competitor_complaint_evidence", "claim_id", "complaint_id"),
+    "research_requirement_fact": not_fact("research_requirements", "satisfied_by_claim_id", "case_id", "status = 'SATISFIED'"),
+    "completed_case_keeps_dach_assessment": lacking("research_cases", "status = 'COMPLETE'", "dach_assessments", ("id", "case_id")),
+    "opportunity_from_complete_case": lacking("opportunities", None, "research_cases", ("case_id", "id"), "status = 'COMPLETE'"),
+    "saved_opportunity_ready": lacking("saved_opportunities", None, "opportunities", ("opportunity_id", "id"), "status = 'REPORT_READY'", "opportunity_id"),
     "research_case_completion": incomplete_cases,
     "opportunity_report_ready": invalid_ready_opportunities,
 }
@@ -180,8 +200,51 @@ def integrity_audit(t: Tables) -> DataFrame:
     return rows.groupBy().pivot("measure", list(counted)).agg(F.first("n"))
 
 
+#: Row rules by table and name: SQL that must not be false.
+CHECKS = {
+    "impact_signals": {"impact_quantified": "quantified = (value is not null and unit is not null)"},
+    "payment_signals": {"payment_amount": "(amount is null) = (currency is null)"},
+    "evidence_spans": {"span_order": "start_offset >= 0 and end_offset > start_offset"},
+    "case_stakeholders": {"stakeholder_known": "(knowledge = 'KNOWN') = (party is not null and factual_claim_id is not null)"},
+    "research_passes": {"pass_outcome": "status <> 'SATISFIED' or (outcome = 'EVIDENCE_FOUND') = (summary_claim_id is not null)"},
+    "claims": {"claim_kind": "claim_kind in ('FACT', 'ANALYSIS', 'HYPOTHESIS')", "claim_text": "length(trim(text)) > 0"},
+    "problem_observations": {"evidence_scope": "evidence_scope in ('GLOBAL', 'DACH')", "problem_not_blank": "length(trim(problem)) > 0"},
+    "sources": {"lifecycle": "lifecycle in ('CANDIDATE', 'EXPLORATION', 'CORE', 'LOW_VALUE', 'EXCLUDED')"},
+}
+#: References between tables: (table, column, table, column).
+REFERENCES = (
+    ("source_items", "source_id", "sources", "id"), ("problem_observations", "source_item_id", "source_items", "id"), ("problem_observations", "pipeline_run_id", "pipeline_runs", "id"), ("evidence_spans", "source_item_id", "source_items", "id"),
+    ("workarounds", "observation_id", "problem_observations", "id"), ("impact_signals", "observation_id", "problem_observations", "id"), ("payment_signals", "observation_id", "problem_observations", "id"), ("claim_evidence", "claim_id", "claims", "id"),
+    ("claim_evidence", "evidence_span_id", "evidence_spans", "id"), ("cluster_members", "observation_id", "problem_observations", "id"), ("research_passes", "case_id", "research_cases", "id"), ("opportunities", "case_id", "research_cases", "id"),
+    ("acquisition_records", "discovery_id", "discovery_records", "id"), ("acquisition_records", "source_item_id", "source_items", "id"), ("competitors", "case_id", "research_cases", "id"),
+)
+
+
+def check_violations(t: Tables) -> DataFrame:
+    """Rows that break a row rule, counted by table and rule."""
+    found = [t[table].agg(F.count_if(F.expr(f"not ({rule})")).alias("violations")).select(F.lit(table).alias("table_name"), F.lit(name).alias("rule"), "violations") for table, rules in CHECKS.items() if table in t for name, rule in rules.items()]
+    return reduce(DataFrame.unionByName, found)
+
+
+def reference_violations(t: Tables) -> DataFrame:
+    """Rows whose reference meets nothing, counted by table and column."""
+    found = []
+    for table, column, other, key in REFERENCES:
+        if table in t and other in t:
+            lost = t[table].filter(F.col(column).isNotNull()).join(t[other].select(F.col(key).alias("_there")), F.col(column) == F.col("_there"), "left_anti")
+            found.append(lost.agg(F.count("*").alias("violations")).select(F.lit(table).alias("table_name"), F.lit(column).alias("column_name"), "violations"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def downgraded_facts(before: DataFrame, after: DataFrame, requirements: DataFrame) -> DataFrame:
+    """Claims that were facts, are none now, and satisfy a requirement."""
+    was = before.filter("claim_kind = 'FACT'").select("id")
+    now = after.filter("claim_kind <> 'FACT'").join(was, "id", "left_semi")
+    return now.join(requirements.filter("status = 'SATISFIED'").select(F.col("satisfied_by_claim_id").alias("id")), "id", "left_semi").select("id")
+
+
 #: Legal moves of case and opportunity states.
-CASE_MOVES = {("OPEN", "INVESTIGATING"), ("INVESTIGATING", "REVIEW"), ("REVIEW", "COMPLETE"), ("REVIEW", "INVESTIGATING"), ("OPEN", "REJECTED"), ("INVESTIGATING", "REJECTED"), ("REVIEW", "REJECTED")}
+CASE_MOVES = {("OPEN", "INVESTIGATING"), ("INVESTIGATING", "REVIEW"), ("REVIEW", "INVESTIGATING"), ("REVIEW", "COMPLETE"), ("OPEN", "REJECTED"), ("INVESTIGATING", "REJECTED"), ("REVIEW", "REJECTED")}
 OPPORTUNITY_MOVES = {("DRAFT", "REPORT_READY")}
 
 

@@ -289,3 +289,17 @@ def funnel(items: DataFrame, screened: DataFrame, observations: DataFrame, stron
     """Counts of each stage, one row."""
     parts = [items.agg(F.count("*").alias("items")), screened.agg(F.count("*").alias("screened")), observations.agg(F.count("*").alias("observations"), F.count_if(strong).alias("strong"))]
     return parts[0].crossJoin(F.broadcast(parts[1])).crossJoin(F.broadcast(parts[2]))  # three single rows
+
+
+def finish_runs(runs: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Runs with their results (``id, status, output_count``), and results of runs that are not running."""
+    new = results.select(F.col("id").alias("_r"), F.col("status").alias("_s"), F.col("output_count").alias("_o"))
+    refused = results.join(runs.filter("status = 'RUNNING'").select("id"), "id", "left_anti").select("id")
+    ends = (F.col("status") == "RUNNING") & F.col("_r").isNotNull()
+    out = runs.join(new, F.col("id") == F.col("_r"), "left")
+    return out.withColumns({"output_count": F.when(ends, F.col("_o")).otherwise(F.col("output_count")), "status": F.when(ends, F.col("_s")).otherwise(F.col("status"))}).select(*runs.columns), refused
+
+
+def replace_snapshot(current: DataFrame, rows: DataFrame, key: str, value: str) -> DataFrame:
+    """A versioned table in which one version is replaced as a whole."""
+    return current.filter(F.col(key) != value).unionByName(rows.withColumn(key, F.lit(value)).select(*current.columns))

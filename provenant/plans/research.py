@@ -441,7 +441,7 @@ registry.add(
     "SELECT count(*) AS source_count, count_if(complete) AS complete_policy_count, count_if(production_ready) AS production_ready_count, count_if(evidence_span_count > 0) AS evidence_source_count, count_if(evidence_span_count > 0 AND production_ready) AS display_ready_evidence_source_count, count_if(NOT complete) AS violations FROM decided",
 )
 
-AUDIT_TABLES = ("sources", "source_items", "problem_observations", "evidence_spans", "workarounds", "impact_signals", "payment_signals", "claims", "claim_evidence", "cluster_members", "research_cases", "research_passes", "research_unknowns", "validation_questions", "dach_assessments", "competitors", "counter_evidence", "opportunities", "opportunity_types", "opportunity_claims")
+AUDIT_TABLES = ("sources", "source_items", "problem_observations", "evidence_spans", "workarounds", "impact_signals", "payment_signals", "claims", "claim_evidence", "cluster_members", "research_cases", "research_passes", "research_unknowns", "validation_questions", "dach_assessments", "competitors", "counter_evidence", "opportunities", "opportunity_types", "opportunity_claims", "observation_revisions", "case_stakeholders", "competitor_evidence", "competitor_complaints", "competitor_complaint_evidence", "research_requirements", "saved_opportunities")
 BROKEN = """
 facts AS (SELECT c.id FROM claims c WHERE c.claim_kind = 'FACT' AND EXISTS (SELECT 1 FROM claim_evidence e WHERE e.claim_id = c.id)
 ), b_facts AS (SELECT id FROM claims WHERE claim_kind = 'FACT' AND id NOT IN (SELECT claim_id FROM claim_evidence)
@@ -458,6 +458,15 @@ facts AS (SELECT c.id FROM claims c WHERE c.claim_kind = 'FACT' AND EXISTS (SELE
 ), b_counter AS (SELECT case_id FROM research_passes WHERE pass_type = 'COUNTER_EVIDENCE' AND status = 'SATISFIED' AND outcome = 'EVIDENCE_FOUND' AND case_id NOT IN (SELECT case_id FROM counter_evidence)
 ), b_cfact AS (SELECT id FROM counter_evidence WHERE factual_claim_id NOT IN (SELECT id FROM facts)
 ), b_profile AS (SELECT id FROM competitors WHERE profile_claim_id NOT IN (SELECT id FROM facts)
+), b_revision AS (SELECT w.id FROM observation_revisions w LEFT JOIN evidence_spans e ON e.id = w.evidence_span_id WHERE e.observation_id IS DISTINCT FROM w.observation_id
+), b_stake AS (SELECT case_id FROM case_stakeholders WHERE knowledge = 'KNOWN' AND (factual_claim_id IS NULL OR factual_claim_id NOT IN (SELECT id FROM facts))
+), b_cev AS (SELECT competitor_id FROM competitor_evidence WHERE claim_id NOT IN (SELECT id FROM facts)
+), b_compl AS (SELECT id FROM competitor_complaints WHERE summary_claim_id NOT IN (SELECT id FROM facts)
+), b_complev AS (SELECT complaint_id FROM competitor_complaint_evidence WHERE claim_id NOT IN (SELECT id FROM facts)
+), b_req AS (SELECT case_id FROM research_requirements WHERE status = 'SATISFIED' AND (satisfied_by_claim_id IS NULL OR satisfied_by_claim_id NOT IN (SELECT id FROM facts))
+), b_keep AS (SELECT id FROM research_cases WHERE status = 'COMPLETE' AND id NOT IN (SELECT case_id FROM dach_assessments)
+), b_from AS (SELECT id FROM opportunities WHERE case_id NOT IN (SELECT id FROM research_cases WHERE status = 'COMPLETE')
+), b_saved AS (SELECT opportunity_id FROM saved_opportunities WHERE opportunity_id NOT IN (SELECT id FROM opportunities WHERE status = 'REPORT_READY')
 ), b_case AS (SELECT c.id FROM research_cases c WHERE c.status = 'COMPLETE' AND (
     (SELECT count(*) FROM research_passes p WHERE p.case_id = c.id AND p.status = 'SATISFIED') <> 4 OR c.id NOT IN (SELECT case_id FROM research_unknowns) OR c.id NOT IN (SELECT case_id FROM validation_questions) OR c.id NOT IN (SELECT case_id FROM dach_assessments)
     OR NOT EXISTS (SELECT 1 FROM cluster_members m JOIN problem_observations o ON o.id = m.observation_id JOIN evidence_spans e ON e.observation_id = o.id WHERE m.cluster_id = c.cluster_id AND length(trim(coalesce(o.actor, ''))) > 0 AND length(trim(coalesce(o.job_to_be_done, ''))) > 0 AND length(trim(coalesce(o.context, ''))) > 0)
@@ -467,7 +476,7 @@ facts AS (SELECT c.id FROM claims c WHERE c.claim_kind = 'FACT' AND EXISTS (SELE
 ), b_ready AS (SELECT o.id FROM opportunities o LEFT JOIN research_cases c ON c.id = o.case_id WHERE o.status = 'REPORT_READY' AND (c.status IS NULL OR c.status <> 'COMPLETE' OR o.id NOT IN (SELECT opportunity_id FROM opportunity_types)
     OR o.id NOT IN (SELECT oc.opportunity_id FROM opportunity_claims oc WHERE oc.claim_role = 'PROBLEM' AND oc.claim_id IN (SELECT id FROM facts)))
 )"""
-_GUARD_CTES = {"fact_requires_evidence": "b_facts", "claim_evidence_observation_matches": "b_links", "evidence_span_valid": "b_spans", "workaround_evidence_matches": "b_work", "impact_evidence_matches": "b_impact", "payment_evidence_matches": "b_pay", "research_pass_fact": "b_pass", "research_pass_dach_assessment": "b_dach", "research_pass_competition_inventory": "b_comp", "research_pass_counter_evidence": "b_counter", "counter_evidence_fact": "b_cfact", "competitor_profile_fact": "b_profile", "research_case_completion": "b_case", "opportunity_report_ready": "b_ready"}
+_GUARD_CTES = {"fact_requires_evidence": "b_facts", "claim_evidence_observation_matches": "b_links", "evidence_span_valid": "b_spans", "workaround_evidence_matches": "b_work", "impact_evidence_matches": "b_impact", "payment_evidence_matches": "b_pay", "research_pass_fact": "b_pass", "research_pass_dach_assessment": "b_dach", "research_pass_competition_inventory": "b_comp", "research_pass_counter_evidence": "b_counter", "counter_evidence_fact": "b_cfact", "competitor_profile_fact": "b_profile", "observation_revision_evidence_matches": "b_revision", "case_stakeholder_fact": "b_stake", "competitor_evidence_fact": "b_cev", "competitor_complaint_fact": "b_compl", "competitor_complaint_evidence_fact": "b_complev", "research_requirement_fact": "b_req", "completed_case_keeps_dach_assessment": "b_keep", "opportunity_from_complete_case": "b_from", "saved_opportunity_ready": "b_saved", "research_case_completion": "b_case", "opportunity_report_ready": "b_ready"}
 
 
 def audit_tables(d: Domain) -> audits.Tables:
@@ -482,3 +491,14 @@ registry.add(
     (SELECT count(*) FROM research_cases WHERE status = 'COMPLETE') AS complete_research_cases, (SELECT count(*) FROM b_case) AS invalid_complete_research_cases,
     (SELECT count(*) FROM opportunities WHERE status = 'REPORT_READY') AS report_ready_opportunities, (SELECT count(*) FROM b_ready) AS invalid_report_ready_opportunities""",
 )
+
+CHECK_TABLES = tuple(audits.CHECKS)
+registry.add(
+    "check_violations", lambda d: audits.check_violations({n: d.table(n) for n in CHECK_TABLES}), CHECK_TABLES, "",
+    " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{n}' AS rule, count_if(NOT ({r})) AS violations FROM {t}" for t, rules in audits.CHECKS.items() for n, r in rules.items()),
+)
+REFERENCE_TABLES = tuple(dict.fromkeys(n for r in audits.REFERENCES for n in (r[0], r[2])))
+registry.add(
+    "reference_violations", lambda d: audits.reference_violations({n: d.table(n) for n in REFERENCE_TABLES}), REFERENCE_TABLES, "",
+    " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) AS violations FROM {t} WHERE {c} IS NOT NULL AND {c} NOT IN (SELECT {k} FROM {o})" for t, c, o, k in audits.REFERENCES),
+)
