@@ -22,7 +22,7 @@ from .columnar import bounded_batches, gather_runs, give_back, hash_bound, offse
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3, 4)
-#: Bound of the labelled sample that the weights are fitted on; idf is counted over all training rows.
+#: Distinct texts of the labelled sample that the weights are fitted on; idf is counted over all training rows.
 LABELLED_ROWS = 3000
 UNKNOWN = "und"
 #: Text that is worked on at once; its n-grams take some thirty times as much.
@@ -216,8 +216,39 @@ def document_frequencies(texts: DataFrame, buckets: int = BUCKETS) -> tuple[np.n
     return out[:buckets], int(out[buckets])
 
 
+def shares(available: dict[str, int], most: int) -> dict[str, int]:
+    """How many texts each language gives: alike for all, and what a small one lacks goes to the others; one at least."""
+    out, left = {}, most
+    for i, lang in enumerate(sorted(available, key=lambda k: (available[k], k))):
+        out[lang] = min(available[lang], max(1, left // (len(available) - i)))
+        left -= out[lang]
+    return out
+
+
+def labelled_hashes(rows: DataFrame, most: int) -> DataFrame:
+    """``h, lang``: about ``most`` distinct texts (by column ``h``) of the table, spread over its languages by :func:`shares`.
+
+    A text of several languages counts for the least of them.  Each language's bound
+    comes from its own distinct texts and is raised until its share is full.
+    """
+    spark = rows.sparkSession
+    distinct = rows.groupBy("h").agg(F.min("lang").alias("lang"))
+    available = {r["lang"]: r["count"] for r in distinct.groupBy("lang").count().collect()}  # one row a language
+    wanted, found, factor = shares(available, most), {lang: [] for lang in available}, 1
+    open_ = list(available)
+    while open_:
+        bounds = spark.createDataFrame([(lang, hash_bound(factor * wanted[lang], available[lang])) for lang in open_], "lang string, bound long")
+        highest = max(hash_bound(factor * wanted[lang], available[lang]) for lang in open_)
+        got = rows.filter(F.col("h") <= F.lit(highest)).groupBy("h").agg(F.min("lang").alias("lang")).join(F.broadcast(bounds), "lang").filter("h <= bound").select("lang", "h").collect()  # some more than the shares
+        for lang in open_:
+            found[lang] = sorted(r["h"] for r in got if r["lang"] == lang)[: wanted[lang]]
+        open_ = [lang for lang in open_ if len(found[lang]) < wanted[lang]]
+        factor *= 2
+    return spark.createDataFrame([(h, lang) for lang, hs in found.items() for h in hs], "h long, lang string")
+
+
 def train(training: DataFrame, *, text_col: str = "text", lang_col: str = "lang", labelled_rows: int = LABELLED_ROWS) -> LanguageModel:
-    """Train on the rows with a text and a language; ``labelled_rows`` bounds the rows the weights see."""
+    """Train on the rows with a text and a language; ``labelled_rows`` distinct texts, dealt out evenly to the languages, fit the weights."""
     bounded_batches(training.sparkSession)
     rows = training.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("text is not null and lang is not null")
     frequency, number = document_frequencies(rows.select("text"))
@@ -229,9 +260,9 @@ def train(training: DataFrame, *, text_col: str = "text", lang_col: str = "lang"
                 counts = document_counts(text_array(part.column(0)))
                 yield pa.RecordBatch.from_arrays([part.column(2), part.column(1), pa.array([b.astype(np.int32) for b, _ in counts], pa.list_(pa.int32())), pa.array([c.astype(np.float32) for _, c in counts], pa.list_(pa.float32()))], names=["h", "lang", "buckets", "counts"])
 
-    hashed = rows.withColumn("h", F.xxhash64("text", F.lit(11))).filter(F.col("h") <= F.lit(hash_bound(labelled_rows, number)))
-    last = hashed.select("h").distinct().orderBy("h").limit(labelled_rows).agg(F.max("h")).first()[0]
-    chosen = hashed.filter(F.col("h") <= F.lit(last).cast("long")).groupBy("h").agg(F.first("text").alias("text"), F.min("lang").alias("lang"))  # labelled_rows distinct texts
+    hashed = rows.withColumn("h", F.xxhash64("text", F.lit(11)))
+    picked = labelled_hashes(hashed.select("h", "lang"), labelled_rows)
+    chosen = hashed.select("h", "text").join(F.broadcast(picked), "h").groupBy("h").agg(F.first("text").alias("text"), F.first("lang").alias("lang"))  # labelled_rows distinct texts
     sample = chosen.select("text", "lang", "h").mapInArrow(features, "h long, lang string, buckets array<int>, counts array<float>").toArrow().sort_by("h")
     buckets, counts = (sample[c].combine_chunks() for c in ("buckets", "counts"))
     lengths = np.diff(buckets.offsets.to_numpy()) if len(buckets) else np.zeros(0, np.int64)

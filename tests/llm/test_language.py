@@ -79,3 +79,26 @@ def test_empty_tables(spark):
     model = language.train(awkward(spark).limit(0))
     assert {r["lang_pred"] for r in language.with_language(awkward(spark), model).collect()} == {"und"}
     assert language.with_language(awkward(spark).limit(0), model).count() == 0
+
+
+def test_shares_are_even_and_used_up():
+    assert language.shares({"a": 5, "b": 1000, "c": 1000}, 100) == {"a": 5, "b": 47, "c": 48}
+    assert language.shares({"a": 5, "b": 6}, 100) == {"a": 5, "b": 6}
+    assert language.shares({}, 100) == {}
+
+
+def test_sample_is_full_for_copies_and_rare_languages(spark):
+    common = spark.range(60_000).select(F.concat(F.lit("text number "), F.col("id") % 500).alias("text"), F.when(F.col("id") % 500 % 2 == 0, "en").otherwise("de").alias("lang"))
+    rare = spark.range(12).select(F.concat(F.lit("palabra "), "id").alias("text"), F.lit("es").alias("lang"))
+    rows = common.unionByName(rare).withColumn("h", F.xxhash64("text", F.lit(11)))
+    got = Counter(r["lang"] for r in language.labelled_hashes(rows, 300).collect())
+    assert got == {"es": 12, "en": 144, "de": 144}
+    assert Counter(r["lang"] for r in language.labelled_hashes(rows, 3000).collect()) == {"es": 12, "en": 250, "de": 250}
+
+
+def test_a_rare_language_of_a_large_table_is_learned(spark):
+    common = spark.range(20_000).select(F.concat(F.lit("the house and the street "), "id").alias("text"), F.lit("en").alias("lang"))
+    rare = spark.range(5).select(F.concat(F.lit("żółw łąka źdźbło "), "id").alias("text"), F.lit("pl").alias("lang"))
+    model = language.train(common.unionByName(rare), labelled_rows=100)
+    assert model.labels == ["en", "pl"]
+    assert model.predict(pa.array(["źdźbło i żółw", "the street and the house"]))[0] == ["pl", "en"]
