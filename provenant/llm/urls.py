@@ -88,19 +88,25 @@ def lexical_features(urls: Sequence[str], hosts: Sequence[str], paths: Sequence[
 class BoostedTrees:
     """Gradient boosting of depth-bounded regression trees for the logistic loss, on binned features."""
 
+    #: Bounds of the share of blocked rows that the bias comes from.
+    SHARE = (1e-3, 1 - 1e-3)
+
     def __init__(self, trees: int = 40, depth: int = 4, rate: float = 0.2, bins: int = 32, least: float = 5.0, ridge: float = 1.0) -> None:
         self.trees, self.depth, self.rate, self.bins, self.least, self.ridge = trees, depth, rate, bins, least, ridge
         self.grown: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.edges: list[np.ndarray] = []
-        self.bias = 0.0
+        self.bias = self._bias(0.0)  # of trees without examples: none is blocked
+
+    def _bias(self, share: float) -> float:
+        mean = float(np.clip(share, *self.SHARE))
+        return float(np.log(mean / (1 - mean)))
 
     def _binned(self, x: np.ndarray) -> np.ndarray:
-        return np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(self.edges)], axis=1) if len(x) else np.zeros((0, len(self.edges)), dtype=np.int64)
+        return np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(self.edges)], axis=1) if len(x) and self.edges else np.zeros((len(x), len(self.edges)), dtype=np.int64)
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> BoostedTrees:
         self.edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, self.bins + 1)[1:-1])) for j in range(x.shape[1])]
-        mean = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
-        self.bias = float(np.log(mean / (1 - mean)))
+        self.bias = self._bias(y.mean())
         binned, margin = self._binned(x), np.full(len(y), self.bias)
         for _ in range(self.trees):
             p = 1 / (1 + np.exp(-margin))
@@ -185,9 +191,10 @@ def judge_urls(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url
 
     A rule's verdict wins (``rule`` names it); other URLs get ``block`` where the
     trees' score reaches ``threshold``.  ``labels`` (``url, host, path, blocked``)
-    defaults to the table's own URLs labelled by their host's words, at most
-    ``labelled_rows`` of them in the order of a hash.  A null URL, or one without
-    ``://``, has an empty host and path and is judged by the trees; repeated rows
+    defaults to the table's own URLs labelled by their host's words,
+    ``labelled_rows`` distinct ones in the order of a hash, or all if there are
+    fewer.  A null URL, or one without ``://``, has an empty host and path and is
+    judged by the trees; without any labelled URL those allow all.  Repeated rows
     get equal rows; an empty table gives none; other columns are ignored.
     """
     url = F.col("url")
@@ -195,8 +202,11 @@ def judge_urls(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url")).select("page_id", "url", host.alias("host"), path.alias("path"))
     source = labels if labels is not None else labelled(rows)
     hashed = source.select("url", "host", "path", "blocked", F.xxhash64("url").alias("h")).filter("url is not null")
-    bound = hash_bound(labelled_rows, hashed.count())
-    sample = hashed.filter(F.col("h") <= F.lit(bound)).dropDuplicates(["url"]).orderBy("h", "url").limit(labelled_rows).toPandas()
+    number, factor, sample = hashed.select("h").distinct().count(), 1, None
+    while sample is None or len(sample) < min(labelled_rows, number):
+        near = hashed.filter(F.col("h") <= F.lit(hash_bound(factor * labelled_rows, number)))
+        sample = near.dropDuplicates(["url"]).orderBy("h", "url").limit(labelled_rows).toPandas()
+        factor *= 2
     model = train(sample["url"].tolist(), sample["host"].tolist(), sample["path"].tolist(), sample["blocked"].tolist())
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

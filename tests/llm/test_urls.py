@@ -2,6 +2,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from provenant.llm import queries, urls
 
@@ -57,3 +58,20 @@ def test_accuracy_on_held_out_urls():
     u, h, p, y = [u for u, _ in rows], [m[1] for _, m in parts], [m[2] for _, m in parts], [int(v) for _, v in rows]
     model = urls.train(u[:120], h[:120], p[:120], y[:120])
     assert ((model.blocked(u[120:], h[120:], p[120:]) > 0.5) == np.array(y[120:])).mean() > 0.95
+
+
+def test_only_null_urls_are_allowed(spark):
+    df = spark.createDataFrame([(1, None), (2, None)], "page_id long, url string")
+    got = urls.judge_urls(df).collect()
+    assert {(r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in got} == {(1, "", "", None, "allow"), (2, "", "", None, "allow")}
+
+
+def test_repeated_urls_leave_the_sample_full(spark, monkeypatch):
+    pages = spark.range(20_000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://"), F.when(F.col("id") % 2 == 0, "spam").otherwise("good"), F.lit(".example.com/"), F.col("id") % 40).alias("url"))
+    seen, train = [], urls.train
+    monkeypatch.setattr(urls, "train", lambda u, *rest: seen.append(u) or train(u, *rest))
+    for most, found in ((30, 30), (100, 40)):
+        assert urls.judge_urls(pages, labelled_rows=most).count() == 20_000
+        assert len(set(seen[-1])) == len(seen[-1]) == found
+    few = pages.withColumn("url", F.concat(F.lit("http://spam.example.com/"), F.col("page_id") % 3))
+    assert {r["verdict"] for r in urls.judge_urls(few, labelled_rows=10).select("verdict").distinct().collect()} == {"block"}
