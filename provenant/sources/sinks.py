@@ -29,12 +29,11 @@ def cell(value: object) -> str:
     return str(value).replace("|", "\\|").replace("\n", " ")
 
 
-def markdown_table(rows: DataFrame, most: int = 1000) -> str:
-    """A small ordered result as a Markdown table; a report never holds more than ``most`` rows."""
-    found = rows.limit(most).collect()
+def markdown_table(rows: DataFrame) -> str:
+    """An ordered result as a Markdown table with every row, fetched a partition at a time."""
     head = "| " + " | ".join(rows.columns) + " |"
     rule = "|" + "---|" * len(rows.columns)
-    return "\n".join([head, rule, *("| " + " | ".join(cell(v) for v in r) + " |" for r in found)]) + "\n"
+    return "\n".join([head, rule, *("| " + " | ".join(cell(v) for v in r) + " |" for r in rows.toLocalIterator())]) + "\n"
 
 
 def report(title: str, sections: dict[str, DataFrame]) -> str:
@@ -43,8 +42,8 @@ def report(title: str, sections: dict[str, DataFrame]) -> str:
 
 
 def status_table(rows: DataFrame) -> str:
-    """Padded columns for a terminal."""
-    found = [rows.columns, *([cell(v) for v in r] for r in rows.limit(200).collect())]
+    """Padded columns of every row for a terminal."""
+    found = [rows.columns, *([cell(v) for v in r] for r in rows.toLocalIterator())]
     widths = [max(len(r[i]) for r in found) for i in range(len(rows.columns))]
     return "\n".join("  ".join(v.ljust(w) for v, w in zip(r, widths, strict=True)).rstrip() for r in found) + "\n"
 

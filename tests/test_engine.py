@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from provenant.operators import audits, evaluation, lifecycle, metrics, planning
-from provenant.sources import readers, sinks
+from provenant.sources import readers, reports, sinks
 from provenant.sources.store import SnapshotStore
 from provenant.streaming import ingest
 
@@ -192,3 +192,11 @@ def test_reports(spark, tmp_path):
     assert readers.read_csv(spark, str(tmp_path / "r"), reports.REVIEW_COLUMNS).count() == 1
     assert reports.next_sources(["a", "b", "c"], reports.load_state('{"a": "COMPLETE", "b": "FAILED"}')) == ["b", "c"]
     assert reports.load_state("broken") == {}
+
+
+def test_report_tables_hold_every_row(spark):
+    df = spark.range(1500).select("id", F.lit("CORE").alias("strict_relevance"), F.col("id").alias("ordering"))
+    assert len(reports.plan_markdown(df).splitlines()) == 2 + 2 + 1500
+    assert [int(x.split()[0]) for x in sinks.status_table(df.orderBy("id")).splitlines()[1:]] == list(range(1500))
+    board = reports.radar_board(spark.createDataFrame([("b", 1)], "bucket string, products long"), df.select(F.lit("2026-01-01").alias("seen_date"), F.format_string("p%04d", "id").alias("name")))
+    assert [x.split()[3] for x in board.splitlines() if "2026" in x] == [f"p{i:04d}" for i in range(120)]
