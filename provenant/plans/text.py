@@ -57,8 +57,8 @@ def numeric_grounding(d: Domain) -> DataFrame:
 
 @registry.query((), "", None)
 def identifier_nfkc(d: Domain) -> DataFrame:
-    """Normalised identifiers of all texts' sources and heads."""
-    return d.documents.select("doc_id", text.normalize_identifier(F.concat(F.col("source"), F.lit("  Ⅳ "), F.substring("text", 1, 30))).alias("identifier"))
+    """Normalised identifiers of all sources and whole texts."""
+    return d.documents.select("doc_id", text.normalize_identifier(F.concat(F.col("source"), F.lit("  Ⅳ "), F.col("text"))).alias("identifier"))
 
 
 @registry.query((), "", None)

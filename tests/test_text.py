@@ -79,3 +79,14 @@ def test_small_functions(spark):
     assert column(spark, ["<p>a &amp; <b>b</b></p><script>x</script>"], text.html_text) == ["a & b"]
     assert column(spark, ["10 EUR and 2,5"], lambda c: text.numbers_grounded(c, F.lit("10 or 2,5"))) == [True]
     assert urlsplit(column(spark, ["http://A.b?x=1"], text.normalize_url)[0]).netloc == "a.b"
+
+
+def test_identifiers_hold_the_whole_text(spark, sf_dir):
+    from provenant.plans.text import registry
+
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = {r["doc_id"]: r["identifier"] for r in registry.queries()["identifier_nfkc"](spark, sf_dir).collect()}
+    assert got.keys() == docs.keys()
+    some = [d for d in docs.values() if d["source"] is not None and d["text"] is not None and len(d["text"]) > 100][:20]
+    want = column(spark, [f"{d['source']}  Ⅳ {d['text']}" for d in some], text.normalize_identifier)
+    assert some and [got[d["doc_id"]] for d in some] == want
