@@ -60,3 +60,10 @@ def gates(measured: DataFrame, minima: dict[str, float]) -> DataFrame:
     values = measured.select(F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in known))).alias("m")).select("m.*")
     asked = measured.sparkSession.createDataFrame(list(minima.items()), "metric string, minimum double")
     return asked.join(values, "metric", "left").withColumn("passed", F.coalesce(F.col("value") >= F.col("minimum"), F.lit(False)))
+
+
+def review_sample(outcomes: DataFrame, positives: int = 30, negatives: int = 25) -> DataFrame:
+    """The first observations by ``ordering``, then negatives in the order of the SHA-256 of their external id (of the item's, if that is unknown)."""
+    key = F.sha2(F.coalesce(F.col("external_id"), F.col("source_item_id").cast("string")), 256)
+    found = outcomes.filter("status = 'OBSERVATION'").orderBy("ordering").limit(positives)
+    return found.unionByName(outcomes.filter("status = 'NO_PAIN'").orderBy(key, "ordering").limit(negatives))

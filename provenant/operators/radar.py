@@ -5,7 +5,59 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Topic buckets: name and the pattern that a lower-cased text must hold.
+#: Fields of products: name and the pattern that a lower-cased text must hold.
+LEXICON = {
+    "property/ho-admin": r"propert|landlord|tenant|rent|lease|inventar|immobil|housing|maintenance ticket",
+    "restaurant-pos": r"restaurant|pos\b|point of sale|menu|table reservation|food service|kds\b|hospitality",
+    "field-service": r"field service|plumber|trade|schedule|dispatch|invoice|job site|craftsman|contractor",
+    "logistics-freight": r"freight|truck|broker|dispatch|load|carrier|logistic|tms\b",
+    "bookkeeping-finance": r"bookkeep|accounting|invoic|financ|expense|tax|quickbooks|xero",
+    "sales-crm": r"\bcrm\b|sales|lead|outreach|pipeline|prospect|deal",
+    "phone-ai": r"answering|phone|call|ivr|voice agent|receptionist|missed call",
+    "marketing-ads": r"marketing|ads\b|advertis|campaign|targeting|seo|social media",
+    "construction": r"construct|builder|estimate|bid|blueprint|concrete|roof",
+}
+
+#: Validated pains: name and the pattern of texts of products built for them.
+PAIN_SEEDS = {
+    "asset_inventory_small_pm": r"propert|landlord|tenant|inventar|asset track",
+    "pos_ads_blocking": r"restaurant|pos\b|point of sale|kds\b",
+    "vendor_lockin_exit": r"cancel|subscription manage|contract|lock-?in|offboarding",
+    "phone_order_ai": r"answering|phone agent|voice ai|missed call|receptionist",
+    "freight_broker_trust": r"freight|broker|carrier|load board|tms\b",
+    "qb_migration": r"quickbooks|migrat|accounting",
+    "pdf_to_data": r"\bocr\b|document extract|pdf to|data extract",
+    "lead_followup_broken": r"lead|follow-?up|\bcrm\b|outreach",
+    "menu_builder": r"menu|digital menu|qr code|restaurant website",
+    "sales_forecast_why": r"sales|forecast|revenue|pipeline|deal analy",
+    "impersonation_fraud": r"fraud|impersonat|phish|verify|authenticat",
+    "gmb_phone_spam": r"google business|review|reputation|local seo",
+}
+
+#: Names of the niches of communities, by the community in lower case.
+NICHES = {
+    "sweatystartup": "Kleingewerbe / Solo-Selbständige",
+    "smallbusiness": "Kleingewerbe / Solo-Selbständige",
+    "entrepreneur": "Gründer allgemein",
+    "msp": "IT-Dienstleister (MSP)",
+    "sysadmin": "IT-Administration",
+    "propertymanagement": "Immobilienverwaltung",
+    "commercialev": "Gewerbe-Immobilien",
+    "logistics": "Logistik & Spedition",
+    "freightbrokers": "Frachtenvermittlung / Logistik",
+    "bookkeeping": "Buchhaltung",
+    "quickbooks": "Buchhaltung",
+    "accounting": "Buchhaltung / Steuer",
+    "restaurants": "Gastronomie",
+    "restaurantowners": "Gastronomie",
+    "sales": "Vertrieb / Sales",
+    "plumbing": "Handwerk (Sanitär)",
+    "hvac": "Handwerk (HLK)",
+    "construction": "Bau / Handwerk",
+    "agency": "Agenturen",
+    "pos": "Kassensysteme",
+}
+#: Buckets that the registered queries count over the given tables.
 BUCKETS = {"invoice": "invoice|bill", "report": "report|dashboard", "thing": "th(ing|ese)", "street": "stra(ss|ß)e|heit", "people": "que|llo", "junk": "%%%|&&&", "insult": "idiot|clown|moron"}
 
 
@@ -15,5 +67,24 @@ def tags(text: Column, buckets: dict[str, str]) -> Column:
     return F.array_compact(F.array(*(F.when(lower.rlike(p), F.lit(n)) for n, p in buckets.items())))
 
 
+def classified(products: DataFrame) -> DataFrame:
+    """Products with ``buckets`` and ``pain_hits`` of their name and tagline."""
+    text = F.concat_ws(" ", "name", F.coalesce("tagline", F.lit("")))
+    whole = [{n: f"(?U){p}" for n, p in patterns.items()} for patterns in (LEXICON, PAIN_SEEDS)]  # word ends as in Unicode
+    return products.withColumns({"buckets": tags(text, whole[0]), "pain_hits": tags(text, whole[1])})
+
+
+def community(url: Column) -> Column:
+    """The community that a URL names after ``/r/``."""
+    found = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?U)/r/(\w+)", 1)
+    return F.when(found == "", F.lit("unbekannt")).otherwise(found)
+
+
+def niche(url: Column) -> Column:
+    """The niche of a URL's community, or the community itself."""
+    known = F.create_map(*(F.lit(x) for pair in NICHES.items() for x in pair))
+    return F.coalesce(F.try_element_at(known, F.lower(community(url))), F.concat(F.lit("Community "), community(url)))
+
+
 def bucket_counts(tagged: DataFrame) -> DataFrame:
     return tagged.select(F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("products"))
