@@ -1,24 +1,27 @@
 """Byte-balanced sharding by Karmarkar-Karp differencing.
 
 Rows with equal texts form an indivisible group.  Group sizes are summed by a
-pre-aggregated shuffle, hashed into bins, and each bin is differenced on its
-own: the two partial partitions with the largest spread are joined, one turned
-round, until one remains.  The bins' partial partitions (a few sums each) are
-differenced in the same way to give the shards.
+pre-aggregated shuffle.  Large groups are units of their own, small ones are
+hashed into bundles; there are some hundred units for every shard however many
+groups there are, and only their sums leave the executors.  The units are
+differenced: the two partial partitions with the largest spread are joined, one
+turned round, until one remains.  A table with fewer groups than bundles has
+hardly two groups in one.
 """
 
 from __future__ import annotations
 
 import heapq
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import durable
 
-GROUPS_PER_BIN = 4096
-MOST_BINS = 4096
+#: Bundles of small groups for each shard; a group larger than the mean bundle is a unit of its own.
+BUNDLES = 256
+#: Rows of a piece of a written file that are numbered together.
+PIECE_ROWS = 16_384
 KEY = ["k1", "k2", "k3"]
 
 
@@ -62,11 +65,19 @@ def difference(vectors: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def _bin_slots(pdf: pd.DataFrame, shards: int) -> pd.DataFrame:
-    pdf = pdf.sort_values(["bytes", *KEY], ascending=False, kind="stable")
+def unit_shards(groups: DataFrame, total: int, shards: int) -> tuple[DataFrame, DataFrame]:
+    """``k1, k2, k3, shard`` of the large groups and ``bundle, shard`` of the others; ``groups`` has the column ``bundle``, null for large ones.
+
+    Both have at most ``BUNDLES * shards`` rows.
+    """
+    spark = groups.sparkSession
+    large = groups.filter("bundle is null").select(*KEY, "bytes").orderBy(F.desc("bytes"), *KEY).collect()  # each has more than total / (BUNDLES * shards) bytes
+    bundles = groups.filter("bundle is not null").groupBy("bundle").agg(F.sum("bytes").alias("bytes")).orderBy(F.desc("bytes"), "bundle").collect()
     empty = [0] * (shards - 1)
-    parts = difference([[int(b), *empty] for b in pdf["bytes"]])
-    return pd.DataFrame({**{c: pdf[c].to_numpy() for c in ("bin", *KEY, "bytes")}, "part": [p[0] for p in parts]})
+    parts = difference([[int(r["bytes"]), *empty] for r in [*large, *bundles]])
+    of_large = [(*(r[k] for k in KEY), p[0]) for r, p in zip(large, parts[: len(large)], strict=True)]
+    of_bundles = [(r["bundle"], p[0]) for r, p in zip(bundles, parts[len(large) :], strict=True)]
+    return spark.createDataFrame(of_large, "k1 long, k2 long, k3 int, hot int"), spark.createDataFrame(of_bundles, "bundle int, shard int")
 
 
 def shard_documents(docs: DataFrame, *, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", overhead: int = 8) -> DataFrame:
@@ -75,8 +86,9 @@ def shard_documents(docs: DataFrame, *, shards: int = 24, id_col: str = "doc_id"
     Gives ``doc_id, size, text_crc32, shard, slot``; slots number the rows of a
     shard without gaps.  A null text has the size ``overhead`` alone, a null
     checksum, and is a group by itself for each id.  Repeated rows are kept, as
-    one group.  A group larger than a shard's share stays whole.  An empty table
-    gives no rows; other columns are ignored.
+    one group.  A group larger than a shard's share stays whole.  Groups of equal
+    size go by their hashes.  Texts of any length count by their bytes.  An empty
+    table gives no rows; other columns are ignored, whatever their names.
     """
     text = F.col(text_col).cast("string")
     base = docs.select(
@@ -87,29 +99,27 @@ def shard_documents(docs: DataFrame, *, shards: int = 24, id_col: str = "doc_id"
         F.coalesce(F.crc32(F.encode(text, "UTF-8")), F.xxhash64(F.col(id_col))).alias("k2"),
         F.coalesce(F.octet_length(text), F.lit(-1)).alias("k3"),
     )
-    groups = durable(base.groupBy(*KEY).agg(F.sum("size").alias("bytes")))
-    bins = min(MOST_BINS, max(1, -(-groups.count() // GROUPS_PER_BIN)))
-    binned = groups.withColumn("bin", F.pmod(F.xxhash64(*KEY, F.lit(7)), F.lit(bins)).cast("int"))
-    slots = durable(binned.groupBy("bin").applyInPandas(lambda pdf: _bin_slots(pdf, shards), "bin int, k1 long, k2 long, k3 int, bytes long, part int"))
-    sums = {(r["bin"], r["part"]): r["bytes"] for r in slots.groupBy("bin", "part").agg(F.sum("bytes").alias("bytes")).collect()}  # MOST_BINS x shards at most
-    used = sorted({b for b, _ in sums})
-    parts = difference([[sums.get((b, p), 0) for p in range(shards)] for b in used])
-    table = [(b, p, parts[i][p]) for i, b in enumerate(used) for p in range(shards)]
-    to_shard = docs.sparkSession.createDataFrame(table, "bin int, part int, shard int")
-    placed = slots.join(F.broadcast(to_shard), ["bin", "part"]).select(*KEY, "shard")
-    return number_slots(base.join(placed, KEY).select("doc_id", "size", "text_crc32", "shard"))
+    groups = base.groupBy(*KEY).agg(F.sum("size").alias("bytes"))
+    units = BUNDLES * shards
+    sized = durable(groups)
+    total = sized.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    bundle = F.pmod(F.xxhash64(*KEY, F.lit(7)), F.lit(units)).cast("int")
+    large, bundles = unit_shards(sized.withColumn("bundle", F.when(F.col("bytes") * units <= total, bundle)), total, shards)
+    known = base.withColumn("bundle", bundle).join(F.broadcast(large), KEY, "left").join(F.broadcast(bundles), "bundle", "left")  # at most BUNDLES rows a shard each
+    return number_slots(known.select("doc_id", "size", "text_crc32", F.coalesce("hot", "shard").alias("shard")))
 
 
 def number_slots(placed: DataFrame) -> DataFrame:
     """Number each shard's rows from 0 without a sort of whole shards.
 
-    Rows are ranked inside each written file, and each file starts where the ones
-    before it end.
+    Rows are ranked inside each piece of a written file, and each piece starts
+    where the ones before it end.
     """
     table = durable(placed)
-    rows = table.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    counts = rows.groupBy("shard", "_file").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("shard").orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("shard", "_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    rank = F.row_number().over(Window.partitionBy("shard", "_file").orderBy("_row"))
-    return rows.withColumn("_rank", rank).join(starts, ["shard", "_file"]).select("doc_id", "size", "text_crc32", "shard", (F.col("_start") + F.col("_rank") - 1).cast("long").alias("slot"))
+    rows = table.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")).withColumn("_piece", F.expr(f"_row div {PIECE_ROWS}"))
+    counts = rows.groupBy("shard", "_file", "_piece").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("shard").orderBy("_file", "_piece").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("shard", "_file", "_piece", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    rank = F.row_number().over(Window.partitionBy("shard", "_file", "_piece").orderBy("_row"))
+    placed_rows = rows.withColumn("_rank", rank).join(starts, ["shard", "_file", "_piece"])
+    return placed_rows.select("doc_id", "size", "text_crc32", "shard", (F.col("_start") + F.col("_rank") - 1).cast("long").alias("slot"))

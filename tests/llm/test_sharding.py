@@ -55,7 +55,7 @@ def test_awkward_rows_and_many_bins(spark, monkeypatch):
     got = sharding.shard_documents(awkward(spark), shards=3).collect()
     assert len(got) == 11
     assert {(r["doc_id"], r["size"], r["text_crc32"]) for r in got if r["doc_id"] in (3, 4)} == {(3, 8, 0), (4, 8, None)}
-    monkeypatch.setattr(sharding, "GROUPS_PER_BIN", 2)
+    monkeypatch.setattr(sharding, "BUNDLES", 1)
     again = sharding.shard_documents(awkward(spark), shards=3).collect()
     by = defaultdict(list)
     for r in again:
@@ -63,3 +63,22 @@ def test_awkward_rows_and_many_bins(spark, monkeypatch):
     assert len(again) == 11 and all(sorted(s) == list(range(len(s))) for s in by.values())
     assert len({r["shard"] for r in again if r["doc_id"] == 1}) == 1
     assert sharding.shard_documents(awkward(spark).limit(0)).count() == 0
+
+
+def test_many_groups_in_a_bundle_and_large_ones(spark, monkeypatch):
+    rows = [(i, f"text {i} " + "x" * (i * 37 % 101)) for i in range(600)] + [(1000 + i, "the same") for i in range(200)] + [(2000, "y" * 90_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(sharding, "PIECE_ROWS", 7)
+    for bundles in (256, 20):
+        monkeypatch.setattr(sharding, "BUNDLES", bundles)
+        got = sharding.shard_documents(docs.filter("doc_id < 2000"), shards=4).collect()
+        sizes, slots = defaultdict(int), defaultdict(list)
+        for r in got:
+            sizes[r["shard"]] += r["size"]
+            slots[r["shard"]].append(r["slot"])
+        assert sorted(r["doc_id"] for r in got) == sorted(i for i, _ in rows if i < 2000)
+        assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+        assert len({r["shard"] for r in got if r["doc_id"] >= 1000}) == 1
+        assert max(sizes.values()) - min(sizes.values()) <= 0.002 * sum(sizes.values())
+    alone = {r["shard"] for r in sharding.shard_documents(docs, shards=4).collect() if r["doc_id"] == 2000}
+    assert len(alone) == 1  # larger than a shard's share: whole, and alone
