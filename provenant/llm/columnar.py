@@ -159,8 +159,7 @@ def text_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
 
 def words_of(text: str) -> list[str]:
     """The words of one text."""
-    words, codes, _ = text_words(pa.array([text], pa.string()))
-    return [words[c] for c in codes]
+    return WORD.findall(pc.utf8_lower(pa.scalar(text)).as_py())
 
 
 def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

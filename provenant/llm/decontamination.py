@@ -1,10 +1,14 @@
 """Benchmark decontamination with a BM25 index of test items and block-max WAND.
 
 The test items are few and the training passages many, so the items are
-indexed and every passage of every training text is a query.  Impacts are
-normalised by an item's score for itself: a passage that holds all its words
-scores 1.  All items above the threshold are retrieved and verified: the
-question's five-word shingles and the answer's words must lie in the passage.
+indexed and every passage of every training text is a query.  Document
+frequencies and the mean length are taken over the whole benchmark, by Spark,
+before it is cut into indexes; a passage's length depends on the item's own
+length alone.  So a score is the same however the benchmark is cut.
+Impacts are normalised by an item's score for itself: a passage that holds all
+its words scores 1.  All items above the threshold are retrieved and verified:
+the question's five-word shingles and the answer's words must lie in the
+passage.
 """
 
 from __future__ import annotations
@@ -20,17 +24,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .columnar import bounded_batches, hash_words, offsets_of, shingles, slices, text_array, text_words, words_of
+from .storage import durable
 
 K1, B = 1.2, 0.75
 WIDTH, OVERLAP, THRESHOLD = 5, 0.8, 0.5
 POSTINGS_PER_BLOCK = 8
-#: Items of a block of the bounds table, and of one index; a larger benchmark has several indexes.
+#: Items of a block of the bounds table, and of one index; a larger benchmark has several indexes, with the same scores.
 ITEMS_PER_BLOCK, INDEX_ITEMS = 4, 512
 #: Terms whose greatest impact is smaller are bounded by that alone.
 LIGHT = 0.004
 #: Text of the indexes of one pass over the corpus; a larger benchmark takes several passes.
 PASS_BYTES = 32 << 20
-LEAST_PASSAGE = 32
+#: Words of the shortest length class, and how much longer each class is than the one before.
+LEAST_PASSAGE, CLASS_STEP = 64, 4
+
+
+def length_class(words: int) -> int:
+    """The least class of item lengths that holds so many words; passages for its items are twice as long."""
+    size = LEAST_PASSAGE
+    while size < words:
+        size *= CLASS_STEP
+    return size
 
 
 def split_item(text: str) -> tuple[list[str], list[str]]:
@@ -56,10 +70,33 @@ class Item:
     answer: np.ndarray
 
 
+@dataclass
+class Frequencies:
+    """What BM25 needs to know of a whole benchmark: its items with words, their mean length, and how many hold each term (sorted by term)."""
+
+    items: int
+    mean: float
+    terms: np.ndarray
+    holders: np.ndarray
+
+    @staticmethod
+    def of(words: list[np.ndarray]) -> Frequencies:
+        words = [w for w in words if len(w)]
+        terms, holders = np.unique(np.concatenate([np.unique(w) for w in words]) if words else np.zeros(0, np.uint64), return_counts=True)
+        return Frequencies(len(words), float(np.mean([len(w) for w in words])) if words else 1.0, terms, holders)
+
+    def idf(self, terms: np.ndarray) -> np.ndarray:
+        df = self.holders[np.searchsorted(self.terms, terms)] if len(terms) else np.zeros(0)
+        return np.log(1 + (self.items - df + 0.5) / (df + 0.5))
+
+
 class BlockMaxIndex:
-    """Postings of normalised BM25 impacts with a maximum for every block of postings."""
+    """Postings of normalised BM25 impacts with a maximum for every block of postings.
 
-    def __init__(self, items: list[tuple[int | None, str]]) -> None:
+    ``known`` holds the frequencies of the whole benchmark; without it, those of the items given are taken.
+    """
+
+    def __init__(self, items: list[tuple[int | None, str]], known: Frequencies | None = None) -> None:
         self.items: list[Item] = []
         for item_id, text in items:
             question, answer = split_item(text or "")
@@ -67,17 +104,15 @@ class BlockMaxIndex:
             if len(words):
                 self.items.append(Item(item_id, words, shingle_set(words_of(text)), shingle_set(question), np.unique(hash_words(answer))))
         n = len(self.items)
+        known = known or Frequencies.of([i.words for i in self.items])
         lengths = np.array([len(i.words) for i in self.items], dtype=np.float64)
-        self.longest = int(lengths.max()) if n else 0
+        self.longest = length_class(int(lengths.max())) if n else 0
         pairs = [np.unique(i.words, return_counts=True) for i in self.items]
         terms = np.concatenate([p[0] for p in pairs]) if n else np.zeros(0, np.uint64)
         counts = np.concatenate([p[1] for p in pairs]).astype(np.float64) if n else np.zeros(0)
         owner = np.repeat(np.arange(n), [len(p[0]) for p in pairs])
         self.terms, term = np.unique(terms, return_inverse=True)
-        df = np.bincount(term, minlength=len(self.terms))
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        mean = lengths.mean() if n else 1.0
-        raw = idf[term] * counts * (K1 + 1) / (counts + K1 * (1 - B + B * lengths[owner] / mean)) if n else np.zeros(0)
+        raw = known.idf(self.terms)[term] * counts * (K1 + 1) / (counts + K1 * (1 - B + B * lengths[owner] / known.mean)) if n else np.zeros(0)
         impact = raw / np.bincount(owner, weights=raw, minlength=n)[owner] if n else raw
         order = np.lexsort((owner, term))
         self.posting_items, self.impacts = owner[order], impact[order]
@@ -192,11 +227,13 @@ Hit = tuple[int, int, float, float, float, float, int]
 
 
 class Passages:
-    """Overlapping passages of some texts: twice as long as the longest item, each a stride after the one before."""
+    """Overlapping passages of some texts: twice as long as a class of items, each a stride after the one before.
 
-    def __init__(self, texts: pa.Array, longest: int) -> None:
-        words, self.codes, self.offsets = text_words(texts)
-        self.hashes = hash_words(words)
+    ``tokens`` (hashes, codes and offsets of the texts' words) is what :meth:`tokens_of` gives.
+    """
+
+    def __init__(self, texts: pa.Array, longest: int, tokens: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> None:
+        self.hashes, self.codes, self.offsets = tokens or self.tokens_of(texts)
         self.stride = max(LEAST_PASSAGE, longest)
         lengths = np.diff(self.offsets)
         self.cells = -(-lengths // self.stride)
@@ -206,6 +243,11 @@ class Passages:
         self.starts = start
         self.ends = np.minimum(start + 2 * self.stride, self.offsets[1:][self.owner])
 
+    @staticmethod
+    def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        words, codes, offsets = text_words(texts)
+        return hash_words(words), codes, offsets
+
     def terms(self, index: BlockMaxIndex) -> tuple[np.ndarray, np.ndarray]:
         """The distinct (passage, term) pairs, sorted."""
         size = len(index.terms)
@@ -251,9 +293,13 @@ def leaks_of(indexes: list[BlockMaxIndex], texts: pa.Array, threshold: float) ->
     are numbered through all indexes.
     """
     best: dict[tuple[int, int], Hit] = {}
-    passages = Passages(texts, max((i.longest for i in indexes), default=0))
+    tokens = Passages.tokens_of(texts)
+    cut: dict[int, Passages] = {}
     base = 0
     for index in indexes:
+        if index.longest not in cut:
+            cut[index.longest] = Passages(texts, index.longest, tokens)
+        passages = cut[index.longest]
         if index.items and len(passages.codes):
             cells, terms = passages.terms(index)
             for a in possible(index, cells, terms, threshold):
@@ -264,7 +310,8 @@ def leaks_of(indexes: list[BlockMaxIndex], texts: pa.Array, threshold: float) ->
                 for item, score in index.search(terms[a:b].tolist(), threshold):
                     whole, question, answer = index.verify(item, words)
                     hit = (text, base + item, score, whole, question, answer, int(passages.starts[cell] - passages.offsets[text]))
-                    if (text, base + item) not in best or (whole, score) > (best[text, base + item][3], best[text, base + item][2]):
+                    held = best.get((text, base + item))
+                    if held is None or (whole, round(score, 9)) > (held[3], round(held[2], 9)):
                         best[text, base + item] = hit
         base += len(index.items)
     return list(best.values())
@@ -275,14 +322,41 @@ def verified(whole: float, question: float, answer: float, overlap: float = OVER
     return (question >= overlap and answer >= overlap) or whole >= overlap
 
 
-def item_indexes(benchmark: DataFrame, id_col: str, text_col: str, pass_bytes: int = PASS_BYTES) -> Iterator[list[BlockMaxIndex]]:
-    """Indexes of the whole benchmark: a list for each pass, of bounded size."""
+def item_words(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``item_id, text, words`` of the items with words; the words are hashes, in order."""
     items = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    parts = max(1, -(-size // pass_bytes))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 1):
+                hashes, codes, offsets = Passages.tokens_of(part.column(1))
+                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(hashes[codes].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], names=["item_id", "text", "words"])
+
+    return items.mapInArrow(run, "item_id long, text string, words array<long>").filter(F.size("words") > 0)
+
+
+def item_indexes(benchmark: DataFrame, id_col: str, text_col: str, pass_bytes: int | None = None) -> Iterator[list[BlockMaxIndex]]:
+    """Indexes of the whole benchmark: a list for each pass, of bounded size; all share the frequencies of the whole.
+
+    The items of an index are of one length class.
+    """
+    items = durable(item_words(benchmark, id_col, text_col))
+    held = items.select(F.explode(F.array_distinct("words")).alias("term"))
+    holders = durable(held.groupBy("term").agg(F.count("*").alias("n")))
+    size, number, mean = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*"), F.coalesce(F.avg(F.size("words")), F.lit(1.0))).first()
+    parts = max(1, -(-size // (pass_bytes or PASS_BYTES)))
     for part in range(parts):
-        rows = items.filter(F.pmod(F.xxhash64("text"), F.lit(parts)) == part).orderBy("item_id", "text").collect()  # about pass_bytes
-        yield [BlockMaxIndex([(r["item_id"], r["text"]) for r in rows[at : at + INDEX_ITEMS]]) for at in range(0, max(1, len(rows)), INDEX_ITEMS)]
+        own = items.filter(F.pmod(F.xxhash64("text"), F.lit(parts)) == part)
+        terms = own.select(F.explode("words").alias("term")).distinct()
+        counted = (holders if parts == 1 else holders.join(terms, "term", "left_semi")).toArrow()  # the terms of about pass_bytes
+        term = counted["term"].to_numpy().view(np.uint64)
+        order = np.argsort(term)
+        known = Frequencies(number, float(mean), term[order], counted["n"].to_numpy()[order])
+        classes: dict[int, list[tuple[int | None, str]]] = {}
+        for r in own.select("item_id", "text", F.size("words").alias("n")).orderBy("item_id", "text").collect():  # about pass_bytes
+            classes.setdefault(length_class(r["n"]), []).append((r["item_id"], r["text"]))
+        yield [BlockMaxIndex(rows[at : at + INDEX_ITEMS], known) for _, rows in sorted(classes.items()) for at in range(0, len(rows), INDEX_ITEMS)]
 
 
 LEAK_SCHEMA = "item_id long, score double, item_overlap double, question_overlap double, answer_overlap double, first_word long, leaked boolean"
@@ -293,7 +367,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
 
     ``doc_id`` keeps its type; null and empty texts or items find nothing; equal
     items are found each; repeated rows are reported each; other columns are
-    ignored; empty tables give no rows.
+    ignored, whatever their names; empty tables give no rows.  Texts of any length
+    are read whole, passage by passage; an item of any length is found in passages
+    of its own length class.  Of passages with equal overlap and score, the first
+    is reported.
     """
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -317,7 +394,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
 
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
-    """The rows of a table without those whose text holds a leaked item; all columns stay."""
+    """The rows of a table without those whose text holds a leaked item; all columns stay, whatever their names.
+
+    Rows with a null or empty text stay; repeated rows stay or go together; a null
+    id is a value like any other; whole texts are read, however long; an empty
+    benchmark drops nothing.
+    """
     bounded_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
     out = docs

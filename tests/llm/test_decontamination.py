@@ -90,3 +90,31 @@ def test_many_indexes(spark, monkeypatch):
     bench = spark.createDataFrame([(i, f"item number {i} says alpha beta gamma{i}") for i in range(9)], "item_id long, text string")
     docs = spark.createDataFrame([(i, f"before that item number {i} says alpha beta gamma{i} after it") for i in range(9)], "doc_id long, text string")
     assert sorted((r["doc_id"], r["item_id"]) for r in dc.find_leaks(docs, bench).filter("leaked").collect()) == [(i, i) for i in range(9)]
+
+
+def test_scores_do_not_depend_on_the_cut(spark, monkeypatch):
+    rng = random.Random(5)
+    bench = spark.createDataFrame([(i, " ".join(rng.choices(VOCABULARY, k=rng.randint(6, 40)))) for i in range(60)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(VOCABULARY, k=rng.randint(0, 300)))) for i in range(25)], "doc_id long, text string")
+
+    def found():
+        return {(r["doc_id"], r["item_id"]): (round(r["score"], 9), r["first_word"], r["leaked"]) for r in dc.find_leaks(docs, bench).collect()}
+
+    want = found()
+    assert len(want) > 20
+    for items in (2, 10_000):
+        monkeypatch.setattr(dc, "INDEX_ITEMS", items)
+        assert found() == want
+    monkeypatch.setattr(dc, "PASS_BYTES", 500)
+    assert found() == want
+
+
+def test_a_long_item_leaves_the_passages_of_the_others(spark):
+    rng = random.Random(6)
+    short = [(i, " ".join(rng.choices(VOCABULARY, k=20))) for i in range(10)]
+    long = (99, " ".join(f"z{rng.randint(0, 9999)}" for _ in range(20_000)))
+    indexes = list(dc.item_indexes(spark.createDataFrame([*short, long], "item_id long, text string"), "item_id", "text"))[0]
+    assert sorted(i.longest for i in indexes) == [64, 65_536]
+    docs = spark.createDataFrame([(1, f"before {short[3][1]} after"), (2, f"zz {long[1]} zz"), (3, " ".join(long[1].split()[:9000]))], "doc_id long, text string")
+    leaks = dc.find_leaks(docs, spark.createDataFrame([*short, long], "item_id long, text string")).filter("leaked").collect()
+    assert {(r["doc_id"], r["item_id"]) for r in leaks} == {(1, 3), (2, 99)}
