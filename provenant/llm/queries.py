@@ -88,7 +88,8 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score_documents(table(spark, sf_dir, "documents"))
+    scored = lm.score_documents(table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", F.col("mean_log_prob").alias("score"), "n_words", "log_prob")
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
