@@ -21,6 +21,11 @@ def normalize_identifier(values: pd.Series) -> pd.Series:
     return values.map(lambda v: " ".join(unicodedata.normalize("NFKC", v).casefold().split()) or None, na_action="ignore")
 
 
+@F.pandas_udf(T.StringType())
+def nfkc_folded(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: unicodedata.normalize("NFKC", v).casefold(), na_action="ignore")
+
+
 @F.pandas_udf(T.StringType())
 def casefold(values: pd.Series) -> pd.Series:
     return values.map(str.casefold, na_action="ignore")
@@ -31,10 +36,21 @@ def unescape_html(values: pd.Series) -> pd.Series:
     return values.map(html.unescape, na_action="ignore")
 
 
+def _plain(value: Column) -> Column:
+    """Whether a text is ASCII, whose folding needs no Python."""
+    return value.rlike(r"^\p{ASCII}*$")
+
+
+def identifier(value: Column) -> Column:
+    """:func:`normalize_identifier`, computed in the JVM for ASCII values."""
+    native = F.nullif(F.trim(F.regexp_replace(F.lower(value), r"\s+", " ")), F.lit(""))
+    return F.when(_plain(value), native).otherwise(normalize_identifier(F.when(~_plain(value), value)))
+
+
 def fingerprint_text(value: Column) -> Column:
-    """Lower-cased words joined by single spaces, ``ß`` folded to ``ss``; null if nothing is left."""
-    words = F.trim(F.regexp_replace(F.replace(F.lower(value), F.lit("ß"), F.lit("ss")), r"[^\p{L}\p{N}_]+", " "))
-    return F.nullif(words, F.lit(""))
+    """Words in NFKC, case-folded and joined by single spaces; null if nothing is left.  ASCII is folded in the JVM."""
+    folded = F.when(_plain(value), F.lower(value)).otherwise(nfkc_folded(F.when(~_plain(value), value)))
+    return F.nullif(F.trim(F.regexp_replace(folded, r"[^\p{L}\p{N}_]+", " ")), F.lit(""))
 
 
 def fingerprint(actor: Column, context: Column, job: Column, problem: Column, root_cause: Column) -> Column:

@@ -200,42 +200,6 @@ def integrity_audit(t: Tables) -> DataFrame:
     return rows.groupBy().pivot("measure", list(counted)).agg(F.first("n"))
 
 
-#: Row rules by table and name: SQL that must not be false.
-CHECKS = {
-    "impact_signals": {"impact_quantified": "quantified = (value is not null and unit is not null)"},
-    "payment_signals": {"payment_amount": "(amount is null) = (currency is null)"},
-    "evidence_spans": {"span_order": "start_offset >= 0 and end_offset > start_offset"},
-    "case_stakeholders": {"stakeholder_known": "(knowledge = 'KNOWN') = (party is not null and factual_claim_id is not null)"},
-    "research_passes": {"pass_outcome": "status <> 'SATISFIED' or (outcome = 'EVIDENCE_FOUND') = (summary_claim_id is not null)"},
-    "claims": {"claim_kind": "claim_kind in ('FACT', 'ANALYSIS', 'HYPOTHESIS')", "claim_text": "length(trim(text)) > 0"},
-    "problem_observations": {"evidence_scope": "evidence_scope in ('GLOBAL', 'DACH')", "problem_not_blank": "length(trim(problem)) > 0"},
-    "sources": {"lifecycle": "lifecycle in ('CANDIDATE', 'EXPLORATION', 'CORE', 'LOW_VALUE', 'EXCLUDED')"},
-}
-#: References between tables: (table, column, table, column).
-REFERENCES = (
-    ("source_items", "source_id", "sources", "id"), ("problem_observations", "source_item_id", "source_items", "id"), ("problem_observations", "pipeline_run_id", "pipeline_runs", "id"), ("evidence_spans", "source_item_id", "source_items", "id"),
-    ("workarounds", "observation_id", "problem_observations", "id"), ("impact_signals", "observation_id", "problem_observations", "id"), ("payment_signals", "observation_id", "problem_observations", "id"), ("claim_evidence", "claim_id", "claims", "id"),
-    ("claim_evidence", "evidence_span_id", "evidence_spans", "id"), ("cluster_members", "observation_id", "problem_observations", "id"), ("research_passes", "case_id", "research_cases", "id"), ("opportunities", "case_id", "research_cases", "id"),
-    ("acquisition_records", "discovery_id", "discovery_records", "id"), ("acquisition_records", "source_item_id", "source_items", "id"), ("competitors", "case_id", "research_cases", "id"),
-)
-
-
-def check_violations(t: Tables) -> DataFrame:
-    """Rows that break a row rule, counted by table and rule."""
-    found = [t[table].agg(F.count_if(F.expr(f"not ({rule})")).alias("violations")).select(F.lit(table).alias("table_name"), F.lit(name).alias("rule"), "violations") for table, rules in CHECKS.items() if table in t for name, rule in rules.items()]
-    return reduce(DataFrame.unionByName, found)
-
-
-def reference_violations(t: Tables) -> DataFrame:
-    """Rows whose reference meets nothing, counted by table and column."""
-    found = []
-    for table, column, other, key in REFERENCES:
-        if table in t and other in t:
-            lost = t[table].filter(F.col(column).isNotNull()).join(t[other].select(F.col(key).alias("_there")), F.col(column) == F.col("_there"), "left_anti")
-            found.append(lost.agg(F.count("*").alias("violations")).select(F.lit(table).alias("table_name"), F.lit(column).alias("column_name"), "violations"))
-    return reduce(DataFrame.unionByName, found)
-
-
 def downgraded_facts(before: DataFrame, after: DataFrame, requirements: DataFrame) -> DataFrame:
     """Claims that were facts, are none now, and satisfy a requirement."""
     was = before.filter("claim_kind = 'FACT'").select("id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from provenant.functions.predicates import EXCLUDED_TYPES, evidence_state, state_strength
@@ -74,6 +74,7 @@ def roll_up(members: DataFrame, observations: DataFrame, items: DataFrame, cases
     )
 
 
+# The sentences of the reasons.
 def reasons() -> Column:
     """Why a cluster is worth a look, in a fixed order."""
     counted = lambda c, text: F.when(F.col(c) > 0, F.concat(F.col(c).cast("string"), F.lit(text)))
@@ -94,7 +95,7 @@ def reasons() -> Column:
 
 
 def ordered(candidates: DataFrame, sort_by: str) -> DataFrame:
-    """Candidates by one named dimension, all descending, the larger cluster id first among equals."""
+    """Candidates with their ``position`` by one named dimension, all descending, the larger cluster id first among equals."""
     search = F.col("active_search_count") + F.col("switching_intent_count")
     common = [F.col("research_ready"), state_strength(F.col("evidence_state")), F.col("observation_count"), F.col("cluster_id")]
     first = {"newest": F.col("latest_observation_at"), "active-search": search, "payment-evidence": F.col("payment_evidence_count"), "manual-workarounds": F.col("workaround_count"), "dach-evidence": F.col("dach_observation_count")}
@@ -104,4 +105,5 @@ def ordered(candidates: DataFrame, sort_by: str) -> DataFrame:
         keys = [first[sort_by], *common]
     else:
         raise ValueError(f"unknown candidate sort: {sort_by}")
-    return candidates.orderBy(*(k.desc() for k in keys))
+    # one narrow row per cluster; the list is numbered as a whole
+    return candidates.withColumn("position", F.row_number().over(Window.orderBy(*(k.desc() for k in keys)))).orderBy("position")

@@ -59,8 +59,11 @@ def clusterable(observations: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def exact_clusters(observations: DataFrame) -> DataFrame:
-    """``cluster_id, fingerprint, observation_id``: equal fingerprints share the least observation id."""
-    none = F.lit(None).cast("string")
-    marked = observations.select(F.col("id").alias("observation_id"), fingerprint(F.col("actor"), F.col("context"), F.col("job_to_be_done"), F.col("problem"), none).alias("fingerprint"))
+    """``cluster_id, fingerprint, observation_id``: equal fingerprints share the least observation id.
+
+    A table without ``root_cause`` counts as one that knows none.
+    """
+    cause = F.col("root_cause") if "root_cause" in observations.columns else F.lit(None).cast("string")
+    marked = observations.select(F.col("id").alias("observation_id"), fingerprint(F.col("actor"), F.col("context"), F.col("job_to_be_done"), F.col("problem"), cause).alias("fingerprint"))
     clusters = marked.groupBy("fingerprint").agg(F.min("observation_id").alias("cluster_id"))
     return marked.join(clusters, "fingerprint").select("cluster_id", "fingerprint", "observation_id")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provenant.functions.predicates import evidence_state, health_status
-from provenant.operators import audits, candidates, cost, metrics, planning, signals
+from provenant.operators import audits, candidates, cost, metrics, planning, rules, signals
 from provenant.plans.registry import Registry
-from provenant.sources.fixtures import Domain
+from provenant.sources.fixtures import TABLES, Domain
 
 registry = Registry()
 
@@ -101,11 +103,12 @@ norm AS (
     nullif(trim(regexp_replace(replace(lower(actor), 'ß', 'ss'), '[^\p{L}\p{N}_]+', ' ', 'g')), '') AS a,
     nullif(trim(regexp_replace(replace(lower(context), 'ß', 'ss'), '[^\p{L}\p{N}_]+', ' ', 'g')), '') AS c,
     nullif(trim(regexp_replace(replace(lower(job_to_be_done), 'ß', 'ss'), '[^\p{L}\p{N}_]+', ' ', 'g')), '') AS j,
-    nullif(trim(regexp_replace(replace(lower(problem), 'ß', 'ss'), '[^\p{L}\p{N}_]+', ' ', 'g')), '') AS p
+    nullif(trim(regexp_replace(replace(lower(problem), 'ß', 'ss'), '[^\p{L}\p{N}_]+', ' ', 'g')), '') AS p,
+    nullif(trim(regexp_replace(replace(lower(root_cause), 'ß', 'ss'), '[^\p{L}\p{N}_]+', ' ', 'g')), '') AS rc
   FROM problem_observations
 ), prints AS (
   SELECT n.id AS observation_id, sha256('{"actor":' || coalesce('"' || a || '"', 'null') || ',"context":' || coalesce('"' || c || '"', 'null') || ',"job_to_be_done":' || coalesce('"' || j || '"', 'null')
-         || ',"problem":' || coalesce('"' || p || '"', 'null') || ',"root_cause":null}') AS fingerprint
+         || ',"problem":' || coalesce('"' || p || '"', 'null') || ',"root_cause":' || coalesce('"' || rc || '"', 'null') || '}') AS fingerprint
   FROM norm n LEFT JOIN pipeline_runs r ON r.id = n.pipeline_run_id WHERE n.pipeline_run_id IS NULL OR r.status IN ('COMPLETED', 'FAILED')
 )"""
 
@@ -151,8 +154,17 @@ CANDIDATES = FLAGS + """, rows AS (
     NOT excluded AND (item_count >= 2 OR strong_signal_count > 0) AS research_ready FROM agg a
 )"""
 CANDIDATE_TABLES = FLAG_TABLES + ("source_items", "cluster_members", "research_cases")
+#: What each sort looks at first, all descending.
+CANDIDATE_ORDER = {
+    "strongest-evidence": "research_ready, strength, payment_evidence_count, quantified_impact_count, active_search_count + switching_intent_count, workaround_count, strong_signal_count, observation_count, latest_observation_at, cluster_id",
+    "newest": "latest_observation_at, research_ready, strength, observation_count, cluster_id",
+    "active-search": "active_search_count + switching_intent_count, research_ready, strength, observation_count, cluster_id",
+    "payment-evidence": "payment_evidence_count, research_ready, strength, observation_count, cluster_id",
+    "manual-workarounds": "workaround_count, research_ready, strength, observation_count, cluster_id",
+    "dach-evidence": "dach_observation_count, research_ready, strength, observation_count, cluster_id",
+}
 CANDIDATE_SQL = """
-SELECT cluster_id, representative_problem, problem_family, evidence_state, observation_count, source_count, item_count, country_count, global_observation_count, dach_observation_count,
+SELECT {position} AS position, cluster_id, representative_problem, problem_family, evidence_state, observation_count, source_count, item_count, country_count, global_observation_count, dach_observation_count,
   active_search_count, switching_intent_count, quantified_impact_count, payment_evidence_count, workaround_count, strong_signal_count, research_ready,
   CASE WHEN excluded THEN 'cluster contains only incidents, support questions, or user errors' WHEN NOT research_ready THEN 'no recurrence or strong individual signal established' END AS exclusion_reason,
   missing_for_completion, latest_observation_at, existing_case_id,
@@ -162,7 +174,12 @@ SELECT cluster_id, representative_problem, problem_family, evidence_state, obser
     CASE WHEN switching_intent_count > 0 THEN switching_intent_count || ' switching intent signal(s)' END, CASE WHEN quantified_impact_count > 0 THEN quantified_impact_count || ' quantified impact signal(s)' END,
     CASE WHEN payment_evidence_count > 0 THEN payment_evidence_count || ' payment evidence signal(s)' END, CASE WHEN workaround_count > 0 THEN workaround_count || ' documented workaround(s)' END,
     CASE WHEN missing_for_completion = '' THEN 'minimum problem evidence is complete' END) AS reasons
-FROM stated WHERE existing_case_id IS NULL"""
+FROM (SELECT *, CASE evidence_state WHEN 'CROSS_MARKET' THEN 5 WHEN 'MULTI_SOURCE' THEN 4 WHEN 'RECURRING' THEN 3 WHEN 'EMERGING' THEN 2 ELSE 1 END AS strength FROM stated WHERE existing_case_id IS NULL) s"""
+
+
+def candidate_sql(sort_by: str) -> str:
+    keys = ", ".join(f"{k} DESC" for k in CANDIDATE_ORDER[sort_by].split(", "))
+    return CANDIDATE_SQL.replace("{position}", f"CAST(row_number() OVER (ORDER BY {keys}) AS INT)")
 
 
 def case_candidates(d: Domain, sort_by: str = "strongest-evidence") -> DataFrame:
@@ -172,7 +189,7 @@ def case_candidates(d: Domain, sort_by: str = "strongest-evidence") -> DataFrame
 
 
 for _sort in candidates.SORTS:
-    registry.add(f"case_candidates_{_sort.replace('-', '_')}", lambda d, s=_sort: case_candidates(d, s), CANDIDATE_TABLES, CANDIDATES, CANDIDATE_SQL)
+    registry.add(f"case_candidates_{_sort.replace('-', '_')}", lambda d, s=_sort: case_candidates(d, s), CANDIDATE_TABLES, CANDIDATES, candidate_sql(_sort))
 
 
 @registry.query(("research_cases", "cluster_members", "problem_observations", "evidence_spans", "source_items"), "", """
@@ -318,9 +335,14 @@ def community_report(d: Domain) -> DataFrame:
     return out.select("community", *(k.lower() for k in kinds), (F.col("total") - F.col("uniq")).alias("duplicates"), "items", "observations", "observations_of_any_run", rate.alias("per_thousand"))
 
 
-@registry.query(("discovery_runs", "acquisition_records"), "", """
+#: A total of millionths shared out among n, rounded half up to 12 places, without trailing zeros.
+PER_ITEM = "regexp_replace(regexp_replace(CAST({n_} // 1000000000000 AS VARCHAR) || '.' || lpad(CAST({n_} % 1000000000000 AS VARCHAR), 12, '0'), '0+$', ''), '\\.$', '')".replace("{n_}", "((CAST({t} * 1000000 AS HUGEINT) * 2000000 + {n}) // (2 * {n}))")
+
+
+@registry.query(("discovery_runs", "acquisition_records"), "", f"""
 SELECT operation_count, discovery_run_count, acquisition_attempt_count, costed_operation_count, operation_count - costed_operation_count AS missing_cost_operation_count, acquired_source_items,
   regexp_replace(regexp_replace(CAST(known AS VARCHAR), '0+$', ''), '\\.$', '') AS known_cost_usd,
+  CASE WHEN operation_count > 0 AND operation_count = costed_operation_count AND acquired_source_items > 0 THEN {PER_ITEM.format(t="known", n="acquired_source_items")} END AS cost_per_item_usd,
   concat_ws('; ', CASE WHEN operation_count = 0 THEN 'no operations recorded' END, CASE WHEN operation_count - costed_operation_count = 1 THEN '1 operation has unknown cost' WHEN operation_count > costed_operation_count THEN (operation_count - costed_operation_count) || ' operations have unknown cost' END,
     CASE WHEN acquired_source_items = 0 THEN 'no acquired source items recorded' END) AS unit_cost_reasons
 FROM (SELECT count(*) AS operation_count, CAST(sum(d) AS BIGINT) AS discovery_run_count, CAST(sum(1 - d) AS BIGINT) AS acquisition_attempt_count, count(cost_usd) AS costed_operation_count, sum(CAST(cost_usd AS DECIMAL(18,6))) AS known,
@@ -347,10 +369,33 @@ def model_cost(d: Domain) -> DataFrame:
 
 
 @registry.query(("model_runs",), "", f"""
-SELECT provider, currency, {MONEY_TEXT.format("total")} AS total, items, round(CAST(total AS DOUBLE) / items, 4) AS cost_per_item
-FROM (SELECT provider, currency, sum(CAST(amount AS DECIMAL(18,6))) AS total, CAST(sum(items_processed) AS BIGINT) AS items FROM model_runs WHERE amount IS NOT NULL GROUP BY provider, currency) t""")
+SELECT provider, items_processed AS size, CASE WHEN why = '' THEN 'AVAILABLE' ELSE 'UNKNOWN' END AS status, {MONEY_TEXT.format("total")} AS total, items, CASE WHEN why = '' THEN {PER_ITEM.format(t="total", n="items")} END AS cost_per_item, why AS reasons
+FROM (SELECT *, concat_ws('; ', CASE WHEN n - costed = 1 THEN '1 operation has unknown cost' WHEN n > costed THEN (n - costed) || ' operations have unknown cost' END, CASE WHEN currencies > 1 THEN 'measured costs use multiple currencies' END, CASE WHEN items = 0 THEN 'no processed items recorded' END) AS why
+  FROM (SELECT provider, items_processed, count(*) AS n, count(amount) AS costed, count(DISTINCT CASE WHEN amount IS NOT NULL THEN currency END) AS currencies, coalesce(sum(CAST(amount AS DECIMAL(18,6))), 0) AS total, CAST(sum(items_processed) AS BIGINT) AS items
+    FROM model_runs WHERE coalesce(currency, 'EUR') = 'EUR' GROUP BY provider, items_processed) g) t""")
 def unit_costs(d: Domain) -> DataFrame:
-    return cost.unit_costs(d.model_runs)
+    """Cost per item of the runs in one currency, or of unknown cost, by provider and size."""
+    rows = d.model_runs.filter(F.coalesce("currency", F.lit("EUR")) == "EUR").withColumn("size", F.col("items_processed"))
+    return cost.unit_costs(rows, ("provider", "size"))
+
+
+@registry.query(FLAG_TABLES + ("model_runs", "research_cases", "cluster_members"), FLAGS, """
+, linked AS (SELECT DISTINCT provider, pipeline_run_id AS run FROM model_runs WHERE pipeline_run_id IS NOT NULL)
+SELECT p.provider, (SELECT count(*) FROM linked l WHERE l.provider = p.provider) AS linked_runs,
+  (SELECT count(*) FROM strong s JOIN linked l ON l.run = s.pipeline_run_id JOIN pipeline_runs r ON r.id = l.run WHERE l.provider = p.provider AND r.status = 'COMPLETED' AND s.strong_or_null) AS strong_signals,
+  (SELECT count(DISTINCT c.id) FROM research_cases c JOIN cluster_members m ON m.cluster_id = c.cluster_id JOIN problem_observations o ON o.id = m.observation_id JOIN linked l ON l.run = o.pipeline_run_id WHERE l.provider = p.provider AND c.status = 'COMPLETE') AS complete_cases
+FROM (SELECT DISTINCT provider FROM model_runs) p""")
+def linked_outputs(d: Domain) -> DataFrame:
+    """Strong signals and complete cases of the pipeline runs of each provider's model runs."""
+    return cost.linked_outputs(d.model_runs, flagged(d), d.pipeline_runs, d.research_cases, d.cluster_members)
+
+
+@registry.query(("model_runs",), "", """
+SELECT provider, CAST(CAST(sum(input_tokens * 25 + output_tokens * 100) AS BIGINT) AS DECIMAL(38, 2)) / 10000000 AS price_usd FROM model_runs GROUP BY provider""")
+def token_prices(d: Domain) -> DataFrame:
+    """Price of all calls of a provider at 2.5 and 10 a million tokens."""
+    price = cost.token_price(F.col("input_tokens"), F.col("output_tokens"), "2.5", "10")
+    return d.model_runs.groupBy("provider").agg(F.sum(price).cast("double").alias("price_usd"))
 
 
 @registry.query(("sources", "source_registry_profiles"), "", """
@@ -492,13 +537,35 @@ registry.add(
     (SELECT count(*) FROM opportunities WHERE status = 'REPORT_READY') AS report_ready_opportunities, (SELECT count(*) FROM b_ready) AS invalid_report_ready_opportunities""",
 )
 
-CHECK_TABLES = tuple(audits.CHECKS)
+
+
+def _fixture_has(table: str, column: str) -> bool:
+    """Whether a fixture table makes a column: its SELECT names it."""
+    return table in TABLES and re.search(rf"\b{column}\b", TABLES[table]) is not None
+
+
+_RULES = {n: rules.row_rules(n, lambda c, n=n: _fixture_has(n, c), json=False) for n in TABLES}
+RULE_TABLES = tuple(n for n, r in _RULES.items() if r)
 registry.add(
-    "check_violations", lambda d: audits.check_violations({n: d.table(n) for n in CHECK_TABLES}), CHECK_TABLES, "",
-    " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{n}' AS rule, count_if(NOT ({r})) AS violations FROM {t}" for t, rules in audits.CHECKS.items() for n, r in rules.items()),
+    "check_violations", lambda d: rules.check_violations({n: d.table(n) for n in RULE_TABLES}, json=False), RULE_TABLES, "",
+    " UNION ALL ".join(f"SELECT '{n}' AS table_name, '{name}' AS rule, count_if(NOT ({sql})) AS violations FROM {n}" for n in RULE_TABLES for name, sql in _RULES[n].items()),
 )
-REFERENCE_TABLES = tuple(dict.fromkeys(n for r in audits.REFERENCES for n in (r[0], r[2])))
+
+_KEYS = {n: rules.key_columns(n, lambda c, n=n: _fixture_has(n, c)) for n in TABLES}
+KEY_TABLES = tuple(n for n, k in _KEYS.items() if k)
+
+
+def _key_sql(table: str, columns: list[str], nullable: set[str]) -> str:
+    by = ", ".join(f"coalesce(CAST({c} AS VARCHAR), '')" if c in nullable else c for c in columns)
+    known = " AND ".join(f"{c} IS NOT NULL" for c in columns if c not in nullable)
+    return f"SELECT '{table}' AS table_name, '{','.join(columns)}' AS key, CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS violations FROM (SELECT count(*) AS n FROM {table} WHERE {known} GROUP BY {by}) x"
+
+
+registry.add("key_violations", lambda d: rules.key_violations({n: d.table(n) for n in KEY_TABLES}), KEY_TABLES, "", " UNION ALL ".join(_key_sql(n, *k) for n in KEY_TABLES for k in _KEYS[n]))
+
+_REFERENCES = rules.references(_fixture_has)
+REFERENCE_TABLES = tuple(dict.fromkeys(n for t, _, o in _REFERENCES for n in (t, o)))
 registry.add(
-    "reference_violations", lambda d: audits.reference_violations({n: d.table(n) for n in REFERENCE_TABLES}), REFERENCE_TABLES, "",
-    " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) AS violations FROM {t} WHERE {c} IS NOT NULL AND {c} NOT IN (SELECT {k} FROM {o})" for t, c, o, k in audits.REFERENCES),
+    "reference_violations", lambda d: rules.reference_violations({n: d.table(n) for n in REFERENCE_TABLES}), REFERENCE_TABLES, "",
+    " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) AS violations FROM {t} WHERE {c} IS NOT NULL AND {c} NOT IN (SELECT id FROM {o})" for t, c, o in _REFERENCES),
 )
