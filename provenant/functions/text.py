@@ -94,6 +94,18 @@ def post_identity(url: Column) -> Column:
     return F.when(host == "redd.it", F.when(short.isNotNull(), short_struct)).when(known & (at > 0) & submission.isNotNull(), long_struct)
 
 
+def impact_label(kind: Column, quantified: Column, value: Column, unit: Column, frequency: Column) -> Column:
+    """An impact in words: its measure, or that it is told without one."""
+    often = F.when(frequency.isNotNull(), F.concat(F.lit(" ("), frequency, F.lit(")"))).otherwise("")
+    return F.concat(kind, F.lit(": "), F.when(quantified, F.concat(value, F.lit(" "), unit, often)).otherwise("qualitative impact recorded"))
+
+
+def payment_label(kind: Column, amount: Column, currency: Column, frequency: Column) -> Column:
+    """A payment in words; an amount that is not known is said to be unknown."""
+    often = F.when(frequency.isNotNull(), F.concat(F.lit(" ("), frequency, F.lit(")"))).otherwise("")
+    return F.concat(kind, F.lit(": "), F.when(amount.isNull(), "amount unknown").otherwise(F.concat(amount, F.lit(" "), currency)), often)
+
+
 def exact_evidence(text: Column, start: Column, end: Column, excerpt: Column) -> Column:
     """Offsets of an excerpt: as stated if they match, else where it occurs if it occurs exactly once, else null."""
     stated = (start >= 0) & (end > start) & (end <= F.length(text)) & (F.substring(text, start + 1, end - start) == excerpt)

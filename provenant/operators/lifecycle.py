@@ -6,6 +6,9 @@ the incoming ones and gives the next rows, or the rows that forbid the change.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,14 +111,15 @@ def conflicting_replays(incoming: DataFrame, current: DataFrame, key: str, field
     return incoming.join(old, key).filter(~F.struct(*fields).eqNullSafe(F.col("_old"))).select(key)
 
 
-def replace_clusters(before: DataFrame, assignments: DataFrame) -> DataFrame:
+def replace_clusters(before: DataFrame, assignments: DataFrame, taken: DataFrame | None = None) -> DataFrame:
     """Clusters of a version after reassignment: surviving fingerprints keep their ids, empty clusters go.
 
-    ``before`` holds ``id, fingerprint``; ``assignments`` ``fingerprint, observation_id``.
+    ``before`` holds ``id, fingerprint``; ``assignments`` ``fingerprint, observation_id``;
+    new ids follow those of ``taken`` (of ``before``, if that is not given).
     """
     wanted = assignments.groupBy("fingerprint").agg(F.count("*").alias("members"))
     rows = wanted.join(before.select("id", "fingerprint"), "fingerprint", "left").select("id", "fingerprint", "members")
-    return with_new_ids(rows, before, "fingerprint")
+    return with_new_ids(rows, before if taken is None else taken, "fingerprint")
 
 
 def open_cases(clusters: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -132,25 +136,118 @@ def revise_field(observations: DataFrame, revisions: DataFrame, field: str) -> D
     return out.withColumn(field, F.when(F.col("_revised"), F.col("_new")).otherwise(F.col(field))).select(*observations.columns)
 
 
-def opportunity_claims(opportunities: DataFrame, passes: DataFrame, competitors: DataFrame, counter: DataFrame) -> DataFrame:
-    """Claims of each opportunity by role: supporting passes, competitor context, contradicting findings; each once."""
+def judged_revisions(revisions: DataFrame, field: str, observations: DataFrame, spans: DataFrame, members: DataFrame, cases: DataFrame, recorded: DataFrame) -> DataFrame:
+    """Revisions with ``old_value_json, new_value_json, replayed`` and the ``refusal`` that stands against one.
+
+    ``revisions`` holds ``observation_id, value, reason, evidence_span_id,
+    revision_version``.  A revision needs a reason, a version, a span of its own
+    observation and a new value; none is made once a case stands on the cluster; the
+    same version with the same value is a replay.
+    """
+    as_json = lambda c: F.when(c.isNull(), "null").otherwise(F.regexp_replace(F.to_json(F.struct(c.alias("v"))), r'^\{"v":(.*)\}$', "$1"))
+    rows = revisions.join(observations.select(F.col("id").alias("observation_id"), F.col(field).alias("_old"), F.lit(True).alias("_known")), "observation_id", "left")
+    rows = rows.join(spans.select(F.col("id").alias("evidence_span_id"), F.col("observation_id").alias("_owner")), "evidence_span_id", "left")
+    before = recorded.filter(F.col("field_name") == field).select("observation_id", "revision_version", F.col("new_value_json").alias("_recorded"))
+    rows = rows.join(before, ["observation_id", "revision_version"], "left")
+    locked = members.join(cases.select("cluster_id").distinct(), "cluster_id", "left_semi").select("observation_id", F.lit(True).alias("_locked")).distinct()
+    rows = rows.join(locked, "observation_id", "left").withColumns({"old_value_json": as_json(F.col("_old")), "new_value_json": as_json(F.col("value"))})
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    replayed = F.col("_recorded").isNotNull() & (F.col("_recorded") == F.col("new_value_json"))
+    why = (
+        F.when(F.col("_known").isNull(), "there is no such observation")
+        .when(blank("reason") | blank("revision_version"), "a revision has a reason and a version")
+        .when(~F.col("_owner").eqNullSafe(F.col("observation_id")), "the evidence is of another observation")
+        .when(F.col("_recorded").isNotNull() & ~replayed, "the version is recorded with another value")
+        .when(~replayed & F.col("_old").eqNullSafe(F.col("value")), "the value is the same")
+        .when(~replayed & F.coalesce("_locked", F.lit(False)), "a case stands on the observation's cluster")
+    )
+    return rows.withColumns({"field_name": F.lit(field), "replayed": replayed, "refusal": why}).drop("_old", "_known", "_owner", "_recorded", "_locked")
+
+
+def without_observations(members: DataFrame, fingerprints: DataFrame, clusters: DataFrame, cases: DataFrame, revised: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Memberships, fingerprints and clusters after some observations (``observation_id``) changed: theirs go, and clusters left empty without a case."""
+    gone = revised.select("observation_id").distinct()
+    kept = members.join(gone, "observation_id", "left_anti").select(*members.columns)
+    used = kept.select(F.col("cluster_id").alias("id")).unionByName(cases.select(F.col("cluster_id").alias("id"))).distinct()
+    return kept, fingerprints.join(gone, "observation_id", "left_anti").select(*fingerprints.columns), clusters.join(used, "id", "left_semi").select(*clusters.columns)
+
+
+def set_family(observations: DataFrame, changes: DataFrame) -> DataFrame:
+    """Observations with new families and ontology versions (``observation_id, problem_family, ontology_version``)."""
+    new = changes.select(F.col("observation_id").alias("_o"), F.col("problem_family").alias("_f"), F.col("ontology_version").alias("_v"))
+    out = observations.join(new, F.col("id") == F.col("_o"), "left")
+    there = F.col("_o").isNotNull()
+    named = {"problem_family": "_f", "ontology_version": "_v"}
+    return out.withColumns({c: F.when(there, F.col(n)).otherwise(F.col(c)) for c, n in named.items() if c in observations.columns}).select(*observations.columns)
+
+
+def assigned_clusters(clusters: DataFrame, fingerprints: DataFrame, members: DataFrame, cases: DataFrame, marked: DataFrame, version: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Clusters, fingerprints and memberships after a version is assigned anew from ``observation_id, fingerprint``.
+
+    Fingerprints that stay keep their cluster's id, new ones get the next ids; a
+    cluster of the version that is left empty goes unless a case stands on it.
+    Other versions stay as they are.
+    """
+    own = clusters.filter(F.col("algorithm_version") == version)
+    placed = replace_clusters(own, marked, clusters).select("id", "fingerprint")
+    with_case = own.join(cases.select(F.col("cluster_id").alias("id")), "id", "left_semi").join(placed.select("id"), "id", "left_anti").select("id", "fingerprint")
+    after = clusters.filter(F.col("algorithm_version") != version).select("id", "algorithm_version", "fingerprint").unionByName(placed.unionByName(with_case).select("id", F.lit(version).alias("algorithm_version"), "fingerprint"))
+    prints = fingerprints.filter(F.col("fingerprint_version") != version).unionByName(marked.select("observation_id", F.lit(version).alias("fingerprint_version"), "fingerprint"))
+    of_version = members.join(own.select(F.col("id").alias("cluster_id")), "cluster_id", "left_anti").select("cluster_id", "observation_id")
+    return after, prints, of_version.unionByName(marked.join(placed, "fingerprint").select(F.col("id").alias("cluster_id"), "observation_id"))
+
+
+def model_run_refusal(amount: Column, currency: Column, measured_by: Column) -> Column:
+    """Why a model run's cost is refused: amount, currency and source of the measure come together, the currency has three letters; null if fine."""
+    given = sum((F.when(F.coalesce(F.trim(c.cast("string")), F.lit("")) != "", 1).otherwise(0) for c in (amount, currency, measured_by)), F.lit(0))
+    number = amount.try_cast("decimal(38,12)")
+    return F.when(~given.isin(0, 3), "amount, currency and source come together").when(given == 0, F.lit(None)).when(~F.rlike(currency, F.lit("^[A-Z]{3}$")), "a currency has three capital letters").when(number.isNull() | (number < 0), "an amount is a number that is not negative")
+
+
+def opportunity_claims(opportunities: DataFrame, passes: DataFrame, competitors: DataFrame, counter: DataFrame, competitor_evidence: DataFrame | None = None, complaints: DataFrame | None = None, complaint_evidence: DataFrame | None = None) -> DataFrame:
+    """Claims of each opportunity by role, each once.
+
+    Summaries of passes support, those of the counter-evidence pass contradict, as do
+    its findings; context comes from competitors: their profiles, evidence, complaints
+    and the evidence of those.
+    """
     of = opportunities.select(F.col("id").alias("opportunity_id"), "case_id")
-    parts = [
-        (passes.filter("outcome = 'EVIDENCE_FOUND' and summary_claim_id is not null"), "summary_claim_id", "SUPPORTING"),
-        (competitors, "profile_claim_id", "CONTEXT"),
-        (counter, "factual_claim_id", "CONTRADICTING"),
-    ]
-    out = None
-    for rows, claim, role in parts:
-        part = rows.select("case_id", F.col(claim).alias("claim_id")).join(of, "case_id").select("opportunity_id", "claim_id", F.lit(role).alias("claim_role"))
-        out = part if out is None else out.unionByName(part)
-    return out.distinct()
+    vendor = competitors.select(F.col("id").alias("competitor_id"), "case_id")
+    role = F.when(F.col("pass_type") == "COUNTER_EVIDENCE", "CONTRADICTING").otherwise("SUPPORTING")
+    parts = [passes.filter("summary_claim_id is not null").select("case_id", F.col("summary_claim_id").alias("claim_id"), role.alias("claim_role")), counter.select("case_id", F.col("factual_claim_id").alias("claim_id"), F.lit("CONTRADICTING").alias("claim_role"))]
+    context = [competitors.select("case_id", F.col("profile_claim_id").alias("claim_id"))]
+    if competitor_evidence is not None:
+        context.append(competitor_evidence.join(vendor, "competitor_id").select("case_id", "claim_id"))
+    if complaints is not None:
+        context.append(complaints.join(vendor, "competitor_id").select("case_id", F.col("summary_claim_id").alias("claim_id")))
+        if complaint_evidence is not None:
+            own = complaints.select(F.col("id").alias("complaint_id"), "competitor_id").join(vendor, "competitor_id")
+            context.append(complaint_evidence.join(own, "complaint_id").select("case_id", "claim_id"))
+    parts += [c.filter("claim_id is not null").withColumn("claim_role", F.lit("CONTEXT")) for c in context]
+    return reduce(DataFrame.unionByName, parts).join(of, "case_id").select("opportunity_id", "claim_id", "claim_role").distinct()
+
+
+def problem_claims(cases: DataFrame, members: DataFrame, observations: DataFrame, spans: DataFrame) -> DataFrame:
+    """``case_id, observation_id, evidence_span_id, text``: the first observation of a case that states a problem and has a span, with its first span."""
+    stated = observations.filter(F.length(F.trim("problem")) > 0).select(F.col("id").alias("observation_id"), "problem")
+    first = spans.filter("observation_id is not null").groupBy("observation_id").agg(F.min("id").alias("evidence_span_id"))
+    rows = cases.select(F.col("id").alias("case_id"), "cluster_id").join(members.select("cluster_id", "observation_id"), "cluster_id").join(stated, "observation_id").join(first, "observation_id")
+    chosen = rows.groupBy("case_id").agg(F.min_by(F.struct("observation_id", "evidence_span_id", F.col("problem").alias("text")), "observation_id").alias("p"))
+    return chosen.select("case_id", "p.*")
+
+
+def creatable_opportunities(cases: DataFrame, opportunities: DataFrame, problems: DataFrame) -> DataFrame:
+    """``case_id, refusal, existing_id`` of cases: only complete ones with an evidenced problem get an opportunity, and a ready one is not made anew."""
+    old = opportunities.select("case_id", F.col("id").alias("existing_id"), F.col("status").alias("_old"))
+    rows = cases.select(F.col("id").alias("case_id"), "status").join(old, "case_id", "left").join(problems.select("case_id", F.lit(True).alias("_problem")), "case_id", "left")
+    why = F.when(F.col("status") != "COMPLETE", "the case is not complete").when(F.col("_old") == "REPORT_READY", "the opportunity is ready and stays as it is").when(F.col("existing_id").isNull() & F.col("_problem").isNull(), "the case has no problem with evidence")
+    return rows.select("case_id", why.alias("refusal"), "existing_id")
 
 
 def search_opportunities(opportunities: DataFrame, cases: DataFrame, members: DataFrame, observations: DataFrame, *, query: str | None = None, status: str | None = None, evidence_state: str | None = None, types: DataFrame | None = None, opportunity_type: str | None = None, saved: DataFrame | None = None, limit: int = 100) -> DataFrame:
     """Opportunities by filters and a literal text over title, problem, actor, job and context; newest first."""
     if not 1 <= limit <= 1000:
-        raise ValueError("opportunity search limit must be between 1 and 1000")
+        raise ValueError("a search gives 1 to 1000 opportunities")
     out = opportunities
     if status:
         out = out.filter(F.col("status") == status)
@@ -169,7 +266,39 @@ def search_opportunities(opportunities: DataFrame, cases: DataFrame, members: Da
         hits = observations.filter(said).select(F.col("id").alias("observation_id"))
         found = cases.select(F.col("id").alias("case_id"), "cluster_id").join(members.join(hits, "observation_id", "left_semi").select("cluster_id").distinct(), "cluster_id", "left_semi").select("case_id", F.lit(True).alias("_hit"))
         out = out.join(found, "case_id", "left").filter(F.contains(F.lower("title"), needle) | F.coalesce("_hit", F.lit(False))).drop("_hit")
-    return out.orderBy(F.desc("updated_at"), F.desc("id")).limit(limit)
+    return ordered(out, limit, F.desc("updated_at"), F.desc("id"))
+
+
+def ordered(rows: DataFrame, limit: int, *keys: Column) -> DataFrame:
+    """The first rows in order, with their ``position``; no task sees more than ``limit`` rows of each partition."""
+    top = rows.orderBy(*keys).limit(limit)
+    return top.withColumn("position", F.row_number().over(Window.orderBy(*keys)))
+
+
+def saved_list(saved: DataFrame, opportunities: DataFrame, limit: int = 1000) -> DataFrame:
+    """Bookmarks that name an opportunity, the latest first."""
+    rows = saved.withColumnRenamed("opportunity_id", "id").join(opportunities.select("id"), "id")
+    return ordered(rows.select("id", "note", "saved_at"), limit, F.desc("saved_at"), F.desc("id"))
+
+
+# Stakeholder roles in the order of a report.
+ROLES = ("END_USER", "BUYER", "DECISION_MAKER", "GATEKEEPER", "INFLUENCER")
+
+
+def stakeholders(rows: DataFrame) -> DataFrame:
+    """Stakeholders of each case with their ``position`` in the order of their roles."""
+    place = F.array_position(F.array(*(F.lit(r) for r in ROLES)), F.col("role"))
+    return rows.withColumn("position", F.row_number().over(Window.partitionBy("case_id").orderBy(place, "role")))
+
+
+def sample_problems(observations: DataFrame, items: DataFrame, sources: DataFrame, spans: DataFrame, limit: int = 10) -> DataFrame:
+    """The first evidenced problems, those with an impact or an active search before the others."""
+    impact = [F.col(c).isNotNull() for c in ("time_impact", "financial_impact") if c in observations.columns]
+    loud = reduce(or_, impact, F.coalesce("active_solution_search", F.lit(False)))
+    rows = observations.select(F.col("id").alias("observation_id"), "problem", "source_item_id", loud.alias("loud"))
+    rows = rows.join(items.select(F.col("id").alias("source_item_id"), "source_id"), "source_item_id").join(sources.select(F.col("id").alias("source_id"), F.col("name").alias("community")), "source_id")
+    rows = rows.join(spans.select("observation_id", F.col("id").alias("span_id"), "excerpt"), "observation_id")
+    return ordered(rows.select("observation_id", "span_id", "community", "problem", "excerpt", "loud"), limit, F.desc("loud"), F.col("observation_id"), F.col("span_id"))
 
 
 def scope_summary(cases: DataFrame, members: DataFrame, observations: DataFrame, spans: DataFrame, items: DataFrame, sources: DataFrame) -> DataFrame:

@@ -97,7 +97,7 @@ def sort_keys(sort_by: str) -> list[Column]:
         return [F.col("cost_per_strong_signal").asc_nulls_last(), *ties]
     if sort_by == "newest-evidence":
         return [F.coalesce("measurement_end", F.lit("")).desc(), *ties]
-    raise ValueError(f"unsupported source performance sort: {sort_by}")
+    raise ValueError(f"no such order of sources: {sort_by}")
 
 
 def ranked(snapshots: DataFrame, sort_by: str, *, lifecycles: tuple[str, ...] = (), minimum_items: int = 0, production_ready_only: bool = False, limit: int | None = None) -> DataFrame:
@@ -146,3 +146,54 @@ def budget_plan(snapshots: DataFrame, profiles: DataFrame, *, total: int, explor
     explored = take_budget(rest, [F.col("items_scanned").asc(), F.lower("source_name").asc(), F.col("source_id").asc()], F.col("_cap"), exploration)
     explored = explored.select("source_id", "source_name", F.lit("EXPLORATION").alias("lane"), "allocated_items", F.col("_cap").alias("per_source_cap"), F.col("items_scanned").cast("double").alias("rank_value"))
     return performance.unionByName(explored)
+
+
+#: Workarounds done by hand, and tools that people have built for themselves (fixed values).
+BY_HAND = ("SPREADSHEET", "CSV", "EMAIL", "WHATSAPP", "PAPER", "MANUAL_ENTRY")
+OWN_TOOLS = ("INTERNAL_SCRIPT", "CUSTOM_SOFTWARE")
+
+
+def wave_rows(selections: DataFrame, sources: DataFrame, items: DataFrame, flagged: DataFrame, done: DataFrame, workarounds: DataFrame, impacts: DataFrame, payments: DataFrame, runs: DataFrame, records: DataFrame, acquisitions: DataFrame) -> DataFrame:
+    """One row per selected source with everything a wave is judged by; without a full item the research measures are unknown.
+
+    ``selections`` holds ``source, category, target_items, health_status, policy_ready,
+    acquisition_eligible``; ``flagged`` are all observations, ``done`` those of completed
+    runs.  Model costs cannot be told apart by source, so they are unknown.
+    """
+    kind = lambda c, v: F.count_distinct(F.when(F.col("completeness") == v, F.col("canonical_url"))).alias(c)
+    taken = acquisitions.join(records.select(F.col("id").alias("discovery_id"), "source_id", "canonical_url"), "discovery_id")
+    called = F.get_json_object("metadata_json", "$.provider_invocation") == "true"
+    long_enough = items.filter(F.length("raw_text") >= 40).select(F.col("id").alias("source_item_id"), F.lit(True).alias("_usable"))
+    requested = F.col("requested_items") if "requested_items" in runs.columns else F.lit(None).cast("long")
+    requests = F.col("search_requests") if "search_requests" in runs.columns else F.lit(1)
+    searched = runs.groupBy("source_id").agg(F.sum(requests).cast("long").alias("search_requests"), F.sum("urls_discovered").cast("long").alias("discovered_urls"), F.when(F.count(requested) == F.count("*"), F.coalesce(F.sum(requested), F.lit(0))).cast("long").alias("requested_items"), F.coalesce(F.sum("cost_usd"), F.lit(0.0)).alias("_run_cost"), (F.count("*") - F.count("cost_usd")).alias("_run_unknown"))
+    unique = records.groupBy("source_id").agg(F.count_distinct("canonical_url").alias("unique_urls"))
+    found = taken.join(long_enough, "source_item_id", "left").groupBy("source_id").agg(
+        kind("full_items", "FULL"), kind("partial_items", "PARTIAL"), kind("metadata_only_items", "METADATA_ONLY"),
+        F.count_if(F.col("state").isin("ACQUISITION_FAILED", "POLICY_BLOCKED")).alias("failed_acquisitions"),
+        F.count_distinct(F.when((F.col("completeness") == "FULL") & F.col("_usable"), F.col("source_item_id"))).alias("items_after_prefilter"),
+        F.sum(F.when(called, F.col("latency_ms"))).cast("long").alias("latency_ms"),
+        F.coalesce(F.sum("cost_usd"), F.lit(0.0)).alias("_acq_cost"), (F.count("*") - F.count("cost_usd")).alias("_acq_unknown"),
+    )
+    of = items.select(F.col("id").alias("source_item_id"), "source_id")
+    own = done.join(of, "source_item_id")
+    seen = own.groupBy("source_id").agg(F.count("*").alias("pain_observations"), F.count_if("strong_or_null").alias("strong_signals"), F.count_if("active_solution_search").alias("active_solution_searches"), F.sum("quantified_signals").cast("long").alias("quantified_impacts"), F.sum("payment_signals").cast("long").alias("payment_signals"))
+    by_kind = lambda c, v: F.count_distinct(F.when(F.col("workaround_type").isin(*v), F.col("observation_id"))).alias(c)
+    made = workarounds.join(flagged.select(F.col("id").alias("observation_id"), "source_item_id"), "observation_id").join(of, "source_item_id").groupBy("source_id").agg(by_kind("manual_workaround_signals", BY_HAND), by_kind("diy_internal_tool_signals", OWN_TOOLS))
+    out = selections.join(sources.select(F.col("id").alias("source_id"), F.lower("name").alias("_k")), F.lower("source") == F.col("_k"), "left").drop("_k")
+    for side in (searched, unique, found, seen, made):
+        out = out.join(side, "source_id", "left")
+    counts = ["search_requests", "discovered_urls", "unique_urls", "full_items", "partial_items", "metadata_only_items", "failed_acquisitions", "items_after_prefilter", "pain_observations", "strong_signals", "active_solution_searches", "quantified_impacts", "payment_signals", "manual_workaround_signals", "diy_internal_tool_signals", "_run_cost", "_run_unknown", "_acq_cost", "_acq_unknown"]
+    out = out.fillna(0, counts).withColumn("requested_items", F.when(F.col("search_requests") == 0, F.lit(0)).otherwise(F.col("requested_items")).cast("long"))
+    full = F.col("full_items")
+    if_full = lambda c: F.when(full > 0, F.col(c)).alias(c)
+    unknown = F.col("_run_unknown") + F.col("_acq_unknown")
+    return out.select(
+        "source", "category", "target_items", "health_status", "policy_ready", "acquisition_eligible", "search_requests", "requested_items", "discovered_urls", "unique_urls",
+        (F.col("discovered_urls") - F.col("unique_urls")).alias("duplicates_removed"), "full_items", "partial_items", "metadata_only_items", "failed_acquisitions",
+        F.try_divide(full.cast("double"), F.col("unique_urls")).alias("acquisition_success_rate"), full.alias("usable_items"),
+        *(if_full(c) for c in ("items_after_prefilter", "pain_observations", "strong_signals", "active_solution_searches", "quantified_impacts", "payment_signals", "manual_workaround_signals", "diy_internal_tool_signals")),
+        F.when((F.col("search_requests") > 0) & (unknown == 0), F.col("_run_cost") + F.col("_acq_cost")).alias("acquisition_cost_usd"), F.lit(None).cast("double").alias("processing_cost_usd"), unknown.alias("unknown_cost_records"), "latency_ms",
+        *(per_thousand(F.col(c), full).alias(n) for c, n in (("pain_observations", "pain_per_1000_usable"), ("strong_signals", "strong_per_1000_usable"), ("active_solution_searches", "active_per_1000_usable"), ("payment_signals", "payment_per_1000_usable"))),
+        F.lit(None).cast("double").alias("cost_per_strong_signal_usd"), F.when(full == 0, "UNMEASURED").otherwise("DESCRIPTIVE_ONLY").alias("research_quality"), full.alias("sample_size_usable"),
+    )

@@ -56,8 +56,11 @@ def latest_health(checks: DataFrame) -> DataFrame:
 def select_wave(slots: DataFrame, health: DataFrame) -> DataFrame:
     """Primary or backup per slot, each source used once; slots follow each other, so the few of them go to one task.
 
-    ``slots`` holds ``slot, primary_name, backup_name``; ``health`` ``name, status``.
+    ``slots`` holds ``slot, primary_name, backup_name``; ``health`` ``name, status`` and,
+    where it is known, ``policy_ready``.  Only an active source with a ready policy is
+    ``acquisition_eligible``.
     """
+    # The labels of a selection.
     known = health.select(F.lower("name").alias("k"), "status")
     rows = slots.join(known.withColumnsRenamed({"k": "pk", "status": "primary_status"}), F.lower("primary_name") == F.col("pk"), "left").join(known.withColumnsRenamed({"k": "bk", "status": "backup_status"}), F.lower("backup_name") == F.col("bk"), "left")
 
@@ -75,7 +78,12 @@ def select_wave(slots: DataFrame, health: DataFrame) -> DataFrame:
         return pd.DataFrame(out, columns=["slot", "source", "health_status", "selection_status"])
 
     shaped = rows.select("slot", "primary_name", "backup_name", F.coalesce("primary_status", F.lit("UNKNOWN")).alias("primary_status"), F.coalesce("backup_status", F.lit("UNKNOWN")).alias("backup_status"), F.lit(0).alias("_all"))
-    return shaped.groupBy("_all").applyInPandas(choose, "slot long, source string, health_status string, selection_status string")
+    chosen = shaped.groupBy("_all").applyInPandas(choose, "slot long, source string, health_status string, selection_status string")
+    if "policy_ready" not in health.columns:
+        return chosen
+    policy = health.select(F.lower("name").alias("_k"), "policy_ready")
+    out = chosen.join(policy, F.lower("source") == F.col("_k"), "left").drop("_k").withColumn("policy_ready", F.coalesce("policy_ready", F.lit(False)))
+    return out.withColumn("acquisition_eligible", (F.col("health_status") == "ACTIVE") & F.col("policy_ready"))
 
 
 def top_per_source(rows: DataFrame, order: list, most: int) -> DataFrame:

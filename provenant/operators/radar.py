@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fields of products: name and the pattern that a lower-cased text must hold.
@@ -57,8 +57,20 @@ NICHES = {
     "agency": "Agenturen",
     "pos": "Kassensysteme",
 }
-#: Buckets that the registered queries count over the given tables.
-BUCKETS = {"invoice": "invoice|bill", "report": "report|dashboard", "thing": "th(ing|ese)", "street": "stra(ss|ß)e|heit", "people": "que|llo", "junk": "%%%|&&&", "insult": "idiot|clown|moron"}
+#: Buckets of products that serve a niche.
+NICHE_BUCKETS = {
+    "Gastronomie": ("restaurant-pos",),
+    "Buchhaltung / Steuer": ("bookkeeping-finance",),
+    "Immobilienverwaltung": ("property/ho-admin",),
+    "Frachtenvermittlung / Logistik": ("logistics-freight",),
+    "Handwerk (HLK)": ("field-service", "construction"),
+    "Handwerk (Sanitär)": ("field-service", "construction"),
+    "Bau / Handwerk": ("field-service", "construction"),
+    "Kleingewerbe / Solo-Selbständige": ("field-service", "sales-crm", "marketing-ads", "phone-ai"),
+    "Vertrieb / Sales": ("sales-crm",),
+    "Agenturen": ("marketing-ads", "sales-crm"),
+    "Buchhaltung": ("bookkeeping-finance",),
+}
 
 
 def tags(text: Column, buckets: dict[str, str]) -> Column:
@@ -88,3 +100,30 @@ def niche(url: Column) -> Column:
 
 def bucket_counts(tagged: DataFrame) -> DataFrame:
     return tagged.select(F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("products"))
+
+
+def distinct_pains(pains: DataFrame) -> DataFrame:
+    """Pains (``id, url, pain`` and more) without repetitions: of those with one URL and the same first 60 characters the first stands."""
+    others = [c for c in pains.columns if c != "url"]
+    kept = pains.groupBy("url", F.substring("pain", 1, 60).alias("_head")).agg(F.min_by(F.struct(*others), "id").alias("p"))
+    return kept.select("url", "p.*").select(*pains.columns)
+
+
+def related(products: DataFrame, niche_buckets: dict[str, tuple[str, ...]] = NICHE_BUCKETS, most: int = 10) -> DataFrame:
+    """``niche, name, score, rn``: the products that serve a niche best, ties by name.
+
+    A product counts one and its pain hits for every bucket of the niche that it is in;
+    products of one name add up.  Pains meet these by their niche, so no pain is ever
+    paired with a product.
+    """
+    pairs = products.sparkSession.createDataFrame([(n, b) for n, bs in niche_buckets.items() for b in bs], "niche string, bucket string")
+    scored = products.select("name", (F.lit(1) + F.size("pain_hits")).alias("worth"), F.explode("buckets").alias("bucket")).groupBy("bucket", "name").agg(F.sum("worth").alias("worth"))
+    total = scored.join(F.broadcast(pairs), "bucket").groupBy("niche", "name").agg(F.sum("worth").cast("long").alias("score"))  # a fixed list of niches
+    return total.withColumn("rn", F.row_number().over(Window.partitionBy("niche").orderBy(F.desc("score"), "name"))).filter(F.col("rn") <= most)
+
+
+def site_payload(pains: DataFrame, products: DataFrame) -> DataFrame:
+    """Pains (``id, url, pain, quote`` and more) with their ``niche`` and the names of related products in order."""
+    best = related(products).groupBy("niche").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "name"))), lambda r: r["name"]).alias("related"))
+    rows = distinct_pains(pains).withColumn("niche", niche(F.col("url")))
+    return rows.join(best, "niche", "left").withColumn("related", F.coalesce("related", F.array().cast("array<string>")))

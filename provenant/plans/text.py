@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provenant.functions import text
@@ -73,35 +73,54 @@ def short_excerpts(d: Domain) -> DataFrame:
     return d.documents.select("doc_id", text.shortened(F.col("text"), 200).alias("short"))
 
 
-_BUCKETS = " || ".join(f"CASE WHEN regexp_matches(lower(text), '{p}') THEN '{n},' ELSE '' END" for n, p in radar.BUCKETS.items())
+def _tag_sql(patterns: dict[str, str], column: str) -> str:
+    return "rtrim(" + " || ".join(f"CASE WHEN regexp_matches({column}, '{p}') THEN '{n},' ELSE '' END" for n, p in patterns.items()) + ", ',')"
 
 
-@registry.query((), "", f"SELECT doc_id, rtrim({_BUCKETS}, ',') AS buckets FROM documents")
-def tag_buckets(d: Domain) -> DataFrame:
-    """Topic buckets of every text."""
-    return d.documents.select("doc_id", F.array_join(radar.tags(F.col("text"), radar.BUCKETS), ",").alias("buckets"))
+TAGGED = f"""tagged AS (SELECT *, {_tag_sql(radar.LEXICON, "said")} AS buckets, {_tag_sql(radar.PAIN_SEEDS, "said")} AS pain_hits FROM (SELECT id, name, tagline, seen_date, lower(name || ' ' || coalesce(tagline, '')) AS said FROM radar_products) t)"""
 
 
-_COUNTS = " UNION ALL ".join(f"SELECT '{n}' AS bucket, count(*) AS products FROM documents WHERE regexp_matches(lower(text), '{p}')" for n, p in radar.BUCKETS.items())
+@registry.query(("radar_products",), TAGGED, "SELECT id, buckets, pain_hits FROM tagged")
+def tag_buckets(d: Domain) -> DataFrame:
+    """Buckets and pain seeds of every product."""
+    return radar.classified(d.radar_products).select("id", F.array_join("buckets", ",").alias("buckets"), F.array_join("pain_hits", ",").alias("pain_hits"))
 
 
-@registry.query((), "", f"SELECT * FROM ({_COUNTS}) t WHERE products > 0")
+@registry.query(("radar_products",), TAGGED, "SELECT bucket, count(*) AS products FROM (SELECT unnest(string_split(buckets, ',')) AS bucket FROM tagged WHERE buckets <> '') t GROUP BY bucket")
 def bucket_counts(d: Domain) -> DataFrame:
-    return radar.bucket_counts(d.documents.select(radar.tags(F.col("text"), radar.BUCKETS).alias("buckets")))
+    return radar.bucket_counts(radar.classified(d.radar_products))
 
 
-@registry.query((), "", """
-WITH p AS (SELECT p_partkey, p_name, p_brand, p_type, p_size FROM part), scored AS (
-  SELECT s.s_suppkey, p.p_partkey, p.p_name, CAST((p.p_size % 25 = s.s_nationkey) AS INT) * 2 + CAST((substr(p.p_brand, 7, 1) = CAST(s.s_suppkey % 5 + 1 AS VARCHAR)) AS INT) AS score FROM supplier s JOIN p ON p.p_size % 25 = s.s_nationkey
-), r AS (SELECT *, row_number() OVER (PARTITION BY s_suppkey ORDER BY score DESC, p_name, p_partkey) AS rn FROM scored)
-SELECT s_suppkey, p_partkey, score, CAST(rn AS INT) AS rn FROM r WHERE rn <= 10""")
+_NICHE_PAIRS = " UNION ALL ".join(f"SELECT '{n}' AS niche, '{b}' AS bucket" for n, bs in radar.NICHE_BUCKETS.items() for b in bs)
+
+
+@registry.query(("radar_products",), TAGGED + f", pairs AS ({_NICHE_PAIRS})", """
+, b AS (SELECT name, 1 + CASE WHEN pain_hits = '' THEN 0 ELSE len(string_split(pain_hits, ',')) END AS worth, unnest(string_split(buckets, ',')) AS bucket FROM tagged WHERE buckets <> ''), s AS (SELECT p.niche, b.name, CAST(sum(b.worth) AS BIGINT) AS score FROM b JOIN pairs p ON p.bucket = b.bucket GROUP BY p.niche, b.name)
+SELECT * FROM (SELECT niche, name, score, CAST(row_number() OVER (PARTITION BY niche ORDER BY score DESC, name) AS INT) AS rn FROM s) t WHERE rn <= 10""")
 def related_products(d: Domain) -> DataFrame:
-    """The ten best products of each supplier by shared traits, ties by name."""
-    rows = d.supplier.join(d.part, F.col("p_size") % 25 == F.col("s_nationkey"))
-    score = F.lit(2) + (F.substring("p_brand", 7, 1) == (F.col("s_suppkey") % 5 + 1).cast("string")).cast("int")
-    rows = rows.withColumn("score", score)
-    rn = F.row_number().over(Window.partitionBy("s_suppkey").orderBy(F.desc("score"), "p_name", "p_partkey"))
-    return rows.withColumn("rn", rn).filter("rn <= 10").select("s_suppkey", "p_partkey", "score", "rn")
+    """The ten products that serve each niche best."""
+    return radar.related(radar.classified(d.radar_products))
+
+
+_NICHE_SQL = "CASE lower({c}) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in radar.NICHES.items()) + " ELSE 'Community ' || {c} END"
+
+
+@registry.query(("radar_pains",), "", f"""
+, u AS (SELECT *, row_number() OVER (PARTITION BY url, substr(pain, 1, 60) ORDER BY id) AS rn, CASE WHEN coalesce(regexp_extract(url, '/r/([A-Za-z0-9_]+)', 1), '') = '' THEN 'unbekannt' ELSE regexp_extract(url, '/r/([A-Za-z0-9_]+)', 1) END AS community FROM radar_pains)
+SELECT id, url, pain, community, {_NICHE_SQL.format(c="community")} AS niche FROM u WHERE rn = 1""")
+def distinct_pains(d: Domain) -> DataFrame:
+    """Pains without repetitions, with their communities and niches."""
+    return radar.distinct_pains(d.radar_pains).select("id", "url", "pain", radar.community(F.col("url")).alias("community"), radar.niche(F.col("url")).alias("niche"))
+
+
+@registry.query(("impact_signals", "payment_signals"), "", """
+SELECT 'impact' AS kind, id, impact_type || ': ' || CASE WHEN quantified THEN value || ' ' || unit || CASE WHEN id % 3 = 0 THEN ' (daily)' ELSE '' END ELSE 'qualitative impact recorded' END AS label FROM impact_signals
+UNION ALL SELECT 'payment', id, payment_type || ': ' || CASE WHEN amount IS NULL THEN 'amount unknown' ELSE amount || ' ' || currency END || CASE WHEN id % 3 = 0 THEN ' (daily)' ELSE '' END FROM payment_signals""")
+def signal_labels(d: Domain) -> DataFrame:
+    """Impacts and payments in words."""
+    often = F.when(F.col("id") % 3 == 0, "daily")
+    impacts = d.impact_signals.select(F.lit("impact").alias("kind"), "id", text.impact_label(F.col("impact_type"), F.col("quantified"), F.col("value"), F.col("unit"), often).alias("label"))
+    return impacts.unionByName(d.payment_signals.select(F.lit("payment").alias("kind"), "id", text.payment_label(F.col("payment_type"), F.col("amount"), F.col("currency"), often).alias("label")))
 
 
 JUDGED = "judged AS (SELECT l.doc_id, l.quality = 1 AS gold, length(d.text) >= 400 AS predicted, l.toxic = 1 AS gold_toxic FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id)"
@@ -117,13 +136,13 @@ def detection_metrics(d: Domain) -> DataFrame:
 
 
 @registry.query((), r"""gold AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{L}]+'), lambda w: length(w) > 5)) AS g FROM benchmark),
-pred AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(substr(text, 1, 120)), '[^\p{L}]+'), lambda w: length(w) > 4)) AS p FROM benchmark),
+pred AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{L}]+'), lambda w: length(w) > 4 AND NOT contains(w, 'in'))) AS p FROM benchmark),
 c AS (SELECT CAST(sum(len(list_intersect(g, p))) AS BIGINT) AS tp, CAST(sum(len(p) - len(list_intersect(g, p))) AS BIGINT) AS fp, CAST(sum(len(g) - len(list_intersect(g, p))) AS BIGINT) AS fn FROM gold JOIN pred USING (item_id))""", f"""
 SELECT tp, fp, fn, {_RATIO.format(a='tp', b='(tp + fp)')} AS precision, {_RATIO.format(a='tp', b='(tp + fn)')} AS recall, {_RATIO.format(a='2 * tp', b='(2 * tp + fp + fn)')} AS f1 FROM c""")
 def span_metrics(d: Domain) -> DataFrame:
     """Set-valued extraction quality: items found, spurious and missed over all cases."""
-    words = lambda c, n: F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}]+"), lambda w: F.length(w) > n))
-    rows = d.benchmark.select(words(F.col("text"), 5).alias("gold"), words(F.substring("text", 1, 120), 4).alias("predicted"))
+    words = lambda keep: F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), keep))
+    rows = d.benchmark.select(words(lambda w: F.length(w) > 5).alias("gold"), words(lambda w: (F.length(w) > 4) & ~F.contains(w, F.lit("in"))).alias("predicted"))
     return evaluation.set_quality(rows)
 
 
@@ -143,12 +162,29 @@ def competition_metrics(d: Domain) -> DataFrame:
     return evaluation.keyed(rows.filter("o_orderkey % 3 <> 0").select(*keys).distinct(), rows.filter("o_orderkey % 4 <> 0").select(*keys).distinct(), keys)
 
 
-@registry.query((), "", """
-SELECT avg(CAST(c_nationkey % 4 = c_custkey % 4 AS INT)) AS actor_accuracy, avg(CAST(c_nationkey % 3 = c_custkey % 3 AS INT)) AS workflow_accuracy, avg(CAST(c_nationkey % 4 = c_custkey % 4 AND c_nationkey % 3 = c_custkey % 3 AS INT)) AS exact FROM customer""")
+ASSESSED = """guessed AS (SELECT case_id, CASE WHEN case_id % 3 = 0 THEN 'SIMILAR' ELSE actor_equivalence END AS actor_equivalence, CASE WHEN case_id % 4 = 0 THEN 'UNKNOWN' ELSE workflow_equivalence END AS workflow_equivalence, CASE WHEN case_id % 5 = 0 THEN 'DIRECT_TRANSFER' ELSE transfer_type END AS transfer_type FROM dach_assessments WHERE case_id % 7 <> 0)"""
+
+
+@registry.query(("dach_assessments",), ASSESSED, """
+SELECT avg(CAST(a AS INT)) AS actor_accuracy, avg(CAST(w AS INT)) AS workflow_accuracy, avg(CAST(t AS INT)) AS transfer_accuracy, avg(CAST(a AND w AND t AS INT)) AS exact FROM (
+  SELECT coalesce(g.actor_equivalence = p.actor_equivalence, FALSE) AS a, coalesce(g.workflow_equivalence = p.workflow_equivalence, FALSE) AS w, coalesce(g.transfer_type = p.transfer_type, FALSE) AS t FROM dach_assessments g LEFT JOIN guessed p ON p.case_id = g.case_id) x""")
 def transfer_accuracy(d: Domain) -> DataFrame:
-    """Accuracy by dimension and of whole rows."""
-    a, w = F.col("c_nationkey") % 4 == F.col("c_custkey") % 4, F.col("c_nationkey") % 3 == F.col("c_custkey") % 3
-    return evaluation.accuracy(d.customer, {"actor_accuracy": a, "workflow_accuracy": w, "exact": a & w})
+    """Accuracy of assessments by dimension and as a whole; a case without one is wrong."""
+    guessed = d.dach_assessments.filter("case_id % 7 <> 0").select(
+        "case_id", F.when(F.col("case_id") % 3 == 0, "SIMILAR").otherwise(F.col("actor_equivalence")).alias("pa"), F.when(F.col("case_id") % 4 == 0, "UNKNOWN").otherwise(F.col("workflow_equivalence")).alias("pw"), F.when(F.col("case_id") % 5 == 0, "DIRECT_TRANSFER").otherwise(F.col("transfer_type")).alias("pt")
+    )
+    same = lambda a, b: F.coalesce(F.col(a) == F.col(b), F.lit(False))
+    a, w, t = same("actor_equivalence", "pa"), same("workflow_equivalence", "pw"), same("transfer_type", "pt")
+    return evaluation.accuracy(d.dach_assessments.join(guessed, "case_id", "left"), {"actor_accuracy": a, "workflow_accuracy": w, "transfer_accuracy": t, "exact": a & w & t})
+
+
+@registry.query(("dach_assessments",), ASSESSED, " UNION ALL ".join(f"""SELECT '{f}' AS field, count(*) AS compared, count_if(g.{f} IS NOT DISTINCT FROM p.{f}) AS exact, CASE WHEN count(*) = 0 THEN 0.0 ELSE CAST(count_if(g.{f} IS NOT DISTINCT FROM p.{f}) AS DOUBLE) / count(*) END AS exactness FROM dach_assessments g JOIN guessed p ON p.case_id = g.case_id""" for f in ("actor_equivalence", "workflow_equivalence", "transfer_type")))
+def field_exactness(d: Domain) -> DataFrame:
+    """How often each field of an assessment is exactly right."""
+    guessed = d.dach_assessments.filter("case_id % 7 <> 0").select(
+        "case_id", F.when(F.col("case_id") % 3 == 0, "SIMILAR").otherwise(F.col("actor_equivalence")).alias("actor_equivalence"), F.when(F.col("case_id") % 4 == 0, "UNKNOWN").otherwise(F.col("workflow_equivalence")).alias("workflow_equivalence"), F.when(F.col("case_id") % 5 == 0, "DIRECT_TRANSFER").otherwise(F.col("transfer_type")).alias("transfer_type")
+    )
+    return evaluation.field_exactness(d.dach_assessments, guessed, ["actor_equivalence", "workflow_equivalence", "transfer_type"])
 
 
 @registry.query((), JUDGED + ", c AS (SELECT count_if(gold AND predicted) AS tp, count_if(NOT gold AND predicted) AS fp, count_if(gold AND NOT predicted) AS fn, count(*) AS n FROM judged), m AS (SELECT 'precision' AS metric, CAST(tp AS DOUBLE) / nullif(tp + fp, 0) AS value FROM c UNION ALL SELECT 'recall', CAST(tp AS DOUBLE) / nullif(tp + fn, 0) FROM c UNION ALL SELECT 'cases', CAST(n AS DOUBLE) FROM c), g AS (SELECT 'precision' AS metric, 0.9 AS minimum UNION ALL SELECT 'recall', 0.85 UNION ALL SELECT 'cases', 100 UNION ALL SELECT 'kappa', 0.5)", """
@@ -160,10 +196,29 @@ def readiness_gates(d: Domain) -> DataFrame:
     return evaluation.gates(measured, {"precision": 0.9, "recall": 0.85, "cases": 100.0, "kappa": 0.5})
 
 
-@registry.query((), "", """
-SELECT count(*) AS cases, count_if(quality = 1) AS approved, count_if(toxic = 1) AS flagged, count_if(quality = 1 AND toxic = 0) AS clean FROM labels""")
+PROVENANCE = """labelled AS (SELECT b.item_id AS case_id, CASE WHEN b.item_id % 3 = 0 THEN 'SYNTHETIC' ELSE 'REAL' END AS origin, CASE WHEN b.item_id % 4 = 0 THEN 'PENDING' ELSE 'APPROVED' END AS rights_status, CASE WHEN length(b.text) % 2 = 0 THEN 'REVIEWED' ELSE 'DRAFT' END AS review_status FROM benchmark b)"""
+
+
+@registry.query((), PROVENANCE, """
+SELECT count(*) AS cases, count_if(origin = 'REAL') AS real, count_if(origin <> 'REAL') AS synthetic, count_if(rights_status = 'APPROVED') AS rights_approved, count_if(review_status = 'REVIEWED') AS reviewed,
+  count_if(origin = 'REAL' AND rights_status = 'APPROVED' AND review_status = 'REVIEWED') AS releasable FROM labelled""")
 def provenance_summary(d: Domain) -> DataFrame:
-    return d.labels.agg(F.count("*").alias("cases"), F.count_if(F.col("quality") == 1).alias("approved"), F.count_if(F.col("toxic") == 1).alias("flagged"), F.count_if((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("clean"))
+    """Benchmark cases by origin, rights and review."""
+    return evaluation.provenance(d.benchmark.select(F.when(F.col("item_id") % 3 == 0, "SYNTHETIC").otherwise("REAL").alias("origin"), F.when(F.col("item_id") % 4 == 0, "PENDING").otherwise("APPROVED").alias("rights_status"), F.when(F.length("text") % 2 == 0, "REVIEWED").otherwise("DRAFT").alias("review_status")))
+
+
+SUITES = """measured AS (SELECT lang AS suite, count(*) AS n, avg(CAST(length(text) >= 400 AS INT)) AS share FROM documents WHERE lang IS NOT NULL GROUP BY lang),
+wanted AS (SELECT m.suite, g.gate, g.metric, CAST(g.minimum AS DOUBLE) AS minimum FROM (SELECT DISTINCT lang AS suite FROM documents WHERE lang IS NOT NULL) m, (SELECT 'coverage' AS gate, 'cases' AS metric, 60.0 AS minimum UNION ALL SELECT 'metrics', 'share', 0.5 UNION ALL SELECT 'metrics', 'kappa', 0.4) g)"""
+
+
+@registry.query((), SUITES, """
+SELECT suite, gate, metric, minimum, value, coalesce(value >= minimum, FALSE) AS passed FROM (SELECT w.*, CASE WHEN w.metric = 'cases' THEN CAST(m.n AS DOUBLE) WHEN w.metric = 'share' THEN m.share END AS value FROM wanted w LEFT JOIN measured m ON m.suite = w.suite) t""")
+def suite_gates(d: Domain) -> DataFrame:
+    """Coverage and measures of a suite for each language against required minima."""
+    rows = d.documents.filter("lang is not null").groupBy(F.col("lang").alias("suite")).agg(F.count("*").cast("double").alias("n"), F.avg((F.length("text") >= 400).cast("int")).alias("share"))
+    gate = F.explode(F.array(*(F.struct(F.lit(g).alias("gate"), F.lit(m).alias("metric"), F.lit(v).alias("minimum")) for g, m, v in (("coverage", "cases", 60.0), ("metrics", "share", 0.5), ("metrics", "kappa", 0.4)))))
+    wanted = rows.select("suite", gate.alias("g")).select("suite", "g.*")
+    return evaluation.suite_gates(rows.select("suite", F.lit("cases").alias("metric"), F.col("n").alias("value")), rows.select("suite", F.lit("share").alias("metric"), F.col("share").alias("value")), wanted)
 
 
 @registry.query((), "", """

@@ -30,14 +30,14 @@ def source_upsert_merge(d: Domain) -> DataFrame:
     return merged.withColumn("id", F.when(~F.col("normalized_key").startswith("community:new"), F.col("id")))
 
 
-ARRIVALS = "arrivals AS (SELECT doc_id % 400 AS item_id, doc_id AS arrival, split_part('METADATA_ONLY,PARTIAL,FULL', ',', CAST(doc_id % 7 % 3 AS INT) + 1) AS completeness, substr(text, 1, 40) AS raw_text FROM documents)"
+ARRIVALS = "arrivals AS (SELECT doc_id % 400 AS item_id, doc_id AS arrival, split_part('METADATA_ONLY,PARTIAL,FULL', ',', CAST(doc_id % 7 % 3 AS INT) + 1) AS completeness, text AS raw_text FROM documents)"
 
 
 @registry.query((), ARRIVALS, """
 , r AS (SELECT *, CASE completeness WHEN 'FULL' THEN 3 WHEN 'PARTIAL' THEN 2 ELSE 1 END AS k FROM arrivals), w AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY k DESC, arrival) AS rn, first_value(raw_text) OVER (PARTITION BY item_id ORDER BY k DESC, arrival) AS top, max(k) OVER (PARTITION BY item_id) AS mk FROM r)
 SELECT item_id, max(CASE WHEN rn = 1 THEN completeness END) AS completeness, max(CASE WHEN rn = 1 THEN raw_text END) AS raw_text, max(CASE WHEN rn = 1 THEN arrival END) AS arrival, count_if(k = 3 AND mk = 3 AND raw_text IS DISTINCT FROM top) AS conflicts FROM w GROUP BY item_id""")
 def completeness_merge(d: Domain) -> DataFrame:
-    rows = d.documents.select((F.col("doc_id") % 400).alias("item_id"), F.col("doc_id").alias("arrival"), F.expr("split_part('METADATA_ONLY,PARTIAL,FULL', ',', cast(doc_id % 7 % 3 as int) + 1)").alias("completeness"), F.substring("text", 1, 40).alias("raw_text"))
+    rows = d.documents.select((F.col("doc_id") % 400).alias("item_id"), F.col("doc_id").alias("arrival"), F.expr("split_part('METADATA_ONLY,PARTIAL,FULL', ',', cast(doc_id % 7 % 3 as int) + 1)").alias("completeness"), F.col("text").alias("raw_text"))
     return lifecycle.merge_content(rows)
 
 
@@ -101,30 +101,100 @@ def revised_contexts(d: Domain) -> DataFrame:
 CASE_TABLES = ("opportunities", "research_cases", "cluster_members", "problem_observations")
 
 
-@registry.query(("opportunities", "research_passes", "competitors", "counter_evidence"), "", """
+@registry.query(("opportunities", "research_passes", "competitors", "counter_evidence", "competitor_evidence", "competitor_complaints", "competitor_complaint_evidence"), "", """
 SELECT DISTINCT o.id AS opportunity_id, x.claim_id, x.claim_role FROM opportunities o JOIN (
-  SELECT case_id, summary_claim_id AS claim_id, 'SUPPORTING' AS claim_role FROM research_passes WHERE outcome = 'EVIDENCE_FOUND' AND summary_claim_id IS NOT NULL
-  UNION SELECT case_id, profile_claim_id, 'CONTEXT' FROM competitors UNION SELECT case_id, factual_claim_id, 'CONTRADICTING' FROM counter_evidence) x ON x.case_id = o.case_id""")
+  SELECT case_id, summary_claim_id AS claim_id, CASE WHEN pass_type = 'COUNTER_EVIDENCE' THEN 'CONTRADICTING' ELSE 'SUPPORTING' END AS claim_role FROM research_passes WHERE summary_claim_id IS NOT NULL
+  UNION SELECT case_id, profile_claim_id, 'CONTEXT' FROM competitors
+  UNION SELECT c.case_id, e.claim_id, 'CONTEXT' FROM competitor_evidence e JOIN competitors c ON c.id = e.competitor_id
+  UNION SELECT c.case_id, p.summary_claim_id, 'CONTEXT' FROM competitor_complaints p JOIN competitors c ON c.id = p.competitor_id
+  UNION SELECT c.case_id, e.claim_id, 'CONTEXT' FROM competitor_complaint_evidence e JOIN competitor_complaints p ON p.id = e.complaint_id JOIN competitors c ON c.id = p.competitor_id
+  UNION SELECT case_id, factual_claim_id, 'CONTRADICTING' FROM counter_evidence) x ON x.case_id = o.case_id""")
 def opportunity_claim_roles(d: Domain) -> DataFrame:
-    return lifecycle.opportunity_claims(d.opportunities, d.research_passes, d.competitors, d.counter_evidence)
+    return lifecycle.opportunity_claims(d.opportunities, d.research_passes, d.competitors, d.counter_evidence, d.competitor_evidence, d.competitor_complaints, d.competitor_complaint_evidence)
+
+
+@registry.query(("research_cases", "opportunities", "cluster_members", "problem_observations", "evidence_spans"), "", """
+, p AS (SELECT c.id AS case_id, o.id AS observation_id, e.id AS evidence_span_id, o.problem AS text, row_number() OVER (PARTITION BY c.id ORDER BY o.id, e.id) AS rn
+  FROM research_cases c JOIN cluster_members m ON m.cluster_id = c.cluster_id JOIN problem_observations o ON o.id = m.observation_id JOIN evidence_spans e ON e.observation_id = o.id WHERE length(trim(o.problem)) > 0)
+SELECT c.id AS case_id, CASE WHEN c.status <> 'COMPLETE' THEN 'the case is not complete' WHEN o.status = 'REPORT_READY' THEN 'the opportunity is ready and stays as it is' WHEN o.id IS NULL AND p.case_id IS NULL THEN 'the case has no problem with evidence' END AS refusal,
+  o.id AS existing_id, p.observation_id, p.evidence_span_id, p.text FROM research_cases c LEFT JOIN opportunities o ON o.case_id = c.id LEFT JOIN p ON p.case_id = c.id AND p.rn = 1""")
+def opportunity_creation(d: Domain) -> DataFrame:
+    """Which cases may get an opportunity, and the problem claim of each."""
+    problems = lifecycle.problem_claims(d.research_cases, d.cluster_members, d.problem_observations, d.evidence_spans)
+    return lifecycle.creatable_opportunities(d.research_cases, d.opportunities, problems).join(problems, "case_id", "left")
 
 
 @registry.query(CASE_TABLES + ("opportunity_types",), "", """
-SELECT o.id, o.title, o.status, o.evidence_state, o.updated_at FROM opportunities o
+SELECT o.id, o.title, o.status, o.evidence_state, o.updated_at, CAST(row_number() OVER (ORDER BY o.updated_at DESC, o.id DESC) AS INT) AS position FROM opportunities o
 WHERE contains(lower(o.title), '100%_r') OR EXISTS (SELECT 1 FROM research_cases c JOIN cluster_members m ON m.cluster_id = c.cluster_id JOIN problem_observations p ON p.id = m.observation_id
   WHERE c.id = o.case_id AND (contains(lower(p.problem), '100%_r') OR contains(lower(p.actor), '100%_r') OR contains(lower(p.job_to_be_done), '100%_r') OR contains(lower(p.context), '100%_r')))
 ORDER BY updated_at DESC, id DESC LIMIT 1000""")
 def opportunity_search(d: Domain) -> DataFrame:
     """Opportunities that hold a literal with wildcard characters."""
     out = lifecycle.search_opportunities(d.opportunities, d.research_cases, d.cluster_members, d.problem_observations, query="100%_R", limit=1000)
-    return out.select("id", "title", "status", "evidence_state", "updated_at")
+    return out.select("id", "title", "status", "evidence_state", "updated_at", "position")
+
+
+@registry.query(CASE_TABLES + ("opportunity_types", "saved_opportunities"), "", """
+SELECT o.id, o.updated_at, CAST(row_number() OVER (ORDER BY o.updated_at DESC, o.id DESC) AS INT) AS position FROM opportunities o
+WHERE o.status = 'REPORT_READY' AND o.evidence_state IN ('EMERGING', 'RECURRING') AND o.id IN (SELECT opportunity_id FROM opportunity_types WHERE opportunity_type = 'WORKFLOW_GAP' OR opportunity_type = 'INTEGRATION_GAP' OR opportunity_type = 'STRONG_SINGLE_SIGNAL') AND o.id IN (SELECT opportunity_id FROM saved_opportunities)""")
+def opportunity_filters(d: Domain) -> DataFrame:
+    """Saved, ready opportunities of some types and states, by all filters together."""
+    types = d.opportunity_types.filter("opportunity_type in ('WORKFLOW_GAP', 'INTEGRATION_GAP', 'STRONG_SINGLE_SIGNAL')").select("opportunity_id", F.lit("any").alias("opportunity_type"))
+    states = d.opportunities.filter("evidence_state in ('EMERGING', 'RECURRING')").withColumn("evidence_state", F.lit("young"))
+    out = lifecycle.search_opportunities(states, d.research_cases, d.cluster_members, d.problem_observations, status="REPORT_READY", evidence_state="young", types=types, opportunity_type="any", saved=d.saved_opportunities, limit=1000)
+    return out.select("id", "updated_at", "position")
 
 
 @registry.query(CASE_TABLES + ("saved_opportunities",), "", """
-SELECT o.id, s.note, s.saved_at FROM saved_opportunities s JOIN opportunities o ON o.id = s.opportunity_id""")
+SELECT o.id, s.note, s.saved_at, CAST(row_number() OVER (ORDER BY s.saved_at DESC, o.id DESC) AS INT) AS position FROM saved_opportunities s JOIN opportunities o ON o.id = s.opportunity_id""")
 def saved_list(d: Domain) -> DataFrame:
-    saved = d.saved_opportunities.withColumnRenamed("opportunity_id", "id")
-    return saved.join(d.opportunities.select("id"), "id").select("id", "note", "saved_at").orderBy(F.desc("saved_at"), F.desc("id"))
+    return lifecycle.saved_list(d.saved_opportunities, d.opportunities, limit=1_000_000)
+
+
+@registry.query(("case_stakeholders",), "", """
+SELECT case_id, role, knowledge, party, CAST(row_number() OVER (PARTITION BY case_id ORDER BY CASE role WHEN 'END_USER' THEN 1 WHEN 'BUYER' THEN 2 WHEN 'DECISION_MAKER' THEN 3 WHEN 'GATEKEEPER' THEN 4 WHEN 'INFLUENCER' THEN 5 END) AS INT) AS position FROM case_stakeholders""")
+def stakeholder_order(d: Domain) -> DataFrame:
+    return lifecycle.stakeholders(d.case_stakeholders).select("case_id", "role", "knowledge", "party", "position")
+
+
+@registry.query(("problem_observations", "source_items", "sources", "evidence_spans"), "", """
+, r AS (SELECT o.id AS observation_id, e.id AS span_id, s.name AS community, o.problem, e.excerpt, (o.time_impact IS NOT NULL OR coalesce(o.active_solution_search, FALSE)) AS loud
+  FROM problem_observations o JOIN source_items i ON i.id = o.source_item_id JOIN sources s ON s.id = i.source_id JOIN evidence_spans e ON e.observation_id = o.id), n AS (SELECT *, row_number() OVER (ORDER BY loud DESC, observation_id, span_id) AS rn FROM r)
+SELECT observation_id, span_id, community, problem, excerpt, loud, CAST(rn AS INT) AS position FROM n WHERE rn <= 10""")
+def sample_problems(d: Domain) -> DataFrame:
+    """The ten problems that a community report shows."""
+    return lifecycle.sample_problems(d.problem_observations, d.source_items, d.sources, d.evidence_spans)
+
+
+REVISIONS = """revisions AS (SELECT id AS observation_id, CASE WHEN id % 7 = 0 THEN context ELSE 'checked by ' || CAST(id % 3 AS VARCHAR) END AS value, CASE WHEN id % 11 = 0 THEN ' ' ELSE 'read again' END AS reason,
+  (id + CASE WHEN id % 13 = 0 THEN 1 ELSE 0 END) * 10 + 1 AS evidence_span_id, 'v1' AS revision_version FROM problem_observations WHERE id % 3 = 0)"""
+
+
+@registry.query(("problem_observations", "evidence_spans", "cluster_members", "research_cases", "observation_revisions"), REVISIONS, """
+SELECT r.observation_id, CASE WHEN trim(r.reason) = '' THEN 'a revision has a reason and a version' WHEN (SELECT max(e.observation_id) FROM evidence_spans e WHERE e.id = r.evidence_span_id) IS DISTINCT FROM r.observation_id THEN 'the evidence is of another observation'
+  WHEN o.context IS NOT DISTINCT FROM r.value THEN 'the value is the same' WHEN EXISTS (SELECT 1 FROM cluster_members m JOIN research_cases c ON c.cluster_id = m.cluster_id WHERE m.observation_id = r.observation_id) THEN 'a case stands on the observation''s cluster' END AS refusal,
+  CASE WHEN o.context IS NULL THEN 'null' ELSE '"' || o.context || '"' END AS old_value_json, CASE WHEN r.value IS NULL THEN 'null' ELSE '"' || r.value || '"' END AS new_value_json FROM revisions r JOIN problem_observations o ON o.id = r.observation_id""")
+def revision_refusals(d: Domain) -> DataFrame:
+    """Revisions of contexts with what stands against them and the values before and after as JSON."""
+    of = d.problem_observations.filter("id % 3 = 0")
+    value = F.when(F.col("id") % 7 == 0, F.col("context")).otherwise(F.concat(F.lit("checked by "), (F.col("id") % 3).cast("string")))
+    span = (F.col("id") + F.when(F.col("id") % 13 == 0, 1).otherwise(0)) * 10 + 1
+    rows = of.select(F.col("id").alias("observation_id"), value.alias("value"), F.when(F.col("id") % 11 == 0, " ").otherwise("read again").alias("reason"), span.alias("evidence_span_id"), F.lit("v1").alias("revision_version"))
+    recorded = d.observation_revisions.select("observation_id", F.lit("actor").alias("field_name"), "revision_version", F.lit("null").alias("new_value_json"))
+    judged = lifecycle.judged_revisions(rows, "context", d.problem_observations, d.evidence_spans, d.cluster_members, d.research_cases, recorded)
+    return judged.select("observation_id", "refusal", "old_value_json", "new_value_json")
+
+
+@registry.query(("problem_observations", "cluster_members", "research_cases"), "", """
+SELECT m.cluster_id, count(*) AS members FROM cluster_members m WHERE m.observation_id % 2 = 1 GROUP BY m.cluster_id
+UNION ALL SELECT c.cluster_id, 0 FROM research_cases c WHERE NOT EXISTS (SELECT 1 FROM cluster_members m WHERE m.cluster_id = c.cluster_id AND m.observation_id % 2 = 1)""")
+def clusters_after_revision(d: Domain) -> DataFrame:
+    """Clusters that stay after every second observation was revised, with their members; those with a case stay empty."""
+    clusters = d.cluster_members.select(F.col("cluster_id").alias("id")).distinct()
+    prints = d.cluster_members.select("observation_id", F.md5(F.col("cluster_id").cast("string")).alias("fingerprint"))
+    kept, _, left = lifecycle.without_observations(d.cluster_members, prints, clusters, d.research_cases, d.problem_observations.filter("id % 2 = 0").select(F.col("id").alias("observation_id")))
+    return left.select(F.col("id").alias("cluster_id")).join(kept.groupBy("cluster_id").agg(F.count("*").alias("members")), "cluster_id", "left").fillna(0, ["members"])
 
 
 @registry.query(("research_cases", "cluster_members", "evidence_spans", "source_items", "sources"), "", """
@@ -156,19 +226,3 @@ def search_queries(d: Domain) -> DataFrame:
     return rows.select(F.col("g").alias("query_group"), F.col("name").alias("community"), F.concat(F.lit("site:reddit.com/r/"), F.col("name"), F.lit(" ("), quoted, F.lit(') "last year"')).alias("query"))
 
 
-@registry.query(("sources", "source_items", "discovery_records", "acquisition_records", "workarounds", "problem_observations"), "", """
-SELECT s.id AS source_id, (SELECT count(*) FROM acquisition_records a JOIN discovery_records r ON r.id = a.discovery_id WHERE r.source_id = s.id) AS attempts,
-  (SELECT count_if(a.metadata_json LIKE '%true%') FROM acquisition_records a JOIN discovery_records r ON r.id = a.discovery_id WHERE r.source_id = s.id) AS invocations,
-  (SELECT CAST(sum(CASE WHEN a.metadata_json LIKE '%true%' THEN a.latency_ms END) AS BIGINT) FROM acquisition_records a JOIN discovery_records r ON r.id = a.discovery_id WHERE r.source_id = s.id) AS invocation_latency_ms,
-  (SELECT count(DISTINCT w.observation_id) FROM workarounds w JOIN problem_observations o ON o.id = w.observation_id JOIN source_items i ON i.id = o.source_item_id WHERE i.source_id = s.id AND w.workaround_type IN ('MANUAL_ENTRY', 'PAPER', 'EMPLOYEE')) AS manual_workarounds,
-  (SELECT count(DISTINCT w.observation_id) FROM workarounds w JOIN problem_observations o ON o.id = w.observation_id JOIN source_items i ON i.id = o.source_item_id WHERE i.source_id = s.id AND w.workaround_type IN ('INTERNAL_SCRIPT', 'SPREADSHEET', 'CSV')) AS diy_workarounds
-FROM sources s""")
-def wave_metrics(d: Domain) -> DataFrame:
-    """Acquisition attempts, provider calls by their metadata, and workarounds of each source, whatever the run."""
-    called = F.get_json_object("metadata_json", "$.provider_invocation") == "true"
-    taken = d.acquisition_records.join(d.discovery_records.select(F.col("id").alias("discovery_id"), "source_id"), "discovery_id").groupBy("source_id").agg(F.count("*").alias("attempts"), F.count_if(called).alias("invocations"), F.sum(F.when(called, F.col("latency_ms"))).alias("invocation_latency_ms"))
-    own = d.workarounds.join(d.problem_observations.select(F.col("id").alias("observation_id"), "source_item_id"), "observation_id").join(d.source_items.select(F.col("id").alias("source_item_id"), "source_id"), "source_item_id")
-    kind = lambda *k: F.count_distinct(F.when(F.col("workaround_type").isin(*k), F.col("observation_id")))
-    made = own.groupBy("source_id").agg(kind("MANUAL_ENTRY", "PAPER", "EMPLOYEE").alias("manual_workarounds"), kind("INTERNAL_SCRIPT", "SPREADSHEET", "CSV").alias("diy_workarounds"))
-    out = d.sources.select(F.col("id").alias("source_id")).join(taken, "source_id", "left").join(made, "source_id", "left")
-    return out.fillna(0, ["attempts", "invocations", "manual_workarounds", "diy_workarounds"])

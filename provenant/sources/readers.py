@@ -151,14 +151,28 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
 
 
 def replay_search(captures: DataFrame, queries: DataFrame) -> DataFrame:
-    """Recorded answers of exact queries; a query without one is unavailable."""
+    """Recorded answers of exact queries; a query without one is unavailable.
+
+    A file holds the answers of one provider, and a query once.
+    """
+    if "provider" in captures.columns and len(captures.select("provider").distinct().limit(2).collect()) > 1:
+        raise ValueError("a capture holds the answers of one provider")
+    if not duplicates(captures, "query").isEmpty():
+        raise ValueError("a capture answers a query once")
     out = queries.join(captures, "query", "left")
     return out.withColumn("availability", F.coalesce("availability", F.lit("SOURCE_UNAVAILABLE")))
 
 
 def replay_acquisition(captures: DataFrame, urls: DataFrame) -> DataFrame:
-    """Recorded contents by canonical URL; a URL without one has failed."""
+    """Recorded contents by canonical URL; a URL without one has failed.
+
+    Of several captures of a URL the last stands: that of the largest ``line`` where
+    there is one, else the last in reading order.
+    """
     keyed = captures.withColumn("canonical_url", F.coalesce(text.post_identity(F.col("url"))["canonical"], text.normalize_url(F.col("url")))).drop("url")
+    fields = [c for c in keyed.columns if c not in ("canonical_url", "line")]
+    turn = F.col("line") if "line" in keyed.columns else F.monotonically_increasing_id()
+    keyed = keyed.withColumn("_turn", turn).groupBy("canonical_url").agg(F.max_by(F.struct(*fields), "_turn").alias("_last")).select("canonical_url", "_last.*")
     return urls.join(keyed, "canonical_url", "left").withColumn("state", F.coalesce("state", F.lit("ACQUISITION_FAILED")))
 
 
