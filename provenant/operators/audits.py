@@ -174,6 +174,44 @@ GUARDS: dict[str, Callable[[Tables], DataFrame]] = {
 }
 
 
+#: The tables that each guard reads, once that is known.
+_READ_BY: dict[str, set[str]] = {}
+
+
+class _Watched(dict):
+    """Tables that remember which of them were asked for."""
+
+    def __init__(self, tables: Tables) -> None:
+        super().__init__(tables)
+        self.asked: set[str] = set()
+
+    def __getitem__(self, name: str) -> DataFrame:
+        self.asked.add(name)
+        return super().__getitem__(name)
+
+
+def guarded(t: Tables, changed: set[str] | None = None, only: set[str] | None = None) -> DataFrame | None:
+    """``guard, key`` of the rows that break a guard which reads a changed table (any table, if none are named).
+
+    Guards over tables that are not there are left out; None if no guard remains.
+    """
+    found = []
+    for name, check in GUARDS.items():
+        if only is not None and name not in only:
+            continue
+        if name in _READ_BY and (not _READ_BY[name] <= set(t) or (changed is not None and not _READ_BY[name] & changed)):
+            continue
+        watched = _Watched(t)
+        try:
+            rows = check(watched)
+        except KeyError:
+            continue
+        _READ_BY[name] = watched.asked
+        if changed is None or watched.asked & changed:
+            found.append(rows.select(F.lit(name).alias("guard"), "key"))
+    return reduce(DataFrame.unionByName, found) if found else None
+
+
 def guard_violations(t: Tables) -> DataFrame:
     """Guard name and number of rows that break it, for guards that are broken."""
     found = [check(t).select(F.lit(name).alias("guard"), "key") for name, check in GUARDS.items()]

@@ -285,10 +285,12 @@ def key_violations(t: Tables) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
-def reference_violations(t: Tables) -> DataFrame:
-    """``table_name, column_name, violations``: rows whose reference meets nothing."""
+def reference_violations(t: Tables, changed: set[str] | None = None) -> DataFrame:
+    """``table_name, column_name, violations``: rows whose reference meets nothing, of references that a changed table makes or takes."""
     found = []
     for table, column, named in references(_columns(t)):
+        if changed is not None and not changed & {table, named}:
+            continue
         lost = t[table].filter(F.col(column).isNotNull()).join(t[named].select(F.col("id").alias("_there")), F.col(column) == F.col("_there"), "left_anti")
         found.append(lost.agg(F.count("*").alias("violations")).select(F.lit(table).alias("table_name"), F.lit(column).alias("column_name"), "violations"))
     return reduce(DataFrame.unionByName, found)
@@ -299,6 +301,8 @@ def broken(t: Tables, changed: Iterable[str]) -> DataFrame:
     names = set(changed)
     own = {n: df for n, df in t.items() if n in names}
     near = names | {named for table, _, named in references(_columns(t)) if table in names} | {table for table, _, named in references(_columns(t)) if named in names}
+    if not own:
+        return next(iter(t.values())).sparkSession.createDataFrame([], "table_name string, rule string, violations long")
     parts = []
     if any(row_rules(n, lambda c, n=n: c in own[n].columns) for n in own):
         parts.append(check_violations(own))
@@ -306,7 +310,7 @@ def broken(t: Tables, changed: Iterable[str]) -> DataFrame:
         parts.append(key_violations(own).withColumnRenamed("key", "rule"))
     around = {n: df for n, df in t.items() if n in near}
     if any(table in names or named in names for table, _, named in references(_columns(around))):
-        parts.append(reference_violations(around).withColumnRenamed("column_name", "rule"))
+        parts.append(reference_violations(around, names).withColumnRenamed("column_name", "rule"))
     if not parts:
         return next(iter(t.values())).sparkSession.createDataFrame([], "table_name string, rule string, violations long")
     return reduce(DataFrame.unionByName, parts).filter("violations > 0")

@@ -265,7 +265,7 @@ def story_products(spark: SparkSession, path: str) -> DataFrame:
 
 def baseline_ids(*tables: DataFrame) -> DataFrame:
     """External ids of other stores, each once, folded for comparison."""
-    return reduce(DataFrame.unionByName, (t.select(F.lower(F.trim("external_id")).alias("external_id")) for t in tables)).distinct()
+    return reduce(DataFrame.unionByName, (t.select(text.identifier(F.col("external_id")).alias("external_id")) for t in tables)).distinct()
 
 
 def health_capture(spark: SparkSession, path: str) -> Parsed:

@@ -64,7 +64,7 @@ def community_report_json(rows: DataFrame) -> str:
 
 
 def radar_board(buckets: DataFrame, products: DataFrame) -> str:
-    """Counts by bucket and the 120 newest products, as many as the reference's board shows."""
+    """Counts by bucket and the 120 newest products."""
     return "# Radar\n\n" + markdown_table(buckets.orderBy(buckets["products"].desc(), "bucket")) + "\n## Newest\n\n" + markdown_table(products.orderBy(products["seen_date"].desc(), "name").limit(120))
 
 

@@ -131,10 +131,37 @@ def test_stream_merges_and_replays(spark, tmp_path):
     inbox.mkdir()
     (inbox / "1.jsonl").write_text(json.dumps({"external_id": "A", "text": "short", "metadata": {"completeness": "PARTIAL"}}))
     ingest.ingest_items(spark, str(inbox), store, str(tmp_path / "ck")).awaitTermination()
-    (inbox / "2.jsonl").write_text(json.dumps({"external_id": "a ", "text": "whole"}))
+    whole = {"completeness": "FULL", "body_complete": "true", "retrieved_at": "2026-01-02T03:04:05Z"}
+    (inbox / "2.jsonl").write_text(json.dumps({"external_id": "a ", "text": "whole", "metadata": whole}) + "\n" + json.dumps({"external_id": "b", "text": "b", "metadata": whole | {"retrieved_at": "2026-01-02T03:04:05"}}))
     ingest.ingest_items(spark, str(inbox), store, str(tmp_path / "ck")).awaitTermination()
     ingest.ingest_items(spark, str(inbox), store, str(tmp_path / "ck")).awaitTermination()
-    assert rows(store.read("content").select("item_id", "completeness", "raw_text")) == [("a", "FULL", "whole")]
+    shown = ["item_id", "completeness", "raw_text", "conflicts"]
+    assert rows(store.read("content").select(shown), "item_id") == [("a", "FULL", "whole", 0), ("b", "PARTIAL", "b", 0)]
+    for n in (3, 4):
+        (inbox / f"{n}.jsonl").write_text(json.dumps({"external_id": "a", "text": f"other {n}", "metadata": whole}))
+        ingest.ingest_items(spark, str(inbox), store, str(tmp_path / "ck")).awaitTermination()
+    assert rows(store.read("content").select(shown), "item_id") == [("a", "FULL", "whole", 2), ("b", "PARTIAL", "b", 0)]
+
+
+def test_a_batch_counts_once_and_touches_its_buckets_only(spark, tmp_path):
+    store = SnapshotStore(spark, f"file://{tmp_path}/store")
+    shape = "item_id string, arrival long, completeness string, raw_text string"
+    ingest.merge_batch(store, spark.createDataFrame([(f"i{n}", 1, "FULL", "t") for n in range(300)], shape), 0)
+    before = store.manifest()["content"]
+    for _ in range(2):  # the second one is a replay
+        ingest.merge_batch(store, spark.createDataFrame([("i7", 2, "FULL", "u")], shape), 1)
+    after = store.manifest()["content"]
+    assert sum(before[k] != after[k] for k in before) == 1 and set(before) == set(after)
+    assert rows(store.read("content").filter("conflicts > 0").select("item_id", "raw_text", "conflicts")) == [("i7", "t", 1)]
+    assert store.read("content").count() == 300
+
+
+def test_the_last_capture_of_a_url_stands(spark):
+    taken = spark.createDataFrame([("https://u.example/a", "ACQUISITION_FAILED", 1), ("https://u.example/a", "CONTENT_COMPLETE", 2)], "url string, state string, line long")
+    got = readers.replay_acquisition(taken, spark.createDataFrame([("https://u.example/a",)], "canonical_url string"))
+    assert [r["state"] for r in got.collect()] == ["CONTENT_COMPLETE"]
+    with pytest.raises(ValueError, match="once"):
+        readers.replay_search(spark.createDataFrame([("q", "RESULTS"), ("q", "NO_RESULTS")], "query string, availability string"), spark.createDataFrame([("q",)], "query string"))
 
 
 def test_sinks(spark, tmp_path):

@@ -34,7 +34,7 @@ def test_reads(engine):
 def test_item_text_is_immutable_once_evidence_stands(engine):
     items = engine.table("source_items")
     held = items.join(engine.table("evidence_spans").select(F.col("source_item_id").alias("id")), "id", "left_semi").orderBy("id").limit(1)
-    with pytest.raises(ValueError, match="cannot change source text"):
+    with pytest.raises(ValueError, match="evidence stands on never changes"):
         engine.ingest_items(held.withColumn("raw_text", F.lit("other")).select(items.columns))
     count = items.count()
     engine.ingest_items(held.withColumn("country_code", F.lit("XX")).select(items.columns))
