@@ -16,8 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 65_536
-CHUNK_QUERIES = 256
+BLOCK_ROWS = 16_384
+#: Quantised components lie within this bound, so that scores of up to 2048 components are exact in 64 bits.
+MOST = 1 << 26
 
 _OUT = "query_id long, query_row long, vec_id long, row long, score long"
 _ARROW = pa.schema([(n, pa.int64()) for n in ("query_id", "query_row", "vec_id", "row", "score")])
@@ -125,48 +126,81 @@ def _matrix(column: pa.ChunkedArray, dims: int) -> np.ndarray:
     return out
 
 
-def _search_block(rows: pa.Table, queries: pa.Table, k: int) -> Iterator[np.ndarray]:
-    dims = max([len(x) for t in (rows, queries) for x in t["vector"]], default=0) or 1
-    ids, marks = rows["vec_id"].to_numpy(), rows["row"].to_numpy()
-    order = np.lexsort((marks, ids))
-    ids, marks = ids[order], marks[order]
-    index = BitSlicedIndex(_matrix(rows["vector"], dims)[order])
-    place = {m: i for i, m in enumerate(marks.tolist())}
-    wanted = _matrix(queries["vector"], dims)
-    for query, query_id, mark in zip(wanted, queries["vec_id"].to_pylist(), queries["row"].to_pylist(), strict=True):
-        best = index.top(query, k, place.get(mark))
-        out = np.empty((len(best), 5), dtype=np.int64)
-        out[:, 0], out[:, 1], out[:, 2], out[:, 3] = query_id, mark, ids[best], marks[best]
-        out[:, 4] = index.vectors[best] @ query
-        yield out
+class _Block:
+    """The index of a block of rows, made when the first query comes."""
+
+    def __init__(self, rows: list[pa.RecordBatch], dims: int) -> None:
+        table = pa.Table.from_batches(rows)
+        ids, marks = table["vec_id"].to_numpy(), table["row"].to_numpy()
+        order = np.lexsort((marks, ids))
+        self.ids, self.marks = ids[order], marks[order]
+        self.index = BitSlicedIndex(_matrix(table["vector"], dims)[order])
+        self.place = {m: i for i, m in enumerate(self.marks.tolist())}
+
+    def search(self, queries: pa.RecordBatch, dims: int, k: int) -> np.ndarray:
+        found = []
+        wanted = _matrix(pa.chunked_array([queries.column("vector")]), dims)
+        for query, query_id, mark in zip(wanted, queries.column("vec_id").to_pylist(), queries.column("row").to_pylist(), strict=True):
+            best = self.index.top(query, k, self.place.get(mark))
+            out = np.empty((len(best), 5), dtype=np.int64)
+            out[:, 0], out[:, 1], out[:, 2], out[:, 3] = query_id, mark, self.ids[best], self.marks[best]
+            out[:, 4] = self.index.vectors[best] @ query
+            found.append(out)
+        return np.concatenate(found) if found else np.zeros((0, 5), dtype=np.int64)
+
+
+def _search(batches: Iterator[pa.RecordBatch], dims: int, k: int) -> Iterator[pa.RecordBatch]:
+    """Batches of (block, query?, vec_id, row, vector), sorted: each block's rows, then its queries, which stream past the index."""
+    held: list[pa.RecordBatch] = []
+    at, block = None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        state = batch.column(0).to_numpy() * 2 + batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+        cuts = np.flatnonzero(np.append(True, state[1:] != state[:-1]))
+        for start, stop in zip(cuts, np.append(cuts[1:], len(state)), strict=True):
+            part, number, asked = batch.slice(start, stop - start), int(state[start]) // 2, bool(state[start] % 2)
+            if number != at:
+                at, held, block = number, [], None
+            if not asked:
+                held.append(part)
+                continue
+            if block is None and held:
+                block, held = _Block(held, dims), []
+            if block is not None:
+                flat = block.search(part, dims, k)
+                yield pa.RecordBatch.from_arrays([pa.array(flat[:, i]) for i in range(5)], schema=_ARROW)
 
 
 def quantised(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 64.0) -> DataFrame:
-    """``vec_id, row, vector``: components as floor(scale * x); unusable vectors are left out."""
+    """``vec_id, row, vector``: components as floor(scale * x); unusable vectors are left out.
+
+    Null ids, null vectors and those with a null or non-finite component take no
+    part; empty vectors do.  A component beyond :data:`MOST` would make scores
+    inexact, so it is an error.  Repeated rows are rows of their own; other columns
+    are ignored, whatever their names.
+    """
     x = F.col(vector_col).cast("array<double>")
     usable = x.isNotNull() & F.col(id_col).isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
     ids = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.monotonically_increasing_id().alias("row"), x.alias("x"), usable.alias("ok"))
-    return ids.filter("ok").select("vec_id", "row", F.transform("x", lambda v: F.floor(v * F.lit(scale)).cast("long")).alias("vector"))
+    return ids.filter("ok").select("vec_id", "row", F.transform("x", lambda v: F.when(F.abs(v * F.lit(scale)) < MOST, F.floor(v * F.lit(scale)).cast("long")).otherwise(F.raise_error(F.lit("a component is too large for exact scores")).cast("long"))).alias("vector"))
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 20, block_rows: int = BLOCK_ROWS, chunk_queries: int = CHUNK_QUERIES) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 20, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Each query's ``k`` best rows by inner product: ``query_id, rank, vec_id, score``.
 
     Both tables come from :func:`quantised`; a query's own row (same ``row``) takes
     no part, so repeated ids and equal vectors are ordinary candidates.  Vectors of
     unequal length count as padded with zeros.  Ties go to the smaller id.  Empty
-    tables give no rows.
+    tables give no rows.  Every row goes to one block, whose slices are made once;
+    the queries go to every block and stream past it.
     """
-    sizes = vectors.agg(F.count("*").alias("n")).crossJoin(queries.agg(F.count("*").alias("q"))).first()
-    blocks, chunks = max(1, -(-sizes["n"] // block_rows)), max(1, -(-sizes["q"] // chunk_queries))
-    rows = vectors.withColumn("block", F.pmod(F.xxhash64("row", F.lit(1)), F.lit(blocks))).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)).cast("array<long>")))
-    asked = queries.withColumn("chunk", F.pmod(F.xxhash64("row", F.lit(2)), F.lit(chunks))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
-
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = list(_search_block(left, right, k)) if left.num_rows and right.num_rows else []
-        flat = np.concatenate(found) if found else np.zeros((0, 5), dtype=np.int64)
-        return pa.table([pa.array(flat[:, i]) for i in range(5)], schema=_ARROW)
-
-    found = rows.groupBy("block", "chunk").cogroup(asked.groupBy("block", "chunk")).applyInArrow(search, _OUT)
+    number, longest = vectors.agg(F.count("*"), F.max(F.size("vector"))).first()
+    asked_longest = queries.agg(F.max(F.size("vector"))).first()[0]
+    blocks, dims = max(1, -(-number // block_rows)), max(longest or 0, asked_longest or 0) or 1
+    rows = vectors.select(F.pmod(F.xxhash64("row", F.lit(1)), F.lit(blocks)).cast("long").alias("block"), F.lit(False).alias("asked"), "vec_id", "row", "vector")
+    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")).alias("block"), F.lit(True).alias("asked"), "vec_id", "row", "vector")
+    dealt = rows.unionByName(asked).repartition("block").sortWithinPartitions("block", "asked")
+    found = dealt.mapInArrow(lambda batches: _search(batches, dims, k), _OUT)
     rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -38,13 +38,13 @@ def brute(rows, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("block", "chunk"), [(65_536, 256), (7, 2)])
-def test_awkward_vectors_against_brute_force(spark, block, chunk):
+@pytest.mark.parametrize("block", [65_536, 7])
+def test_awkward_vectors_against_brute_force(spark, block):
     rng = np.random.default_rng(3)
     rows = [(int(i), [float(np.float32(x)) for x in rng.normal(0, 0.3, 6)]) for i in range(60)]
     rows += [(20, rows[3][1]), (20, rows[3][1]), (61, None), (80, [1.0, None, 0.0]), (100, [float("nan")] * 6), (120, [float("inf")] * 6), (None, [0.1] * 6), (62, [0.5, -0.5]), (140, []), (63, [0.0] * 6)]
     vectors = topk.quantised(spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, score string"))
-    got = topk.top_k(vectors, vectors.filter(F.col("vec_id") % 20 == 0), k=20, block_rows=block, chunk_queries=chunk).collect()
+    got = topk.top_k(vectors, vectors.filter(F.col("vec_id") % 20 == 0), k=20, block_rows=block).collect()
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == brute(rows, 20)
 
 
@@ -57,3 +57,13 @@ def test_query_against_brute_force(spark, sf_dir):
 def test_empty_table(spark):
     vectors = topk.quantised(spark.createDataFrame([], "vec_id long, embedding array<double>"))
     assert topk.top_k(vectors, vectors).count() == 0
+
+
+def test_huge_components_are_refused_and_large_ones_exact(spark):
+    shape = "vec_id long, embedding array<double>"
+    with pytest.raises(Exception, match="too large"):
+        topk.quantised(spark.createDataFrame([(20, [1e300, 0.0])], shape)).collect()
+    rows = [(20, [1e6, -1e6]), (1, [1e6, 1e6]), (2, [-1e6, -1e6]), (3, [1e6, -999_999.0])]
+    vectors = topk.quantised(spark.createDataFrame(rows, shape))
+    got = topk.top_k(vectors, vectors.filter("vec_id = 20")).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == brute(rows, 20)
