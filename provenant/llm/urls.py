@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,22 +70,35 @@ class SuffixRates:
         return np.array([known.get(s, self.prior) for s in host_suffixes(hosts, labels)], dtype=np.float64)
 
 
-def lexical_features(urls: Sequence[str], hosts: Sequence[str], paths: Sequence[str], rates: SuffixRates) -> np.ndarray:
-    """One row of :data:`FEATURES` per URL."""
-    n = len(urls)
-    out = np.zeros((n, len(FEATURES)))
-    for i, (url, host, path) in enumerate(zip(urls, hosts, paths, strict=True)):
-        data = np.frombuffer(url.encode("utf-8", "surrogatepass"), dtype=np.uint8)
-        counts = np.bincount(data, minlength=1)
-        share = counts[counts > 0] / max(1, len(data))
-        query = url.partition("?")[2].partition("#")[0]
-        digits = int(((data >= 48) & (data <= 57)).sum())
-        out[i, :10] = (len(url), len(host), len(path), len(query), host.count(".") + 1 if host else 0, sum(1 for p in path.split("/") if p), digits / max(1, len(data)), float(-(share * np.log2(share)).sum()) if len(data) else 0.0, len([p for p in query.split("&") if p]), url.count("-"))
-    if n:
-        out[:, 10], out[:, 11] = rates.of(hosts, 2), rates.of(hosts, 3)
+def byte_entropy(texts: pa.Array) -> np.ndarray:
+    """Entropy in bits of the bytes of each text, some hundred texts at a time."""
+    out = np.zeros(len(texts))
+    for at in range(0, len(texts), 512):
+        part = pa.concat_arrays([texts.slice(at, 512)])  # offsets from 0
+        ends = np.frombuffer(part.buffers()[1], dtype=np.int32, count=len(part) + 1)
+        data = np.frombuffer(part.buffers()[2] or b"", dtype=np.uint8)[ends[0] : ends[-1]]
+        owner = np.repeat(np.arange(len(part)), np.diff(ends))
+        counts = np.bincount(owner * 256 + data, minlength=256 * len(part)).reshape(len(part), 256)
+        share = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)
+        out[at : at + len(part)] = -(share * np.log2(np.where(share > 0, share, 1))).sum(axis=1)
     return out
 
 
+def lexical_features(urls: Sequence[str], hosts: Sequence[str], paths: Sequence[str], suffixes: SuffixRates | np.ndarray) -> np.ndarray:
+    """One row of :data:`FEATURES` per URL, column by column; ``suffixes`` are the rates, or the two columns themselves."""
+    url, host, path = (pa.array(x, pa.string()) for x in (urls, hosts, paths))
+    query = pc.replace_substring_regex(pc.replace_substring_regex(url, r"(?s)^[^?]*(\?|$)", "", max_replacements=1), r"(?s)#.*$", "")
+    size = np.maximum(pc.binary_length(url).to_numpy(zero_copy_only=False), 1)
+    whole = lambda x: x.to_numpy(zero_copy_only=False).astype(np.float64)
+    columns = [
+        whole(pc.utf8_length(url)), whole(pc.utf8_length(host)), whole(pc.utf8_length(path)), whole(pc.utf8_length(query)),
+        np.where(whole(pc.binary_length(host)) > 0, whole(pc.count_substring(host, ".")) + 1, 0), whole(pc.count_substring_regex(path, "[^/]+")), whole(pc.count_substring_regex(url, "[0-9]")) / size,
+        byte_entropy(url), whole(pc.count_substring_regex(query, "[^&]+")), whole(pc.count_substring(url, "-")),
+    ]
+    rates = suffixes if isinstance(suffixes, np.ndarray) else np.stack([suffixes.of(hosts, 2), suffixes.of(hosts, 3)], axis=1)
+    return np.column_stack([*columns, rates.reshape(len(urls), 2)])
+
+
 class BoostedTrees:
     """Gradient boosting of depth-bounded regression trees for the logistic loss, on binned features."""
 
@@ -166,21 +180,41 @@ class UrlModel:
         return self.trees.probability(lexical_features(urls, hosts, paths, self.rates))
 
 
-def train(urls: Sequence[str], hosts: Sequence[str], paths: Sequence[str], blocked: Sequence[int]) -> UrlModel:
-    """Fit suffix statistics on one half of the labelled URLs and the trees on the other, then refit the statistics on all."""
+def train(urls: Sequence[str], hosts: Sequence[str], paths: Sequence[str], blocked: Sequence[int], folds: int = 4) -> UrlModel:
+    """Fit the trees on suffix statistics that other hosts gave, so that no URL reads the labels of its own host; then the statistics on all.
+
+    Hosts are dealt to folds by their hash; the statistics of a fold come from the
+    other ones.
+    """
     y = np.asarray(blocked, dtype=np.float64)
-    side = (hash_words(list(urls)) >> np.uint64(7)) & np.uint64(1) == 1 if len(y) else np.zeros(0, dtype=bool)
-    rates = SuffixRates()
     if len(y) == 0:
-        return UrlModel(rates, BoostedTrees())
-    fit = side if 0 < side.sum() < len(y) else np.ones(len(y), dtype=bool)
-    other = ~fit if fit.sum() < len(y) else fit
-    rates.fit([h for h, m in zip(hosts, fit, strict=True) if m], y[fit])
-    x = lexical_features(urls, hosts, paths, rates)
-    trees = BoostedTrees().fit(x[other], y[other])
+        return UrlModel(SuffixRates(), BoostedTrees())
+    fold = (hash_words(list(hosts)) >> np.uint64(7)) % np.uint64(folds)
+    rates = np.zeros((len(y), 2))
+    for f in range(folds):
+        own = np.flatnonzero(fold == f)
+        rest = np.flatnonzero(fold != f)
+        known = SuffixRates().fit([hosts[i] for i in rest], y[rest])
+        mine = [hosts[i] for i in own]
+        rates[own] = np.stack([known.of(mine, 2), known.of(mine, 3)], axis=1) if len(own) else rates[own]
+    trees = BoostedTrees().fit(lexical_features(urls, hosts, paths, rates), y)
     return UrlModel(SuffixRates().fit(hosts, y), trees)
 
 
+def held_out_hosts(urls: Sequence[str], hosts: Sequence[str], paths: Sequence[str], blocked: Sequence[int], folds: int = 5) -> tuple[float, float]:
+    """Precision and recall on URLs of hosts that the model has not seen, over all folds of hosts (1 where nothing is counted)."""
+    y = np.asarray(blocked, dtype=bool)
+    fold = (hash_words(list(hosts)) >> np.uint64(23)) % np.uint64(folds)
+    said = np.zeros(len(y), dtype=bool)
+    pick = lambda values, at: [values[i] for i in at]
+    for f in range(folds):
+        own, rest = np.flatnonzero(fold == f), np.flatnonzero(fold != f)
+        model = train(*(pick(v, rest) for v in (urls, hosts, paths)), y[rest].astype(int))
+        said[own] = model.blocked(*(pick(v, own) for v in (urls, hosts, paths))) >= 0.5
+    right = int((said & y).sum())
+    return right / said.sum() if said.any() else 1.0, right / y.sum() if y.any() else 1.0
+
+
 def labelled(pages: DataFrame, words: Sequence[str] = BLOCKED_WORDS) -> DataFrame:
     """The labelled URLs: ``blocked`` is 1 where a word of the host is a blocked one."""
     return pages.withColumn("blocked", F.exists(F.split("host", "[^a-z]+"), lambda w: w.isin(list(words))).cast("int"))
@@ -194,8 +228,10 @@ def judge_urls(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url
     defaults to the table's own URLs labelled by their host's words,
     ``labelled_rows`` distinct ones in the order of a hash, or all if there are
     fewer.  A null URL, or one without ``://``, has an empty host and path and is
-    judged by the trees; without any labelled URL those allow all.  Repeated rows
-    get equal rows; an empty table gives none; other columns are ignored.
+    judged by the trees; without any labelled URL those allow all.  URLs of any
+    length are read whole; repeated rows get equal rows; of equally long rules the
+    later one holds; an empty table gives none; other columns are ignored, whatever
+    their names.
     """
     url = F.col("url")
     host, path = url_parts(url)

@@ -75,3 +75,31 @@ def test_repeated_urls_leave_the_sample_full(spark, monkeypatch):
         assert len(set(seen[-1])) == len(seen[-1]) == found
     few = pages.withColumn("url", F.concat(F.lit("http://spam.example.com/"), F.col("page_id") % 3))
     assert {r["verdict"] for r in urls.judge_urls(few, labelled_rows=10).select("verdict").distinct().collect()} == {"block"}
+
+
+def test_features_column_by_column():
+    url = ["http://a-b.example.com/x//y7?p=1&&q=2#f?z", "", "é-é"]
+    got = urls.lexical_features(url, ["a-b.example.com", "", ""], ["/x//y7", "", ""], np.array([[0.1, 0.2]] * 3))
+    data = url[0].encode()
+    share = np.array([data.count(bytes([c])) for c in set(data)]) / len(data)
+    assert np.allclose(got[0], [len(url[0]), 15, 6, 8, 3, 2, 3 / len(data), -(share * np.log2(share)).sum(), 2, 1, 0.1, 0.2])
+    assert got[1, :10].tolist() == [0.0] * 10 and got[2, 0] == 3 and got[2, 9] == 1
+
+
+def test_verdicts_equal_a_plain_version_and_unseen_hosts(spark, sf_dir):
+    """The query's verdicts without a rule are those of trees fitted again on the same sample, URL by URL."""
+    rows = [r for r in queries.op4_url_filters(spark, sf_dir).collect()]
+    known = [r for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect() if r["url"] is not None]
+    first = {r["url"]: r["page_id"] for r in known}
+    parts = {r["page_id"]: (r["host"], r["path"]) for r in rows}
+    urls_ = sorted(first, key=lambda u: u)
+    host, path = ([parts[first[u]][i] for u in urls_] for i in (0, 1))
+    blocked = [int(any(w in urls.BLOCKED_WORDS for w in re.split("[^a-z]+", h))) for h in host]
+    model = urls.train(urls_, host, path, blocked)
+    of_url = {r["page_id"]: r["url"] for r in known}
+    for r in rows:
+        if r["rule"] is None and r["page_id"] in of_url:
+            one = model.blocked([of_url[r["page_id"]]], [r["host"]], [r["path"]])[0]
+            assert r["verdict"] == ("block" if one >= 0.5 else "allow")
+    precision, recall = urls.held_out_hosts(urls_, host, path, blocked)
+    assert 0 <= precision <= 1 and 0 <= recall <= 1
