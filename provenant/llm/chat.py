@@ -85,9 +85,10 @@ def _format_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     def done(rows: pa.Table) -> pa.RecordBatch:
         rows = rows.combine_chunks()
         known = rows["conv_id"].combine_chunks()
-        made = format_batch(pc.fill_null(known, -(1 << 63)).to_numpy(), pc.fill_null(rows["role"].combine_chunks(), ""), pc.fill_null(rows["text"].combine_chunks(), ""))
-        ids = made.column(0)
-        return made.set_column(0, "conv_id", pc.if_else(pc.equal(ids, -(1 << 63)), pa.scalar(None, pa.int64()), ids))
+        ids = pc.fill_null(known, 0).to_numpy()
+        runs = np.cumsum(np.append(0, (ids[1:] != ids[:-1]) | (known.is_null().to_numpy(zero_copy_only=False)[1:] != known.is_null().to_numpy(zero_copy_only=False)[:-1])))
+        made = format_batch(runs, pc.fill_null(rows["role"].combine_chunks(), ""), pc.fill_null(rows["text"].combine_chunks(), ""))
+        return made.set_column(0, "conv_id", known.take(pa.array(np.flatnonzero(np.append(True, runs[1:] != runs[:-1])))))
 
     for batch in batches:
         if not batch.num_rows:
@@ -115,7 +116,9 @@ def format_conversations(turns: DataFrame, *, conv_col: str = "conv_id", turn_co
     Turns follow their number; equal numbers are ordered by role and text, null
     numbers come first, and repeated rows are repeated turns.  A null text or role
     is empty.  Rows without a conversation id make one conversation whose id is
-    null.  An empty table gives no rows; other columns are ignored.
+    null; every id, the least one too, is one of its own.  A conversation is held
+    whole by one task and may have up to 2 GB of formatted text.  An empty table
+    gives no rows; other columns are ignored, whatever their names.
     """
     bounded_batches(turns.sparkSession, 4000)
     rows = turns.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))

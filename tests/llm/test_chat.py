@@ -51,3 +51,9 @@ def test_conversations_across_batches(spark):
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition("conv_id").sortWithinPartitions("conv_id", "turn").select("conv_id", "role", "text")
     got = {r["conv_id"]: chat.read_back(r["formatted"]) for r in frame.mapInArrow(chat._format_partition, chat.SCHEMA).collect()}
     assert got == {c: [("user" if t % 2 == 0 else "assistant", f"{c}-{t}") for t in range(c + 1)] for c in range(9)}
+
+
+def test_the_least_id_is_not_the_null_id(spark):
+    rows = [(-(2**63), 0, "user", "a"), (None, 0, "user", "b"), (0, 0, "user", "c"), (None, 1, "assistant", "d")]
+    got = {r["conv_id"]: r["n_turns"] for r in chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {-(2**63): 1, None: 2, 0: 1}
