@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 from pandas.util import hash_array
+from pyspark.sql import DataFrame
 
 SLICE_BYTES = 8 << 20
 #: The C library's function for it, where there is one.
@@ -30,6 +31,27 @@ def bounded_batches(spark, rows: int = 2000) -> None:
         spark.conf.set(f"spark.sql.execution.arrow.{key}", str(value))
 
 
+def unused(columns: list[str], name: str) -> str:
+    """A column name that a table does not have yet (in any case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def keep_rows(docs: DataFrame, text_col: str, judge: Callable[[], Callable[[pa.Array], np.ndarray]], most: int | None = None) -> DataFrame:
+    """The rows whose text a function of a worker keeps; all columns stay as they are, whatever their names."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keeps = judge()
+        for batch in batches:
+            for part in slices(batch, at, most or SLICE_BYTES):
+                yield part.filter(pa.array(keeps(text_array(part.column(at))), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def give_back() -> None:
     """Return freed memory to the system, so that workers that live long do not keep what one task needed."""
     pa.default_memory_pool().release_unused()

@@ -9,7 +9,7 @@ on unseen training rows calibrates the probabilities.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .columnar import bounded_batches, gather_runs, give_back, hash_bound, offsets_of, slices, split_chunks, text_array
+from .columnar import bounded_batches, gather_runs, give_back, hash_bound, keep_rows, offsets_of, slices, split_chunks, text_array
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3, 4)
@@ -143,9 +143,9 @@ class LanguageModel:
     temperature: float
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
-        """Label and calibrated probability of each text; no letters: ``und`` and 0."""
+        """Label and calibrated probability of each text; no letters (marks alone are none): ``und`` and 0."""
         sums, number = document_sums(texts, self.table)
-        known = number > 0
+        known = (number > 0) & pc.match_substring_regex(texts, r"\pL").to_numpy(zero_copy_only=False).astype(bool)
         p = softmax((sums / np.maximum(number, 1)[:, None] + self.bias) / self.temperature)
         best = p.argmax(axis=1)
         return [self.labels[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], np.where(known, p[np.arange(len(p)), best], 0.0)
@@ -275,8 +275,11 @@ def train(training: DataFrame, *, text_col: str = "text", lang_col: str = "lang"
 def with_language(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", out: str = "lang_pred", score: str = "lang_score") -> DataFrame:
     """Add the predicted language and its probability to every row of a table.
 
-    Null texts and texts without letters are ``und`` with score 0.  Only the text
-    is read; columns named like the two new ones are replaced.
+    Null and empty texts and texts without letters are ``und`` with score 0.  Whole
+    texts are read, however long, about ``TEXT_BYTES`` at once; a single longer text
+    is held whole.  Of equally likely languages the first by name is given; repeated
+    rows get equal values; an empty table gives no rows.  Only the text is read;
+    columns named like the two new ones are replaced, others stay.
     """
     bounded_batches(docs.sparkSession)
     docs = docs.drop(out, score)
@@ -293,6 +296,23 @@ def with_language(docs: DataFrame, model: LanguageModel, *, text_col: str = "tex
     return docs.mapInArrow(run, f"{kind}, `{out}` string, `{score}` double")
 
 
+def only_known(docs: DataFrame, model: LanguageModel, least: float, *, text_col: str = "text") -> DataFrame:
+    """The rows whose text has a language that the model is at least so sure of; all columns stay, whatever their names.
+
+    Texts without letters go, as do null and empty ones.
+    """
+    bounded_batches(docs.sparkSession)
+
+    def judge() -> Callable[[pa.Array], np.ndarray]:
+        def sure(texts: pa.Array) -> np.ndarray:
+            label, p = model.predict(texts)
+            return (p >= least) & np.array([name != UNKNOWN for name in label], dtype=bool)
+
+        return sure
+
+    return keep_rows(docs, text_col, judge, TEXT_BYTES)
+
+
 def held_out(id_column: Column, folds: int, fold: int) -> Column:
     """Whether a row belongs to a fold by the checksum of its id as text; a null id does not."""
     return F.coalesce(F.pmod(F.crc32(id_column.cast("string").cast("binary")), F.lit(folds)) == fold, F.lit(False))

@@ -102,3 +102,9 @@ def test_a_rare_language_of_a_large_table_is_learned(spark):
     model = language.train(common.unionByName(rare), labelled_rows=100)
     assert model.labels == ["en", "pl"]
     assert model.predict(pa.array(["źdźbło i żółw", "the street and the house"]))[0] == ["pl", "en"]
+
+
+def test_marks_alone_are_no_letters():
+    model = language.LanguageModel(["de", "en"], np.zeros((language.BUCKETS, 2)), np.zeros(2), 1.0)
+    label, p = model.predict(pa.array(["\u0301\u0308 \u0301", "e\u0301", "", "12"]))
+    assert label == ["und", "de", "und", "und"] and p[0] == p[2] == p[3] == 0
