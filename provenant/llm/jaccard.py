@@ -18,10 +18,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .columnar import bounded_batches, hashed_words, mix, shingles, slices, text_array
+from .columnar import bounded_batches, hashed_words, mix, plainly, shingles, slices, text_array
 from .graph import components
 from .storage import durable
 
@@ -34,8 +34,8 @@ BUCKET = 1024
 MOST_LEVELS = 12
 #: Sets and shingles of a block of exact comparison.
 BLOCK_SETS, BLOCK_SHINGLES = 256, 2_000_000
-#: Tables of up to so many rows are broadcast; larger ones are joined by shuffle.
-BROADCAST_ROWS = 2_000_000
+#: Tables of up to so many bytes are broadcast; larger ones are joined by shuffle.
+BROADCAST_BYTES = 32 << 20
 
 _FACTORS = (mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)).astype(np.uint32)
 
@@ -90,7 +90,7 @@ def unique_sets(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     return values[keep], np.concatenate([[0], np.cumsum(counts)])
 
 
-SIGNATURES = "doc_id long, row_key long, k1 long, k2 long, n long, sketch binary, keys array<long>"
+SIGNATURES = "doc_id long, row_key binary, k1 long, k2 long, n long, sketch binary, keys array<long>"
 
 
 def signatures(rows: DataFrame, threshold: float, runs: int) -> DataFrame:
@@ -190,8 +190,9 @@ def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield links_of(pa.Table.from_batches(held))
 
 
-def checked(table: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """The table, to be broadcast if it is small enough; a larger one is joined by shuffle."""
+def checked(table: DataFrame, row_bytes: int) -> DataFrame:
+    """The table, to be broadcast if its rows, of about so many bytes each, are few enough; a larger one is joined by shuffle."""
+    most = BROADCAST_BYTES // row_bytes
     return F.broadcast(table) if table.limit(most + 1).count() <= most else table
 
 
@@ -201,13 +202,13 @@ def candidate_links(sets: DataFrame, threshold: float) -> DataFrame:
     out = []
     for level in range(MOST_LEVELS + 1):
         sizes = durable(rows.groupBy("key").agg(F.count("*").alias("c")).filter(F.col("c") > BUCKET).select("key"))
-        huge = checked(sizes)
+        huge = checked(sizes, 32)
         bucketed = rows.join(huge, "key", "left_anti").select("key", "id", "sketch")
         out.append(bucketed.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_links, "a long, b long"))
         if sizes.isEmpty():
             break
         members = durable(rows.join(huge, "key", "left_semi"))
-        leaders = checked(durable(members.groupBy("key").agg(F.min_by(F.struct("id", "sketch"), F.xxhash64("id", F.lit(level))).alias("leader"))))
+        leaders = checked(durable(members.groupBy("key").agg(F.min_by(F.struct("id", "sketch"), F.xxhash64("id", F.lit(level))).alias("leader"))), 256)
         led = members.join(leaders, "key").select("key", "id", "sketch", F.col("leader.id").alias("leader"), F.col("leader.sketch").alias("leader_sketch"))
         last = level == MOST_LEVELS
 
@@ -292,7 +293,7 @@ def verify(groups: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     stats = groups.groupBy("root").agg(F.count("*").alias("members"), F.sum("n").alias("total"))
     blocks = F.greatest(F.ceil(F.col("members") / BLOCK_SETS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
     placed = durable(groups.join(stats, "root").select("id", "root", "copies", "row_key", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block")))
-    rows = texts.join(checked(placed), "row_key").dropDuplicates(["id"]).select("id", "root", "copies", "block", "blocks", "text")
+    rows = texts.join(checked(placed, 96), "row_key").dropDuplicates(["id"]).select("id", "root", "copies", "block", "blocks", "text")
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -307,10 +308,16 @@ def verify(groups: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return paired.groupBy("root", "one", "two").applyInArrow(lambda t: _verify_block(t, threshold), "id long, root long, links long")
 
 
+def row_key(id_column: Column, text: Column) -> Column:
+    """128 bits of a row's id and text."""
+    known = F.concat(F.coalesce(id_column.cast("string"), F.lit("-")), F.when(text.isNull(), F.lit("|-")).otherwise(F.concat(F.lit("|+"), text)))
+    return F.unhex(F.md5(known))
+
+
 def row_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``doc_id, row_key, text``; rows with equal ids and texts share a key."""
     text = F.col(text_col).cast("string")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col), text).alias("row_key"), text.alias("text"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(F.col(id_col).cast("long"), text).alias("row_key"), text.alias("text"))
 
 
 def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -329,31 +336,40 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     signed = durable(signatures(rows, threshold, run_count(threshold, recall)))
     live = signed.filter("n > 0")
     sets = durable(
-        live.groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.min("row_key").alias("row_key"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys")).withColumnRenamed("k1", "id")
-    )
+        live.groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.min("row_key").alias("row_key"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys")).withColumn("id", F.monotonically_increasing_id())
+    )  # written, so that every set keeps its number
     met = durable(candidate_links(sets.select("id", "sketch", "keys"), threshold))
     grouped = components(met).select(F.col("node").alias("id"), "root")
     groups = sets.select("id", "n", "copies", "row_key").join(grouped, "id")
     exact = durable(verify(groups, rows, threshold))
     roots = components(exact.select(F.col("id").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("id"), "root")
     counted = exact.groupBy("id").agg(F.sum("links").alias("near"))
-    named = sets.select("id", "k2", "copies", "least").join(roots, "id", "left").join(counted, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    named = sets.select("id", "k1", "k2", "copies", "least").join(roots, "id", "left").join(counted, "id", "left").withColumn("root", F.coalesce("root", "id"))
     classes = named.groupBy("root").agg(F.min("least").alias("class_id"))
-    known = named.join(classes, "root").select(F.col("id").alias("k1"), "k2", "class_id", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("links"))
+    known = named.join(classes, "root").select("k1", "k2", "class_id", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("links"))
     with_set = signed.filter("n > 0").select("doc_id", "row_key", "k1", "k2").join(known, ["k1", "k2"]).select("doc_id", "row_key", "class_id", "links")
     without = signed.filter("n = 0").select("doc_id", "row_key", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("links"))
     return with_set.unionByName(without)
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """The rows of ``docs`` with one row of each class: that of the least id (and row key)."""
+    """The rows of ``docs`` with one row of each class: that of the least id (and row key).
+
+    A null id comes after all others.  Null texts and texts without words are a
+    class each and stay; repeated rows give one; texts of any length count whole;
+    an empty table gives no rows; all columns stay, whatever their names.
+    """
     judged = durable(jaccard_classes(docs, id_col=id_col, text_col=text_col, threshold=threshold, recall=recall))
     linked = judged.filter("links > 0")
     first = linked.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("f")).select(F.col("f.row_key").alias("_kept"), F.col("class_id"))
-    losers = durable(linked.join(first, linked["class_id"].eqNullSafe(first["class_id"])).filter("row_key <> _kept").select(F.col("row_key").alias("_key")).distinct())
-    twice = durable(judged.filter("links > 0").groupBy(F.col("row_key").alias("_key")).count().filter("count > 1").select("_key"))
-    keyed = docs.withColumn("_key", F.xxhash64(F.col(id_col), F.col(text_col).cast("string")))
-    kept = keyed.join(checked(losers), "_key", "left_anti")
-    repeated = checked(twice)
-    single = kept.join(repeated, "_key", "left_anti")
-    return single.unionByName(kept.join(repeated, "_key", "left_semi").dropDuplicates(["_key"])).drop("_key")
+    losers = durable(linked.join(first, linked["class_id"].eqNullSafe(first["class_id"])).filter("row_key <> _kept").select("row_key").distinct())
+    twice = durable(linked.groupBy("row_key").count().filter("count > 1").select("row_key"))
+    ident, text = (F.col(f"c{docs.columns.index(c)}") for c in (id_col, text_col))
+
+    def kept(rows: DataFrame) -> DataFrame:
+        left = rows.withColumn("row_key", row_key(ident.cast("long"), text.cast("string"))).join(checked(losers, 64), "row_key", "left_anti")
+        repeated = checked(twice, 64)
+        single = left.join(repeated, "row_key", "left_anti")
+        return single.unionByName(left.join(repeated, "row_key", "left_semi").dropDuplicates(["row_key"])).drop("row_key")
+
+    return plainly(docs, kept)

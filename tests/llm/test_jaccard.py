@@ -69,7 +69,7 @@ def test_families_against_brute_force(spark, monkeypatch, small):
         monkeypatch.setattr(jaccard, "BUCKET", 6)
         monkeypatch.setattr(jaccard, "MOST_LEVELS", 3)
         monkeypatch.setattr(jaccard, "BLOCK_SETS", 7)
-        monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 3)
+        monkeypatch.setattr(jaccard, "BROADCAST_BYTES", 100)
     docs = copies(1)
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert got(jaccard.jaccard_classes(df)) == brute(docs)
