@@ -31,14 +31,6 @@ def bounded_batches(spark, rows: int = 2000) -> None:
         spark.conf.set(f"spark.sql.execution.arrow.{key}", str(value))
 
 
-def unused(columns: list[str], name: str) -> str:
-    """A column name that a table does not have yet (in any case)."""
-    taken = {c.lower() for c in columns}
-    while name.lower() in taken:
-        name = f"_{name}"
-    return name
-
-
 def keep_rows(docs: DataFrame, text_col: str, judge: Callable[[], Callable[[pa.Array], np.ndarray]], most: int | None = None) -> DataFrame:
     """The rows whose text a function of a worker keeps; all columns stay as they are, whatever their names."""
     at = docs.columns.index(text_col)
@@ -49,7 +41,12 @@ def keep_rows(docs: DataFrame, text_col: str, judge: Callable[[], Callable[[pa.A
             for part in slices(batch, at, most or SLICE_BYTES):
                 yield part.filter(pa.array(keeps(text_array(part.column(at))), pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return plainly(docs, lambda rows: rows.mapInArrow(run, rows.schema))
+
+
+def plainly(docs: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Do some work on a table under plain column names (``c0``, ``c1``, …), so that dots, quotes and clashes in the real ones do no harm."""
+    return work(docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))).toDF(*docs.columns)
 
 
 def give_back() -> None:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .columnar import bounded_batches, hash_words, offsets_of, shingles, slices, text_array, text_words, words_of
+from .columnar import bounded_batches, hash_words, offsets_of, plainly, shingles, slices, text_array, text_words, words_of
 from .storage import durable
 
 K1, B = 1.2, 0.75
@@ -411,5 +411,5 @@ def drop_leaking(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text
                     bad = {h[0] for h in leaks_of(indexes, text_array(part.column(at)), threshold) if verified(*h[3:6], overlap)}
                     yield part.filter(pa.array([i not in bad for i in range(part.num_rows)], pa.bool_()))
 
-        out = out.mapInArrow(run, docs.schema)
+        out = plainly(out, lambda rows, run=run: rows.mapInArrow(run, rows.schema))
     return out

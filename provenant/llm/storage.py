@@ -14,10 +14,12 @@ _own: str | None = None
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset and all runs on one machine (tests)."""
     global _own
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         _own = _own or f"file://{tempfile.mkdtemp(prefix='provenant-')}"
         folder = _own
     return folder.rstrip("/")

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .columnar import Expander, bounded_batches, chunk_words, give_back, hash_bound, hashed_words, offsets_of, shingles, slices, text_array, text_words
+from .columnar import Expander, bounded_batches, chunk_words, give_back, hash_bound, hashed_words, keep_rows, offsets_of, shingles, slices, text_array, text_words
 
 # The words that the grammar knows without labels.
 INSULTS = ("idiot", "idiots", "moron", "morons", "stupid", "dumb", "loser", "losers", "scum", "trash", "pathetic", "worthless", "disgusting", "clown", "clowns", "imbecile", "bastard", "coward", "pig", "vermin", "filth", "retard", "idiota", "imbécile", "connard", "salaud", "dummkopf", "arschloch", "trottel", "estúpido", "basura")
@@ -269,7 +269,9 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     counts = {r["_toxic"]: r["count"] for r in marked.groupBy("_toxic").count().collect()}  # two rows
     chosen = [marked.filter((F.col("_toxic") == v) & (order <= F.lit(hash_bound(n, counts.get(v, 0))))).orderBy(order, "_id").limit(n) for v, n in ((1, toxic_rows), (0, clean_rows))]
     picked = chosen[0].unionByName(chosen[1])  # toxic_rows + clean_rows at most
-    sample = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).filter("text is not null").join(F.broadcast(picked), "_id").select("_toxic", "text")
+    joined = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).filter("text is not null").join(F.broadcast(picked), "_id")
+    # an id that many rows share gives its first text by hash, so that the sample stays within its bound
+    sample = joined.groupBy("_id", "_toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("_toxic", "text")
 
     def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -307,7 +309,9 @@ def with_toxicity(docs: DataFrame, model: ToxicityModel, *, text_col: str = "tex
     """Add a toxicity score (0 to 1) to every row of a table.
 
     Null and empty texts match nothing and get the score of an unmatched text.
-    Only the text is read; a column named like the new one is replaced.
+    Whole texts are read, however long; repeated rows and equal texts get equal
+    scores; an empty table gives no rows.  Only the text is read; a column named
+    like the new one is replaced, others stay.
     """
     bounded_batches(docs.sparkSession)
     docs = docs.drop(out)
@@ -323,3 +327,14 @@ def with_toxicity(docs: DataFrame, model: ToxicityModel, *, text_col: str = "tex
 
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(run, f"{kind}, `{out}` double")
+
+
+def without_toxic(docs: DataFrame, model: ToxicityModel, at: float, *, text_col: str = "text") -> DataFrame:
+    """The rows whose text scores below a threshold; all columns stay, whatever their names.  Null and empty texts stay."""
+    bounded_batches(docs.sparkSession)
+
+    def judge() -> Callable[[pa.Array], np.ndarray]:
+        expand = model.lexicon.expander()
+        return lambda texts: np.asarray(model.score(features(texts, expand))) < at
+
+    return keep_rows(docs, text_col, judge)

@@ -56,3 +56,13 @@ def test_empty_table_passes_every_stage(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, FOLDER)
         assert docs.count() == 0
+
+
+def test_clashing_and_dotted_columns_stay(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(60)
+    odd = docs.selectExpr("*", "'a' as _toxicity", "'b' as _language", "'c' as _sure", "'d' as _key", "'e' as row_key", "'f' as `a.b`", "'g' as `row``key`")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        after = durable(stage(spark, odd, FOLDER))
+        assert after.columns == odd.columns and after.count() > 0
+        kept = {tuple(r)[len(docs.columns) :] for r in after.collect()}
+        assert kept == {("a", "b", "c", "d", "e", "f", "g")}
