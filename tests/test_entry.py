@@ -38,3 +38,12 @@ def test_smoke(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_the_other_tests_import_without_the_optional_parts(tmp_path):
+    shutil.copytree(ROOT / "provenant", tmp_path / "provenant", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copytree(ROOT / "tests", tmp_path / "tests", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ("__spark_entry__.py", "bench.py"):
+        shutil.copy(ROOT / name, tmp_path)
+    found = subprocess.run([sys.executable, "-m", "pytest", "--collect-only", "-q", "tests"], cwd=tmp_path, capture_output=True, text=True, check=False)
+    assert found.returncode == 0, found.stdout[-2000:]
