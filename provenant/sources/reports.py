@@ -6,8 +6,9 @@ import json
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from provenant.sources.sinks import cell, markdown_table, write_csv
+from provenant.sources.sinks import cell, markdown_table, write_csv, write_json_lines
 
 REVIEW_COLUMNS = ("source", "observation_id", "url", "published_at", "problem_type", "problem_family", "problem", "actor", "job_to_be_done", "context", "excerpt", "strong", "stratum", "provider", "evidence_scope", "human_is_problem", "human_type", "human_family", "human_strong", "human_notes")
 GERMAN = {"Evidence": "Belege", "Research passes": "Recherchegänge", "Alternatives": "Alternativen", "Counter-evidence": "Gegenbelege", "Unknowns": "Offene Punkte", "Validation questions": "Validierungsfragen", "Status": "Status", "unknown": "unbekannt", "none recorded": "nichts erfasst"}
@@ -29,8 +30,6 @@ def plan_markdown(plan: DataFrame) -> str:
 
 def write_review(rows: DataFrame, path: str) -> None:
     """Review rows in the fixed column order, with blank columns for people."""
-    from pyspark.sql import functions as F
-
     have = set(rows.columns)
     write_csv(rows.select(*(F.col(c) if c in have else F.lit(None).cast("string").alias(c) for c in REVIEW_COLUMNS)), path)
 
@@ -63,6 +62,61 @@ def community_report_json(rows: DataFrame) -> str:
     return json.dumps([r.asDict() for r in rows.orderBy("community").collect()], sort_keys=True, indent=2, ensure_ascii=False)  # one row a community
 
 
+def community_markdown(rows: DataFrame) -> str:
+    """Totals of all communities, then a row for each by name."""
+    numbers = [f.name for f in rows.schema.fields if f.dataType.simpleString() in ("int", "bigint")]
+    totals = rows.agg(F.count("*").alias("communities"), *(F.sum(c).alias(c) for c in numbers))
+    return "# Communities\n\n## Totals\n\n" + markdown_table(totals) + "\n## By community\n\n" + markdown_table(rows.orderBy("community"))
+
+
+#: What the tables of a wave report show, in this order.
+WAVE_SECTIONS = {
+    "Selection": ("source", "category", "target_items", "health_status", "policy_ready", "acquisition_eligible"),
+    "Acquisition": ("source", "search_requests", "requested_items", "discovered_urls", "unique_urls", "duplicates_removed", "full_items", "partial_items", "metadata_only_items", "failed_acquisitions", "acquisition_success_rate"),
+    "Research": ("source", "research_quality", "sample_size_usable", "pain_observations", "strong_signals", "active_solution_searches", "quantified_impacts", "payment_signals", "manual_workaround_signals", "diy_internal_tool_signals"),
+    "Yields": ("source", "pain_per_1000_usable", "strong_per_1000_usable", "active_per_1000_usable", "payment_per_1000_usable"),
+    "Costs": ("source", "acquisition_cost_usd", "processing_cost_usd", "unknown_cost_records", "latency_ms", "cost_per_strong_signal_usd"),
+}
+
+
+def wave_report(rows: DataFrame, review: DataFrame | None = None) -> str:
+    """A wave's measures in sections, the strongest sources first, and the rows to be reviewed; what is unknown is said to be so."""
+    ranked = rows.orderBy(F.desc_nulls_last("strong_signals"), "source")
+    out = ["# Wave", ""]
+    for name, columns in WAVE_SECTIONS.items():
+        out += [f"## {name}", "", markdown_table(ranked.select(*columns))]
+    if review is not None:
+        out += ["## Review sample", "", markdown_table(review.select("source", "classification", "place", "source_item_id", "observation_id", "evidence_text", "payment_signal", "providers").orderBy("source", "classification", "place"))]
+    return "\n".join(out)
+
+
+def readiness_report(gates: DataFrame) -> str:
+    """Every gate with its measure, and whether all passed; no gate at all is not ready."""
+    failed = gates.agg(F.count("*").alias("n"), F.count_if(~F.col("passed")).alias("f")).first()
+    verdict = "READY" if failed["n"] and not failed["f"] else "NOT READY"
+    return f"# Readiness\n\n{verdict}: {failed['n'] - failed['f']} of {failed['n']} gates passed\n\n" + markdown_table(gates.orderBy("suite", "gate", "metric"))
+
+
+def capture_report(accounting: DataFrame) -> str:
+    """What a capture brought, in all and by source."""
+    numbers = ("received", "full", "partial", "metadata_only", "removed", "deleted", "new_items", "existing_items")
+    return "# Capture\n\n" + markdown_table(accounting.agg(*(F.sum(c).alias(c) for c in numbers))) + "\n## By source\n\n" + markdown_table(accounting.orderBy("source_id"))
+
+
+def holdout_outputs(sample: DataFrame, folder: str) -> None:
+    """The review sample of a holdout as JSON lines and as CSV."""
+    write_json_lines(sample, f"{folder}/review.jsonl")
+    write_csv(sample, f"{folder}/review.csv")
+
+
+def site_payload(pains: DataFrame, products: DataFrame, updated: str) -> str:
+    """The data of a static page: pains with their related products, products, and counts; fetched a partition at a time."""
+    found = [r.asDict(recursive=True) for r in pains.orderBy("id").toLocalIterator()]
+    shown = [r.asDict(recursive=True) for r in products.orderBy("name").toLocalIterator()]
+    stats = {"pains": len(found), "products": len(shown), "niches": len({p["niche"] for p in found}), "quotes": sum(1 for p in found if p["quote"])}
+    return json.dumps({"updated": updated, "pains": found, "products": shown, "stats": stats}, ensure_ascii=False, sort_keys=True)
+
+
 def radar_board(buckets: DataFrame, products: DataFrame) -> str:
     """Counts by bucket and the 120 newest products."""
     return "# Radar\n\n" + markdown_table(buckets.orderBy(buckets["products"].desc(), "bucket")) + "\n## Newest\n\n" + markdown_table(products.orderBy(products["seen_date"].desc(), "name").limit(120))

@@ -1,8 +1,10 @@
 import hashlib
+import json
 
 from pyspark.sql import functions as F
 
-from provenant.operators import evaluation, radar
+from provenant.operators import evaluation, ingestion, radar
+from provenant.sources import reports
 
 
 def test_radar_lexicon(spark):
@@ -26,3 +28,26 @@ def test_review_sample(spark):
     key = lambda r: hashlib.sha256((r[3] or str(r[0])).encode()).hexdigest()
     assert got[:30] == list(range(0, 90, 3))
     assert got[30:] == [r[0] for r in sorted((r for r in rows if r[2] == "NO_PAIN"), key=key)][:25]
+
+
+def test_reports_of_waves_gates_captures_and_the_site(spark, tmp_path):
+    names = dict.fromkeys(c for columns in reports.WAVE_SECTIONS.values() for c in columns)
+    wave = spark.createDataFrame([{"source": "a", "strong_signals": 1}, {"source": "b", "strong_signals": 3}, {"source": "c", "strong_signals": None}], ", ".join(f"{c} {'long' if c == 'strong_signals' else 'string'}" for c in names))
+    text = reports.wave_report(wave)
+    assert [text.index(f"| {x} | unknown | unknown |") for x in "bac"] == sorted(text.index(f"| {x} | unknown | unknown |") for x in "abc") and "## Costs" in text
+    gates = spark.createDataFrame([("s", "coverage", "cases", 5.0, 6.0, True), ("s", "metrics", "f1", 0.8, None, False)], "suite string, gate string, metric string, minimum double, value double, passed boolean")
+    assert "NOT READY: 1 of 2" in reports.readiness_report(gates) and "READY: 1 of 1" in reports.readiness_report(gates.filter("passed"))
+    assert "NOT READY: 0 of 0" in reports.readiness_report(gates.limit(0))
+    posts = spark.createDataFrame([(1, "a", "FULL", None, "2026-01-01 00:00:00"), (1, "b", "PARTIAL", "REMOVED", None), (2, None, "FULL", "DELETED", None)], "source_id long, external_id string, completeness string, removal_state string, published_at string")
+    counted = ingestion.page_accounting(posts, spark.createDataFrame([(1, "b")], "source_id long, external_id string"), "2026-01-01 00:01:00")
+    one = counted.filter("source_id = 1").first()
+    assert (one["new_items"], one["existing_items"], one["removed"], one["age_seconds"]) == (1, 1, 1, 60)
+    assert "| 3 | 2 | 1 | 0 | 1 | 1 | 1 | 1 |" in reports.capture_report(counted)
+    assert "| 2 | 5 |" in reports.community_markdown(spark.createDataFrame([("a", 2), ("b", 3)], "community string, items long"))
+    products = radar.classified(spark.createDataFrame([("Desk", "freight load board", "d")], "name string, tagline string, seen_date string"))
+    pains = spark.createDataFrame([(1, "https://x/r/logistics/1", "slow", "q"), (2, "https://x/r/freightbrokers/1", "slow", None), (3, "https://x/r/freightbrokers/1", "slow", None)], "id long, url string, pain string, quote string")
+    site = json.loads(reports.site_payload(radar.site_payload(pains, products), products, "2026-01-02"))
+    assert site["stats"] == {"pains": 2, "products": 1, "niches": 2, "quotes": 1}
+    assert [p["related"] for p in site["pains"]] == [[], ["Desk"]]
+    reports.holdout_outputs(spark.createDataFrame([(1, "x")], "source_item_id long, status string"), str(tmp_path))
+    assert spark.read.json(f"{tmp_path}/review.jsonl").count() == 1
