@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, jaccard, language, lm, packing, sharding, topk, toxicity, urls
+from . import chat, decontamination, jaccard, language, lm, manifest, neardup, packing, resampling, sharding, topk, toxicity, urls
+from .oracles import manifest_sql, near_copies_sql, resampling_sql
 
 TOXIC_AT = 0.3
 
@@ -102,8 +103,30 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.filter(F.col("vec_id") % 20 == 0), k=20)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    docs = table(spark, sf_dir, "documents").withColumn("hit", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0)
+    docs = docs.withColumn("lowered", F.when(F.col("hit"), F.translate("text", capitals, capitals.lower())))  # a column of its own, so worked out once
+    tampered = F.when(F.col("hit"), manifest.leaf_digest([F.col("lowered" if c == "text" else c) for c in manifest.COLUMNS]))
+    proofs = manifest.build(docs, claims={"tampered": tampered}).proofs()
+    folded = manifest.fold(F.coalesce("claim_tampered", "digest"), F.col("path"))
+    out = proofs.select(F.col("id").alias("doc_id"), F.col("digest").alias("leaf"), "subroot", "root", manifest.proof_digest(F.col("path")).alias("proof_sha256"), folded.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_copies(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_packing, op2_decontamination, op3_jaccard_join, op4_url_filters, op5_chat_formatting, op6_language_id, op7_toxicity, op8_lm_scoring, op9_sharding, op10_topk_search]
+    found = [
+        op1_packing, op2_decontamination, op3_jaccard_join, op4_url_filters, op5_chat_formatting, op6_language_id, op7_toxicity, op8_lm_scoring, op9_sharding, op10_topk_search,
+        op11_merkle_manifest, op12_importance_resampling, op13_embedding_neardup,
+    ]
     return {f.__name__: f for f in found}
 
 
@@ -124,4 +147,4 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_topk_search": TOPK_SQL}
+    return {"op10_topk_search": TOPK_SQL, "op11_merkle_manifest": manifest_sql(), "op12_importance_resampling": resampling_sql(), "op13_embedding_neardup": near_copies_sql()}
