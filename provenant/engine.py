@@ -14,10 +14,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenant.functions.text import fingerprint, identifier, normalize_url
-from provenant.operators import audits, candidates, cost, evaluation, extraction, ingestion, lifecycle, metrics, planning, radar, rules, signals
+from provenant.functions.text import casefold, fingerprint, identifier, normalize_url
+from provenant.operators import audits, candidates, cost, discovery, evaluation, extraction, ingestion, lifecycle, metrics, planning, radar, rules, runs, signals
 from provenant.operators.candidates import evidence_state
 from provenant.sources import readers, reports, sinks
+from provenant.sources.scratch import written
 from provenant.sources.store import SnapshotStore
 
 
@@ -39,6 +40,10 @@ class Engine:
             now = self._breaks(after, changed)
             then = self._breaks(before, changed) if now else {}
             bad = sorted(w for w, (n, keys) in now.items() if keys is None and n > then.get(w, (0, None))[0])
+            doubtful = {tuple(w.split(": ", 1)) for w, (_, keys) in now.items() if keys is None and w not in bad}
+            if doubtful:  # broken before, too, and no more often: by the same rows?
+                rows, old = rules.broken_rows(after, doubtful), rules.broken_rows(before, doubtful)
+                bad += sorted(r[0] for r in (rows if old is None else rows.subtract(old)).select("rule").distinct().collect())
             moved = {w for w, found in now.items() if found[1] is not None and found != then.get(w)}
             if moved:  # some other rows break a guard: are there any that did not before?
                 rows, old = audits.guarded(after, changed, moved), audits.guarded(before, changed, moved)
@@ -259,8 +264,9 @@ class Engine:
         """
         return self._publish(self._observations(drafts, run_id))
 
-    def _observations(self, drafts: dict[str, DataFrame], run_id: str | None) -> dict[str, DataFrame]:
-        observations, items, spans = self._tables("problem_observations", "source_items", "evidence_spans")
+    def _observations(self, drafts: dict[str, DataFrame], run_id: str | None, observations: DataFrame | None = None) -> dict[str, DataFrame]:
+        now, items, spans = self._tables("problem_observations", "source_items", "evidence_spans")
+        observations = now if observations is None else observations
         of_item = items.select(F.col("id").alias("source_item_id"), F.col("country_code").alias("_country"))
         rows = drafts["observations"].join(of_item, "source_item_id", "left")
         named = [c for c in observations.columns if c not in rows.columns and c not in ("id", "pipeline_run_id", "created_at", "country_code")]
@@ -357,6 +363,142 @@ class Engine:
         new = lifecycle.first_of_each(answers.filter("not cached and answer is not null").select("identity", "id", "answer"), ["identity"], [F.col("id")]).select("identity", "answer")
         return self._publish({"inference_cache": cache.unionByName(lifecycle.absent(new, cache, ["identity"]))})
 
+    def discover_problems(self, call: Callable[[discovery.Request], discovery.Reply], settings: discovery.Settings, run_id: str, item_ids: DataFrame | None = None, chunks: int = 4) -> DataFrame:
+        """A run of both stages over items that are acquired whole; gives one row of its counts.
+
+        The run's items are frozen at its beginning (``item_ids``: ``id``, all such items
+        without it).  A stage is asked in ``chunks`` of items; what a chunk brought is
+        written once, then published with its ledger, model runs and answers and with the
+        chunk's state.  A run of the same id goes on where it broke off, and asks for
+        nothing that has been written; a complete one asks for nothing at all.
+        """
+        full = self.table("acquisition_records").filter("completeness = 'FULL'").select(F.col("source_item_id").alias("id"))
+        items = self.table("source_items").select("id", "raw_text").filter("raw_text is not null")
+        wanted = items.select("id") if item_ids is None else item_ids.select(F.col("id").cast("long").alias("id"))
+        if item_ids is not None:
+            self._refuse(wanted.groupBy("id").count().filter("count > 1"), "an item is named twice")
+            self._refuse(wanted.join(items.join(full, "id", "left_semi"), "id", "left_anti"), "discovery takes items that are acquired whole")
+        frozen = written(wanted.join(full, "id", "left_semi"), f"{self.store.root}/runs/{run_id}/items")
+        items = items.join(frozen, "id", "left_semi")
+        runs_ = self.table("pipeline_runs")
+        if runs_.filter(F.col("id") == run_id).isEmpty():
+            started = self.spark.createDataFrame([(run_id, "RUNNING", settings.pipeline_version, "EXTRACTION", frozen.count())], "id string, status string, version string, stage string, input_count long")
+            self._publish({"pipeline_runs": runs_.unionByName(self._fit(started, runs_))})
+        steps = [f"{n}-{stage}-{c:04d}" for n, stage in ((1, discovery.SCREENING), (2, discovery.EXTRACTION)) for c in range(chunks)]
+        self.plan_run(run_id, [*steps, "3-OBSERVATIONS"])
+        chunk = F.pmod(F.xxhash64("id"), F.lit(chunks))
+        for step in self._unfinished(run_id):
+            _, _, rest = step.partition("-")
+            stage, _, number = rest.partition("-")
+            cache, ledger = self._known("structured_inference_cache", discovery.CACHE), self._known("structured_inference_attempts", discovery.LEDGER)
+            if stage == "OBSERVATIONS":
+                self._publish(self._observed(items, cache, settings, run_id) | self._states(run_id, step, "COMPLETE"))
+                continue
+            part = items.filter(chunk == int(number))
+            of = part if stage == discovery.SCREENING else discovery.screened_in(part, cache, settings)
+            last = ledger.filter((F.col("pipeline_run_id") == run_id) & F.col("last"))
+            new = written(discovery.asked(discovery.pending(of, stage, settings, cache, last), call, stage, settings), f"{self.store.root}/runs/{run_id}/{step}")
+            rows = discovery.ledger_rows(new, run_id, settings)
+            answers = discovery.cache_rows(new, part, run_id, settings)
+            models = self.table("model_runs")
+            called = rows.filter("attempt_number is not null").withColumns({"id": F.col("model_run_id"), "provider": F.lit(settings.provider), "status": F.when(F.col("failure_code").isNull(), "COMPLETED").otherwise("FAILED"), "items_processed": F.lit(1), "amount": F.col("cost_usd"), "currency": F.when(F.col("cost_usd").isNotNull(), "USD")})
+            self._publish({
+                "structured_inference_attempts": ledger.unionByName(lifecycle.absent(rows, ledger, ["pipeline_run_id", "identity_key", "attempt_number"])), "structured_inference_cache": cache.unionByName(lifecycle.absent(answers, cache, ["identity_key"])),
+                "model_runs": models.unionByName(lifecycle.absent(self._fit(called, models), models, ["id"])),
+            } | self._states(run_id, step, "COMPLETE"))
+        own = self.table("structured_inference_attempts").filter(F.col("pipeline_run_id") == run_id)
+        return discovery.run_metrics(discovery.outcomes(items, self.table("structured_inference_cache"), own, settings), own)
+
+    def _observed(self, items: DataFrame, cache: DataFrame, settings: discovery.Settings, run_id: str) -> dict[str, DataFrame]:
+        """The observations of a run's extraction answers, each linked to its answer; those of an earlier run are linked, not made again."""
+        observations = self.table("problem_observations")
+        if "extraction_version" not in observations.columns:
+            observations = observations.withColumn("extraction_version", F.lit(None).cast("string"))
+        found = discovery.predictions(items, cache, settings)
+        version = F.col("fields")["extraction_version"]
+        known = observations.filter("extraction_version is not null").groupBy(F.col("source_item_id").alias("_i"), F.col("extraction_version").alias("_v")).agg(F.min("id").alias("observation_id"))
+        there = (F.col("source_item_id") == F.col("_i")) & (version == F.col("_v"))
+        fresh = found.join(known, there, "left_anti")
+        changes = self._observations(extraction.observation_drafts(fresh.drop("identity_key")), run_id, observations)
+        every = changes["problem_observations"].filter("extraction_version is not null").groupBy(F.col("source_item_id").alias("_i"), F.col("extraction_version").alias("_v")).agg(F.min("id").alias("observation_id"))
+        links = found.join(every, there).select("identity_key", "observation_id")
+        after, refused = discovery.linked(cache, links)
+        self._refuse(refused, "an extraction answer is linked to another observation")
+        runs_ = self.table("pipeline_runs")
+        ended = runs_.withColumn("status", F.when(F.col("id") == run_id, "COMPLETED").otherwise(F.col("status")))
+        if "output_count" in runs_.columns:
+            ended = ended.withColumn("output_count", F.when(F.col("id") == run_id, F.lit(found.count())).otherwise(F.col("output_count")).cast("long"))
+        return changes | {"structured_inference_cache": after, "pipeline_runs": ended}
+
+    def holdout_run(self, baseline: DataFrame, call: Callable[[discovery.Request], discovery.Reply], settings: discovery.Settings, run_id: str, most: int | None = None) -> DataFrame:
+        """A discovery run over the whole items whose external id no baseline names (``external_id``, compared case-folded); the first ``most`` by id.
+
+        The set is frozen before the model is asked for the first time, so an item of the
+        baseline never reaches it, and what is acquired meanwhile does not either.
+        """
+        seen = baseline.select(casefold(F.trim("external_id")).alias("_seen"))
+        full = self.table("acquisition_records").filter("completeness = 'FULL'").select(F.col("source_item_id").alias("id"))
+        unseen = self.table("source_items").filter("raw_text is not null").join(full, "id", "left_semi").join(seen, casefold(F.col("external_id")) == F.col("_seen"), "left_anti").select("id")
+        chosen = unseen if most is None else unseen.orderBy("id").limit(most)
+        frozen = written(chosen, f"{self.store.root}/runs/{run_id}/holdout")
+        if frozen.isEmpty():
+            raise ValueError("there are no unseen whole items")
+        return self.discover_problems(call, settings, run_id, frozen)
+
+    # ---- resumable runs --------------------------------------------------------------------------------------------
+
+    def plan_run(self, run_id: str, steps: list[str]) -> None:
+        """Write down the steps of a run; those that are there keep their state."""
+        states = self._known("run_states", runs.STATES)
+        asked = self.spark.createDataFrame([(run_id, s) for s in steps], "run_id string, step string")
+        if not asked.join(states, ["run_id", "step"], "left_anti").isEmpty():
+            self._publish({"run_states": runs.planned(states, asked)})
+
+    def _unfinished(self, run_id: str) -> list[str]:
+        return [r["step"] for r in runs.open_steps(self.table("run_states"), run_id).collect()]  # as many as a run has steps
+
+    def _states(self, run_id: str, step: str, state: str, detail: str | None = None) -> dict[str, DataFrame]:
+        """The change that moves a step on from what it is now; another writer's move in between refuses it."""
+        states = self.table("run_states")
+        now = states.filter((F.col("run_id") == run_id) & (F.col("step") == step)).first()["state"]
+        if now in ("NEW", "FAILED") and state != "RUNNING":
+            states, refused = runs.moved(states, self.spark.createDataFrame([(run_id, step, now, "RUNNING", None)], "run_id string, step string, expected string, state string, detail string"))
+            self._refuse(refused, "the step has moved")
+            now = "RUNNING"
+        after, refused = runs.moved(states, self.spark.createDataFrame([(run_id, step, now, state, detail)], "run_id string, step string, expected string, state string, detail string"))
+        self._refuse(refused, "the step has moved")
+        return {"run_states": after}
+
+    def run_steps(self, run_id: str, steps: list[str], work: Callable[[str], dict[str, DataFrame] | None], allowed: tuple[str, ...] = ()) -> dict[str, str]:
+        """Do the steps of a run that are not complete, and give the state of each; a complete one is SKIPPED.
+
+        ``work`` does a step and gives the tables that it changes: they and the step's
+        state are published together.  A step that raises is FAILED with its reason, and the
+        run goes on; running it again begins with what is not complete.  ``allowed`` are the
+        reasons why a run may not begin (see :func:`text.run_gate_reasons`); there must be none.
+        """
+        if allowed:
+            raise ValueError(f"the run is blocked: {'; '.join(allowed)}")
+        self.plan_run(run_id, steps)
+        todo = set(self._unfinished(run_id))
+        out = {}
+        for step in steps:
+            if step not in todo:
+                out[step] = "SKIPPED"
+                continue
+            self._publish(self._states(run_id, step, "RUNNING"))
+            try:
+                self._publish((work(step) or {}) | self._states(run_id, step, "COMPLETE"))
+                out[step] = "COMPLETE"
+            except Exception as failed:  # noqa: BLE001 - one step's failure must not end the run
+                self._publish(self._states(run_id, step, "FAILED", str(failed)[:1000]))
+                out[step] = "FAILED"
+        return out
+
+    def write_run_state(self, run_id: str, path: str) -> None:
+        """The states of a run as one JSON object by step."""
+        reports.write_state({r["step"]: r["state"] for r in self.table("run_states").filter(F.col("run_id") == run_id).collect()}, path)
+
     # ---- clusters, cases and opportunities -------------------------------------------------------------------------
 
     def flagged(self) -> DataFrame:

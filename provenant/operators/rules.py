@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provenant.sources.fixtures import IMPACTS, OPPORTUNITY_TYPES, PAYMENTS, PROBLEM_FAMILIES, WORKAROUNDS
@@ -296,6 +296,34 @@ def reference_violations(t: Tables, changed: set[str] | None = None) -> DataFram
     return reduce(DataFrame.unionByName, found)
 
 
+def _row_key(table: str, columns: list[str]) -> Column:
+    """What names a row: its first uniqueness key, where the columns of one are there, else all its columns."""
+    known = key_columns(table, lambda c: c in columns)
+    named = known[0][0] if known else ["id"] if "id" in columns else columns
+    return F.to_json(F.struct(*named))
+
+
+def broken_rows(t: Tables, wanted: set[tuple[str, str]]) -> DataFrame | None:
+    """``rule, key`` of the rows that break some of the rules, keys and references, named by table and rule; None if there are none such."""
+    has = _columns(t)
+    found = []
+    keep = lambda table, rule, rows, key: found.append(rows.select(F.lit(f"{table}: {rule}").alias("rule"), key.alias("key")))
+    for table in sorted({x for x, _ in wanted} & set(t)):
+        for rule, sql in row_rules(table, lambda c, n=table: has(n, c)).items():
+            if (table, rule) in wanted:
+                keep(table, rule, t[table].filter(f"NOT ({sql})"), _row_key(table, t[table].columns))
+        for columns, nullable in key_columns(table, lambda c, n=table: has(n, c)):
+            if (table, rule := ",".join(columns)) in wanted:
+                rows = t[table].select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in nullable else F.col(c) for c in columns)).dropna(subset=columns)
+                more = rows.groupBy(*columns).agg(F.count("*").alias("_n")).filter("_n > 1").withColumn("_k", F.explode(F.sequence(F.lit(2).cast("long"), F.col("_n"))))
+                keep(table, rule, more, F.to_json(F.struct(*columns, "_k")))
+    for table, column, named in references(has):
+        if (table, column) in wanted:
+            lost = t[table].filter(F.col(column).isNotNull()).join(t[named].select(F.col("id").alias("_there")), F.col(column) == F.col("_there"), "left_anti")
+            keep(table, column, lost, F.concat_ws("|", _row_key(table, t[table].columns), F.col(column).cast("string")))
+    return reduce(DataFrame.unionByName, found) if found else None
+
+
 def broken(t: Tables, changed: Iterable[str]) -> DataFrame:
     """``table_name, rule, violations`` of all broken rules, keys and references that a change of some tables concerns."""
     names = set(changed)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from provenant.plans import ingest, pipelines, research, text, writes
+from provenant.plans import discovery, ingest, pipelines, research, text, writes
 
-REGISTRIES = (research.registry, text.registry, writes.registry, ingest.registry, pipelines.registry)
+REGISTRIES = (research.registry, text.registry, writes.registry, ingest.registry, pipelines.registry, discovery.registry)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Mapping
+from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -131,6 +132,12 @@ def load_state(text: str | None) -> dict[str, str]:
     return {str(k): str(v) for k, v in state.items()} if isinstance(state, dict) else {}
 
 
+def write_state(state: Mapping[str, str], path: str) -> None:
+    """A run's state as one JSON object with sorted keys; a path without a scheme is a local file."""
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    Path(path).write_text(json.dumps(dict(state), indent=2, sort_keys=True) + "\n", encoding="utf-8")
+
+
 def next_sources(sources: list[str], state: Mapping[str, str]) -> list[str]:
     """What a resumed run still has to do: all but complete and skipped sources."""
     return [s for s in sources if state.get(s) not in ("COMPLETE", "SKIPPED")]
