@@ -120,12 +120,30 @@ def observation_drafts(accepted: DataFrame) -> dict[str, DataFrame]:
     return out
 
 
+#: Ids of a run of the signature's tree, and its levels, which hold all 64-bit ids.
+SIGNATURE_RUN, SIGNATURE_LEVELS = 1024, 7
+#: What an item's signature covers.
+SIGNED = ("country_code", "external_id", "id", "language_code", "raw_text", "source_id")
+
+
+def item_payload(items: DataFrame) -> Column:
+    """An item as compact JSON with sorted keys and explicit nulls; a column that is not there is null."""
+    have = {c: F.col(c) if c in items.columns else F.lit(None).cast("string") for c in SIGNED}
+    return F.to_json(F.struct(*(v.alias(c) for c, v in have.items())), {"ignoreNullFields": "false"})
+
+
 def input_signature(items: DataFrame) -> DataFrame:
-    """One digest of a set of items and their texts, the same for the same set in any order."""
-    each = items.select(F.sha2(F.concat_ws("\u0001", F.col("id").cast("string"), F.col("raw_text")), 256).alias("h"))
-    low = F.conv(F.substring("h", 1, 15), 16, 10).cast("decimal(38,0)")
-    high = F.conv(F.substring("h", 17, 15), 16, 10).cast("decimal(38,0)")
-    return each.agg(F.sha2(F.concat_ws(":", F.count("*").cast("string"), F.sum(low).cast("string"), F.sum(high).cast("string")), 256).alias("signature"))
+    """One digest of a set of items and all that is signed of them, the same for the same set in any order.
+
+    An item's digest is that of its JSON; the digests of each run of consecutive ids are
+    put in order and digested, then those of each run of runs, up to one.  A run holds no
+    more than its ids, so nothing grows with the table but the number of runs.
+    """
+    nodes = items.select(F.col("id").cast("long").alias("id"), F.sha2(item_payload(items), 256).alias("h"))
+    for _ in range(SIGNATURE_LEVELS):
+        run = F.array_sort(F.collect_list(F.struct("id", "h")))
+        nodes = nodes.groupBy(F.floor(F.col("id") / SIGNATURE_RUN).alias("up")).agg(run.alias("run")).select(F.col("up").alias("id"), F.sha2(F.array_join(F.transform("run", lambda x: F.concat(x["id"].cast("string"), F.lit(":"), x["h"])), ","), 256).alias("h"))
+    return nodes.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ","), 256).alias("signature"))  # two nodes at most: ids below and above zero
 
 
 def reusable_run(runs: DataFrame, stage: str, version: str, signature: str) -> DataFrame:

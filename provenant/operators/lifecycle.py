@@ -12,6 +12,8 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from provenant.functions.schema import canonical_json
+
 POLICY = ("access_method", "commercial_use_status", "retention_rules", "attribution_requirements", "quoting_rules", "deletion_requirements", "rate_limit_notes", "rights_reviewed_at")
 COMPLETENESS = ("METADATA_ONLY", "PARTIAL", "FULL")
 PASS_TYPES = ("WORKAROUND_RESEARCH", "COMPETITION", "DACH_TRANSFER", "COUNTER_EVIDENCE")
@@ -81,6 +83,46 @@ def merge_content(arrivals: DataFrame) -> DataFrame:
     return chosen.join(differing, "item_id", "left").select("item_id", "b.completeness", "b.raw_text", "b.arrival", F.coalesce("conflicts", F.lit(0)).alias("conflicts"))
 
 
+CONFLICT = "array<struct<detected_at: string, provider: string>>"
+
+
+def merge_records(arrivals: DataFrame) -> DataFrame:
+    """:func:`merge_content` with the metadata of the text that stands, and a record of every conflict in them.
+
+    ``arrivals`` also holds ``provider, metadata_json``.  The metadata of the chosen arrival
+    replace older ones; ``content_completeness`` is set, and each further full text that
+    differs is appended to ``content_conflicts`` with its provider and the ``acquired_at``
+    of its metadata, in the order of arrival, after those that the metadata held already.
+    Metadata that are no JSON object count as empty.  Keys are in order at every depth.
+    Texts are compared by digest, so only the chosen ones are moved whole.
+    """
+    rank, full = completeness_rank(F.col("completeness")), F.col("completeness") == "FULL"
+    rows = arrivals.withColumn("_digest", F.sha2("raw_text", 256))
+    best = F.max_by(F.struct("completeness", "raw_text", "arrival", "metadata_json", "_digest"), F.struct(rank, -F.col("arrival"))).alias("b")
+    chosen = rows.groupBy("item_id").agg(best)
+    kept = chosen.filter("b.completeness = 'FULL'").select("item_id", F.col("b._digest").alias("_kept"))
+    told = F.get_json_object("metadata_json", "$.acquired_at")
+    others = rows.filter(full).select("item_id", "arrival", "provider", told.alias("detected_at"), "_digest").join(kept, "item_id").filter(~F.col("_digest").eqNullSafe(F.col("_kept")))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("arrival", "detected_at", "provider"))), lambda x: F.struct(x["detected_at"].alias("detected_at"), x["provider"].alias("provider")))
+    records = others.groupBy("item_id").agg(listed.alias("_new"))
+    out = chosen.join(records, "item_id", "left").select("item_id", "b.completeness", "b.raw_text", "b.arrival", F.col("b.metadata_json").alias("_metadata"), "_new")
+    old = F.coalesce(F.from_json(F.get_json_object("_metadata", "$.content_conflicts"), CONFLICT), F.array().cast(CONFLICT))
+    conflicts = F.concat(old, F.coalesce("_new", F.array().cast(CONFLICT)))
+    held = out.withColumn("_conflicts", conflicts)
+    own = F.when(F.size("_conflicts") > 0, F.to_json(F.struct(F.col("completeness").alias("content_completeness"), F.col("_conflicts").alias("content_conflicts")), {"ignoreNullFields": "false"})).otherwise(F.to_json(F.struct(F.col("completeness").alias("content_completeness"))))
+    return held.select("item_id", "completeness", "raw_text", "arrival", F.size("_conflicts").cast("long").alias("conflicts"), merged_json(F.col("_metadata"), own).alias("metadata_json"))
+
+
+def merged_json(old: Column, new: Column) -> Column:
+    """Two JSON objects as one: the new one's values stand where both have a key; keys are in order at every depth.
+
+    What is no JSON object counts as an empty one.
+    """
+    fields = lambda c: F.coalesce(F.try_variant_get(F.try_parse_json(c), "$", "map<string,variant>"), F.try_variant_get(F.parse_json(F.lit("{}")), "$", "map<string,variant>"))
+    kept = F.map_filter(fields(old), lambda k, _: ~F.array_contains(F.map_keys(fields(new)), k))
+    return canonical_json(F.to_json(F.map_concat(kept, fields(new))))
+
+
 def first_of_each(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row per key, the first in order: a single aggregation, no window."""
     others = [c for c in rows.columns if c not in keys]

@@ -48,10 +48,15 @@ def prediction_replay(d: Domain) -> DataFrame:
     return accepted.select("source_item_id", F.lit(None).cast("string").alias("failure")).unionByName(refused)
 
 
-@registry.query((), "", None)
+_UP = ", ".join(f"n{k + 1} AS (SELECT CAST(floor(id / 1024.0) AS BIGINT) AS id, sha256(string_agg(id || ':' || h, ',' ORDER BY id, h)) AS h FROM n{k} GROUP BY 1)" for k in range(7))
+
+
+@registry.query(("source_items",), "", f"""
+, n0 AS (SELECT id, sha256('{{"country_code":' || coalesce(to_json(country_code), 'null') || ',"external_id":' || to_json(external_id) || ',"id":' || id || ',"language_code":' || coalesce(to_json(language_code), 'null') || ',"raw_text":' || to_json(raw_text) || ',"source_id":' || source_id || '}}') AS h FROM source_items), {_UP}
+SELECT sha256(string_agg(h, ',' ORDER BY h)) AS signature FROM n7""")
 def input_signatures(d: Domain) -> DataFrame:
     """The digest of all items, by which an exact repetition of a run is known."""
-    return extraction.input_signature(d.documents.select(F.col("doc_id").alias("id"), F.col("text").alias("raw_text")))
+    return extraction.input_signature(d.source_items)
 
 
 @registry.query(("acquisition_records",), "", """

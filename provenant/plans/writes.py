@@ -41,6 +41,29 @@ def completeness_merge(d: Domain) -> DataFrame:
     return lifecycle.merge_content(rows)
 
 
+#: Arrivals with a provider and metadata of keys that differ from row to row, some of them no object and some with conflicts of their own.
+TOLD = """'{"z":{"b":' || CAST(doc_id AS STRING) || ',"a":[1,null]},"k' || CAST(doc_id % 3 AS STRING) || '":"é","acquired_at":"' || CAST(doc_id % 50 AS STRING) || '"' || CASE WHEN doc_id % 5 = 0 THEN ',"content_conflicts":[{"provider":"old","detected_at":null}]' ELSE '' END || '}'"""
+RECORDED = f"arrivals AS (SELECT doc_id % 400 AS item_id, doc_id AS arrival, split_part('METADATA_ONLY,PARTIAL,FULL', ',', CAST(doc_id % 7 % 3 AS INT) + 1) AS completeness, text AS raw_text, 'p' || CAST(doc_id % 4 AS STRING) AS provider, CASE WHEN doc_id % 11 = 0 THEN '[1]' ELSE {TOLD} END AS metadata_json FROM documents)"
+
+
+@registry.query((), RECORDED, """
+, r AS (SELECT *, CASE completeness WHEN 'FULL' THEN 3 WHEN 'PARTIAL' THEN 2 ELSE 1 END AS k FROM arrivals), w AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY k DESC, arrival) AS rn, first_value(raw_text) OVER (PARTITION BY item_id ORDER BY k DESC, arrival) AS top FROM r),
+c AS (SELECT * FROM w WHERE rn = 1), n AS (SELECT w.item_id, count(*) AS more, string_agg('{"detected_at":' || CASE WHEN w.arrival % 11 = 0 THEN 'null' ELSE '"' || w.arrival % 50 || '"' END || ',"provider":"' || w.provider || '"}', ',' ORDER BY w.arrival) AS rows FROM w JOIN c ON c.item_id = w.item_id WHERE c.k = 3 AND w.k = 3 AND w.raw_text IS DISTINCT FROM c.raw_text GROUP BY w.item_id),
+l AS (SELECT c.*, coalesce(n.more, 0) + (c.arrival % 11 <> 0 AND c.arrival % 5 = 0)::INT AS conflicts, concat_ws(',', CASE WHEN c.arrival % 11 <> 0 AND c.arrival % 5 = 0 THEN '{"detected_at":null,"provider":"old"}' END, n.rows) AS listed FROM c LEFT JOIN n ON n.item_id = c.item_id)
+SELECT item_id, completeness, raw_text, arrival, CAST(conflicts AS BIGINT) AS conflicts, CASE WHEN arrival % 11 = 0 THEN '{' ELSE '{"acquired_at":"' || arrival % 50 || '",' END || '"content_completeness":"' || completeness || '"' || CASE WHEN listed <> '' THEN ',"content_conflicts":[' || listed || ']' ELSE '' END
+  || CASE WHEN arrival % 11 = 0 THEN '}' ELSE ',"k' || arrival % 3 || '":"é","z":{"a":[1,null],"b":' || arrival || '}}' END AS metadata_json FROM l""")
+def content_records(d: Domain) -> DataFrame:
+    """Items after all arrivals, with the merged metadata of the text that stands and a record of every conflict."""
+    return lifecycle.merge_records(arrivals_of(d))
+
+
+def arrivals_of(d: Domain) -> DataFrame:
+    """The arrivals of :data:`RECORDED`."""
+    completeness = F.expr("split_part('METADATA_ONLY,PARTIAL,FULL', ',', cast(doc_id % 7 % 3 as int) + 1)")
+    metadata = F.when(F.col("doc_id") % 11 == 0, "[1]").otherwise(F.expr(TOLD))
+    return d.documents.select((F.col("doc_id") % 400).alias("item_id"), F.col("doc_id").alias("arrival"), completeness.alias("completeness"), F.col("text").alias("raw_text"), F.concat(F.lit("p"), (F.col("doc_id") % 4).cast("string")).alias("provider"), metadata.alias("metadata_json"))
+
+
 @registry.query(("cluster_members", "problem_observations"), "", """
 , old AS (SELECT DISTINCT cluster_id AS id, md5(CAST(cluster_id AS VARCHAR)) AS fingerprint FROM cluster_members WHERE cluster_id % 2 = 0), want AS (SELECT md5(CAST(cluster_id AS VARCHAR)) AS fingerprint, count(*) AS members FROM cluster_members WHERE observation_id % 5 <> 0 GROUP BY cluster_id)
 SELECT o.id, w.fingerprint, w.members FROM want w LEFT JOIN old o ON o.fingerprint = w.fingerprint""")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,13 +56,27 @@ class Parsed:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Non-blank lines with their file."""
-    lines = spark.read.text(path)
-    return lines.select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file")).filter(F.trim("line") != "")
+    """Non-blank lines (``line``) with their file and their number in it, from 1; blank lines count.
+
+    A large file is read in many splits, of which none knows what stands before it.  So the
+    lines of each split are counted first, the counts are summed up in the order of the
+    splits, and a line's number is its place in its split plus the lines before.  Both
+    passes read one listing with one plan, so the places agree.  What is joined to the lines
+    is one row a split.
+    """
+    raw = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    blocks = raw.groupBy("file", "_block").agg(F.min("_at").alias("_first"), F.count("*").alias("_lines"))
+    earlier = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as splits
+    starts = blocks.select("file", "_block", "_first", F.coalesce(F.sum("_lines").over(earlier), F.lit(0)).alias("_before"))
+    known = raw.join(starts, ["file", "_block"]).select("line", "file", (F.col("_at") - F.col("_first") + F.col("_before") + 1).alias("number"))
+    return known.filter(F.trim("line") != "")
 
 
 def parse_json_lines(lines: DataFrame, spec: JsonSpec) -> Parsed:
-    """Parse ``line, file``; unknown, missing and blank keys and unparsable values are errors."""
+    """Parse ``line, file`` and, where it is known, ``number``; unknown, missing and blank keys and unparsable values are errors.
+
+    An error tells the file, the line and its number (null if that is not known).
+    """
     schema = spec.schema
     names = F.array(*(F.lit(f.name) for f in schema.fields))
     keys = F.json_object_keys("line")
@@ -79,7 +93,8 @@ def parse_json_lines(lines: DataFrame, spec: JsonSpec) -> Parsed:
     )
     judged = lines.withColumn("_v", value).withColumn("_problems", problems)
     rows = judged.filter(F.size("_problems") == 0).select("_v.*")
-    errors = judged.filter(F.size("_problems") > 0).select("file", "line", F.array_join("_problems", "; ").alias("problem"))
+    number = F.col("number") if "number" in lines.columns else F.lit(None)
+    errors = judged.filter(F.size("_problems") > 0).select("file", "line", F.array_join("_problems", "; ").alias("problem"), number.cast("long").alias("number"))
     return Parsed(rows, errors)
 
 
@@ -89,10 +104,10 @@ def read_json(spark: SparkSession, path: str, kind: str) -> Parsed:
 
 
 def require_valid(parsed: Parsed) -> DataFrame:
-    """The rows, or an error that names the first bad lines; nothing of a bad batch goes on."""
-    bad = parsed.errors.limit(5).collect()
+    """The rows, or an error that names the first bad lines as ``path:line``; nothing of a bad batch goes on."""
+    bad = parsed.errors.orderBy("file", "number").limit(5).collect()
     if bad:
-        raise ValueError("; ".join(f"{r['file']}: {r['problem']}" for r in bad))
+        raise ValueError("; ".join(f"{r['file']}{'' if r['number'] is None else f':{r['number']}'}: {r['problem']}" for r in bad))
     return parsed.rows
 
 
@@ -126,8 +141,16 @@ def read_live_manifest(spark: SparkSession, path: str) -> DataFrame:
     return rows
 
 
-def read_registry(spark: SparkSession, path: str) -> DataFrame:
-    """Registry rows: name, audience type, professions, scan flag and pilot sizes; every other column is kept as JSON."""
+# What a registry's flag and relevance may say.
+SCAN = {"JA": True, "JA_LIGHT": True, "NEIN": False, "NEIN_BIS_GEPRUEFT": False, "NUR_SEKUNDAER": False}
+RELEVANCE = ("CORE", "PILOT", "SECONDARY", "DROP", "RECHECK_ACCESS")
+
+
+def parse_registry(spark: SparkSession, path: str) -> Parsed:
+    """Registry rows (see :func:`read_registry`), and an error for every empty name, unknown flag or relevance, and bad size.
+
+    An error's number is that of the row, as if every record took one line after the header.
+    """
     rows = read_csv(spark, path)
     lower = {c.lower(): c for c in rows.columns}
     name = next((lower[n] for n in NAME_COLUMNS if n in lower), None)
@@ -136,18 +159,38 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
     col = lambda n: F.nullif(F.trim(F.col(f"`{lower[n]}`")), F.lit("")) if n in lower else F.lit(None).cast("string")
     known = {"audience_type", "scan_now", "pilot_posts", "strict_pilot_posts", "strict_relevance", "zielgruppe", "kategorie", name.lower()}
     rest = [c for c in rows.columns if c.lower() not in known]
-    flag = F.lower(col("scan_now"))
-    return rows.select(
-        F.regexp_replace(F.trim(F.col(f"`{name}`")), "^r/", "").alias("name"),
+    flag, relevance = F.upper(col("scan_now")), F.upper(col("strict_relevance"))
+    sizes = {n: col(n) for n in ("pilot_posts", "strict_pilot_posts")}
+    said = lambda n: F.concat(F.lit(f"{n} has unsupported value '"), col(n), F.lit("'"))
+    problems = [
+        F.when(F.coalesce(F.trim(F.col(f"`{name}`")), F.lit("")) == "", "the name is empty"),
+        F.when(flag.isNotNull() & ~flag.isin(*SCAN), said("scan_now")),
+        *(F.when(v.isNotNull() & ~v.rlike(r"^[+-]?\d+$"), F.lit(f"{n} must be an integer")).when(v.rlike("^-0*[1-9]"), F.lit(f"{n} must not be negative")) for n, v in sizes.items()),
+        F.when(relevance.isNotNull() & ~relevance.isin(*RELEVANCE), said("strict_relevance")),
+    ]
+    at = rows.withColumns({"_file": F.input_file_name(), "_at": F.monotonically_increasing_id(), "_why": F.array_compact(F.array(*problems))})
+    first = at.groupBy(F.col("_file").alias("_f")).agg(F.min("_at").alias("_first"))  # a registry file is read whole by one task
+    errors = at.filter(F.size("_why") > 0).join(first, F.col("_file") == F.col("_f")).select(F.col("_file").alias("file"), F.col(f"`{name}`").alias("line"), F.array_join("_why", "; ").alias("problem"), (F.col("_at") - F.col("_first") + 2).alias("number"))
+    whole = lambda v: F.regexp_replace(v, "^[+]", "").try_cast("long")
+    parsed = at.filter(F.size("_why") == 0).select(
+        F.regexp_replace(F.trim(F.col(f"`{name}`")), "^[rR]/", "").alias("name"),
         F.coalesce(col("audience_type"), text.audience(F.coalesce(col("zielgruppe"), F.lit("")))).alias("audience_type"),
         text.professions(F.coalesce(col("zielgruppe"), F.lit(""))).alias("professions"),
         col("kategorie").alias("primary_industry"),
-        F.when(flag.isin("ja", "yes", "true", "1"), True).when(flag.isin("nein", "no", "false", "0"), False).alias("scan_now"),
-        F.upper(col("strict_relevance")).alias("strict_relevance"),
-        col("pilot_posts").try_cast("long").alias("pilot_posts"),
-        col("strict_pilot_posts").try_cast("long").alias("strict_pilot_posts"),
+        F.when(flag.isin(*(k for k, v in SCAN.items() if v)), True).when(flag.isin(*(k for k, v in SCAN.items() if not v)), False).alias("scan_now"),
+        relevance.alias("strict_relevance"),
+        *(whole(v).alias(n) for n, v in sizes.items()),
         (F.to_json(F.struct(*(F.col(f"`{c}`") for c in rest)), {"ignoreNullFields": "false"}) if rest else F.lit("{}")).alias("metadata_json"),
     )
+    return Parsed(parsed, errors)
+
+
+def read_registry(spark: SparkSession, path: str) -> DataFrame:
+    """Registry rows: name, audience type, professions, scan flag and pilot sizes; every other column is kept as JSON.
+
+    A flag, size or relevance that is not known refuses the file, with the row's number.
+    """
+    return require_valid(parse_registry(spark, path))
 
 
 def replay_search(captures: DataFrame, queries: DataFrame) -> DataFrame:
@@ -166,12 +209,14 @@ def replay_search(captures: DataFrame, queries: DataFrame) -> DataFrame:
 def replay_acquisition(captures: DataFrame, urls: DataFrame) -> DataFrame:
     """Recorded contents by canonical URL; a URL without one has failed.
 
-    Of several captures of a URL the last stands: that of the largest ``line`` where
-    there is one, else the last in reading order.
+    Of several captures of a URL the last stands, that of the largest ``line`` (a number);
+    without that column the order is not known, so a URL may be captured only once.
     """
     keyed = captures.withColumn("canonical_url", F.coalesce(text.post_identity(F.col("url"))["canonical"], text.normalize_url(F.col("url")))).drop("url")
     fields = [c for c in keyed.columns if c not in ("canonical_url", "line")]
-    turn = F.col("line") if "line" in keyed.columns else F.monotonically_increasing_id()
+    if "line" not in keyed.columns and not duplicates(keyed, "canonical_url").isEmpty():
+        raise ValueError("a URL is captured twice, and no line tells which capture is the last")
+    turn = F.col("line") if "line" in keyed.columns else F.lit(0)
     keyed = keyed.withColumn("_turn", turn).groupBy("canonical_url").agg(F.max_by(F.struct(*fields), "_turn").alias("_last")).select("canonical_url", "_last.*")
     return urls.join(keyed, "canonical_url", "left").withColumn("state", F.coalesce("state", F.lit("ACQUISITION_FAILED")))
 
@@ -271,5 +316,5 @@ def baseline_ids(*tables: DataFrame) -> DataFrame:
 def health_capture(spark: SparkSession, path: str) -> Parsed:
     """A health capture: exact keys, and each source once."""
     parsed = read_json(spark, path, "health")
-    again = duplicates(parsed.rows, F.lower("source").alias("source")).select(F.lit(path).alias("file"), F.col("source").alias("line"), F.lit("a source is captured once").alias("problem"))
+    again = duplicates(parsed.rows, F.lower("source").alias("source")).select(F.lit(path).alias("file"), F.col("source").alias("line"), F.lit("a source is captured once").alias("problem"), F.lit(None).cast("long").alias("number"))
     return Parsed(parsed.rows, parsed.errors.unionByName(again))

@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from provenant.functions.text import identifier
 from provenant.operators.ingestion import attested
-from provenant.operators.lifecycle import merge_content
+from provenant.operators.lifecycle import merge_content, merge_records
 from provenant.sources.readers import SPECS, parse_json_lines
 from provenant.sources.store import SnapshotStore
 
@@ -23,13 +23,20 @@ BUCKETS = 64
 
 
 def merge_batch(store: SnapshotStore, arrivals: DataFrame, number: int | None = None) -> int:
-    """Merge ``item_id, arrival, completeness, raw_text`` into the content table; a numbered batch only once."""
+    """Merge ``item_id, arrival, completeness, raw_text`` into the content table; a numbered batch only once.
+
+    Where arrivals also hold ``provider, metadata_json``, the table keeps the merged metadata
+    with a record of every conflict (see :func:`lifecycle.merge_records`).
+    """
     known = store.manifest()
     if number is not None and "content_batches" in known and store.read("content_batches").first()[0] >= number:
         return store.versions()[-1]
-    rows = arrivals.select("item_id", "arrival", "completeness", "raw_text").distinct()
+    told = {"provider", "metadata_json"} <= set(arrivals.columns)
+    rows = arrivals.select("item_id", "arrival", "completeness", "raw_text", *(["provider", "metadata_json"] if told else [])).distinct()
     asked, held = store.touched("content", rows, "item_id", BUCKETS)
-    if held is None:
+    if told:
+        merged = merge_records(rows if held is None else rows.unionByName(held.withColumn("provider", F.lit(None).cast("string")).select(*rows.columns)))
+    elif held is None:
         merged = merge_content(rows)
     else:
         before = held.select("item_id", F.col("conflicts").alias("_held"))

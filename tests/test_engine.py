@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from provenant.operators import audits, evaluation, lifecycle, metrics, planning
+from provenant.operators import audits, evaluation, extraction, lifecycle, metrics, planning
 from provenant.sources import readers, reports, sinks
 from provenant.sources.store import SnapshotStore
 from provenant.streaming import ingest
@@ -164,6 +164,91 @@ def test_the_last_capture_of_a_url_stands(spark):
         readers.replay_search(spark.createDataFrame([("q", "RESULTS"), ("q", "NO_RESULTS")], "query string, availability string"), spark.createDataFrame([("q",)], "query string"))
 
 
+def test_without_a_line_a_url_is_captured_once(spark):
+    twice = spark.createDataFrame([("https://u.example/a", "ACQUISITION_FAILED"), ("https://u.example/a", "CONTENT_COMPLETE")], "url string, state string")
+    with pytest.raises(ValueError, match="twice"):
+        readers.replay_acquisition(twice, spark.createDataFrame([("https://u.example/a",)], "canonical_url string"))
+
+
+def test_errors_name_the_line_of_a_file_in_many_splits(spark, tmp_path):
+    """Lines of very different lengths, blank ones, a line longer than a split, two files, one without a last line end."""
+    good = lambda i, n: json.dumps({"external_id": f"e{i}", "text": "x" * n})
+    lines = [good(i, (i * 37) % 900 + 1) if i % 13 else "" for i in range(1, 600)]
+    lines[99] = good(99, 9000)
+    bad = {151: "not json", 152: "[1]", 400: '{"external_id": "a"}', 599: '{"external_id": "b", "text": "t", "odd": 1}'}
+    for n, line in bad.items():
+        lines[n - 1] = line
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.jsonl").write_text("\n".join(lines))
+    (tmp_path / "in" / "b.jsonl").write_text("\r\n".join([good(1, 3), "", "odd"]) + "\r\n")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+        spark.conf.set("spark.sql.files.openCostInBytes", "16")
+        parsed = readers.read_json(spark, str(tmp_path / "in"), "items")
+        assert readers.read_lines(spark, str(tmp_path / "in")).rdd.getNumPartitions() > 50
+        found = {(r["file"].rsplit("/", 1)[1], r["number"]) for r in parsed.errors.collect()}
+        assert found == {*(("a.jsonl", n) for n in bad), ("b.jsonl", 3)}
+        assert parsed.rows.count() == sum(bool(x) for x in lines) - len(bad) + 1
+        with pytest.raises(ValueError, match=r"a\.jsonl:151: not a JSON object; .*a\.jsonl:152"):
+            readers.require_valid(parsed)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize(("row", "why"), [("r/B,YES,1,CORE", "r.csv:3: scan_now has unsupported value 'YES'"), ("B,ja,x,", "r.csv:3: pilot_posts must be an integer"), ("B,,-2,", "r.csv:3: pilot_posts must not be negative"), ("B,,,GOOD", "r.csv:3: strict_relevance has unsupported value 'GOOD'"), (" ,,,", "r.csv:3: the name is empty")])
+def test_a_bad_registry_value_is_an_error(spark, tmp_path, row, why):
+    path = tmp_path / "r.csv"
+    path.write_text(f"name,scan_now,pilot_posts,strict_relevance\nR/A,nein_bis_geprueft,+7,pilot\n{row}\nC,,,\n", encoding="utf-8")
+    with pytest.raises(ValueError, match=why.replace(".", r"\.")):
+        readers.read_registry(spark, str(path))
+    path.write_text("name,scan_now,pilot_posts,strict_relevance\nR/A,nein_bis_geprueft,+7,pilot\nC,,,\n", encoding="utf-8")
+    assert rows(readers.read_registry(spark, str(path)).select("name", "scan_now", "pilot_posts", "strict_relevance"), "name") == [("A", False, 7, "PILOT"), ("C", None, None, None)]
+
+
+def test_the_signature_of_a_set_of_items(spark):
+    shape = "id long, source_id long, external_id string, raw_text string, country_code string"
+    items = [(i * 997 % 5000 - 40, 1, f"e{i}", f"text {i}", None) for i in range(300)]
+    sign = lambda x: extraction.input_signature(spark.createDataFrame(x, shape)).first()[0]
+    first = sign(items)
+    assert first == sign(items[::-1]) and len(first) == 64
+    for other in (items[1:], [*items[1:], (items[0][0], 1, "e0", "text 0", "DE")], [*items[1:], (9999, *items[0][1:])], [*items, items[0]]):
+        assert sign(other) != first
+    payload = spark.createDataFrame([(1, 2, "e", 'a "quote"\n é', None)], shape)
+    assert payload.select(extraction.item_payload(payload)).first()[0] == json.dumps({"country_code": None, "external_id": "e", "id": 1, "language_code": None, "raw_text": 'a "quote"\n é', "source_id": 2}, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+    assert sign([]) == extraction.input_signature(spark.createDataFrame([], shape)).first()[0]
+
+
+def arrivals(spark, *found):
+    return spark.createDataFrame(list(found), "item_id string, arrival long, completeness string, raw_text string, provider string, metadata_json string")
+
+
+def test_conflicts_are_recorded_in_order(spark):
+    got = lifecycle.merge_records(arrivals(
+        spark, ("a", 3, "FULL", "third", "q", '{"acquired_at":"t3"}'), ("a", 1, "FULL", "first", "p", '{"z":1,"acquired_at":"t1","content_conflicts":[{"provider":"o","detected_at":"t0"}]}'), ("a", 2, "FULL", "first", "r", "{}"), ("a", 4, "FULL", "fourth", None, "no json"), ("a", 0, "PARTIAL", "part", "s", '{"y":2}'),
+        ("b", 1, "PARTIAL", "x", "p", None), ("b", 2, "PARTIAL", "y", "p", '{"n":1}'), ("c", 1, "METADATA_ONLY", None, "p", '{"k":{"b":1,"a":2}}'),
+    )).collect()
+    told = {r["item_id"]: (r["completeness"], r["raw_text"], r["conflicts"], r["metadata_json"]) for r in got}
+    assert told["a"] == ("FULL", "first", 3, '{"acquired_at":"t1","content_completeness":"FULL","content_conflicts":[{"detected_at":"t0","provider":"o"},{"detected_at":"t3","provider":"q"},{"detected_at":null,"provider":null}],"z":1}')
+    assert told["b"] == ("PARTIAL", "x", 0, '{"content_completeness":"PARTIAL"}') and told["c"] == ("METADATA_ONLY", None, 0, '{"content_completeness":"METADATA_ONLY","k":{"a":2,"b":1}}')
+
+
+def test_stream_and_batch_record_the_same(spark, tmp_path):
+    found = [("abc"[i % 3], i, ("PARTIAL", "FULL", "METADATA_ONLY", "FULL")[i * 7 % 4], f"t{i % 5}", f"p{i % 2}", json.dumps({"acquired_at": f"at {i}", f"k{i % 2}": i})) for i in range(30)]
+    whole = rows(lifecycle.merge_records(arrivals(spark, *found)), "item_id")
+    store = SnapshotStore(spark, f"file://{tmp_path}/s")
+    for number, at in enumerate(range(0, 30, 7)):
+        for _ in range(2):  # a batch that comes again changes nothing
+            ingest.merge_batch(store, arrivals(spark, *found[at : at + 7]), number)
+    assert rows(store.read("content").select("item_id", "completeness", "raw_text", "arrival", "conflicts", "metadata_json"), "item_id") == whole and sum(r[4] for r in whole) > 5
+
+
+def test_json_objects_are_merged(spark):
+    got = spark.createDataFrame([('{"b":{"y":1,"x":2},"a":1}', '{"b":3,"c":[{"q":1,"p":2}]}'), ("[1]", '{"a":null}'), (None, None)], "o string, n string").select(lifecycle.merged_json(F.col("o"), F.col("n"))).collect()
+    assert [r[0] for r in got] == ['{"a":1,"b":3,"c":[{"p":2,"q":1}]}', '{"a":null}', "{}"]
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, None, True)], "b int, a string, c boolean")
     sinks.write_json_lines(df, str(tmp_path / "j"))
