@@ -10,7 +10,7 @@ other is split until pairs of blocks remain, which are compared exactly.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,15 +22,14 @@ from pyspark.sql.types import ArrayType, FloatType
 from .columnar import bounded_batches
 from .graph import components
 from .ranking import numbered
+from .skew import with_key
 from .storage import durable
 
 THRESHOLD = 0.95
 #: Leading axes of the grid and the boxes, vectors of a block, blocks (or intervals) of the next larger interval.
 AXES, BLOCK_ROWS, FANOUT = 8, 512, 8
-#: Other blocks that one task compares with a block; a block with more partners is given to several tasks.
-PARTNERS = 32
-#: Keys that hold more than this share of all rows are joined by broadcast: there are fewer than its inverse.
-HOT_SHARE = 0.001
+#: Blocks that are compared as a group, and blocks of other groups that one task compares with it; a group with more partners is given to several tasks.
+GROUP_BLOCKS, PARTNERS = 16, 256
 #: Cosines within this distance of the threshold are worked out again from the vectors themselves.
 MARGIN = 1e-9
 
@@ -112,7 +111,7 @@ def block_pairs(boxes: DataFrame, leading: int, reach: float, fanout: int = FANO
     such intervals and so on have boxes of their own; each level's pairs are the pairs
     of children of the level above that are not provably distant.
     """
-    near = reach * reach * (1 + 1e-9) + 1e-12
+    near = _near(reach)
     corners = [f"{side}{i}" for i in range(leading) for side in ("lo", "hi")]
     levels = [boxes]
     while levels[-1].agg(F.max("block")).first()[0]:
@@ -157,48 +156,88 @@ def _roots(linked: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray
 
 
 class _Unit:
-    """A block and the counts of its links, while the vectors of other blocks stream past."""
+    """A group of blocks and the counts of its links, while the vectors of other groups stream past."""
 
-    def __init__(self, batches: list[pa.RecordBatch], dims: int, own: bool, threshold: float) -> None:
+    def __init__(self, batches: list[pa.RecordBatch], axes: np.ndarray, reach: float, block_rows: int, threshold: float) -> None:
         table = pa.Table.from_batches(batches).combine_chunks()
+        self.axes, self.near, self.threshold = axes, _near(reach), threshold
         self.positions, self.copies = table["position"].to_numpy(), table["copies"].to_numpy()
-        self.vectors = unit(matrix(table["vector"].combine_chunks(), dims))
+        self.vectors = unit(matrix(table["vector"].combine_chunks(), len(axes)))
         self.links = np.zeros(len(self.positions), dtype=np.int64)
-        self.root = self.positions.copy()
-        self.threshold = threshold
-        if own:
-            linked = _linked(self.vectors, self.vectors, threshold)
-            np.fill_diagonal(linked, False)
-            self.links += linked @ self.copies
-            self.root, _ = _roots(linked, self.positions, self.positions)
-
-    def meet(self, batch: pa.RecordBatch, dims: int) -> Iterator[pa.RecordBatch]:
-        """Links with some rows of another block: those rows' counts, and a forest of links of both sides."""
+        at = self.vectors @ axes
+        cuts = np.flatnonzero(np.append(True, np.diff(self.positions // block_rows) != 0))
+        self.blocks = [slice(i, j) for i, j in zip(cuts.tolist(), np.append(cuts[1:], len(at)).tolist(), strict=True)]
+        self.low, self.high = (np.stack([f(at[b], axis=0) for b in self.blocks]) for f in (np.min, np.max))
+        self.forest: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def within(self) -> None:
+        """Links between and within the group's own blocks."""
+        for i, one in enumerate(self.blocks):
+            for j in range(i, len(self.blocks)):
+                gaps = np.maximum(np.maximum(self.low[i] - self.high[j], self.low[j] - self.high[i]), 0)
+                if gaps @ gaps > self.near:
+                    continue
+                other = self.blocks[j]
+                linked = _linked(self.vectors[one], self.vectors[other], self.threshold)
+                if i == j:
+                    np.fill_diagonal(linked, False)
+                if not linked.any():
+                    continue
+                self.links[one] += linked @ self.copies[other]
+                if i != j:
+                    self.links[other] += self.copies[one] @ linked
+                self._join(linked, self.positions[one], self.positions[other])
+
+    def _join(self, linked: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+        for positions, roots in zip((a, b), _roots(linked, a, b), strict=True):
+            moved = positions != roots
+            self.forest.append((positions[moved], roots[moved]))
+
+    def meet(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        """Links with some rows of another group: those rows' counts, and a forest of the links."""
         positions, copies = batch.column("position").to_numpy(), batch.column("copies").to_numpy()
-        linked = _linked(self.vectors, unit(matrix(batch.column("vector"), dims)), self.threshold)
-        if not linked.any():
-            return
-        self.links += linked @ copies
-        counts = self.copies @ linked
-        left, right = _roots(linked, self.positions, positions)
+        vectors = unit(matrix(batch.column("vector"), len(self.axes)))
+        at = vectors @ self.axes
+        counts = np.zeros(len(positions), dtype=np.int64)
+        for low, high, block in zip(self.low, self.high, self.blocks, strict=True):
+            gaps = np.maximum(np.maximum(low - at, at - high), 0)
+            close = np.flatnonzero((gaps * gaps).sum(axis=1) <= self.near)
+            if not len(close):
+                continue
+            linked = _linked(self.vectors[block], vectors[close], self.threshold)
+            if linked.any():
+                self.links[block] += linked @ copies[close]
+                counts[close] += self.copies[block] @ linked
+                self._join(linked, self.positions[block], positions[close])
         touched = counts > 0
-        yield _found(positions[touched], right[touched], counts[touched])
-        mine = left != self.positions
-        yield _found(self.positions[mine], left[mine], np.zeros(int(mine.sum()), dtype=np.int64))
+        return _found(positions[touched], positions[touched], counts[touched], self._edges())
+
+    def _edges(self) -> tuple[np.ndarray, np.ndarray]:
+        edges, self.forest = self.forest, []
+        return tuple(np.concatenate([e[i] for e in edges]) if edges else np.zeros(0, np.int64) for i in (0, 1))
 
     def end(self) -> pa.RecordBatch:
-        live = (self.links > 0) | (self.root != self.positions)
-        return _found(self.positions[live], self.root[live], self.links[live])
+        live = self.links > 0
+        return _found(self.positions[live], self.positions[live], self.links[live], self._edges())
 
 
-def _found(positions: np.ndarray, roots: np.ndarray, links: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (positions, roots, links)], schema=_FOUND)
+def _found(positions: np.ndarray, roots: np.ndarray, links: np.ndarray, edges: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+    """Counts of rows, and edges of a forest with no counts of their own."""
+    columns = (np.append(positions, edges[0]), np.append(roots, edges[1]), np.append(links, np.zeros(len(edges[0]), np.int64)))
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], schema=_FOUND)
 
 
-def _compare(batches: Iterator[pa.RecordBatch], dims: int, threshold: float) -> Iterator[pa.RecordBatch]:
-    """Rows (anchor, chunk, guest, position, copies, vector), sorted: a block's own rows, then those of its partners, in small batches."""
+def _compare(batches: Iterator[pa.RecordBatch], made: Callable[[list[pa.RecordBatch]], _Unit]) -> Iterator[pa.RecordBatch]:
+    """Rows (anchor, chunk, guest, position, copies, vector), sorted: a group's own rows, then those of others, some hundred at a time."""
     held: list[pa.RecordBatch] = []
-    at, unit_ = None, None
+    at, group = None, None
+
+    def begin() -> _Unit:
+        out = made(held)
+        if at[1] == 0:
+            out.within()
+        return out
+
     for whole in batches:
         for first in range(0, whole.num_rows, BLOCK_ROWS):
             batch = whole.slice(first, BLOCK_ROWS)
@@ -207,53 +246,59 @@ def _compare(batches: Iterator[pa.RecordBatch], dims: int, threshold: float) ->
             for start, stop in zip(cuts, np.append(cuts[1:], len(state)), strict=True):
                 part, key, guest = batch.slice(start, stop - start), tuple(state[start][:2]), bool(state[start][2])
                 if key != at:
-                    unit_ = unit_ or (held and _Unit(held, dims, at[1] == 0, threshold)) or None
-                    if unit_:
-                        yield unit_.end()
-                    at, held, unit_ = key, [], None
+                    if held or group:
+                        yield (group or begin()).end()
+                    at, held, group = key, [], None
                 if not guest:
                     held.append(part)
                     continue
-                if unit_ is None and held:
-                    unit_, held = _Unit(held, dims, key[1] == 0, threshold), []
-                if unit_ is not None:
-                    yield from unit_.meet(part, dims)
-    unit_ = unit_ or (held and _Unit(held, dims, at[1] == 0, threshold)) or None
-    if unit_:
-        yield unit_.end()
+                if group is None and held:
+                    group, held = begin(), []
+                if group is not None:
+                    yield group.meet(part)
+    if held or group:
+        yield (group or begin()).end()
 
 
-def compare_blocks(placed: DataFrame, pairs: DataFrame, boxes: DataFrame, dims: int, leading: int, reach: float, threshold: float) -> DataFrame:
+def _near(reach: float) -> float:
+    """The square of the reach, with room for rounding."""
+    return reach * reach * (1 + 1e-9) + 1e-12
+
+
+def compare_blocks(placed: DataFrame, pairs: DataFrame, boxes: DataFrame, axes: np.ndarray, reach: float, threshold: float, block_rows: int) -> DataFrame:
     """``position, root, links``: links found in the pairs of blocks, added up for each vector, with a forest that connects what is linked.
 
-    Either block of a pair may be the anchor, so early and late blocks have as much to
-    do; an anchor with many partners is dealt to several tasks.  A vector of the other
-    block goes to the anchor only if it lies within reach of the anchor's box.
+    Blocks are compared in groups of :data:`GROUP_BLOCKS`.  Of two groups either may be the
+    anchor, so early and late ones have as much to do; an anchor with many partners is
+    dealt to several tasks.  A vector of another group goes to the anchor once, and only
+    if it lies within reach of the box of one of the anchor's blocks.
     """
-    near = reach * reach * (1 + 1e-9) + 1e-12
-    swap = (F.col("a") + F.col("b")) % 2 == 1
-    turned = pairs.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("anchor"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("other"))
-    partners = turned.groupBy(F.col("anchor").alias("n_anchor")).agg(F.ceil(F.count("*") / PARTNERS).alias("chunks"))
-    # the chunk 0 of every anchor is its own pair, too
-    dealt = durable(turned.join(partners, F.col("anchor") == F.col("n_anchor")).select("anchor", "other", F.when(F.col("anchor") == F.col("other"), F.lit(0)).otherwise(F.pmod(F.xxhash64("other"), F.col("chunks"))).cast("long").alias("chunk")))
+    leading = axes.shape[1]
+    groups = pairs.select(F.floor(F.col("a") / GROUP_BLOCKS).alias("ga"), F.floor(F.col("b") / GROUP_BLOCKS).alias("gb"), "a", "b")
+    swap = (F.col("ga") + F.col("gb")) % 2 == 1
+    turn = lambda x, y, name: F.when(swap, F.col(y)).otherwise(F.col(x)).alias(name)
+    across = groups.filter("ga <> gb").select(turn("ga", "gb", "anchor"), turn("a", "b", "block_of_anchor"), turn("b", "a", "other"))
+    corners = across.join(_prefixed(boxes, "x_"), F.col("block_of_anchor") == F.col("x_block"))
+    near_boxes = corners.groupBy("anchor", "other").agg(F.collect_list(F.struct(*(f"x_{side}{i}" for i in range(leading) for side in ("lo", "hi")))).alias("boxes"))  # at most as many as a group has blocks
+    partners = across.groupBy(F.col("anchor").alias("n_anchor")).agg(F.ceil(F.count_distinct("other") / PARTNERS).alias("chunks"))
+    dealt = durable(near_boxes.join(partners, F.col("anchor") == F.col("n_anchor")).select("anchor", "other", "boxes", F.pmod(F.xxhash64("other"), F.col("chunks")).cast("long").alias("chunk")))
     columns = ["position", "copies", "vector"]
-    units = dealt.select("anchor", "chunk").distinct()
-    hosts = placed.join(units, F.col("block") == F.col("anchor")).select("anchor", "chunk", F.lit(False).alias("guest"), *columns)
-    cornered = dealt.filter("anchor <> other").join(_prefixed(boxes, "x_"), F.col("anchor") == F.col("x_block"))
-    gaps = (F.greatest(F.col(f"x_lo{i}") - F.col(f"p{i}"), F.col(f"p{i}") - F.col(f"x_hi{i}"), F.lit(0.0)) for i in range(leading))
-    guests = placed.join(cornered, F.col("block") == F.col("other")).filter(sum((g * g for g in gaps), F.lit(0.0)) <= near).select("anchor", "chunk", F.lit(True).alias("guest"), *columns)
-    rows = hosts.unionByName(guests).repartition("anchor", "chunk").sortWithinPartitions("anchor", "chunk", "guest", "position")
-    return rows.mapInArrow(lambda batches: _compare(batches, dims, threshold), "position long, root long, links long")
+    grouped = placed.withColumn("group", F.floor(F.col("block") / GROUP_BLOCKS))
+    units = dealt.filter("chunk > 0").select("anchor", "chunk").distinct()
+    hosts = grouped.select(F.col("group").alias("anchor"), F.lit(0).cast("long").alias("chunk"), F.lit(False).alias("guest"), *columns)  # every group has a chunk 0, in which its own blocks are compared
+    more = grouped.join(units, F.col("group") == F.col("anchor")).select("anchor", "chunk", F.lit(False).alias("guest"), *columns)
+    in_reach = F.exists("boxes", lambda x: sum((_squared(F.greatest(x[f"x_lo{i}"] - F.col(f"p{i}"), F.col(f"p{i}") - x[f"x_hi{i}"], F.lit(0.0))) for i in range(leading)), F.lit(0.0)) <= _near(reach))
+    guests = placed.join(dealt, F.col("block") == F.col("other")).filter(in_reach).select("anchor", "chunk", F.lit(True).alias("guest"), *columns)
+    rows = hosts.unionByName(more).unionByName(guests).repartition("anchor", "chunk").sortWithinPartitions("anchor", "chunk", "guest", "position")
 
+    def made(batches: list[pa.RecordBatch]) -> _Unit:
+        return _Unit(batches, axes, reach, block_rows, threshold)
 
-def with_key(rows: DataFrame, by_key: DataFrame, keys: list[str], rows_of: str, number: int) -> DataFrame:
-    """Join a table of one row a key to many rows of that key; keys that hold a great share of ``number`` rows by broadcast.
+    return rows.mapInArrow(lambda batches: _compare(batches, made), "position long, root long, links long")
 
-    ``rows_of`` is the column of ``by_key`` with each key's number of rows.
-    """
-    hot = by_key.filter(F.col(rows_of) > number * HOT_SHARE)  # fewer than 1 / HOT_SHARE keys
-    few = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
-    return rows.join(F.broadcast(hot), keys).unionByName(few.join(by_key.filter(F.col(rows_of) <= number * HOT_SHARE), keys))
+
+def _squared(x: Column) -> Column:
+    return x * x
 
 
 def near_copies(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -291,7 +336,7 @@ def near_copies(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str =
     placed = durable(located.join(distinct, ["k1", "k2"]))
     boxes = durable(placed.groupBy("block").agg(*(f(c).alias(f"{side}{i}") for i, c in enumerate(names) for side, f in (("lo", F.min), ("hi", F.max)))))
     pairs = block_pairs(boxes, leading, reach)
-    found = durable(compare_blocks(placed, pairs, boxes, dims, leading, reach, threshold))
+    found = durable(compare_blocks(placed, pairs, boxes, axes, reach, threshold, block_rows))
     roots = components(found.filter("position <> root").select(F.col("position").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("position"), "root")
     counted = found.groupBy("position").agg(F.sum("links").alias("links"))
     nodes = placed.select("k1", "k2", "position", "copies", "least").join(roots, "position", "left").join(counted, "position", "left").withColumn("root", F.coalesce("root", "position"))

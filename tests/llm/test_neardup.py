@@ -57,6 +57,7 @@ def test_query_against_brute_force(spark, sf_dir):
 def test_blocks_against_brute_force(spark, monkeypatch, spread, block, fanout, partners):
     """Links at all distances, over many blocks, levels of intervals and tasks for one block."""
     monkeypatch.setattr(neardup, "PARTNERS", partners)
+    monkeypatch.setattr(neardup, "GROUP_BLOCKS", fanout)
     rows = clustered(4, 400, 10, spread)
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     assert got(neardup.near_copies(df, block_rows=block)) == brute(rows)
