@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provenant.functions.text import casefold, fingerprint, identifier, normalize_url
-from provenant.operators import audits, candidates, cost, discovery, evaluation, extraction, ingestion, lifecycle, metrics, planning, radar, rules, runs, signals
+from provenant.operators import audits, candidates, cost, discovery, evaluation, extraction, ingestion, lifecycle, metrics, planning, radar, records, rules, runs, signals
 from provenant.operators.candidates import evidence_state
 from provenant.sources import readers, reports, sinks
 from provenant.sources.scratch import written
@@ -162,10 +162,10 @@ class Engine:
 
     def discover(self, captures: DataFrame, vocabularies: dict[str, tuple[str, ...]], provider: str, time_context: str | None = None) -> int:
         """Runs and records of every source and vocabulary from recorded search answers; what is recorded already stays."""
-        runs, records = ingestion.discovered(ingestion.query_grid(self.table("sources"), vocabularies, time_context), captures, provider)
+        runs, hits = ingestion.discovered(ingestion.query_grid(self.table("sources"), vocabularies, time_context), captures, provider)
         old_runs, old = self._tables("discovery_runs", "discovery_records")
         new = lifecycle.absent(runs.select("id"), old_runs, ["id"]).withColumnRenamed("id", "_run")
-        rows = records.join(new, F.col("run_id") == F.col("_run"), "left_semi").withColumn("_key", F.concat_ws("|", "run_id", "canonical_url"))
+        rows = hits.join(new, F.col("run_id") == F.col("_run"), "left_semi").withColumn("_key", F.concat_ws("|", "run_id", "canonical_url"))
         added = self._fit(self._added("discovery_records", rows, "_key"), old)
         return self._publish({"discovery_runs": old_runs.unionByName(self._fit(runs.join(new, F.col("id") == F.col("_run"), "left_semi"), old_runs)), "discovery_records": old.unionByName(added)})
 
@@ -593,6 +593,37 @@ class Engine:
         """Replace rows by key: competitors, counter-evidence, assessments, stakeholders, unknowns, questions."""
         return self._publish({table: lifecycle.upsert(self.table(table), rows, keys)})
 
+    def record(self, kind: str, drafts: DataFrame) -> int:
+        """Record competitors, complaints, counter-evidence, unknowns or questions by their natural keys, with their evidence (see :mod:`records`).
+
+        Parent and evidence are published together, so the guards see both: a claim that is
+        no fact refuses the record.
+        """
+        spec = records.KINDS[kind]
+        rows = records.cleaned(kind, drafts)
+        why = records.refusals(kind, rows).limit(1).collect()
+        if why:
+            raise ValueError(f"{why[0]['refusal']}: {why[0]['key']}")
+        after = records.merged(kind, self.table(spec.table), rows)
+        changes = {spec.table: after}
+        if spec.evidence is not None:
+            changes[spec.evidence] = records.evidence(kind, after, rows, self.table(spec.evidence))
+        return self._publish(changes)
+
+    def complete_without_evidence(self, notes: DataFrame) -> int:
+        """End passes that found nothing (``case_id, pass_type, note``); a note is needed."""
+        after, refused = records.completed_without_evidence(self.table("research_passes"), notes)
+        why = refused.limit(1).collect()
+        if why:
+            raise ValueError(why[0]["refusal"])
+        return self._publish({"research_passes": after})
+
+    def check_health(self, posts: DataFrame, checks: DataFrame, page_size: int = 25) -> int:
+        """Append the health that one page of each source shows (see :func:`ingestion.page_health`)."""
+        captures = ingestion.page_health(posts, checks, page_size)
+        of = captures.join(self.table("sources").select(F.col("id").alias("source_id"), F.lower("name").alias("_name")), F.lower(F.regexp_replace("source", "^r/", "")) == F.regexp_replace("_name", "^r/", ""))
+        return self.record_health(of.withColumn("has_evidence_url", F.size("evidence_urls") > 0).drop("_name"))
+
     def save(self, notes: DataFrame) -> int:
         ready = self.table("opportunities").filter("status = 'REPORT_READY'").select(F.col("id").alias("opportunity_id"))
         self._refuse(notes.join(ready, "opportunity_id", "left_anti"), "only report-ready opportunities can be saved")

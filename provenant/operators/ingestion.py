@@ -176,3 +176,39 @@ def page_accounting(posts: DataFrame, known: DataFrame, at: str) -> DataFrame:
     new = ids.join(seen, ["source_id", "external_id"], "left").groupBy("source_id").agg(F.count_if(F.col("_seen").isNull()).alias("new_items"), F.count("_seen").alias("existing_items"))
     age = F.unix_micros(F.to_timestamp(F.lit(at))) - F.unix_micros(F.to_timestamp("newest"))
     return counted.join(new, "source_id", "left").fillna(0, ["new_items", "existing_items"]).withColumn("age_seconds", (age / 1_000_000).cast("long"))
+
+
+def utc_text(seconds: Column) -> Column:
+    """Seconds since 1970 as an ISO text in UTC, with microseconds only where there are some."""
+    at = F.to_utc_timestamp(F.timestamp_seconds(seconds), F.current_timezone())
+    return F.when(seconds == F.floor(seconds), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")).otherwise(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'"))
+
+
+def page_health(posts: DataFrame, checks: DataFrame, page_size: int = 25) -> DataFrame:
+    """A health capture of every checked source, from one page of its newest posts.
+
+    ``checks`` holds ``source, provider, checked_at, latency_ms`` and, where the page did not
+    come, ``failure`` (its class) and ``message``; ``posts`` holds ``source, place``
+    (the place on the page), ``permalink, created_utc, removed``.  A post counts if it has a link
+    and a time and is not removed.  The window that is covered begins at the oldest post of
+    the page; it is covered whole only if the page was not full.
+    """
+    usable = posts.filter((F.coalesce("permalink", F.lit("")) != "") & (F.coalesce("created_utc", F.lit(0.0)) != 0) & ~F.coalesce("removed", F.lit(False)))
+    link = F.struct("place", F.concat(F.lit("https://www.reddit.com"), F.col("permalink")).alias("url"))
+    pages = usable.groupBy(F.col("source").alias("_s")).agg(F.count("*").alias("n"), F.min("created_utc").alias("first"), F.max("created_utc").alias("last"), F.slice(F.array_sort(F.collect_list(link)), 1, 5).alias("links"))  # a page is bounded
+    rows = checks.join(pages, F.col("source") == F.col("_s"), "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    failed, seen = F.col("failure").isNotNull(), F.col("failure").isNull() & (F.col("n") > 0)
+    unknown = F.col("failure") == "SOURCE_NOT_COVERED"
+    return rows.select(
+        "source", "provider", "checked_at",
+        F.when(unknown, "SOURCE_NOT_FOUND").when(failed, "PROVIDER_FAILED").when(seen, "PUBLIC_CONTENT").otherwise("PUBLIC_NO_RECENT").alias("access_result"),
+        F.when(unknown, 404).when(~failed, 200).alias("http_status"),
+        F.when(seen, utc_text(F.col("last"))).alias("latest_visible_item_at"),
+        F.when(seen, F.col("n")).otherwise(0).cast("int").alias("visible_item_count"),
+        F.when(seen, utc_text(F.col("first"))).when(~failed, F.col("checked_at")).alias("sample_window_start"),
+        F.when(~failed, F.col("checked_at")).alias("sample_window_end"),
+        (~failed & (F.col("n") < page_size)).alias("coverage_complete"),
+        F.when(failed, F.col("message")).when(seen, "the search gave recent posts").otherwise("the archive answers, without a usable post").alias("reason"),
+        F.when(seen, F.transform("links", lambda x: x["url"])).otherwise(F.array().cast("array<string>")).alias("evidence_urls"),
+        "latency_ms", F.lit(0.0).alias("cost_usd"),
+    )
