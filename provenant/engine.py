@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provenant.functions.text import casefold, fingerprint, identifier, normalize_url
-from provenant.operators import audits, candidates, cost, discovery, evaluation, extraction, ingestion, lifecycle, metrics, planning, radar, records, rules, runs, signals
+from provenant.operators import audits, candidates, cost, discovery, dossier, evaluation, extraction, ingestion, lifecycle, metrics, planning, radar, records, rules, runs, signals
 from provenant.operators.candidates import evidence_state
 from provenant.sources import readers, reports, sinks
 from provenant.sources.scratch import written
@@ -638,6 +638,20 @@ class Engine:
     def case_report(self) -> DataFrame:
         return lifecycle.case_report(*self._tables("research_cases", "cluster_members", "problem_observations", "evidence_spans", "research_passes", "competitors", "counter_evidence", "research_unknowns", "validation_questions"))
 
+    def dossiers(self) -> DataFrame:
+        """The whole documents of all cases."""
+        return dossier.case_dossiers(self.store.tables())
+
+    def opportunity_dossiers(self) -> DataFrame:
+        return dossier.opportunity_dossiers(self.dossiers(), *self._tables("opportunities", "opportunity_types"))
+
+    def opportunity_report(self, opportunity_id: int, **options) -> str:
+        """The whole report of one opportunity as Markdown."""
+        row = self.opportunity_dossiers().filter(F.col("opportunity_id") == opportunity_id).first()
+        if row is None:
+            raise ValueError("there is no such opportunity")
+        return reports.opportunity_document(row, **options)
+
     def stakeholders(self) -> DataFrame:
         return lifecycle.stakeholders(self.table("case_stakeholders"))
 

@@ -59,6 +59,63 @@ def opportunity_report(row: Mapping, *, approved_sources: set[str] | None = None
     return "\n".join(out)
 
 
+# The sections of a whole report, in order, with their German names.
+SECTIONS = {
+    "Problem": "Problem", "Who experiences it": "Wer ist betroffen", "When it happens": "Wann es auftritt", "Current workflow": "Heutiger Ablauf", "Current workaround": "Heutiger Umweg", "Impact and payment": "Auswirkung und Zahlung",
+    "Global evidence": "Belege weltweit", "DACH evidence": "Belege aus DACH", "Original evidence": "Originalbelege", "DACH relevance": "Bedeutung für DACH", "Existing solutions": "Vorhandene Lösungen", "What they miss": "Was ihnen fehlt",
+    "Local solutions": "Lokale Lösungen", "Buyer map": "Wer kauft", "Local dependencies": "Lokale Abhängigkeiten", "Switching barriers": "Wechselhürden", "Counter-evidence": "Gegenbelege", "Research findings": "Ergebnisse der Recherche", "Unknowns": "Offene Punkte", "Validation questions": "Validierungsfragen",
+}
+WORDS = {"unknown": "unbekannt", "nothing recorded": "nichts erfasst", "yes": "ja", "no": "nein", "Evidence state": "Belegstand", "Types": "Arten", "observations": "Beobachtungen", "spans": "Belegstellen", "cited items": "zitierte Texte", "dated": "datiert", "sources": "Quellen", "countries": "Länder", "published": "erschienen"}
+
+
+def opportunity_document(row: Mapping, *, language: str = "en", internal: bool = False) -> str:
+    """The whole report of one opportunity (a row of :func:`dossier.opportunity_dossiers`) as Markdown.
+
+    Only a report-ready opportunity has one.  An excerpt is shown only where its source's
+    status approves it, or in an ``internal`` report, which says so.  What is not known
+    is called unknown, and an empty section says that nothing is recorded.
+    """
+    if row["opportunity_status"] != "REPORT_READY":
+        raise ValueError("only a report-ready opportunity has a report")
+    say = (lambda w: {**SECTIONS, **WORDS}.get(w, w)) if language == "de" else (lambda w: w)
+    known = lambda v: say("unknown") if v is None or v == "" else {True: say("yes"), False: say("no")}.get(v, v) if isinstance(v, bool) else cell(v)
+    listed = lambda v: "; ".join(cell(x) for x in v) if v else say("unknown")
+    linked = lambda x, name="name", url="url": f"[{cell(x[name])}]({x[url]})" if x[url] else cell(x[name])
+    assessed = row["assessment"]
+    of = lambda name: known(assessed[name]) if assessed else say("unknown")
+
+    def summary(x) -> list[str]:
+        span = known(x["earliest"]) if x["earliest"] == x["latest"] else f"{x['earliest']} – {x['latest']}"
+        return [f"{x['observations']} {say('observations')}, {x['spans']} {say('spans')}, {x['items']} {say('cited items')}", f"{say('sources')} ({x['sources']}): {listed(x['source_names'])}", f"{say('countries')}: {listed(x['countries'])}", f"{say('published')}: {span} ({x['dated_items']}/{x['items']} {say('dated')})"]
+
+    def quoted(c) -> str:
+        status = (c["commercial_use_status"] or "").strip().upper().replace("-", "_")
+        fine = status == "APPROVED" or status.startswith("APPROVED_")
+        shown = f"“{cell(c['excerpt'])}”" + ("" if fine else " (internal: display rights not approved)") if fine or internal else WITHHELD
+        return f"[{c['scope']}] {shown} — {linked(c, 'source_name')}"
+
+    def solution(k) -> str:
+        told = [f"`{k['solution_type']}`", *(f"{n.replace('_', ' ')}: {known(k[n])}" for n in ("target_customer", "market", "pricing", "pricing_model", "dach_available", "dach_specific", "incumbent_fix_risk", "incumbent_fix_rationale")), *(f"{n}: {listed(k[n])}" for n in ("features", "integrations"))]
+        return f"{linked(k)}: {', '.join(told)}"
+
+    complaints = [(k, c) for k in row["competitors"] for c in k["complaints"]]
+    local = [k for k in row["competitors"] if k["dach_available"] or k["dach_specific"]]
+    lines = {
+        "Problem": row["problems"], "Who experiences it": row["actors"], "When it happens": [*row["contexts"], *row["jobs_to_be_done"]], "Current workflow": [*row["jobs_to_be_done"], *row["tools_used"]], "Current workaround": row["workarounds"],
+        "Impact and payment": [*row["impacts"], *row["payment_evidence"]], "Global evidence": summary(row["global_evidence"]), "DACH evidence": summary(row["dach_evidence"]), "Original evidence": [quoted(c) for c in row["citations"]],
+        "DACH relevance": [f"{n}: `{of(n + '_equivalence')}` — {of(n + '_rationale')}" for n in ("actor", "workflow")] + [f"transfer: `{of('transfer_type')}` — {of('transfer_rationale')}", f"gaps: {listed(assessed['localization_gaps'])}"] if assessed else [],
+        "Existing solutions": [solution(k) for k in row["competitors"]], "What they miss": [f"{linked(k)}, {known(c['type'])}: {cell(c['statement'])} ({known(c['segment'])}, {known(c['frequency'])})" for k, c in complaints],
+        "Local solutions": [f"{linked(k)}: `{k['solution_type']}`, {known(k['market'])}" for k in local], "Buyer map": [f"{p['role']}: `{p['knowledge']}` — {known(p['party'])} — {known(p['note'])}" for p in row["stakeholders"]],
+        "Local dependencies": [f"{n}: {listed(assessed[n + '_dependencies'])}" for n in ("ecosystem", "regulatory")] if assessed else [], "Switching barriers": (assessed["switching_barriers"] or []) if assessed else [],
+        "Counter-evidence": [f"{x['type']}: {known(x['statement'])}" for x in row["counter_evidence"]], "Research findings": [f"{x['requirement']}: {x['outcome']} — {known(x['claim_text'] or x['note'])}" for x in row["findings"]], "Unknowns": row["unknowns"],
+        "Validation questions": [q["question"] + (f" ({cell(q['rationale'])})" if q["rationale"] else "") for q in row["questions"]],
+    }
+    out = [f"# {row['title']}", "", f"{say('Evidence state')}: `{known(row['evidence_state'])}`", f"{say('Types')}: {listed(row['opportunity_types'])}", ""]
+    for name in SECTIONS:
+        out += [f"## {say(name)}", "", *([f"- {x}" for x in lines[name]] or [say("nothing recorded")]), ""]
+    return "\n".join(out)
+
+
 def community_report_json(rows: DataFrame) -> str:
     return json.dumps([r.asDict() for r in rows.orderBy("community").collect()], sort_keys=True, indent=2, ensure_ascii=False)  # one row a community
 
