@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .columnar import bounded_batches, hashed_words, mix, plainly, shingles, slices, text_array
 from .graph import components
+from .skew import with_key
 from .storage import durable
 
 WIDTH, THRESHOLD, RECALL = 5, 0.8, 0.99
@@ -321,11 +322,13 @@ def row_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, row_key, class_id, links``.
+    """One row per row of ``docs``: ``doc_id, row_key, class_id, class_key, links``.
 
     ``links`` is the number of other rows whose set of five-word shingles has a
     Jaccard similarity of ``threshold`` or more; ``class_id`` is the least id of all
-    rows that such links connect.  Texts of fewer words are one shingle; null texts
+    rows that such links connect.  Where ids are repeated or null, several classes may have
+    one ``class_id``; ``class_key``, the least digest of an id and its text, names a class
+    for sure.  Texts of fewer words are one shingle; null texts
     and texts without words have no links and are a class each, named by their own
     id.  Repeated rows are copies of each other.  Null ids stay null and name a
     class only if it has no other id.  Other columns are ignored; an empty table
@@ -344,25 +347,30 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     exact = durable(verify(groups, rows, threshold))
     roots = components(exact.select(F.col("id").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("id"), "root")
     counted = exact.groupBy("id").agg(F.sum("links").alias("near"))
-    named = sets.select("id", "k1", "k2", "copies", "least").join(roots, "id", "left").join(counted, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    classes = named.groupBy("root").agg(F.min("least").alias("class_id"))
-    known = named.join(classes, "root").select("k1", "k2", "class_id", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("links"))
-    with_set = signed.filter("n > 0").select("doc_id", "row_key", "k1", "k2").join(known, ["k1", "k2"]).select("doc_id", "row_key", "class_id", "links")
-    without = signed.filter("n = 0").select("doc_id", "row_key", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("links"))
+    named = sets.select("id", "k1", "k2", "copies", "least", "row_key").join(roots, "id", "left").join(counted, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    named = durable(named)
+    classes = durable(named.groupBy("root").agg(F.min("least").alias("class_id"), F.min("row_key").alias("class_key"), F.count("*").alias("members")))
+    different, number = sets.agg(F.count("*"), F.coalesce(F.sum("copies"), F.lit(0))).first()
+    links = (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("links")
+    known = durable(with_key(named.drop("row_key"), classes, ["root"], "members", different).select("k1", "k2", "copies", "class_id", "class_key", links))
+    columns = ["doc_id", "row_key", "class_id", "class_key", "links"]
+    with_set = with_key(signed.filter("n > 0").select("doc_id", "row_key", "k1", "k2"), known, ["k1", "k2"], "copies", number).select(*columns)
+    without = signed.filter("n = 0").select("doc_id", "row_key", F.col("doc_id").alias("class_id"), F.col("row_key").alias("class_key"), F.lit(0).cast("long").alias("links"))
     return with_set.unionByName(without)
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """The rows of ``docs`` with one row of each class: that of the least id (and row key).
 
-    A null id comes after all others.  Null texts and texts without words are a
+    A null id comes after all others; one id with several texts is as many documents, each
+    with its own class.  Null texts and texts without words are a
     class each and stay; repeated rows give one; texts of any length count whole;
     an empty table gives no rows; all columns stay, whatever their names.
     """
     judged = durable(jaccard_classes(docs, id_col=id_col, text_col=text_col, threshold=threshold, recall=recall))
     linked = judged.filter("links > 0")
-    first = linked.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("f")).select(F.col("f.row_key").alias("_kept"), F.col("class_id"))
-    losers = durable(linked.join(first, linked["class_id"].eqNullSafe(first["class_id"])).filter("row_key <> _kept").select("row_key").distinct())
+    first = durable(linked.groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("f"), F.count("*").alias("rows")).select(F.col("f.row_key").alias("_kept"), "class_key", "rows"))
+    losers = durable(with_key(linked.select("row_key", "class_key"), first, ["class_key"], "rows", linked.count()).filter("row_key <> _kept").select("row_key").distinct())
     twice = durable(linked.groupBy("row_key").count().filter("count > 1").select("row_key"))
     ident, text = (F.col(f"c{docs.columns.index(c)}") for c in (id_col, text_col))
 

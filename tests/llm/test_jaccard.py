@@ -85,6 +85,33 @@ def test_awkward_rows(spark):
     assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 0, 1, 3, 4, 5, 6, 7, 8]
 
 
+def test_classes_of_repeated_and_null_ids_stay_apart(spark):
+    """One id with two texts is a member of two classes; rows without an id make classes of their own."""
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, a), (1, b), (2, a + " more"), (3, b + " more"), (None, a.upper() + " x y z"), (None, " ".join("c d e f g h".split() * 3)), (None, "c d e f g h c d e f g h c d e f g h i"), (None, "k l m n o p q"), (None, "k l m n o p q")], "doc_id long, text string")
+    found = jaccard.jaccard_classes(docs).collect()
+    assert len({r["class_key"] for r in found}) == 4
+    kept = sorted((r["doc_id"] or 0, r["text"][:3]) for r in jaccard.one_of_each(docs).collect())
+    assert kept == [(0, "c d"), (0, "k l"), (1, "a0 "), (1, "b0 ")]
+
+
+def test_recall_near_the_threshold(spark):
+    """Of the links between texts that share little more than the threshold, 99 of 100 are found, and no other."""
+    rng = random.Random(11)
+    docs = []
+    for family in range(60):
+        base = [f"f{family}w{i}" for i in range(150)]
+        for _ in range(8):
+            text = list(base)
+            for at in rng.sample(range(150), rng.randint(1, 2)):
+                text[at] = f"x{rng.randrange(10**9)}"
+            docs.append((len(docs), " ".join(text)))
+    want = {r[0]: r[2] for r in brute(docs)}
+    have = {r["doc_id"]: r["links"] for r in jaccard.jaccard_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(have[i] <= want[i] for i in want)
+    assert sum(want.values()) > 1000 and sum(have.values()) >= 0.99 * sum(want.values())
+
+
 def test_empty_table(spark):
     assert jaccard.jaccard_classes(awkward(spark).limit(0)).count() == 0
     assert jaccard.one_of_each(awkward(spark).limit(0)).count() == 0
