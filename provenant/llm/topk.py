@@ -9,6 +9,8 @@ slice downward, and rows tied at the boundary are resolved by id.
 
 from __future__ import annotations
 
+import decimal
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,12 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import durable
+
 BLOCK_ROWS = 16_384
-#: Quantised components lie within this bound, so that scores of up to 2048 components are exact in 64 bits.
-MOST = 1 << 26
+#: Integers below this are kept in 64 bits; vectors with larger ones as integers of any size.
+WIDE = 1 << 52
+#: Scores are ranked as decimals of so many digits, and given as the nearest 64-bit number.
+DIGITS = 38
 
-_OUT = "query_id long, query_row long, vec_id long, row long, score long"
-_ARROW = pa.schema([(n, pa.int64()) for n in ("query_id", "query_row", "vec_id", "row", "score")])
+_OUT = "query_id long, query_row long, vec_id long, row long, score decimal(38,0)"
+_ARROW = pa.schema([*((n, pa.int64()) for n in ("query_id", "query_row", "vec_id", "row")), ("score", pa.decimal128(DIGITS, 0))])
 
 
 def signed_digits(value: int) -> list[tuple[int, int]]:
@@ -41,7 +47,7 @@ class BitSlicedIndex:
     """Bit slices of a block of integer vectors, rows in the order of their ids."""
 
     def __init__(self, vectors: np.ndarray) -> None:
-        self.vectors = np.ascontiguousarray(vectors, dtype=np.int64)
+        self.vectors = np.ascontiguousarray(vectors, dtype=vectors.dtype if vectors.dtype == object else np.int64)
         self.rows, self.dims = vectors.shape
         self.words = max(1, -(-self.rows // 64))
         self.low = int(self.vectors.min()) if vectors.size else 0
@@ -117,15 +123,27 @@ class BitSlicedIndex:
 
 
 def _matrix(column: pa.ChunkedArray, dims: int) -> np.ndarray:
-    """Lists of integers as rows of a matrix, shorter ones padded with zeros."""
+    """Lists of whole numbers (as doubles) as rows of a matrix, shorter ones padded with zeros."""
     lists = column.combine_chunks()
     lengths = np.array([len(x) for x in lists] if len(lists) else [], dtype=np.int64)
-    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    out = np.zeros((len(lists), dims), dtype=np.int64)
-    out[np.repeat(np.arange(len(lengths)), lengths), np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = flat
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    if (np.abs(flat) < WIDE).all():
+        whole = flat.astype(np.int64)
+    else:
+        whole = np.array([int(x) for x in flat], dtype=object)
+    out = np.zeros((len(lists), dims), dtype=whole.dtype)
+    out[np.repeat(np.arange(len(lengths)), lengths), np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = whole
     return out
 
 
+def _products(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Exact inner products, in 64 bits where they surely fit."""
+    if vectors.dtype != object and query.dtype != object and vectors.size:
+        if int(np.abs(vectors).max()) * int(np.abs(query).max()) * len(query) < 1 << 63:
+            return vectors @ query
+    return vectors.astype(object) @ query.astype(object)
+
+
 class _Block:
     """The index of a block of rows, made when the first query comes."""
 
@@ -137,16 +155,15 @@ class _Block:
         self.index = BitSlicedIndex(_matrix(table["vector"], dims)[order])
         self.place = {m: i for i, m in enumerate(self.marks.tolist())}
 
-    def search(self, queries: pa.RecordBatch, dims: int, k: int) -> np.ndarray:
-        found = []
+    def search(self, queries: pa.RecordBatch, dims: int, k: int) -> pa.RecordBatch:
+        parts = []
         wanted = _matrix(pa.chunked_array([queries.column("vector")]), dims)
         for query, query_id, mark in zip(wanted, queries.column("vec_id").to_pylist(), queries.column("row").to_pylist(), strict=True):
             best = self.index.top(query, k, self.place.get(mark))
-            out = np.empty((len(best), 5), dtype=np.int64)
-            out[:, 0], out[:, 1], out[:, 2], out[:, 3] = query_id, mark, self.ids[best], self.marks[best]
-            out[:, 4] = self.index.vectors[best] @ query
-            found.append(out)
-        return np.concatenate(found) if found else np.zeros((0, 5), dtype=np.int64)
+            parts.append((np.full(len(best), query_id), np.full(len(best), mark), self.ids[best], self.marks[best], _products(self.index.vectors[best], query)))
+        most = 10**DIGITS - 1
+        scores = [max(-most, min(most, int(x))) for p in parts for x in p[4]]
+        return pa.RecordBatch.from_arrays([*(pa.array(np.concatenate([p[i] for p in parts]), pa.int64()) for i in range(4)), pa.array([decimal.Decimal(x) for x in scores], pa.decimal128(DIGITS, 0))], schema=_ARROW)
 
 
 def _search(batches: Iterator[pa.RecordBatch], dims: int, k: int) -> Iterator[pa.RecordBatch]:
@@ -168,22 +185,23 @@ def _search(batches: Iterator[pa.RecordBatch], dims: int, k: int) -> Iterator[pa
             if block is None and held:
                 block, held = _Block(held, dims), []
             if block is not None:
-                flat = block.search(part, dims, k)
-                yield pa.RecordBatch.from_arrays([pa.array(flat[:, i]) for i in range(5)], schema=_ARROW)
+                yield block.search(part, dims, k)
 
 
 def quantised(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 64.0) -> DataFrame:
-    """``vec_id, row, vector``: components as floor(scale * x); unusable vectors are left out.
+    """``vec_id, row, vector``: components as floor(scale * x), in doubles; unusable vectors are left out.
 
     Null ids, null vectors and those with a null or non-finite component take no
-    part; empty vectors do.  A component beyond :data:`MOST` would make scores
-    inexact, so it is an error.  Repeated rows are rows of their own; other columns
+    part; empty vectors do.  The table is written, so that every row keeps its number.
+    Repeated rows are rows of their own; other columns
     are ignored, whatever their names.
     """
     x = F.col(vector_col).cast("array<double>")
     usable = x.isNotNull() & F.col(id_col).isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
+    scaled = lambda v: F.greatest(F.least(v * F.lit(scale), F.lit(sys.float_info.max)), F.lit(-sys.float_info.max))
+    floor = lambda v: F.when(F.abs(v) < WIDE, F.floor(v).cast("double")).otherwise(v)  # noqa: E731  a larger double is whole
     ids = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.monotonically_increasing_id().alias("row"), x.alias("x"), usable.alias("ok"))
-    return ids.filter("ok").select("vec_id", "row", F.transform("x", lambda v: F.when(F.abs(v * F.lit(scale)) < MOST, F.floor(v * F.lit(scale)).cast("long")).otherwise(F.raise_error(F.lit("a component is too large for exact scores")).cast("long"))).alias("vector"))
+    return durable(ids.filter("ok").select("vec_id", "row", F.transform("x", lambda v: floor(scaled(v))).alias("vector")))
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 20, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -191,7 +209,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 20, block_rows: in
 
     Both tables come from :func:`quantised`; a query's own row (same ``row``) takes
     no part, so repeated ids and equal vectors are ordinary candidates.  Vectors of
-    unequal length count as padded with zeros.  Ties go to the smaller id.  Empty
+    unequal length count as padded with zeros.  Integers of any size are scored exactly; a
+    score beyond 64 bits is given as the nearest number that fits, and one beyond 38 digits
+    ranks as if it had them.  Ties go to the smaller id.  Empty
     tables give no rows.  Every row goes to one block, whose slices are made once;
     the queries go to every block and stream past it.
     """
@@ -203,4 +223,4 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 20, block_rows: in
     dealt = rows.unionByName(asked).repartition("block").sortWithinPartitions("block", "asked")
     found = dealt.mapInArrow(lambda batches: _search(batches, dims, k), _OUT)
     rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", F.least(F.greatest("score", F.lit(decimal.Decimal(-(2**63)))), F.lit(decimal.Decimal(2**63 - 1))).cast("long").alias("score"))
