@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from provenant.functions.text import impact_label, payment_label
 from provenant.operators.candidates import evidence_state
+from provenant.operators.lifecycle import ROLES
 
 Tables = Mapping[str, DataFrame]
 
@@ -29,8 +30,6 @@ ASSESSMENT = "struct<actor_equivalence: string, actor_rationale: string, workflo
 STAKEHOLDER = "struct<role: string, knowledge: string, party: string, note: string>"
 QUESTION = "struct<question: string, rationale: string>"
 PROFILE = {"problems": "problem", "actors": "actor", "jobs_to_be_done": "job_to_be_done", "contexts": "context", "tools_used": "tools_used", "stated_workarounds": "current_workaround"}
-#: Roles in the order of a buyer map.
-ROLES = ("END_USER", "CHAMPION", "BUYER", "ECONOMIC_BUYER", "APPROVER", "BLOCKER")
 
 
 def _have(df: DataFrame, name: str, kind: str = "string") -> Column:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from provenant.plans import discovery, dossier, ingest, pipelines, records, research, text, writes
+from provenant.plans import discovery, dossier, ingest, inputs, pipelines, records, research, text, writes
 
-REGISTRIES = (research.registry, text.registry, writes.registry, ingest.registry, pipelines.registry, discovery.registry, records.registry, dossier.registry)
+REGISTRIES = (research.registry, text.registry, writes.registry, ingest.registry, pipelines.registry, discovery.registry, records.registry, dossier.registry, inputs.registry)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

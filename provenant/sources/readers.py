@@ -7,6 +7,7 @@ there is one.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -49,6 +50,28 @@ SPECS = {
 }
 
 
+# The fields of an observation, texts and flags.
+TEXT_FIELDS = (
+    "actor", "actor_role", "industry", "job_to_be_done", "context", "root_cause", "current_workaround", "tools_used", "frequency", "time_impact", "financial_impact", "revenue_impact", "error_impact", "delay_impact", "risk_impact", "existing_solution",
+    "existing_spend", "paid_workaround", "country_code", "language_code", "pipeline_run_id",
+)
+FLAG_FIELDS = ("active_solution_search", "switching_intent")
+
+
+def field_problem(raw: Column, texts: tuple[str, ...], flags: tuple[str, ...] = ()) -> Column:
+    """What is wrong with an object of fields: unknown names, or values of another type than theirs; null if nothing is."""
+    fields = F.try_variant_get(F.try_parse_json(raw), "$", "map<string,variant>")
+    unknown = F.array_sort(F.filter(F.map_keys(fields), lambda k: ~k.isin(*texts, *flags)))
+    odd = lambda names, kind: F.array_sort(F.map_keys(F.map_filter(fields, lambda k, v: k.isin(*names) & ~F.schema_of_variant(v).isin(kind, "VOID"))))
+    bad = F.concat(odd(texts, "STRING"), odd(flags, "BOOLEAN") if flags else F.array().cast("array<string>"))
+    return F.when(raw.isNotNull() & fields.isNull(), "fields must be an object").when(F.size(unknown) > 0, F.concat(F.lit("unknown fields: "), F.array_join(unknown, ", "))).when(F.size(bad) > 0, F.concat(F.lit("fields of a wrong type: "), F.array_join(bad, ", ")))
+
+
+def raw_value(name: str) -> Column:
+    """A key's value as JSON text; null where it is absent or null."""
+    return F.nullif(F.to_json(F.try_variant_get(F.try_parse_json("line"), f"$.{name}", "variant")), F.lit("null"))
+
+
 @dataclass(frozen=True)
 class Parsed:
     rows: DataFrame
@@ -72,10 +95,11 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return known.filter(F.trim("line") != "")
 
 
-def parse_json_lines(lines: DataFrame, spec: JsonSpec) -> Parsed:
+def parse_json_lines(lines: DataFrame, spec: JsonSpec, more: Callable[[], list[Column]] | None = None) -> Parsed:
     """Parse ``line, file`` and, where it is known, ``number``; unknown, missing and blank keys and unparsable values are errors.
 
-    An error tells the file, the line and its number (null if that is not known).
+    An error tells the file, the line and its number (null if that is not known).  ``more``
+    gives further problems, as columns over ``_v`` (the values) and ``line``.
     """
     schema = spec.schema
     names = F.array(*(F.lit(f.name) for f in schema.fields))
@@ -89,7 +113,7 @@ def parse_json_lines(lines: DataFrame, spec: JsonSpec) -> Parsed:
         empty = field.isNull() | (F.trim(field) == "") if isinstance(kind, T.StringType) else field.isNull()
         blank.append(F.when(empty, F.lit(f"{name} is missing or blank")))
     problems = F.when(keys.isNull(), F.array(F.lit("not a JSON object"))).otherwise(
-        F.array_compact(F.array(F.when(F.size(unknown) > 0, F.concat(F.lit("unknown keys: "), F.array_join(F.array_sort(unknown), ","))), F.when(F.lit(spec.exact) & (F.size(absent) > 0), F.concat(F.lit("missing keys: "), F.array_join(F.array_sort(absent), ","))), *blank))
+        F.array_compact(F.array(F.when(F.size(unknown) > 0, F.concat(F.lit("unknown keys: "), F.array_join(F.array_sort(unknown), ","))), F.when(F.lit(spec.exact) & (F.size(absent) > 0), F.concat(F.lit("missing keys: "), F.array_join(F.array_sort(absent), ","))), *blank, *(more() if more else [])))
     )
     judged = lines.withColumn("_v", value).withColumn("_problems", problems)
     rows = judged.filter(F.size("_problems") == 0).select("_v.*")
@@ -100,7 +124,8 @@ def parse_json_lines(lines: DataFrame, spec: JsonSpec) -> Parsed:
 
 def read_json(spark: SparkSession, path: str, kind: str) -> Parsed:
     """Read one of :data:`SPECS`."""
-    return parse_json_lines(read_lines(spark, path), SPECS[kind])
+    typed = (lambda: [field_problem(raw_value("fields"), TEXT_FIELDS, FLAG_FIELDS)]) if kind == "predictions" else None
+    return parse_json_lines(read_lines(spark, path), SPECS[kind], typed)
 
 
 def require_valid(parsed: Parsed) -> DataFrame:
