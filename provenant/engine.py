@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenant.functions.text import casefold, fingerprint, identifier, normalize_url
+from provenant.functions.text import fingerprint, identifier, normalize_url
 from provenant.operators import audits, candidates, cost, discovery, dossier, evaluation, extraction, ingestion, lifecycle, metrics, planning, radar, records, rules, runs, signals
 from provenant.operators.candidates import evidence_state
 from provenant.sources import readers, reports, sinks
@@ -217,6 +217,21 @@ class Engine:
             raise ValueError(f"there is no single source {source}")
         return self._publish({"sources": rows.withColumn("lifecycle", F.when(F.col("name") == source, F.lit(value)).otherwise(F.col("lifecycle")))})
 
+    def ingest_records(self, records_: DataFrame, provider: str, query: str, source_id: int) -> int:
+        """One page of provider records in one form (see :func:`providers.normalized`); one that leads elsewhere refuses the page."""
+        page = written(records_)  # told once, whatever is made of it
+        self._refuse(page.filter("failure is not null"), "a record does not come from the source that was asked")
+        found = page.select("identity", "completeness", F.when(F.col("completeness") != "METADATA_ONLY", F.col("title")).alias("title"), F.when(F.col("completeness") != "METADATA_ONLY", F.regexp_replace("text", r"(?s)^.*?\n\n", "")).alias("body"), "author", "published_at")
+        return self.ingest_feed(found, source_id, provider, query)
+
+    def ingest_launches(self, path: str) -> int:
+        """Products of a launch feed; those that are there are merged."""
+        return self.ingest_products(readers.launch_products(self.spark, path).withColumn("pain_hits", F.array().cast("array<string>")))
+
+    def items(self, ids: DataFrame) -> DataFrame:
+        """Stored items of an id list (``id``), by id."""
+        return readers.select_items(self.table("source_items"), ids)
+
     # ---- observations ----------------------------------------------------------------------------------------------
 
     def add_signals(self, table: str, rows: DataFrame, keys: list[str]) -> int:
@@ -264,6 +279,20 @@ class Engine:
         """
         return self._publish(self._observations(drafts, run_id))
 
+    def insert_observations(self, rows: DataFrame, run_id: str | None = None) -> int:
+        """Plain observations without evidence: ``source_item_id, problem_type, problem_family, evidence_scope, problem`` and ``fields_json``.
+
+        Evidence may be added later; until then none is strong and no claim may stand on
+        one.  A field that is not known or of another type than its own refuses all.
+        """
+        wrong = readers.field_problem(F.col("fields_json"), readers.TEXT_FIELDS, readers.FLAG_FIELDS)
+        why = rows.select(wrong.alias("why")).filter("why is not null").limit(1).collect()
+        if why:
+            raise ValueError(why[0]["why"])
+        self._refuse(rows.filter(F.coalesce(F.trim("problem"), F.lit("")) == ""), "an observation states its problem")
+        drafts = {"observations": rows.withColumn("fields", F.from_json("fields_json", "map<string, string>")).withColumn("fields", F.coalesce("fields", F.create_map().cast("map<string, string>"))).drop("fields_json")}
+        return self._publish(self._observations(drafts, run_id))
+
     def _observations(self, drafts: dict[str, DataFrame], run_id: str | None, observations: DataFrame | None = None) -> dict[str, DataFrame]:
         now, items, spans = self._tables("problem_observations", "source_items", "evidence_spans")
         observations = now if observations is None else observations
@@ -273,6 +302,8 @@ class Engine:
         kinds = dict(observations.dtypes)
         rows = rows.withColumns({c: F.col("fields")[c].cast(kinds[c]) for c in named} | {"pipeline_run_id": F.lit(run_id).cast("string"), "created_at": F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss"), "country_code": F.coalesce(F.col("fields")["country_code"], "_country")})
         made = self._added("problem_observations", rows, "source_item_id")
+        if "evidence_spans" not in drafts:
+            return {"problem_observations": observations.unionByName(self._fit(made, observations))}
         new_ids = made.select(F.col("id").alias("observation_id"), "source_item_id")
         self._refuse(new_ids.join(drafts["evidence_spans"], "source_item_id", "left_anti"), "an observation has evidence")
         placed = drafts["evidence_spans"].join(new_ids, "source_item_id").withColumn("_key", F.format_string("%020d|%010d", "observation_id", "evidence_index"))
@@ -436,9 +467,9 @@ class Engine:
         The set is frozen before the model is asked for the first time, so an item of the
         baseline never reaches it, and what is acquired meanwhile does not either.
         """
-        seen = baseline.select(casefold(F.trim("external_id")).alias("_seen"))
+        seen = readers.baseline_ids(baseline).select(F.col("external_id").alias("_seen"))
         full = self.table("acquisition_records").filter("completeness = 'FULL'").select(F.col("source_item_id").alias("id"))
-        unseen = self.table("source_items").filter("raw_text is not null").join(full, "id", "left_semi").join(seen, casefold(F.col("external_id")) == F.col("_seen"), "left_anti").select("id")
+        unseen = self.table("source_items").filter("raw_text is not null").join(full, "id", "left_semi").join(seen, identifier(F.col("external_id")) == F.col("_seen"), "left_anti").select("id")
         chosen = unseen if most is None else unseen.orderBy("id").limit(most)
         frozen = written(chosen, f"{self.store.root}/runs/{run_id}/holdout")
         if frozen.isEmpty():
@@ -495,6 +526,16 @@ class Engine:
                 out[step] = "FAILED"
         return out
 
+    def funnel(self, screened: DataFrame) -> DataFrame:
+        """One row of counts from items over the screened ones (``id``) to strong observations."""
+        done = signals.in_completed_runs(self.flagged(), self.table("pipeline_runs"))
+        return lifecycle.funnel(self.table("source_items"), screened, done, F.col("strong"))
+
+    def readiness(self, coverage: DataFrame, measured: DataFrame, manifest: str) -> DataFrame:
+        """Whether each suite of a readiness manifest passes all its gates."""
+        wanted = readers.readiness_suites(self.spark, manifest).withColumnRenamed("name", "suite").drop("kind")
+        return evaluation.suites_ready(evaluation.suite_gates(coverage, measured, wanted))
+
     def write_run_state(self, run_id: str, path: str) -> None:
         """The states of a run as one JSON object by step."""
         reports.write_state({r["step"]: r["state"] for r in self.table("run_states").filter(F.col("run_id") == run_id).collect()}, path)

@@ -127,6 +127,35 @@ def shortened(value: Column, limit: int) -> Column:
     return F.when(F.length(flat) > limit, F.concat(F.rtrim(F.substring(flat, 1, limit - 1)), F.lit("…"))).otherwise(flat)
 
 
+def context_excerpt(value: Column, limit: int = 400) -> Column:
+    """The head of a text with white space collapsed, and an ellipsis where more follows; null for an empty one."""
+    flat = F.trim(F.regexp_replace(value, r"(?U)\s+", " "))
+    return F.when(F.coalesce(value, F.lit("")) != "", F.when(F.length(flat) > limit, F.concat(F.substring(flat, 1, limit), F.lit("…"))).otherwise(flat))
+
+
+def rate_label(value: Column) -> Column:
+    """A share as a percentage with one place; ``n/a`` where it is not known."""
+    return F.when(value.isNull(), "n/a").otherwise(F.format_string("%.1f%%", value.cast("double") * 100))
+
+
+def metric_label(value: Column, unknown: Column, requests: Column | None = None, decimals: int = 0) -> Column:
+    """A number with how many records do not know theirs; ``unknown`` where none does (``requests``: how many there are)."""
+    none = value.isNull() if requests is None else value.isNull() | (unknown == requests)
+    shown = F.format_string(f"%.{decimals}f", value.cast("double"))
+    return F.when(none, "unknown").when(unknown > 0, F.concat(shown, F.lit(" ("), unknown.cast("string"), F.lit(" unknown)"))).otherwise(shown)
+
+
+def cost_label(cost: Column, unknown: Column) -> Column:
+    """A cost in USD, or how many records keep it from being known."""
+    return F.when(unknown > 0, F.concat(F.lit("unknown ("), unknown.cast("string"), F.lit(" records)"))).otherwise(F.concat(F.lit("$"), F.format_string("%.4f", cost.cast("double"))))
+
+
+def utc_timestamp(value: Column) -> Column:
+    """A point in time of an ISO text that names its zone; null without a zone, or where it is no time."""
+    zoned = value.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:?\d{2})$")
+    return F.when(zoned, F.try_to_timestamp(value))
+
+
 def decimal_text(value: Column) -> Column:
     """A decimal without trailing zeros or exponent; minus zero is 0."""
     text = value.cast("string")

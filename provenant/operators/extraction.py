@@ -144,8 +144,3 @@ def input_signature(items: DataFrame) -> DataFrame:
         run = F.array_sort(F.collect_list(F.struct("id", "h")))
         nodes = nodes.groupBy(F.floor(F.col("id") / SIGNATURE_RUN).alias("up")).agg(run.alias("run")).select(F.col("up").alias("id"), F.sha2(F.array_join(F.transform("run", lambda x: F.concat(x["id"].cast("string"), F.lit(":"), x["h"])), ","), 256).alias("h"))
     return nodes.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ","), 256).alias("signature"))  # two nodes at most: ids below and above zero
-
-
-def reusable_run(runs: DataFrame, stage: str, version: str, signature: str) -> DataFrame:
-    """The completed run of an exact repetition, if there is one."""
-    return runs.filter((F.col("stage") == stage) & (F.col("version") == version) & (F.col("input_signature") == signature) & (F.col("status") == "COMPLETED"))

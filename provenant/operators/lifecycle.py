@@ -383,7 +383,8 @@ def upsert_items(current: DataFrame, incoming: DataFrame) -> DataFrame:
     first = F.coalesce("first_seen_at", "n_first_seen_at").alias("first_seen_at")
     pick = lambda c: F.when(F.col("n_source_id").isNotNull(), F.col(f"n_{c}")).otherwise(F.col(c)).alias(c)
     merged = both.select("id", *(first if c == "first_seen_at" else pick(c) for c in current.columns if c not in ("id",)))
-    return with_new_ids(merged.select(*current.columns), current, keys[1])
+    named = merged.withColumn("_key", F.concat_ws("\u0001", F.col("source_id").cast("string"), "external_id"))  # equal ids of two sources are two items
+    return with_new_ids(named.select("_key", *current.columns), current, "_key").select(*current.columns)
 
 
 def acquisition_upsert(current: DataFrame, incoming: DataFrame) -> DataFrame:

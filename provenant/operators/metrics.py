@@ -188,7 +188,7 @@ def wave_rows(selections: DataFrame, sources: DataFrame, items: DataFrame, flagg
     full = F.col("full_items")
     if_full = lambda c: F.when(full > 0, F.col(c)).alias(c)
     unknown = F.col("_run_unknown") + F.col("_acq_unknown")
-    return out.select(
+    return out.select(  # fixed values: the names and the order of a wave's 36 columns
         "source", "category", "target_items", "health_status", "policy_ready", "acquisition_eligible", "search_requests", "requested_items", "discovered_urls", "unique_urls",
         (F.col("discovered_urls") - F.col("unique_urls")).alias("duplicates_removed"), "full_items", "partial_items", "metadata_only_items", "failed_acquisitions",
         F.try_divide(full.cast("double"), F.col("unique_urls")).alias("acquisition_success_rate"), full.alias("usable_items"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Fields of products: name and the pattern that a lower-cased text must hold.
+#: Fixed values.  Fields of products: name and the pattern that a lower-cased text must hold.
 LEXICON = {
     "property/ho-admin": r"propert|landlord|tenant|rent|lease|inventar|immobil|housing|maintenance ticket",
     "restaurant-pos": r"restaurant|pos\b|point of sale|menu|table reservation|food service|kds\b|hospitality",
@@ -18,7 +18,7 @@ LEXICON = {
     "construction": r"construct|builder|estimate|bid|blueprint|concrete|roof",
 }
 
-#: Validated pains: name and the pattern of texts of products built for them.
+#: Fixed values.  Validated pains: name and the pattern of texts of products built for them.
 PAIN_SEEDS = {
     "asset_inventory_small_pm": r"propert|landlord|tenant|inventar|asset track",
     "pos_ads_blocking": r"restaurant|pos\b|point of sale|kds\b",
@@ -34,7 +34,7 @@ PAIN_SEEDS = {
     "gmb_phone_spam": r"google business|review|reputation|local seo",
 }
 
-#: Names of the niches of communities, by the community in lower case.
+#: Fixed values.  Names of the niches of communities, by the community in lower case.
 NICHES = {
     "sweatystartup": "Kleingewerbe / Solo-Selbständige",
     "smallbusiness": "Kleingewerbe / Solo-Selbständige",
@@ -57,7 +57,7 @@ NICHES = {
     "agency": "Agenturen",
     "pos": "Kassensysteme",
 }
-#: Buckets of products that serve a niche.
+#: Fixed values.  Buckets of products that serve a niche.
 NICHE_BUCKETS = {
     "Gastronomie": ("restaurant-pos",),
     "Buchhaltung / Steuer": ("bookkeeping-finance",),

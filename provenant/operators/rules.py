@@ -75,6 +75,7 @@ COUNTS = {
     "evidence_spans": "start_offset",
     "dach_assessments": "dach_observation_count,dach_unique_author_count,dach_source_count",
 }
+# Columns that are not blank.
 NOT_BLANK = {
     "source_items": "raw_text,external_id",
     "problem_observations": "problem",
@@ -90,10 +91,12 @@ NOT_BLANK = {
     "research_unknowns": "statement",
     "validation_questions": "question",
 }
+# Columns that hold JSON lists.
 JSON_LISTS = {
     "competitors": "features_json,integrations_json",
     "dach_assessments": "ecosystem_dependencies_json,regulatory_dependencies_json,switching_barriers_json,localization_gaps_json",
 }
+# Columns that hold JSON.
 JSON_VALUES = {
     "source_health_checks": "evidence_urls_json,capture_json",
     "structured_inference_cache": "result_json",
@@ -101,6 +104,7 @@ JSON_VALUES = {
     "acquisition_records": "metadata_json",
 }
 #: Columns that are never null, by table.
+# Columns that are always known.
 REQUIRED = {
     "sources": "id,normalized_key,name,lifecycle",
     "source_items": "id,source_id,external_id,raw_text",
@@ -125,6 +129,7 @@ REQUIRED = {
     "research_passes": "case_id,pass_type,status",
 }
 #: Rules over several columns: (table, name, columns, SQL).
+# Rules over several columns.
 TOGETHER = (
     ("impact_signals", "quantified_has_value_and_unit", "quantified,value,unit", "CASE WHEN quantified THEN value IS NOT NULL AND unit IS NOT NULL ELSE value IS NULL AND unit IS NULL END"),
     ("payment_signals", "amount_with_currency", "amount,currency", "(amount IS NULL) = (currency IS NULL)"),
@@ -141,6 +146,7 @@ TOGETHER = (
     ),
 )
 #: Uniqueness keys by table, separated by semicolons; a column with ``?`` counts as empty where it is null, other rows with nulls are no key.
+# Uniqueness keys.
 KEYS = {
     "sources": "id; normalized_key",
     "source_items": "id; source_id,external_id",
@@ -187,6 +193,7 @@ KEYS = {
     "validation_questions": "id; case_id,question",
 }
 #: Columns that name a row of another table by its id, by the table that they name.
+# References.
 NAMED_BY = {
     "sources": "source_items.source_id, source_registry_metadata.source_id, source_registry_profiles.source_id, source_health_checks.source_id, source_metrics.source_id, source_problem_family_metrics.source_id, discovery_runs.source_id, discovery_records.source_id",
     "discovery_runs": "discovery_records.run_id",

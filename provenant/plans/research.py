@@ -379,6 +379,15 @@ def unit_costs(d: Domain) -> DataFrame:
     return cost.unit_costs(rows, ("provider", "size"))
 
 
+@registry.query(("model_runs",), "", f"""
+SELECT provider, items_processed AS size, CASE WHEN why = '' THEN 'AVAILABLE' ELSE 'UNKNOWN' END AS status, {MONEY_TEXT.format("total")} AS total, items, CASE WHEN why = '' THEN {PER_ITEM.format(t="total", n="items")} END AS cost_per_item, why AS reasons
+FROM (SELECT *, concat_ws('; ', CASE WHEN n - costed = 1 THEN '1 operation has unknown cost' WHEN n > costed THEN (n - costed) || ' operations have unknown cost' END, CASE WHEN currencies > 1 THEN 'measured costs use multiple currencies' END, CASE WHEN items = 0 THEN 'no processed items recorded' END) AS why
+  FROM (SELECT provider, items_processed, count(*) AS n, count(amount) AS costed, count(DISTINCT CASE WHEN amount IS NOT NULL THEN currency END) AS currencies, coalesce(sum(CAST(amount AS DECIMAL(18,6))), 0) AS total, CAST(sum(items_processed) AS BIGINT) AS items FROM model_runs GROUP BY provider, items_processed) g) t""")
+def unit_costs_all(d: Domain) -> DataFrame:
+    """Cost per item of all runs by provider and size; groups of several currencies have none."""
+    return cost.unit_costs(d.model_runs.withColumn("size", F.col("items_processed")), ("provider", "size"))
+
+
 @registry.query(FLAG_TABLES + ("model_runs", "research_cases", "cluster_members"), FLAGS, """
 , linked AS (SELECT DISTINCT provider, pipeline_run_id AS run FROM model_runs WHERE pipeline_run_id IS NOT NULL)
 SELECT p.provider, (SELECT count(*) FROM linked l WHERE l.provider = p.provider) AS linked_runs,

@@ -236,3 +236,50 @@ def audience_types(d: Domain) -> DataFrame:
     value = F.expr("CASE n_nationkey % 4 WHEN 0 THEN 'Praktiker / practitioner' WHEN 1 THEN 'Inhaber/ Vendor' WHEN 2 THEN 'niemand' ELSE 'OWNER' END")
     listed = F.concat(F.col("n_name"), F.lit(", Buchhalter und Controller sowie Buchhalter"))
     return d.nation.select("n_nationkey", text.audience(value).alias("audience"), F.array_join(text.professions(listed), "|").alias("professions"))
+
+
+@registry.query((), r"""
+f AS (SELECT doc_id, text, trim(regexp_replace(text, '[\s\x{b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g')) AS flat FROM documents)""", """
+SELECT doc_id, CASE WHEN coalesce(text, '') <> '' THEN CASE WHEN length(flat) > 400 THEN substr(flat, 1, 400) || '…' ELSE flat END END AS excerpt FROM f""")
+def context_excerpts(d: Domain) -> DataFrame:
+    """The head of every text, for people who review."""
+    return d.documents.select("doc_id", text.context_excerpt(F.col("text")).alias("excerpt"))
+
+
+@registry.query(("model_runs",), "", """
+, g AS (SELECT provider, items_processed AS size, count(*) AS n, count_if(status = 'FAILED') AS failed, CAST(sum(CASE WHEN latency_ms % 3 <> 0 THEN latency_ms END) AS BIGINT) AS latency, count_if(latency_ms % 3 = 0) AS unknown, sum(amount) AS cost, count_if(amount IS NULL) AS uncosted FROM model_runs GROUP BY ALL)
+SELECT provider, size, CASE WHEN size = 4 THEN 'n/a' ELSE printf('%.1f%%', 100.0 * failed / n) END AS failed, CASE WHEN latency IS NULL OR unknown = n THEN 'unknown' ELSE CAST(latency AS VARCHAR) || CASE WHEN unknown > 0 THEN ' (' || unknown || ' unknown)' ELSE '' END END AS latency,
+  CASE WHEN uncosted > 0 THEN 'unknown (' || uncosted || ' records)' ELSE printf('$%.4f', CAST(cost AS DOUBLE)) END AS cost FROM g""")
+def cost_labels(d: Domain) -> DataFrame:
+    """Shares, times and costs of model runs in words; what is not known is said to be unknown."""
+    known = F.when(F.col("latency_ms") % 3 != 0, F.col("latency_ms"))
+    g = d.model_runs.groupBy("provider", F.col("items_processed").alias("size")).agg(F.count("*").alias("n"), F.count_if(F.col("status") == "FAILED").alias("failed"), F.sum(known).alias("latency"), F.count_if(known.isNull()).alias("unknown"), F.sum("amount").alias("cost"), F.count_if(F.col("amount").isNull()).alias("uncosted"))
+    share = F.when(F.col("size") != 4, F.col("failed") / F.col("n"))
+    return g.select("provider", "size", text.rate_label(share).alias("failed"), text.metric_label(F.col("latency"), F.col("unknown"), F.col("n")).alias("latency"), text.cost_label(F.col("cost"), F.col("uncosted")).alias("cost"))
+
+
+@registry.query((), "", """
+SELECT event_id, CASE event_id % 6 WHEN 0 THEN CAST(floor(epoch(ts)) AS BIGINT) * 1000 WHEN 1 THEN (CAST(floor(epoch(ts)) AS BIGINT) - 7200) * 1000 WHEN 4 THEN CAST(floor(epoch(ts)) AS BIGINT) * 1000 + 250 WHEN 5 THEN (CAST(floor(epoch(ts)) AS BIGINT) + 19800) * 1000 END AS at FROM events""")
+def utc_times(d: Domain) -> DataFrame:
+    """Points in time, in milliseconds, of texts with and without a zone."""
+    said = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    k = F.col("event_id") % 6
+    value = F.when(k == 0, F.concat(said, F.lit("Z"))).when(k == 1, F.concat(said, F.lit("+02:00"))).when(k == 2, said).when(k == 3, "no time+00:00").when(k == 4, F.concat(said, F.lit(".250+00:00"))).otherwise(F.concat(F.replace(said, F.lit("T"), F.lit(" ")), F.lit("-0530")))
+    return d.events.select("event_id", F.unix_millis(text.utc_timestamp(value)).alias("at"))
+
+
+#: Texts that only Unicode rules fold, and what they become.
+FOLDED = (("O\ufb03ce  \uff21\uff22\uff23", "office abc"), ("Stra\u00dfe \u00bd", "strasse 1 2"), ("A\u030angstro\u0308m", "\u00e5ngstr\u00f6m"), ("\u338f \u2167", "kg viii"), ("\u0130stanbul", "i stanbul"), ("plain Text_1", "plain text_1"))
+_FOLDS = " ".join(f"WHEN {i} THEN '{folded}'" for i, (_, folded) in enumerate(FOLDED))
+
+
+@registry.query((), "", f"""
+SELECT doc_id, sha256('{{"actor":"' || CASE doc_id % 6 {_FOLDS} END || '","context":null,"job_to_be_done":null,"problem":"p' || doc_id % 50 || '","root_cause":null}}') AS fingerprint FROM documents""")
+def unicode_fingerprints(d: Domain) -> DataFrame:
+    """Fingerprints of texts with ligatures, full-width forms, fractions, combining marks and a dotted capital I."""
+    k = F.col("doc_id") % 6
+    actor = F.lit(FOLDED[-1][0])
+    for i, (said, _) in enumerate(FOLDED[:-1]):
+        actor = F.when(k == i, said).otherwise(actor)
+    none = F.lit(None).cast("string")
+    return d.documents.select("doc_id", text.fingerprint(actor, none, none, F.concat(F.lit("P"), (F.col("doc_id") % 50).cast("string")), none).alias("fingerprint"))

@@ -277,12 +277,6 @@ def feed_entries(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("id", F.col("link._href").alias("url"), "title", F.regexp_replace("author.name", "^/u/", "").alias("author"), F.coalesce("published", "updated").alias("published_at"), text.html_text(own).alias("text"))
 
 
-def licensed_mentions(mentions: DataFrame, fulltexts: DataFrame) -> DataFrame:
-    """Mentions with their full texts by resource id; the snippet stands in where there is none."""
-    rows = mentions.join(fulltexts.select("resourceId", "fullText"), "resourceId", "left")
-    return rows.withColumn("completeness", F.when(F.col("fullText").isNotNull(), "FULL").when(F.col("snippet").isNotNull(), "PARTIAL").otherwise("METADATA_ONLY"))
-
-
 def readiness_suites(spark: SparkSession, path: str) -> DataFrame:
     """Suites and their gates, one row per required minimum."""
     schema = "version string, suites array<struct<name: string, kind: string, fixture: string, predictions: string, minimum_coverage: map<string, double>, minimum_metrics: map<string, double>>>"

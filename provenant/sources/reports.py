@@ -18,11 +18,15 @@ WITHHELD = "[excerpt withheld: display rights not approved]"
 
 def plan_json(plan: DataFrame) -> str:
     """A plan with its totals."""
+    by = {r["strict_relevance"]: r["n"] for r in relevance_counts(plan).collect()}  # one row a relevance
+    ready = plan.filter("ready").agg(F.count("*").alias("n"), F.coalesce(F.sum("pilot_size"), F.lit(0)).alias("items")).first()
     rows = [r.asDict() for r in plan.orderBy("ordering").collect()]  # registry sources
-    by: dict[str, int] = {}
-    for r in rows:
-        by[r["strict_relevance"]] = by.get(r["strict_relevance"], 0) + 1
-    return json.dumps({"entries": rows, "counts_by_relevance": by, "ready": sum(bool(r["ready"]) for r in rows), "planned_items": sum(r["pilot_size"] for r in rows if r["ready"])}, sort_keys=True, indent=2, ensure_ascii=False)
+    return json.dumps({"entries": rows, "counts_by_relevance": {str(k): v for k, v in by.items()}, "ready": ready["n"], "planned_items": ready["items"]}, sort_keys=True, indent=2, ensure_ascii=False)
+
+
+def relevance_counts(plan: DataFrame) -> DataFrame:
+    """``strict_relevance, n``."""
+    return plan.groupBy("strict_relevance").agg(F.count("*").alias("n"))
 
 
 def plan_markdown(plan: DataFrame) -> str:
