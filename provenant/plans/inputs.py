@@ -21,7 +21,7 @@ def benchmark_problems(d: Domain) -> DataFrame:
     none = F.lit(None).cast("string")
     positive = k.isin(1, 2, 3, 7, 8, 10)
     text = F.concat(F.lit("Case "), F.col("text"))
-    evidence = F.when(positive, F.array(F.struct(F.lit(0).alias("start"), F.lit(8).alias("end"), F.when(k == 2, "#").otherwise(F.substring(text, 1, 8)).alias("excerpt"))))
+    evidence = F.when(positive, F.array(F.struct(F.lit(0).alias("start"), F.least(F.lit(8), F.length(text)).alias("end"), F.when(k == 2, "#").otherwise(F.substring(text, 1, 8)).alias("excerpt"))))
     provenance = F.struct(F.when(k == 5, "PUBLIC_SOURCE").otherwise("SYNTHETIC").alias("origin"), F.when(k == 5, "APPROVED").otherwise("NOT_APPLICABLE").alias("rights_status"), none.alias("source_url"), F.when(k == 6, "HUMAN").otherwise("UNREVIEWED").alias("label_method"), none.alias("reviewed_by"), none.alias("reviewed_at"))
     case = F.to_json(
         F.struct(

@@ -95,3 +95,13 @@ def test_pages_that_bring_nothing(spark):
     pages = [(200, '{"data":[{"a":1}]}', None), (200, '{"data":[]}', None), (None, None, "PROVIDER_UNAVAILABLE"), (404, "x", "UNKNOWN_ERROR"), (400, "no json", "QUERY_CONFIGURATION_ERROR"), (200, '{"data":[null]}', "INVALID_FEED"), (200, '{"data":null}', "INVALID_FEED"), (200, "", "INVALID_FEED")]
     found = spark.createDataFrame([(i, s, b) for i, (s, b, _) in enumerate(pages)], "i int, s int, b string").select("i", providers.page_failure(F.col("s"), F.col("b")).alias("f")).orderBy("i").collect()
     assert [r["f"]["failure"] if r["f"] else None for r in found] == [w for *_, w in pages]
+
+
+def test_texts_shorter_than_the_excerpt_have_evidence_that_holds(spark, tmp_path):
+    from provenant.plans import inputs
+    from provenant.sources.fixtures import Domain
+
+    rows = [(8, "A."), (20, ""), (13, "x"), (32, "long enough")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["problem"] for r in inputs.registry.queries()["benchmark_problems"](spark, str(tmp_path)).collect()}
+    assert got == dict.fromkeys((8, 20, 32), "problem_type is not known: NOPE")
