@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from provenant.functions.schema import canonical_json
+from provenant.sources.scratch import written
 
 POLICY = ("access_method", "commercial_use_status", "retention_rules", "attribution_requirements", "quoting_rules", "deletion_requirements", "rate_limit_notes", "rights_reviewed_at")
 COMPLETENESS = ("METADATA_ONLY", "PARTIAL", "FULL")
@@ -286,9 +287,9 @@ def creatable_opportunities(cases: DataFrame, opportunities: DataFrame, problems
     return rows.select("case_id", why.alias("refusal"), "existing_id")
 
 
-def search_opportunities(opportunities: DataFrame, cases: DataFrame, members: DataFrame, observations: DataFrame, *, query: str | None = None, status: str | None = None, evidence_state: str | None = None, types: DataFrame | None = None, opportunity_type: str | None = None, saved: DataFrame | None = None, limit: int = 100) -> DataFrame:
-    """Opportunities by filters and a literal text over title, problem, actor, job and context; newest first."""
-    if not 1 <= limit <= 1000:
+def search_opportunities(opportunities: DataFrame, cases: DataFrame, members: DataFrame, observations: DataFrame, *, query: str | None = None, status: str | None = None, evidence_state: str | None = None, types: DataFrame | None = None, opportunity_type: str | None = None, saved: DataFrame | None = None, limit: int | None = 100) -> DataFrame:
+    """Opportunities by filters and a literal text over title, problem, actor, job and context; newest first (all of them, if ``limit`` is None)."""
+    if limit is not None and not 1 <= limit <= 1000:
         raise ValueError("a search gives 1 to 1000 opportunities")
     out = opportunities
     if status:
@@ -311,14 +312,26 @@ def search_opportunities(opportunities: DataFrame, cases: DataFrame, members: Da
     return ordered(out, limit, F.desc("updated_at"), F.desc("id"))
 
 
-def ordered(rows: DataFrame, limit: int, *keys: Column) -> DataFrame:
-    """The first rows in order, with their ``position``; no task sees more than ``limit`` rows of each partition."""
+def ordered(rows: DataFrame, limit: int | None, *keys: Column) -> DataFrame:
+    """The first rows in order (all, if ``limit`` is None), with their ``position``; no task sees more than ``limit`` rows of each partition, or one range of all."""
+    if limit is None:
+        return numbered(rows, *keys)
     top = rows.orderBy(*keys).limit(limit)
     return top.withColumn("position", F.row_number().over(Window.orderBy(*keys)))
 
 
-def saved_list(saved: DataFrame, opportunities: DataFrame, limit: int = 1000) -> DataFrame:
-    """Bookmarks that name an opportunity, the latest first."""
+def numbered(rows: DataFrame, *keys: Column) -> DataFrame:
+    """All rows with their ``position`` in order: ranges of rows are kept, and a row's place in its range is added to the rows of the ranges before."""
+    ranged = written(rows.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()))
+    counts = ranged.groupBy("_range").agg(F.count("*").alias("_here"))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    before = counts.select("_range", F.coalesce(F.sum("_here").over(earlier), F.lit(0)).alias("_before"))
+    placed = ranged.withColumn("_place", F.row_number().over(Window.partitionBy("_range").orderBy(*keys)))
+    return placed.join(F.broadcast(before), "_range").select(*rows.columns, (F.col("_before") + F.col("_place")).cast("int").alias("position"))
+
+
+def saved_list(saved: DataFrame, opportunities: DataFrame, limit: int | None = 1000) -> DataFrame:
+    """Bookmarks that name an opportunity, the latest first (all of them, if ``limit`` is None)."""
     rows = saved.withColumnRenamed("opportunity_id", "id").join(opportunities.select("id"), "id")
     return ordered(rows.select("id", "note", "saved_at"), limit, F.desc("saved_at"), F.desc("id"))
 

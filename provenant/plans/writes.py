@@ -165,14 +165,14 @@ def opportunity_filters(d: Domain) -> DataFrame:
     """Saved, ready opportunities of some types and states, by all filters together."""
     types = d.opportunity_types.filter("opportunity_type in ('WORKFLOW_GAP', 'INTEGRATION_GAP', 'STRONG_SINGLE_SIGNAL')").select("opportunity_id", F.lit("any").alias("opportunity_type"))
     states = d.opportunities.filter("evidence_state in ('EMERGING', 'RECURRING')").withColumn("evidence_state", F.lit("young"))
-    out = lifecycle.search_opportunities(states, d.research_cases, d.cluster_members, d.problem_observations, status="REPORT_READY", evidence_state="young", types=types, opportunity_type="any", saved=d.saved_opportunities, limit=1000)
+    out = lifecycle.search_opportunities(states, d.research_cases, d.cluster_members, d.problem_observations, status="REPORT_READY", evidence_state="young", types=types, opportunity_type="any", saved=d.saved_opportunities, limit=None)
     return out.select("id", "updated_at", "position")
 
 
 @registry.query(CASE_TABLES + ("saved_opportunities",), "", """
 SELECT o.id, s.note, s.saved_at, CAST(row_number() OVER (ORDER BY s.saved_at DESC, o.id DESC) AS INT) AS position FROM saved_opportunities s JOIN opportunities o ON o.id = s.opportunity_id""")
 def saved_list(d: Domain) -> DataFrame:
-    return lifecycle.saved_list(d.saved_opportunities, d.opportunities, limit=1_000_000)
+    return lifecycle.saved_list(d.saved_opportunities, d.opportunities, limit=None)
 
 
 @registry.query(("case_stakeholders",), "", """

@@ -160,3 +160,21 @@ def test_gate_and_salvage(spark):
     assert df.select(text.run_gate_reasons(*(F.col(x) for x in "acvr"))).first()[0] == ["provider credentials are not available in the environment", "rights status is POLICY_BLOCKED, not PRODUCTION_APPROVED"]
     answers = ['note\n{"a":1}', "```json\n{\"a\": 1}\n```", 'x {"a": 1} y', "none", ""]
     assert [bool(r[0]) for r in spark.createDataFrame([(x,) for x in answers], "v string").select(text.salvaged_json(F.col("v"))).collect()] == [True, True, True, False, False]
+
+
+def test_filters_give_all_opportunities_in_order(spark):
+    from types import SimpleNamespace
+
+    from provenant.plans import writes
+
+    n = 2500
+    found = spark.range(n).select("id", F.lit("t").alias("title"), F.lit("REPORT_READY").alias("status"), F.lit("EMERGING").alias("evidence_state"), (F.col("id") % 7).cast("string").alias("updated_at"))
+    kinds = found.select(F.col("id").alias("opportunity_id"), F.lit("WORKFLOW_GAP").alias("opportunity_type"))
+    saved = found.select(F.col("id").alias("opportunity_id"), F.lit("n").alias("note"), F.col("updated_at").alias("saved_at"))
+    domain = SimpleNamespace(opportunities=found, opportunity_types=kinds, saved_opportunities=saved, research_cases=None, cluster_members=None, problem_observations=None)
+    want = sorted(((str(i % 7), i) for i in range(n)), reverse=True)
+    got = sorted((r["position"], r["updated_at"], r["id"]) for r in writes.opportunity_filters(domain).collect())
+    assert got == [(k, *row) for k, row in enumerate(want, 1)]
+    assert sorted((r["position"], r["id"]) for r in writes.saved_list(domain).collect()) == [(k, i) for k, (_, i) in enumerate(want, 1)]
+    with pytest.raises(ValueError):
+        lifecycle.search_opportunities(found, None, None, None, limit=1001)
