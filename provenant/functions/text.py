@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -71,27 +72,40 @@ def normalize_url(url: Column) -> Column:
     return F.when((scheme != "") & (host != ""), whole)
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """An expression of a value that is worked out once, however often the expression names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def post_identity(url: Column) -> Column:
     """``struct(canonical, submission_id, comment_id, community)`` of a community post URL, or null."""
-    value = F.trim(url)
-    host = F.regexp_replace(F.lower(F.regexp_extract(value, r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), r"^www\.", "")
-    path = F.regexp_extract(value, r"(?i)^[a-z][a-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
-    raw = F.filter(F.split(path, "/"), lambda p: p != "")
-    parts = F.transform(raw, lambda p: F.coalesce(F.try_url_decode(F.replace(p, F.lit("+"), F.lit("%2B"))), p))
-    parts = F.when((F.size(parts) >= 2) & F.lower(F.get(parts, 0)).isin(*LOCALES), F.slice(parts, 2, 1000)).otherwise(parts)
-    lower = F.transform(parts, F.lower)
-    at = F.array_position(lower, "comments").cast("int")
-    submission, comment = F.get(lower, at), F.get(lower, at + 2)
-    community = F.when((at >= 3) & (F.get(lower, at - 3) == "r"), F.get(parts, at - 2))
-    prefix = F.when(community.isNotNull(), F.concat(F.lit("/r/"), F.lower(community))).otherwise("")
-    base = F.concat(F.lit("https://www.reddit.com"), prefix, F.lit("/comments/"), submission)
-    canonical = F.when(comment.isNotNull(), F.concat(base, F.lit("/_/"), comment, F.lit("/"))).otherwise(F.concat(base, F.lit("/")))
-    short = F.lower(F.get(F.transform(raw, lambda p: F.coalesce(F.try_url_decode(p), p)), 0))
     none = F.lit(None).cast("string")
-    short_struct = F.struct(F.concat(F.lit("https://www.reddit.com/comments/"), short, F.lit("/")).alias("canonical"), short.alias("submission_id"), none.alias("comment_id"), none.alias("community"))
-    long_struct = F.struct(canonical.alias("canonical"), submission.alias("submission_id"), comment.alias("comment_id"), community.alias("community"))
-    known = host.isin(*COMMUNITY_HOSTS) | host.endswith(".reddit.com")
-    return F.when(host == "redd.it", F.when(short.isNotNull(), short_struct)).when(known & (at > 0) & submission.isNotNull(), long_struct)
+
+    def long_form(lower: Column, parts: Column, at: Column) -> Column:
+        submission, comment = F.get(lower, at), F.get(lower, at + 2)
+        community = F.when((at >= 3) & (F.get(lower, at - 3) == "r"), F.get(parts, at - 2))
+        prefix = F.when(community.isNotNull(), F.concat(F.lit("/r/"), F.lower(community))).otherwise("")
+        ending = F.when(comment.isNotNull(), F.concat(F.lit("/_/"), comment, F.lit("/"))).otherwise("/")
+        canonical = F.concat(F.lit("https://www.reddit.com"), prefix, F.lit("/comments/"), submission, ending)
+        return F.when((at > 0) & submission.isNotNull(), F.struct(canonical.alias("canonical"), submission.alias("submission_id"), comment.alias("comment_id"), community.alias("community")))
+
+    def long_of(raw: Column) -> Column:
+        decoded = F.transform(raw, lambda p: F.coalesce(F.try_url_decode(F.replace(p, F.lit("+"), F.lit("%2B"))), p))
+        without = lambda d: F.when((F.size(d) >= 2) & F.lower(F.get(d, 0)).isin(*LOCALES), F.slice(d, 2, 1000)).otherwise(d)
+        placed = lambda parts: once(F.transform(parts, F.lower), lambda lower: once(F.array_position(lower, "comments").cast("int"), lambda at: long_form(lower, parts, at)))
+        return once(decoded, lambda d: once(without(d), placed))
+
+    def short_of(raw: Column) -> Column:
+        first = once(F.get(raw, 0), lambda p: F.lower(F.coalesce(F.try_url_decode(p), p)))
+        return once(first, lambda short: F.when(short.isNotNull(), F.struct(F.concat(F.lit("https://www.reddit.com/comments/"), short, F.lit("/")).alias("canonical"), short.alias("submission_id"), none.alias("comment_id"), none.alias("community"))))
+
+    def of(value: Column) -> Column:
+        path = F.regexp_extract(value, r"(?i)^[a-z][a-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+        raw = F.filter(F.split(path, "/"), lambda p: p != "")
+        host = F.regexp_replace(F.lower(F.regexp_extract(value, r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), r"^www\.", "")
+        return once(host, lambda h: F.when(h == "redd.it", short_of(raw)).when(h.isin(*COMMUNITY_HOSTS) | h.endswith(".reddit.com"), long_of(raw)))
+
+    return once(F.trim(url), of)
 
 
 def impact_label(kind: Column, quantified: Column, value: Column, unit: Column, frequency: Column) -> Column:

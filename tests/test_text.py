@@ -65,6 +65,12 @@ def test_post_identity(spark, url, canonical, submission, comment, community):
     assert (got and tuple(got)) == (None if canonical is None else (canonical, submission, comment, community))
 
 
+def test_a_post_identity_splits_its_path_once(spark):
+    rows = spark.createDataFrame([("https://reddit.com/comments/a",)], "u string").select(text.post_identity(F.col("u")).alias("p")).select("p.canonical", "p.submission_id", "p.comment_id")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") <= 2 and plan.count("array_position(") == 1  # one for short links, one for long ones
+
+
 def test_evidence_is_rescued_only_from_its_single_occurrence(spark):
     rows = [("abc abc xyz", 8, 11, "xyz"), ("abc abc xyz", 0, 3, "xyz"), ("abc abc xyz", 5, 8, "abc"), ("a😀b", 1, 2, "😀"), ("abc", 0, 9, "abc"), ("abc", 0, 1, "")]
     got = [r[0] and tuple(r[0]) for r in spark.createDataFrame(rows, "t string, s int, e int, x string").select(text.exact_evidence(F.col("t"), F.col("s"), F.col("e"), F.col("x"))).collect()]
