@@ -34,6 +34,8 @@ CLAIM_FIELDS = ("problem_statement", "actor", "job_to_be_done", "context", "curr
 PLAIN_FIELDS = ("actor", "job_to_be_done", "context", "current_workaround", "time_impact", "financial_impact", "error_impact", "delay_impact", "risk_impact")
 TOO_LARGE, UNKNOWN = "CONTENT_TOO_LARGE", "UNKNOWN_ERROR"
 REPEATED = ("MODEL_UNAVAILABLE", "RATE_LIMITED", "TIMEOUT")
+#: Attempts, and characters of their texts, that a task hands on at once.
+HELD_ROWS, HELD_CHARACTERS = 1000, 4 << 20
 UNPROBLEMATIC = ("TEMPORARY_INCIDENT", "SUPPORT_QUESTION", "USER_ERROR", "GENERAL_COMPLAINT")
 
 ATTEMPTS = "source_item_id long, identity_key string, stage string, attempt_number int, last boolean, failure_code string, message string, answer string, input_tokens long, output_tokens long, usage_reported boolean, external_run_id string, latency_ms long"
@@ -159,6 +161,37 @@ def keyed(items: DataFrame, stage: str, settings: Settings) -> DataFrame:
     return items.select(F.col("id").alias("source_item_id"), "raw_text", identity_key(F.col("id"), F.col("raw_text"), stage, settings).alias("identity_key"))
 
 
+def attempted(batches: Iterator[pd.DataFrame], call: Callable[[Request], Reply], stage: str, settings: Settings) -> Iterator[pd.DataFrame]:
+    """All attempts at the items of some batches, so many at a time: a table for each item costs more than its judging."""
+    limit = settings.max_output_tokens_screen if stage == SCREENING else settings.max_output_tokens_extract
+    table = lambda rows: pd.DataFrame(rows, columns=[*(c.split()[0] for c in ATTEMPTS.split(", ")), "raw_text"], dtype=object)
+    rows, held = [], 0
+    for pdf in batches:
+        for item, text, key in zip(pdf["source_item_id"], pdf["raw_text"], pdf["identity_key"], strict=True):
+            for attempt in range(settings.max_retries + 1):
+                began = time.monotonic()
+                said, code, why, used = None, None, None, (0, 0)
+                try:
+                    said = call(Request(stage, settings.instructions(stage), text, settings.stages[stage], limit, settings.temperature, settings.timeout_seconds, attempt))
+                    used = (said.input_tokens, said.output_tokens)
+                except CallFailed as failed:
+                    code, why, used = failed.code, str(failed), (failed.input_tokens, failed.output_tokens)
+                except Exception as odd:  # noqa: BLE001 - any adapter may break; the item fails, the run goes on
+                    code, why = UNKNOWN, type(odd).__name__
+                took = said.latency_ms if said is not None and said.latency_ms is not None else round((time.monotonic() - began) * 1000)
+                again = code in REPEATED and attempt < settings.max_retries
+                rows.append((item, key, stage, attempt, not again, code, why, said.answer if said else None, *used, said.usage_reported if said else any(used), said.external_run_id if said else None, took, text if said else None))
+                if not again:
+                    break
+                time.sleep(settings.retry_delay_seconds * (attempt + 1))
+            held += len(text)
+            if len(rows) >= HELD_ROWS or held >= HELD_CHARACTERS:
+                yield table(rows)
+                rows, held = [], 0
+    if rows:
+        yield table(rows)
+
+
 def asked(pending: DataFrame, call: Callable[[Request], Reply], stage: str, settings: Settings) -> DataFrame:
     """One row per attempt (:data:`ATTEMPTS`) at the pending items; the last one of an item has its judged answer or its failure.
 
@@ -169,31 +202,8 @@ def asked(pending: DataFrame, call: Callable[[Request], Reply], stage: str, sett
     """
     fits = F.length("raw_text") <= settings.max_input_characters
 
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        limit = settings.max_output_tokens_screen if stage == SCREENING else settings.max_output_tokens_extract
-        for pdf in batches:
-            for item, text, key in zip(pdf["source_item_id"], pdf["raw_text"], pdf["identity_key"], strict=True):
-                rows = []
-                for attempt in range(settings.max_retries + 1):
-                    began = time.monotonic()
-                    said, code, why, used = None, None, None, (0, 0)
-                    try:
-                        said = call(Request(stage, settings.instructions(stage), text, settings.stages[stage], limit, settings.temperature, settings.timeout_seconds, attempt))
-                        used = (said.input_tokens, said.output_tokens)
-                    except CallFailed as failed:
-                        code, why, used = failed.code, str(failed), (failed.input_tokens, failed.output_tokens)
-                    except Exception as odd:  # noqa: BLE001 - any adapter may break; the item fails, the run goes on
-                        code, why = UNKNOWN, type(odd).__name__
-                    took = said.latency_ms if said is not None and said.latency_ms is not None else round((time.monotonic() - began) * 1000)
-                    again = code in REPEATED and attempt < settings.max_retries
-                    rows.append((item, key, stage, attempt, not again, code, why, said.answer if said else None, *used, said.usage_reported if said else any(used), said.external_run_id if said else None, took, text if said else None))
-                    if not again:
-                        break
-                    time.sleep(settings.retry_delay_seconds * (attempt + 1))
-                yield pd.DataFrame(rows, columns=[*(c.split()[0] for c in ATTEMPTS.split(", ")), "raw_text"])
-
     tasks = settings.calls_at_once or pending.sparkSession.sparkContext.defaultParallelism
-    made = pending.filter(fits).select("source_item_id", "raw_text", "identity_key").repartition(tasks, "identity_key").mapInPandas(ask, f"{ATTEMPTS}, raw_text string")
+    made = pending.filter(fits).select("source_item_id", "raw_text", "identity_key").repartition(tasks, "identity_key").mapInPandas(lambda batches: attempted(batches, call, stage, settings), f"{ATTEMPTS}, raw_text string")
     shape = SCREEN_SHAPE if stage == SCREENING else EXTRACT_SHAPE
     # step by step, so that each is worked out once
     read = made.withColumn("said", F.col("answer").isNotNull()).withColumn("answer", canonical_json(F.col("answer"))).withColumns({"v": F.try_parse_json("answer"), "a": F.from_json("answer", shape)})

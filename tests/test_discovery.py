@@ -250,3 +250,18 @@ def test_a_repair_does_not_hide_a_new_violation(engine, spark):
     with pytest.raises(ValueError, match="source_id"):
         engine._publish({"source_items": broken(2)})
     engine._publish({"source_items": items})
+
+
+def test_attempts_are_handed_on_many_at_a_time(monkeypatch):
+    import pandas as pd
+
+    from provenant.plans.discovery import SETTINGS, by_length
+
+    n = 300
+    items = pd.DataFrame({"source_item_id": range(n), "raw_text": ["x" * i for i in range(n)], "identity_key": [str(i) for i in range(n)]})
+    whole = list(discovery.attempted(iter([items[:100], items[100:]]), by_length, discovery.SCREENING, SETTINGS))
+    assert len(whole) == 1 and set(whole[0]["source_item_id"]) == set(range(n))
+    monkeypatch.setattr(discovery, "HELD_ROWS", 50)
+    parts = list(discovery.attempted(iter([items]), by_length, discovery.SCREENING, SETTINGS))
+    assert 1 < len(parts) < n and pd.concat(parts, ignore_index=True).drop(columns="latency_ms").equals(whole[0].drop(columns="latency_ms"))
+    assert list(discovery.attempted(iter([items[:0]]), by_length, discovery.SCREENING, SETTINGS)) == []
