@@ -43,8 +43,8 @@ PAD = TOKENS
 REACH = 2
 HIDDEN = 16
 ROUNDS = 2
-#: Share of all positions that the network learns from; README states what that loses.
-LEARNED_SHARE = 0.25
+#: Share of all positions that the network learns from: every one, once in all rounds.
+LEARNED_SHARE = 1.0
 BATCH = 512
 #: Copies that are averaged in one task, and weights of a piece that is averaged for itself.
 MERGE_COPIES, MERGE_WEIGHTS = 64, 1 << 16

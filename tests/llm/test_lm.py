@@ -187,3 +187,13 @@ def test_copies_are_averaged_in_a_tree(spark, monkeypatch):
     monkeypatch.setattr(lm, "MERGE_WEIGHTS", 50_000)
     got = {r["doc_id"]: r["log_prob"] for r in lm.score_documents(df, rounds=1).collect()}
     assert all(abs(got[i] - want[i]) < 1e-3 for i in want)
+
+
+def test_the_query_learns_every_position(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(lm, "train", lambda tokens, vocabulary, tree, network, rounds, learned_share: seen.append((rounds, learned_share)) or network)
+    lm.score_documents(spark.createDataFrame([(0, "a b c")], "doc_id long, text string")).count()
+    [(rounds, share)] = seen
+    numbers, offsets = lm.word_numbers(pa.array([" ".join(f"w{i % 90}" for i in range(1000)), "one"]))
+    parts = [lm.masked(numbers, offsets, turn, rounds, share) for turn in range(rounds)]
+    assert sorted(np.concatenate(parts).tolist()) == list(range(len(numbers)))
