@@ -25,38 +25,62 @@ ORDERS = (1, 2, 3, 4)
 #: Distinct texts of the labelled sample that the weights are fitted on; idf is counted over all training rows.
 LABELLED_ROWS = 3000
 UNKNOWN = "und"
-#: Text that is worked on at once; its n-grams take some thirty times as much.
+#: Text that is worked on at once, if it is not a single longer text, and letters whose n-grams are worked out at once in any case.
 TEXT_BYTES = 4 << 20
+RUN_LETTERS = 1 << 18
 
 
-def gram_orders(chunks: pa.Array, buckets: int = BUCKETS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each order: the buckets of the n-grams of the chunks' letters (with a mark at both ends), and their chunks."""
+def gram_runs(chunks: pa.Array, buckets: int = BUCKETS) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For a run of letters of the chunks (with a mark at both ends) after another, and each order: the first chunk of the run,
+    the buckets of the n-grams that begin in it, and their chunks, counted from that one.
+
+    A run has about ``RUN_LETTERS`` letters, however many there are and however long a chunk is.
+    """
+    sizes = np.cumsum(pc.binary_length(chunks).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < len(chunks):
+        stop = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + RUN_LETTERS, side="right")))
+        for first, grams, owner in _piece_grams(chunks.slice(start, stop - start), buckets):
+            yield start + first, grams, owner
+        start = stop
+
+
+def _piece_grams(chunks: pa.Array, buckets: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     clean = pc.replace_substring_regex(pc.utf8_lower(chunks), r"[^\pL\pM]+", "\x02")
     clean = pc.utf8_trim(clean, "\x02")
     framed = pc.if_else(pc.equal(clean, ""), "", pc.binary_join_element_wise("\x02", clean, "\x02", ""))
-    lengths = pc.utf8_length(framed).to_numpy(zero_copy_only=False).astype(np.int64)
-    points = np.frombuffer("".join(framed.to_pylist()).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    owner = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
-    room = (offsets_of(lengths)[1:][owner] - np.arange(len(points))).astype(np.int32)
-    rolling = np.zeros(len(points), dtype=np.uint64)
-    for order in range(1, max(ORDERS) + 1):
-        rolling *= np.uint64(0x9E3779B97F4A7C15)
-        rolling += np.uint64(1)
-        if order <= len(points):
-            rolling[: len(points) - order + 1] += points[order - 1 :]
-        if order in ORDERS:
-            live = (room >= order) & (points != 2) if order == 1 else room >= order
-            hashed = rolling[live]
-            hashed ^= hashed >> np.uint64(29)
-            hashed *= np.uint64(0xBF58476D1CE4E5B9)
-            yield ((hashed >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32), owner[live]
+    ends = offsets_of(pc.utf8_length(framed).to_numpy(zero_copy_only=False).astype(np.int64))
+    letters = "".join(framed.to_pylist())
+    del clean, framed
+    for at in range(0, len(letters), RUN_LETTERS):
+        n = min(RUN_LETTERS, len(letters) - at)
+        points = np.frombuffer(letters[at : at + n + max(ORDERS) - 1].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        first, last = int(np.searchsorted(ends, at, side="right")) - 1, int(np.searchsorted(ends, at + n))
+        inside = np.diff(np.clip(ends[first : last + 1], at, at + n))
+        owner = np.repeat(np.arange(last - first, dtype=np.int32), inside)
+        room = (ends[first + 1 : last + 1][owner] - np.arange(at, at + n)).astype(np.int32)
+        rolling = np.zeros(n, dtype=np.uint64)
+        for order in range(1, max(ORDERS) + 1):
+            rolling *= np.uint64(0x9E3779B97F4A7C15)
+            rolling += np.uint64(1)
+            ahead = points[order - 1 : order - 1 + n]
+            rolling[: len(ahead)] += ahead
+            if order in ORDERS:
+                live = (room >= order) & (points[:n] != 2) if order == 1 else room >= order
+                hashed = rolling[live]
+                hashed ^= hashed >> np.uint64(29)
+                hashed *= np.uint64(0xBF58476D1CE4E5B9)
+                yield first, ((hashed >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32), owner[live]
 
 
 def chunk_ngrams(chunks: pa.Array, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the n-grams of all orders, chunk by chunk, and their number by chunk."""
-    parts = list(gram_orders(chunks, buckets))
-    values, owner = (np.concatenate(x) for x in zip(*parts, strict=True))
-    return values[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(chunks))
+    values, owners = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+    for first, grams, owner in gram_runs(chunks, buckets):
+        values.append(grams)
+        owners.append(owner + np.int32(first))
+    owner = np.concatenate(owners)
+    return np.concatenate(values)[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(chunks))
 
 
 def _run_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -72,16 +96,22 @@ def document_sums(texts: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.nd
     """Sums of ``table`` rows over all n-grams of each text, and the numbers of n-grams."""
     dictionary, codes, offsets = split_chunks(texts)
     by_chunk, counts = np.zeros((len(dictionary), table.shape[1])), np.zeros(len(dictionary), dtype=np.int64)
-    for grams, owner in gram_orders(dictionary):
-        number = np.bincount(owner, minlength=len(dictionary))
-        by_chunk += _run_sums(table[grams].astype(np.float64), offsets_of(number))
-        counts += number
+    for first, grams, owner in gram_runs(dictionary):
+        number = np.bincount(owner)
+        by_chunk[first : first + len(number)] += _run_sums(table[grams].astype(np.float64), offsets_of(number))
+        counts[first : first + len(number)] += number
     return _run_sums(by_chunk[codes], offsets), _run_sums(counts[codes], offsets)
 
 
 def document_counts(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     """Distinct buckets of each text and how often they occur."""
     dictionary, codes, offsets = split_chunks(texts)
+    if len(texts) == 1:  # however long, without its n-grams side by side
+        times, hist = np.bincount(codes, minlength=len(dictionary)), np.zeros(BUCKETS)
+        for first, found, owner in gram_runs(dictionary):
+            hist += np.bincount(found, weights=times[first + owner], minlength=BUCKETS)
+        buckets = np.flatnonzero(hist)
+        return [(buckets, hist[buckets])]
     grams, counts = chunk_ngrams(dictionary)
     starts = offsets_of(counts)
     out = []

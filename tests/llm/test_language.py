@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -21,6 +22,31 @@ def test_ngram_sums_equal_a_plain_count():
     assert number[1] == number[2] == 0
 
 
+def test_ngrams_do_not_hang_on_the_length_of_a_run(monkeypatch):
+    texts = pa.array(["Abc, abc! é", "", "... 12", "x" * 300 + "é" * 40, "naïve-word", "日本語 テキスト ab"])
+    table = np.random.default_rng(2).normal(size=(language.BUCKETS, 3)).astype(np.float32)
+    whole = language.document_sums(texts, table), language.document_counts(texts), language.document_counts(texts.slice(3, 1))
+    for letters in (1, 3, 50):
+        monkeypatch.setattr(language, "RUN_LETTERS", letters)
+        sums, number = language.document_sums(texts, table)
+        assert np.allclose(sums, whole[0][0]) and (number == whole[0][1]).all()
+        for got, want in ((language.document_counts(texts), whole[1]), (language.document_counts(texts.slice(3, 1)), whole[2]), (language.document_counts(texts.slice(3, 1)), whole[1][3:4])):
+            assert [(b.tolist(), c.tolist()) for b, c in got] == [(b.tolist(), c.tolist()) for b, c in want]
+
+
+@pytest.mark.parametrize("one_word", [True, False])
+def test_a_long_text_needs_a_few_times_its_bytes(one_word):
+    letters = "".join(chr(97 + c) for c in np.random.default_rng(3).integers(0, 26, 4 << 20))
+    texts = pa.array([letters if one_word else " ".join(letters[i : i + 60] for i in range(0, len(letters), 60))])
+    table = np.ones((language.BUCKETS, 4), np.float32)
+    for work in (lambda: language.document_counts(texts), lambda: language.document_sums(texts, table)):
+        tracemalloc.start()
+        work()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 16 * len(letters)
+
+
 def test_same_word_gives_the_same_grams_anywhere():
     a, _ = language.chunk_ngrams(pa.array(["Haus"]))
     b, counts = language.chunk_ngrams(pa.array(["x", "(haus)."]))
