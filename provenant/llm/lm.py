@@ -25,6 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,10 @@ ROUNDS = 2
 #: Share of all positions that the network learns from: every one, once in all rounds.
 LEARNED_SHARE = 1.0
 BATCH = 512
+#: Values of the low bits of a word's number, by which a token is looked up.
+LOOKUP = 1 << 18
+#: Nodes near the root whose decisions are worked out for all positions of a batch at once.
+HEAD = 64
 #: Copies that are averaged in one task, and weights of a piece that is averaged for itself.
 MERGE_COPIES, MERGE_WEIGHTS = 64, 1 << 16
 #: Text of a block, whose words are joined to their totals at once.
@@ -86,14 +91,28 @@ class Vocabulary:
         order = np.argsort(words)
         return Vocabulary(words[order], rank[ENDINGS:][order], rank[:ENDINGS], counts)
 
+    @cached_property
+    def slots(self) -> tuple[np.ndarray, np.ndarray]:
+        """A word for each value of the low bits of its number, and the words that found theirs taken; made where it is used first."""
+        low = self.words & (LOOKUP - 1)
+        table = np.zeros(LOOKUP, dtype=np.int32)
+        table[low] = np.arange(len(self.words))
+        return table, np.flatnonzero(table[low] != np.arange(len(self.words)))
+
     def tokens(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The token of every word, and whether it is that of the word itself."""
-        out = self.ending_tokens[endings_of(numbers)]
+        out = self.ending_tokens.take(endings_of(numbers))
         if not len(self.words):
             return out, np.zeros(len(numbers), dtype=bool)
-        at = np.minimum(np.searchsorted(self.words, numbers), len(self.words) - 1)
-        known = self.words[at] == numbers
-        return np.where(known, self.word_tokens[at], out), known
+        table, others = self.slots
+        at = table.take(numbers & (LOOKUP - 1))
+        known = self.words.take(at) == numbers
+        if len(others):
+            rest = np.flatnonzero(~known)
+            found = others.take(np.minimum(np.searchsorted(self.words[others], numbers.take(rest)), len(others) - 1))
+            at[rest] = found
+            known[rest] = self.words.take(found) == numbers.take(rest)
+        return np.where(known, self.word_tokens.take(at), out), known
 
 
 @dataclass
@@ -145,19 +164,75 @@ class Tree:
         lengths = self.lengths[tokens]
         first = offsets_of(lengths)[:-1]
         at = np.arange(int(lengths.sum())) + np.repeat(self.starts[tokens] - first, lengths)
-        return self.nodes[at], self.right[at], first, lengths
+        return self.nodes.take(at), self.right.take(at), first, lengths
 
+    @cached_property
+    def head(self) -> Head:
+        """The nodes that most tokens pass; made where it is used first, so that it is not sent along."""
+        return Head.of(self)
 
-def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order that sorts some numbers, and where each run of equal ones starts in it."""
-    order = np.argsort(values, kind="stable")
-    ordered = values[order]
-    return order, np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
 
+@dataclass
+class Head:
+    """The heaviest nodes of a tree, from one number on: nodes are made by rising weights, and so stand at the ends of all paths."""
 
-def _adagrad(weight: np.ndarray, gradient: np.ndarray, squares: np.ndarray, at: object, rate: float) -> None:
-    squares[at] += gradient * gradient
-    weight[at] -= rate * gradient / (np.sqrt(squares[at]) + 1e-6)
+    start: int
+    #: By token and node of the head: 1 if its path turns left there, -1 if right, 0 if it does not have the node.
+    signs: np.ndarray
+    #: The same for the decisions of all paths in order.
+    turns: np.ndarray
+    #: How many decisions each token has before the head.
+    below: np.ndarray
+
+    @staticmethod
+    def of(tree: Tree) -> Head:
+        n = len(tree.lengths)
+        start = max(0, n - 1 - HEAD)
+        owner, column = np.repeat(np.arange(n), tree.lengths), tree.nodes.astype(np.int64) - start
+        inside = column >= 0
+        signs = np.zeros((n, n - 1 - start), np.float32)
+        turns = 1 - 2 * tree.right
+        signs[owner[inside], column[inside]] = turns[inside]
+        return Head(start, signs, turns, tree.lengths - np.bincount(owner[inside], minlength=n))
+
+
+def _sums(values: np.ndarray, rows: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each of some ascending keys once, where its run begins, and the sums of the rows of ``values`` that stand in its run."""
+    cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    run = np.concatenate([cuts[1:], [len(keys)]]) - cuts
+    out, many = values.take(rows.take(cuts), axis=0), np.flatnonzero(run > 1)
+    if len(many):
+        several = run.take(many)
+        starts = offsets_of(several)
+        inside = np.repeat(cuts.take(many) - starts[:-1], several) + np.arange(starts[-1])
+        pairs = values.take(rows.take(inside), axis=0).view(np.complex64)  # two numbers are added at once
+        _put(out, many, np.add.reduceat(pairs, starts[:-1]).view(np.float32))
+    return keys.take(cuts), cuts, out
+
+
+def _adagrad(weight: np.ndarray, gradient: np.ndarray, squares: np.ndarray, at: np.ndarray | slice, rate: float) -> None:
+    """Move rows ``at``, each once, by a step scaled by the root of the summed squares; the gradient's array is used up."""
+    total = gradient * gradient
+    total += squares[at] if isinstance(at, slice) else squares.take(at, axis=0)
+    root = np.sqrt(total)
+    root += np.float32(1e-6)
+    if rate != 1:
+        gradient *= np.float32(rate)
+    gradient /= root
+    if isinstance(at, slice):
+        squares[at] = total
+        weight[at] -= gradient
+    else:
+        _put(squares, at, total)
+        _put(weight, at, np.subtract(weight.take(at, axis=0), gradient, out=gradient))
+
+
+def _put(rows: np.ndarray, at: np.ndarray, new: np.ndarray) -> None:
+    """Replace some rows of a table that lies in one piece, each as a single value."""
+    if rows.ndim > 1:
+        kind = f"V{rows.itemsize * rows.shape[1]}"
+        rows, new = rows.view(kind).reshape(-1), new.view(kind).reshape(-1)
+    rows.put(at, new)
 
 
 @dataclass
@@ -195,10 +270,16 @@ class WindowNetwork:
         """A fresh state of :meth:`learn`."""
         return [np.full(w.shape, 1e-4, dtype=np.float32) for w in self.weights()]
 
-    def hidden(self, context: np.ndarray) -> np.ndarray:
-        total = self.bias + self.embed[0][context[:, 0]]
+    @staticmethod
+    def places(context: np.ndarray) -> np.ndarray:
+        """The rows of all embeddings, laid end to end, that neighbours have: a line for each of their places."""
+        return context.T + np.arange(2 * REACH)[:, None] * (TOKENS + 1)
+
+    def hidden(self, places: np.ndarray) -> np.ndarray:
+        found = self.embed.reshape(-1, HIDDEN).take(places, axis=0)
+        total = self.bias + found[0]
         for k in range(1, 2 * REACH):
-            total += self.embed[k][context[:, k]]
+            total += found[k]
         return np.tanh(total, out=total)
 
     def log_probability(self, tree: Tree, context: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -206,29 +287,64 @@ class WindowNetwork:
         if not len(target):
             return np.zeros(0, np.float32)
         nodes, right, first, lengths = tree.decisions(target)
-        z = np.einsum("ij,ij->i", np.repeat(self.hidden(context), lengths, axis=0), self.out[nodes]) + self.out_bias[nodes]
+        each = self.hidden(self.places(context)).take(np.repeat(np.arange(len(target)), lengths), axis=0)
+        each *= self.out.take(nodes, axis=0)
+        z = each @ np.ones(HIDDEN, np.float32)
+        z += self.out_bias.take(nodes)
         z *= 1 - 2 * right  # a decision's log probability is minus the softplus of this
-        softplus = np.maximum(z, 0) + np.log1p(np.exp(-np.abs(z)))
+        softplus = np.log1p(np.exp(-np.abs(z)))
+        softplus += np.maximum(z, 0, out=z)
         return -np.add.reduceat(softplus, first)
 
     def learn(self, tree: Tree, context: np.ndarray, target: np.ndarray, state: list[np.ndarray], rate: float = 1.0) -> None:
-        """One step of stochastic gradient descent with per-weight scaling (Adagrad); only weights in use are touched."""
-        h = self.hidden(context)
-        nodes, right, first, lengths = tree.decisions(target)
-        each, out = np.repeat(h, lengths, axis=0), self.out[nodes]
-        z = np.einsum("ij,ij->i", each, out) + self.out_bias[nodes]
-        wrong = (1 / (1 + np.exp(-np.clip(z, -60, 60))) - right) / np.float32(len(target))
-        out *= wrong[:, None]
-        inner = np.add.reduceat(out, first) * (1 - h * h)
-        each *= wrong[:, None]
-        order, cuts = _runs(nodes)
-        used = nodes[order[cuts]]
-        _adagrad(self.out, np.add.reduceat(each[order], cuts), state[2], used, rate)
-        _adagrad(self.out_bias, np.add.reduceat(wrong[order], cuts), state[3], used, rate)
-        _adagrad(self.bias, inner.sum(axis=0), state[1], ..., rate)
-        for k in range(2 * REACH):
-            order, cuts = _runs(context[:, k].astype(np.uint16))
-            _adagrad(self.embed[k], np.add.reduceat(inner[order], cuts), state[0][k], context[order[cuts], k], rate)
+        """One step of stochastic gradient descent with per-weight scaling (Adagrad); only weights in use are touched.
+
+        The decisions of the head are worked out for all positions at once, those below it one by one.
+        """
+        places, head = self.places(context), tree.head
+        h = self.hidden(places)
+        top = self.out[head.start :]
+        z = h @ top.T
+        z += self.out_bias[head.start :]
+        wrong = _wrong(z, head.signs.take(target, axis=0), len(target))
+        inner = wrong @ top
+        moves = [(slice(head.start, None), wrong.T @ h, np.ones(len(target), np.float32) @ wrong)]
+        below = head.below.take(target)
+        if below.any():
+            ends = offsets_of(below)
+            at, owner = np.arange(ends[-1]) + np.repeat(tree.starts.take(target) - ends[:-1], below), np.repeat(np.arange(len(target)), below)
+            has, nodes = np.flatnonzero(below), tree.nodes.take(at)
+            each, out = h.take(owner, axis=0), self.out.take(nodes, axis=0)
+            z = (each * out) @ np.ones(HIDDEN, np.float32)
+            z += self.out_bias.take(nodes)
+            wrong = _wrong(z, head.turns.take(at), len(target))
+            spread = np.empty_like(each)
+            spread[...] = wrong[:, None]
+            out *= spread
+            each *= spread
+            _put(inner, has, inner.take(has, axis=0) + np.add.reduceat(out.view(np.complex64), ends.take(has)).view(np.float32))
+            order = np.argsort(nodes, kind="stable")
+            used, cuts, sums = _sums(each, order, nodes.take(order))
+            moves.append((used.astype(np.int64), sums, np.add.reduceat(wrong.take(order), cuts)))
+        for used, sums, biases in moves:
+            _adagrad(self.out, sums, state[2], used, rate)
+            _adagrad(self.out_bias, biases, state[3], used, rate)
+        inner *= 1 - h * h
+        _adagrad(self.bias, inner.sum(axis=0), state[1], slice(None), rate)
+        order = np.argsort(context.T.astype(np.uint16), axis=1, kind="stable")
+        used, _, sums = _sums(inner, order.ravel(), places.take(order + np.arange(2 * REACH)[:, None] * len(target)).ravel())
+        _adagrad(self.embed.reshape(-1, HIDDEN), sums, state[0].reshape(-1, HIDDEN), used, rate)
+
+
+def _wrong(z: np.ndarray, signs: np.ndarray, n: int) -> np.ndarray:
+    """By how much the probabilities of turning right miss the decisions (1: left, -1: right, 0: none), as shares of a batch."""
+    z *= signs
+    np.maximum(z, -60, out=z)
+    np.exp(np.negative(z, out=z), out=z)
+    z += 1
+    np.divide(np.float32(1 / n), z, out=z)
+    z *= signs
+    return z
 
 
 def windows(tokens: np.ndarray, offsets: np.ndarray, chosen: np.ndarray) -> np.ndarray:
@@ -391,7 +507,7 @@ class LanguageScorer:
     tree: Tree
     network: WindowNetwork
 
-    def score(self, numbers: np.ndarray, offsets: np.ndarray, block: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def score(self, numbers: np.ndarray, offsets: np.ndarray, block: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Summed log probability of the tokens of each text given their neighbours, and the words that are no tokens with their offsets.
 
         The share of such a word among those of its ending is still to be added.

@@ -70,6 +70,43 @@ def test_gradient_equals_finite_differences(tree):
         assert abs(abs((losses[0] - losses[1]) / 2e-2) - np.sqrt(state[weight][where])) < 1e-3
 
 
+def test_a_step_is_that_of_every_decision_alone(tree, monkeypatch):
+    rng = np.random.default_rng(8)
+    start = lm.WindowNetwork.start(tree)
+    start.out += rng.normal(0, 0.5, start.out.shape).astype(np.float32)
+    context, target = rng.integers(0, 300, (64, 2 * lm.REACH)), rng.integers(0, 4000, 64)
+    nodes, right, first, lengths = tree.decisions(target)
+    each = start.hidden(start.places(context)).astype(np.float64)
+    grown = [np.zeros(w.shape) for w in start.weights()]
+    for i, (a, n) in enumerate(zip(first.tolist(), lengths.tolist(), strict=True)):
+        inner = np.zeros(lm.HIDDEN)
+        for node, turn in zip(nodes[a : a + n].tolist(), right[a : a + n].tolist(), strict=True):
+            wrong = (1 / (1 + np.exp(-(each[i] @ start.out[node] + start.out_bias[node]))) - turn) / len(target)
+            inner += wrong * start.out[node]
+            grown[2][node] += wrong * each[i]
+            grown[3][node] += wrong
+        inner *= 1 - each[i] ** 2
+        grown[1] += inner
+        for k in range(2 * lm.REACH):
+            grown[0][k, context[i, k]] += inner
+    assert lm.Tree.of(np.array([8, 3, 2, 1])).head.below.tolist() == [0, 0, 0, 0]  # a small tree is all head
+    for head in (1, 64):
+        monkeypatch.setattr(lm, "HEAD", head)
+        again = lm.Tree(tree.nodes, tree.right, tree.starts, tree.lengths, tree.sides)
+        moved, state = lm.WindowNetwork.from_flat(start.flat()), start.squares()
+        moved.learn(again, context, target, state)
+        for now, before, g in zip(moved.weights(), start.weights(), grown, strict=True):
+            assert np.allclose(now, before - g / (np.sqrt(1e-4 + g * g) + 1e-6), atol=2e-4)
+
+
+def test_tokens_are_found_where_the_low_bits_clash():
+    low = np.array([5, 5 + lm.LOOKUP, 5 - lm.LOOKUP, 9, 5 + 2 * lm.LOOKUP, 10], dtype=np.int64)
+    vocabulary = lm.Vocabulary.of(low[:4], np.array([40, 30, 20, 10]), np.zeros(lm.ENDINGS, np.int64))
+    assert len(vocabulary.slots[1]) == 2
+    tokens, known = vocabulary.tokens(low)
+    assert known.tolist() == [True] * 4 + [False] * 2 and tokens[:4].tolist() == [0, 1, 2, 3]
+
+
 def test_windows_see_both_sides_of_the_own_text_only():
     got = lm.windows(np.arange(6), np.array([0, 4, 4, 6]), np.array([0, 1, 3, 4]))
     p = lm.PAD
