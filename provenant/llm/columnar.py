@@ -146,12 +146,13 @@ def chunk_words(chunks: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     single = pc.match_substring_regex(lower, r"^[^\pL\pM\pN_]*[\pL\pM\pN_]+[^\pL\pM\pN_]*$")
     plain = single.to_numpy(zero_copy_only=False).astype(bool)
     encoded = pc.replace_substring_regex(lower.filter(single), r"[^\pL\pM\pN_]+", "").dictionary_encode()
-    words = encoded.dictionary.to_pylist()
+    words = encoded.dictionary.to_numpy(zero_copy_only=False).tolist()  # several times faster than as a list at once
     lengths = plain.astype(np.int64)
     if plain.all():
         return words, encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64), lengths
-    index = dict(zip(words, range(len(words)), strict=True))
     odd = [WORD.findall(c) for c in lower.filter(pc.invert(single)).to_pylist()]
+    wanted = {word for found in odd for word in found}
+    index = {word: i for i, word in enumerate(words) if word in wanted}
     lengths[~plain] = [len(o) for o in odd]
     for found in odd:
         for word in found:

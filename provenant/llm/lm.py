@@ -51,6 +51,12 @@ BATCH = 512
 LOOKUP = 1 << 18
 #: Nodes near the root whose decisions are worked out for all positions of a batch at once.
 HEAD = 64
+#: Gradients of a row up to which those of all rows of a batch are summed at once.
+SHORT_RUN = 8
+#: Batches that are planned at once.
+PLANNED = 32
+#: Words that are prepared or scored at once, how many of them pass a node that is worked out for itself, and rows of a piece of the rest.
+SCORED, BUSY, PIECE = 1 << 16, 256, 1 << 12
 #: Copies that are averaged in one task, and weights of a piece that is averaged for itself.
 MERGE_COPIES, MERGE_WEIGHTS = 64, 1 << 16
 #: Text of a block, whose words are joined to their totals at once.
@@ -62,7 +68,10 @@ HASH_BITS = 58
 def word_numbers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Texts to numbers of whole words: the ending (a hash of the last two letters), then 58 bits of the word's hash."""
     words, codes, offsets = text_words(texts)
-    ending = hash_words([w[-2:] for w in words]) % np.uint64(ENDINGS)
+    last = [w[-2:] for w in words]
+    each = list(set(last))
+    number = dict(zip(each, (hash_words(each) % np.uint64(ENDINGS)).tolist(), strict=True))
+    ending = np.fromiter(map(number.__getitem__, last), np.uint64, len(last))
     numbers = (ending << np.uint64(HASH_BITS)) | (mix(hash_words(words)) & np.uint64((1 << HASH_BITS) - 1))
     return numbers[codes].view(np.int64), offsets
 
@@ -166,6 +175,17 @@ class Tree:
         at = np.arange(int(lengths.sum())) + np.repeat(self.starts[tokens] - first, lengths)
         return self.nodes.take(at), self.right.take(at), first, lengths
 
+    @cached_property
+    def spans(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The place of each token among the leaves from left to right; where the leaves below each node begin, where its right side does, and where they end."""
+        n = len(self.lengths)
+        size = np.bincount(self.nodes, minlength=n - 1)
+        left = size - np.bincount(self.nodes, self.right, n - 1).astype(np.int64)
+        leaf = np.add.reduceat(left.take(self.nodes) * (self.right > 0), self.starts)
+        begin = np.full(n - 1, n)
+        np.minimum.at(begin, self.nodes, np.repeat(leaf, self.lengths))
+        return leaf.astype(np.uint16), begin, begin + left, begin + size
+
     @cached_property
     def head(self) -> Head:
         """The nodes that most tokens pass; made where it is used first, so that it is not sent along."""
@@ -177,10 +197,8 @@ class Head:
     """The heaviest nodes of a tree, from one number on: nodes are made by rising weights, and so stand at the ends of all paths."""
 
     start: int
-    #: By token and node of the head: 1 if its path turns left there, -1 if right, 0 if it does not have the node.
-    signs: np.ndarray
-    #: The same for the decisions of all paths in order.
-    turns: np.ndarray
+    #: The decisions of all paths in order: twice the node, and one more if the path turns right.
+    decisions: np.ndarray
     #: How many decisions each token has before the head.
     below: np.ndarray
 
@@ -188,51 +206,32 @@ class Head:
     def of(tree: Tree) -> Head:
         n = len(tree.lengths)
         start = max(0, n - 1 - HEAD)
-        owner, column = np.repeat(np.arange(n), tree.lengths), tree.nodes.astype(np.int64) - start
-        inside = column >= 0
-        signs = np.zeros((n, n - 1 - start), np.float32)
-        turns = 1 - 2 * tree.right
-        signs[owner[inside], column[inside]] = turns[inside]
-        return Head(start, signs, turns, tree.lengths - np.bincount(owner[inside], minlength=n))
-
-
-def _sums(values: np.ndarray, rows: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each of some ascending keys once, where its run begins, and the sums of the rows of ``values`` that stand in its run."""
-    cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    run = np.concatenate([cuts[1:], [len(keys)]]) - cuts
-    out, many = values.take(rows.take(cuts), axis=0), np.flatnonzero(run > 1)
-    if len(many):
-        several = run.take(many)
-        starts = offsets_of(several)
-        inside = np.repeat(cuts.take(many) - starts[:-1], several) + np.arange(starts[-1])
-        pairs = values.take(rows.take(inside), axis=0).view(np.complex64)  # two numbers are added at once
-        _put(out, many, np.add.reduceat(pairs, starts[:-1]).view(np.float32))
-    return keys.take(cuts), cuts, out
-
-
-def _adagrad(weight: np.ndarray, gradient: np.ndarray, squares: np.ndarray, at: np.ndarray | slice, rate: float) -> None:
-    """Move rows ``at``, each once, by a step scaled by the root of the summed squares; the gradient's array is used up."""
-    total = gradient * gradient
-    total += squares[at] if isinstance(at, slice) else squares.take(at, axis=0)
-    root = np.sqrt(total)
+        owner = np.repeat(np.arange(n), tree.lengths)
+        return Head(start, 2 * tree.nodes + tree.right.astype(np.uint16), np.bincount(owner[tree.nodes < start], minlength=n))
+
+
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers from each start on."""
+    ends = offsets_of(lengths)
+    return np.arange(ends[-1]) + np.repeat(starts - ends[:-1], lengths)
+
+
+def _adagrad(weight: np.ndarray, gradient: np.ndarray, squares: np.ndarray, rate: float) -> None:
+    """A step scaled by the root of the summed squares; the gradient's array is used up."""
+    root = gradient * gradient
+    squares += root
+    np.sqrt(squares, out=root)
     root += np.float32(1e-6)
     if rate != 1:
         gradient *= np.float32(rate)
     gradient /= root
-    if isinstance(at, slice):
-        squares[at] = total
-        weight[at] -= gradient
-    else:
-        _put(squares, at, total)
-        _put(weight, at, np.subtract(weight.take(at, axis=0), gradient, out=gradient))
+    weight -= gradient
 
 
 def _put(rows: np.ndarray, at: np.ndarray, new: np.ndarray) -> None:
     """Replace some rows of a table that lies in one piece, each as a single value."""
-    if rows.ndim > 1:
-        kind = f"V{rows.itemsize * rows.shape[1]}"
-        rows, new = rows.view(kind).reshape(-1), new.view(kind).reshape(-1)
-    rows.put(at, new)
+    kind = f"V{rows.itemsize * rows.shape[1]}"
+    rows.view(kind).reshape(-1).put(at, new.view(kind).reshape(-1))
 
 
 @dataclass
@@ -276,87 +275,316 @@ class WindowNetwork:
         return context.T + np.arange(2 * REACH)[:, None] * (TOKENS + 1)
 
     def hidden(self, places: np.ndarray) -> np.ndarray:
-        found = self.embed.reshape(-1, HIDDEN).take(places, axis=0)
-        total = self.bias + found[0]
-        for k in range(1, 2 * REACH):
-            total += found[k]
-        return np.tanh(total, out=total)
+        return _hidden(self.embed.reshape(-1, HIDDEN).take(places, axis=0), self.bias)
 
     def log_probability(self, tree: Tree, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Log probability of the target tokens."""
-        if not len(target):
-            return np.zeros(0, np.float32)
-        nodes, right, first, lengths = tree.decisions(target)
-        each = self.hidden(self.places(context)).take(np.repeat(np.arange(len(target)), lengths), axis=0)
+        """Log probability of the target tokens.
+
+        The positions are put in the order of the leaves, so that those that pass a node
+        stand in one piece: a node that many pass is worked out for all of them at once.
+        """
+        n = len(target)
+        if not n:
+            return np.zeros(0)
+        leaf, begin, middle, end = tree.spans
+        order = np.argsort(leaf.take(target), kind="stable")
+        target = target.take(order)
+        places, h = self.places(context.take(order, axis=0)), np.empty((n, HIDDEN), np.float32)
+        for at in range(0, n, PIECE):
+            h[at : at + PIECE] = self.hidden(places[:, at : at + PIECE])
+        passed = offsets_of(np.bincount(leaf.take(target), minlength=len(leaf)))
+        low, turn, high = passed.take(begin), passed.take(middle), passed.take(end)
+        busy = high - low >= BUSY  # and so are all nodes above one
+        product = np.ones(n)  # of the inverse probabilities of the decisions
+        with np.errstate(over="ignore"):
+            for node, a, b, c in zip(np.flatnonzero(busy).tolist(), low[busy].tolist(), turn[busy].tolist(), high[busy].tolist(), strict=True):
+                z = h[a:c] @ self.out[node]
+                z += self.out_bias[node]
+                np.negative(z[b - a :], out=z[b - a :])
+                np.exp(z, out=z)
+                z += 1
+                product[a:c] *= z
+            quiet = np.add.reduceat(~busy[tree.nodes], tree.starts, dtype=np.int64)
+            for at in range(0, n, PIECE):
+                own = quiet.take(target[at : at + PIECE])
+                has = np.flatnonzero(own)
+                if not len(has):
+                    continue
+                paths, owner = _ranges(tree.starts.take(target[at : at + PIECE]), own), np.repeat(np.arange(at, at + len(own)), own)
+                z = self._decisions(h, owner, tree.nodes.take(paths))
+                z *= 1 - 2 * tree.right.take(paths)
+                np.exp(z, out=z)
+                z += 1
+                product[at + has] *= np.multiply.reduceat(z, offsets_of(own).take(has), dtype=np.float64)
+        out = np.empty(n)
+        out[order] = -np.log(product)
+        far = np.flatnonzero(~np.isfinite(product))  # a product too large for a number
+        if len(far):
+            nodes, right, first, lengths = tree.decisions(target.take(far))
+            z = self._decisions(h, np.repeat(far, lengths), nodes)
+            z *= 1 - 2 * right
+            out[order.take(far)] = -np.add.reduceat(np.logaddexp(z, 0, dtype=np.float64), first)
+        return out
+
+    def _decisions(self, h: np.ndarray, owner: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+        """The logits of some decisions, each with the hidden units of its position."""
+        each = h.take(owner, axis=0)
         each *= self.out.take(nodes, axis=0)
         z = each @ np.ones(HIDDEN, np.float32)
         z += self.out_bias.take(nodes)
-        z *= 1 - 2 * right  # a decision's log probability is minus the softplus of this
-        softplus = np.log1p(np.exp(-np.abs(z)))
-        softplus += np.maximum(z, 0, out=z)
-        return -np.add.reduceat(softplus, first)
+        return z
 
     def learn(self, tree: Tree, context: np.ndarray, target: np.ndarray, state: list[np.ndarray], rate: float = 1.0) -> None:
-        """One step of stochastic gradient descent with per-weight scaling (Adagrad); only weights in use are touched.
+        """One step of a :class:`Learner`, from and back to this network and its state."""
+        learner = Learner.of(self, state)
+        for batch in plan(tree, context, target, len(target)):
+            learner.step(batch, rate)
+        for own, new in zip([*self.weights(), *state], [*learner.network().weights(), *learner.squares()], strict=True):
+            own[...] = new
+
+
+#: Rows of all embeddings, laid end to end.
+PLACES = 2 * REACH * (TOKENS + 1)
+
+
+@dataclass
+class Learner:
+    """A network that learns: the rows of the embeddings, then those of the decisions, each before its summed squares."""
+
+    rows: np.ndarray
+    #: Those of the hidden units, then those of the decisions, and their summed squares.
+    biases: np.ndarray
+    bias_squares: np.ndarray
+
+    @staticmethod
+    def of(network: WindowNetwork, state: list[np.ndarray]) -> Learner:
+        rows = np.empty((PLACES + TOKENS - 1, 2, HIDDEN), np.float32)
+        for side, (embed, _, out, _) in enumerate((network.weights(), state)):
+            rows[:PLACES, side] = embed.reshape(-1, HIDDEN)
+            rows[PLACES:, side] = out
+        return Learner(rows.reshape(-1, HIDDEN), np.concatenate([network.bias, network.out_bias]), np.concatenate([state[1], state[3]]))
+
+    def _tables(self, side: int) -> tuple[np.ndarray, np.ndarray]:
+        own = self.rows[side::2].copy()
+        return own[:PLACES].reshape(WindowNetwork.shapes()[0]), own[PLACES:]
+
+    def network(self) -> WindowNetwork:
+        embed, out = self._tables(0)
+        return WindowNetwork(embed, self.biases[:HIDDEN], out, self.biases[HIDDEN:])
 
-        The decisions of the head are worked out for all positions at once, those below it one by one.
+    def squares(self) -> list[np.ndarray]:
+        embed, out = self._tables(1)
+        return [embed, self.bias_squares[:HIDDEN], out, self.bias_squares[HIDDEN:]]
+
+    def step(self, batch: Batch, rate: float = 1.0) -> None:
+        """One step of stochastic gradient descent with per-weight scaling (Adagrad); only rows in use are touched.
+
+        The decisions of the head are worked out by products of whole matrices, those
+        below it one by one.
         """
-        places, head = self.places(context), tree.head
-        h = self.hidden(places)
-        top = self.out[head.start :]
-        z = h @ top.T
-        z += self.out_bias[head.start :]
-        wrong = _wrong(z, head.signs.take(target, axis=0), len(target))
-        inner = wrong @ top
-        moves = [(slice(head.start, None), wrong.T @ h, np.ones(len(target), np.float32) @ wrong)]
-        below = head.below.take(target)
-        if below.any():
-            ends = offsets_of(below)
-            at, owner = np.arange(ends[-1]) + np.repeat(tree.starts.take(target) - ends[:-1], below), np.repeat(np.arange(len(target)), below)
-            has, nodes = np.flatnonzero(below), tree.nodes.take(at)
-            each, out = h.take(owner, axis=0), self.out.take(nodes, axis=0)
-            z = (each * out) @ np.ones(HIDDEN, np.float32)
-            z += self.out_bias.take(nodes)
-            wrong = _wrong(z, head.turns.take(at), len(target))
-            spread = np.empty_like(each)
-            spread[...] = wrong[:, None]
-            out *= spread
-            each *= spread
-            _put(inner, has, inner.take(has, axis=0) + np.add.reduceat(out.view(np.complex64), ends.take(has)).view(np.float32))
-            order = np.argsort(nodes, kind="stable")
-            used, cuts, sums = _sums(each, order, nodes.take(order))
-            moves.append((used.astype(np.int64), sums, np.add.reduceat(wrong.take(order), cuts)))
-        for used, sums, biases in moves:
-            _adagrad(self.out, sums, state[2], used, rate)
-            _adagrad(self.out_bias, biases, state[3], used, rate)
-        inner *= 1 - h * h
-        _adagrad(self.bias, inner.sum(axis=0), state[1], slice(None), rate)
-        order = np.argsort(context.T.astype(np.uint16), axis=1, kind="stable")
-        used, _, sums = _sums(inner, order.ravel(), places.take(order + np.arange(2 * REACH)[:, None] * len(target)).ravel())
-        _adagrad(self.embed.reshape(-1, HIDDEN), sums, state[0].reshape(-1, HIDDEN), used, rate)
-
-
-def _wrong(z: np.ndarray, signs: np.ndarray, n: int) -> np.ndarray:
-    """By how much the probabilities of turning right miss the decisions (1: left, -1: right, 0: none), as shares of a batch."""
-    z *= signs
-    np.maximum(z, -60, out=z)
-    np.exp(np.negative(z, out=z), out=z)
+        n, m, many = batch.n, len(batch.owner), len(batch.first)
+        weights = self.rows.take(batch.used, axis=0)
+        top = weights[many:]
+        h = _hidden(self.rows.take(batch.places, axis=0), self.biases[:HIDDEN])
+        moves = np.empty((n + m, HIDDEN), np.float32)
+        inner, spread = moves[:n], h.take(batch.owner, axis=0, out=moves[n:], mode="clip")
+        each = self.rows.take(batch.node_rows, axis=0)
+        wrong = np.empty(len(batch.nodes), np.float32)
+        np.matmul(each * spread, np.ones(HIDDEN, np.float32), out=wrong[:m])
+        (h @ top.T).take(batch.cells, out=wrong[m:], mode="clip")
+        wrong += self.biases[HIDDEN:].take(batch.nodes)
+        _wrong(wrong, batch.turns, n)
+        table = np.zeros((n, len(top)), np.float32)
+        table.put(batch.cells, wrong[m:])
+        np.matmul(table, top, out=inner)
+        gradient = np.empty_like(weights)
+        np.matmul(table.T, h, out=gradient[many:])
+        widened = np.repeat(wrong[:m], HIDDEN).reshape(m, HIDDEN)
+        each *= widened
+        spread *= widened
+        at = 0
+        for k in batch.levels:
+            inner[:k] += each[at : at + k]
+            at += k
+        h *= h
+        inner *= np.subtract(1, h, out=h)
+        batch.sums(moves, gradient)
+        sums = np.zeros_like(self.biases)
+        ones = np.ones(n, np.float32)
+        np.matmul(ones, inner, out=sums[:HIDDEN])
+        np.matmul(ones, table, out=sums[-len(top) :])
+        np.add.at(sums[HIDDEN:], batch.nodes[:m], wrong[:m])
+        _adagrad(self.biases, sums, self.bias_squares, rate)
+        squares = self.rows.take(batch.used + 1, axis=0)
+        _adagrad(weights, gradient, squares, rate)
+        _put(self.rows, batch.used, weights)
+        _put(self.rows, batch.used + 1, squares)
+
+
+@dataclass
+class Batch:
+    """What a step needs to know of its positions; nothing of it depends on the weights.
+
+    The positions with the longest paths below the head come first and the decisions
+    there stand level by level, so that those of a level meet the first positions in order.
+    """
+
+    n: int
+    #: Decisions of each level below the head, their positions and rows.
+    levels: list[int]
+    owner: np.ndarray
+    node_rows: np.ndarray
+    #: All decisions, those of the head last, and the cells that these have in a table by position and node.
+    nodes: np.ndarray
+    turns: np.ndarray
+    cells: np.ndarray
+    #: The rows of the neighbours, a line for each of their places.
+    places: np.ndarray
+    #: The rows in use, each once, and then those of the head.
+    used: np.ndarray
+    #: Of each row in use but those of the head: its first gradient; of those in long runs, which come first: all of them and where each run begins; of the others: the second ones, the third ones, and so on.
+    first: np.ndarray
+    long_rows: np.ndarray
+    long_starts: np.ndarray
+    short_rows: np.ndarray
+    short: list[int]
+
+    def sums(self, values: np.ndarray, out: np.ndarray) -> None:
+        """The gradients of each row in use but those of the head, summed up."""
+        values.take(self.first, axis=0, out=out[: len(self.first)], mode="clip")
+        long = len(self.long_starts)
+        if long:
+            pairs = values.take(self.long_rows, axis=0).view(np.complex64)  # two numbers are added at once
+            out[:long] = np.add.reduceat(pairs, self.long_starts).view(np.float32)
+        others, at = values.take(self.short_rows, axis=0), 0
+        for k in self.short:
+            out[long : long + k] += others[at : at + k]
+            at += k
+
+
+def _unpacked(decisions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of some decisions, and -1 where they turn left, 1 where right."""
+    turns = (decisions & 1).astype(np.float32)
+    turns *= 2
+    turns -= 1
+    return (decisions >> 1).astype(np.int64), turns
+
+
+def plan(tree: Tree, context: np.ndarray, target: np.ndarray, n: int) -> Iterator[Batch]:
+    """Some positions in batches of ``n``, all of them planned at once."""
+    head, count, places = tree.head, len(target) // n, 2 * REACH
+    below = head.below.take(target)
+    deep, which = int(below.max()) + 1, np.repeat(np.arange(count), n)
+    turn = np.argsort((which * deep + (deep - 1 - below)).astype(np.uint16), kind="stable")
+    below, target, context = below.take(turn), target.take(turn), context.T.take(turn, axis=1)
+    starts, inside = tree.starts.take(target), tree.lengths.take(target) - below
+    # decisions by batch, level and position
+    held = np.bincount(which * deep + below, minlength=count * deep).reshape(count, deep)
+    levels = held[:, ::-1].cumsum(axis=1)[:, ::-1][:, 1:]
+    lengths, of = levels.ravel(), offsets_of(levels.sum(axis=1))
+    owner = _ranges(np.zeros(len(lengths), np.int64), lengths)
+    position = owner + np.repeat(np.repeat(np.arange(count) * n, deep - 1), lengths)
+    at = starts.take(position) + np.repeat(np.tile(np.arange(deep - 1), count), lengths)
+    nodes, turns = _unpacked(head.decisions.take(at))
+    top_of = offsets_of(inside)[::n]
+    top_nodes, top_turns = _unpacked(head.decisions.take(_ranges(starts + below, inside)))
+    cells = np.repeat(np.tile(np.arange(n) * (TOKENS - 1 - head.start) - head.start, count), inside) + top_nodes
+    # rows in use by batch, those with most gradients first
+    rows, node_rows = (context + np.arange(places)[:, None] * (TOKENS + 1)) * 2, (nodes + PLACES) * 2
+    sorted_by = nodes.astype(np.uint16)
+    order = np.argsort(context.astype(np.uint16).reshape(places, count, n), axis=2, kind="stable")
+    ordered = rows.take(order + (np.arange(places)[:, None, None] * count + np.arange(count)[:, None]) * n)
+    cuts = of + np.arange(count + 1) * (places * n)
+    keys, needs = np.empty(cuts[-1], np.int64), np.empty(cuts[-1], np.int64)
+    for b in range(count):
+        own, middle = slice(of[b], of[b + 1]), cuts[b] + places * n
+        node_order = np.argsort(sorted_by[own], kind="stable")
+        keys[cuts[b] : middle], needs[cuts[b] : middle] = ordered[:, b].ravel(), order[:, b].ravel()
+        keys[middle : cuts[b + 1]] = node_rows[own].take(node_order)
+        needs[middle : cuts[b + 1]] = node_order + n
+    new = np.empty(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    new[cuts[:-1]] = True
+    first = np.flatnonzero(new)
+    run = np.concatenate([first[1:], [len(keys)]]) - first
+    used_of = np.searchsorted(first, cuts)
+    kinds = SHORT_RUN + 1  # 0: longer than short
+    kind = np.repeat(np.arange(count) * kinds, np.diff(used_of)) + np.maximum(kinds - run, 0)
+    sizes = np.bincount(kind, minlength=count * kinds).reshape(count, kinds)
+    fall = np.argsort(kind.astype(np.uint16), kind="stable")
+    first, run = first.take(fall), run.take(fall)
+    long = np.concatenate([np.arange(a, a + k) for a, k in zip(used_of[:-1], sizes[:, 0], strict=True)])
+    long_run = run.take(long)
+    long_rows, long_of, long_rows_of = needs.take(_ranges(first.take(long), long_run)), offsets_of(sizes[:, 0]), offsets_of(long_run)
+    more = sizes[:, 1:].cumsum(axis=1)[:, -2::-1]  # short runs with a second gradient, a third one, ...
+    short_of = offsets_of(more.ravel())
+    at = _ranges(np.repeat(used_of[:-1] + sizes[:, 0], SHORT_RUN - 1), more.ravel())
+    short_rows = needs.take(first.take(at) + np.repeat(np.tile(np.arange(1, SHORT_RUN), count), more.ravel()))
+    used, first = keys.take(first), needs.take(first)
+    tops = (np.arange(head.start, TOKENS - 1) + PLACES) * 2
+    for b in range(count):
+        own, above, mine = slice(of[b], of[b + 1]), slice(top_of[b], top_of[b + 1]), slice(used_of[b], used_of[b + 1])
+        begins = long_rows_of[long_of[b] : long_of[b + 1] + 1]
+        yield Batch(
+            n,
+            levels[b].tolist(),
+            owner[own],
+            node_rows[own],
+            np.concatenate([nodes[own], top_nodes[above]]),
+            np.concatenate([turns[own], top_turns[above]]),
+            cells[above],
+            rows[:, b * n : (b + 1) * n],
+            np.concatenate([used[mine], tops]),
+            first[mine],
+            long_rows[begins[0] : begins[-1]],
+            begins[:-1] - begins[0],
+            short_rows[short_of[b * (SHORT_RUN - 1)] : short_of[(b + 1) * (SHORT_RUN - 1)]],
+            more[b].tolist(),
+        )
+
+
+def _hidden(found: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """The hidden units from the embeddings of the neighbours, a line for each of their places."""
+    total = bias + found[0]
+    for row in found[1:]:
+        total += row
+    total *= 2  # by the exponential, as it takes half the time of the tangent
+    with np.errstate(over="ignore"):
+        np.exp(total, out=total)
+    total += 1
+    np.divide(np.float32(-2), total, out=total)
+    total += 1
+    return total
+
+
+def _wrong(z: np.ndarray, turns: np.ndarray, n: int) -> np.ndarray:
+    """By how much the probabilities of turning right miss the decisions (-1: left, 1: right), as shares of a batch; in place."""
+    np.multiply(z, turns, out=z)
+    with np.errstate(over="ignore"):  # a share of 1
+        np.exp(z, out=z)
     z += 1
     np.divide(np.float32(1 / n), z, out=z)
-    z *= signs
-    return z
+    z *= turns
+    return np.negative(z, out=z)
+
+
+def _padded(tokens: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens with :data:`PAD` before, between and behind the texts, and where each of them stands then."""
+    at = np.arange(len(tokens)) + np.repeat(REACH * np.arange(1, len(offsets)), np.diff(offsets))
+    out = np.full(len(tokens) + REACH * len(offsets), PAD, dtype=np.int64)
+    out.put(at, tokens)
+    return out, at
+
+
+def _around(padded: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The neighbours of some places, a line for each place."""
+    return np.stack([padded.take(at + shift) for shift in (*range(-REACH, 0), *range(1, REACH + 1))]).T
 
 
 def windows(tokens: np.ndarray, offsets: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     """Neighbours of the chosen positions; beyond a text's ends stands :data:`PAD`."""
-    text = np.searchsorted(offsets, chosen, side="right") - 1
-    low, high = offsets[text], offsets[text + 1]
-    out = np.empty((len(chosen), 2 * REACH), dtype=np.int64)
-    for column, shift in enumerate([*range(-REACH, 0), *range(1, REACH + 1)]):
-        at = chosen + shift
-        inside = (at >= low) & (at < high)
-        out[:, column] = np.where(inside, tokens[np.where(inside, at, chosen)], PAD)
-    return out
+    padded, at = _padded(tokens, offsets)
+    return _around(padded, at.take(chosen))
 
 
 def masked(numbers: np.ndarray, offsets: np.ndarray, turn: int, rounds: int, share: float = 1.0) -> np.ndarray:
@@ -366,6 +594,15 @@ def masked(numbers: np.ndarray, offsets: np.ndarray, turn: int, rounds: int, sha
     return np.flatnonzero((draw >= share * turn / rounds) & (draw < share * (turn + 1) / rounds))
 
 
+def _pieces(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of texts with about so many words, whose arrays stay in the caches."""
+    start = 0
+    while start < len(offsets) - 1:
+        stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + most, side="right")) - 1)
+        yield start, stop
+        start = stop
+
+
 def _decode(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Flat word numbers and offsets of a column of packed int64 arrays."""
     cells = column.to_pylist()
@@ -462,28 +699,34 @@ def train(tokens: DataFrame, vocabulary: Vocabulary, tree: Tree, network: Window
         start = network.flat()
 
         def run(batches: Iterator[pa.RecordBatch], start: np.ndarray = start, turn: int = turn) -> Iterator[pa.RecordBatch]:
-            copy = WindowNetwork.from_flat(start)
-            state = copy.squares()
+            network = WindowNetwork.from_flat(start)
+            copy = Learner.of(network, network.squares())
             learned, waiting, many = 0, [], 0
             for batch in batches:
                 numbers, offsets = _decode(batch.column(0))
-                flat = vocabulary.tokens(numbers)[0]
-                chosen = masked(numbers, offsets, turn, rounds, learned_share)
-                waiting.append((windows(flat, offsets, chosen), flat[chosen]))
-                many += len(chosen)
-                if many < batch_size:
-                    continue
-                context, target = (np.concatenate(x) for x in zip(*waiting, strict=True))
-                whole = many - many % batch_size
-                for at in range(0, whole, batch_size):
-                    copy.learn(tree, context[at : at + batch_size], target[at : at + batch_size], state)
-                learned += whole
-                waiting, many = [(context[whole:], target[whole:])], many - whole
+                for a, b in _pieces(offsets, SCORED):
+                    own, within = numbers[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+                    flat, chosen = vocabulary.tokens(own)[0], masked(own, within, turn, rounds, learned_share)
+                    padded, places = _padded(flat, within)
+                    for at in range(0, len(chosen), PLANNED * batch_size):
+                        part = chosen[at : at + PLANNED * batch_size]
+                        waiting.append((_around(padded, places.take(part)), flat.take(part)))
+                        many += len(part)
+                        if many < batch_size:
+                            continue
+                        context, target = (np.concatenate(x) for x in zip(*waiting, strict=True))
+                        whole = many - many % batch_size
+                        for planned in plan(tree, context[:whole], target[:whole], batch_size):
+                            copy.step(planned)
+                        learned += whole
+                        waiting, many = [(context[whole:], target[whole:])], many - whole
             if many:
-                copy.learn(tree, *(np.concatenate(x) for x in zip(*waiting, strict=True)), state)
+                context, target = (np.concatenate(x) for x in zip(*waiting, strict=True))
+                for planned in plan(tree, context, target, many):
+                    copy.step(planned)
                 learned += many
             if learned:
-                slot, flat = TaskContext.get().partitionId(), copy.flat()
+                slot, flat = TaskContext.get().partitionId(), copy.network().flat()
                 for piece, at in enumerate(range(0, len(flat), MERGE_WEIGHTS)):
                     cell = flat[at : at + MERGE_WEIGHTS].tobytes()
                     yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([slot], pa.int64()), pa.array([learned], pa.int64()), pa.array([cell], pa.binary())], names=["piece", "slot", "learned", "weights"])
@@ -507,16 +750,16 @@ class LanguageScorer:
     tree: Tree
     network: WindowNetwork
 
-    def score(self, numbers: np.ndarray, offsets: np.ndarray, block: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def score(self, numbers: np.ndarray, offsets: np.ndarray, block: int = SCORED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Summed log probability of the tokens of each text given their neighbours, and the words that are no tokens with their offsets.
 
         The share of such a word among those of its ending is still to be added.
         """
         tokens, known = self.vocabulary.tokens(numbers)
         each = np.empty(len(tokens))
+        padded, places = _padded(tokens, offsets)
         for at in range(0, len(tokens), block):
-            chosen = np.arange(at, min(at + block, len(tokens)))
-            each[chosen] = self.network.log_probability(self.tree, windows(tokens, offsets, chosen), tokens[chosen])
+            each[at : at + block] = self.network.log_probability(self.tree, _around(padded, places[at : at + block]), tokens[at : at + block])
         each[~known] -= np.log(self.vocabulary.counts[tokens[~known]])
         running, others = np.concatenate([[0.0], np.cumsum(each)]), offsets_of(~known)
         return running[offsets[1:]] - running[offsets[:-1]], numbers[~known], others[offsets]

@@ -99,6 +99,67 @@ def test_a_step_is_that_of_every_decision_alone(tree, monkeypatch):
             assert np.allclose(now, before - g / (np.sqrt(1e-4 + g * g) + 1e-6), atol=2e-4)
 
 
+def test_batches_that_are_planned_at_once_hold_all_decisions_and_sums(tree):
+    rng = np.random.default_rng(9)
+    n, count = 64, 5
+    target = (rng.pareto(0.6, n * count) * 3).astype(np.int64) % lm.TOKENS
+    context = (rng.pareto(0.8, (n * count, 2 * lm.REACH)) * 2).astype(np.int64) % lm.TOKENS
+    context[: 2 * n, 0] = lm.PAD  # runs longer than short
+    planned = list(lm.plan(tree, context, target, n))
+    assert len(planned) == count
+    for b, batch in enumerate(planned):
+        own = slice(b * n, (b + 1) * n)
+        nodes, right, _, lengths = tree.decisions(target[own])
+        assert sorted(zip(batch.nodes.tolist(), batch.turns.tolist(), strict=True)) == sorted(zip(nodes.tolist(), (2 * right - 1).tolist(), strict=True))
+        values = rng.normal(0, 1, (n + len(batch.owner), lm.HIDDEN)).astype(np.float32)
+        got, want = np.zeros((len(batch.used), lm.HIDDEN), np.float32), np.zeros((2 * (lm.PLACES + lm.TOKENS), lm.HIDDEN))
+        batch.sums(values, got)
+        for line in batch.places:
+            np.add.at(want, line, values[:n])
+        np.add.at(want, batch.node_rows, values[n:])
+        many = len(batch.first)
+        assert len(set(batch.used.tolist())) == len(batch.used) and np.allclose(got[:many], want[batch.used[:many]], atol=1e-4)
+        assert abs(want).sum() == pytest.approx(abs(want[batch.used[:many]]).sum())  # no row is left out
+        assert sorted(batch.places.T.tolist()) == sorted((2 * lm.WindowNetwork.places(context[own])).T.tolist())
+
+
+def test_steps_planned_at_once_are_those_planned_one_by_one(tree):
+    rng = np.random.default_rng(10)
+    start = lm.WindowNetwork.start(tree)
+    context, target = rng.integers(0, 300, (96, 2 * lm.REACH)), rng.integers(0, 4000, 96)
+    one, state, many = lm.WindowNetwork.from_flat(start.flat()), start.squares(), lm.Learner.of(start, start.squares())
+    for at in range(0, 96, 32):
+        one.learn(tree, context[at : at + 32], target[at : at + 32], state)
+    for batch in lm.plan(tree, context, target, 32):
+        many.step(batch)
+    assert np.allclose(one.flat(), many.network().flat(), atol=1e-5)
+    assert all(np.allclose(a, b, atol=1e-5) for a, b in zip(state, many.squares(), strict=True))
+
+
+@pytest.mark.parametrize("busy", [1, 40, 10**6])
+def test_nodes_worked_out_for_all_positions_at_once_give_the_sums_of_their_decisions(tree, monkeypatch, busy):
+    rng = np.random.default_rng(11)
+    network = lm.WindowNetwork.start(tree)
+    network.out += rng.normal(0, 1, network.out.shape).astype(np.float32)
+    context, target = rng.integers(0, lm.TOKENS, (500, 2 * lm.REACH)), (rng.pareto(0.5, 500) * 3).astype(np.int64) % lm.TOKENS
+    network.out_bias[tree.decisions(target[:1])[0]] *= 5000  # a product beyond all numbers for some
+    nodes, right, first, lengths = tree.decisions(target)
+    h = np.tanh(network.embed.reshape(-1, lm.HIDDEN)[network.places(context)].astype(np.float64).sum(axis=0) + network.bias)
+    z = (np.repeat(h, lengths, axis=0) * network.out[nodes]).sum(axis=1) + network.out_bias[nodes]
+    want = -np.add.reduceat(np.logaddexp(z * (1 - 2 * right), 0), first)
+    assert want.min() < -710
+    monkeypatch.setattr(lm, "BUSY", busy)
+    monkeypatch.setattr(lm, "PIECE", 70)
+    assert np.allclose(network.log_probability(tree, context, target), want, rtol=1e-4, atol=1e-3)
+
+
+def test_pieces_hold_every_text_once():
+    offsets = np.array([0, 0, 3, 3, 20, 21, 22, 22])
+    pieces = list(lm._pieces(offsets, 4))
+    assert [a for a, _ in pieces] == [0] + [b for _, b in pieces[:-1]] and pieces[-1][1] == 7
+    assert all(b > a and (offsets[b] - offsets[a] <= 4 or b == a + 1) for a, b in pieces)
+
+
 def test_tokens_are_found_where_the_low_bits_clash():
     low = np.array([5, 5 + lm.LOOKUP, 5 - lm.LOOKUP, 9, 5 + 2 * lm.LOOKUP, 10], dtype=np.int64)
     vocabulary = lm.Vocabulary.of(low[:4], np.array([40, 30, 20, 10]), np.zeros(lm.ENDINGS, np.int64))
