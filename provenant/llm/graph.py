@@ -7,33 +7,36 @@ from pyspark.sql import functions as F
 
 from .storage import durable
 
+#: The least neighbours of a graph of up to so many edges are broadcast (16 bytes a node, 4 MB at most); larger ones are joined by shuffle.
+FEW_EDGES = 1 << 17
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Edges (u, v), u > v.  Large: link larger neighbours to the least one; small: link smaller ones."""
-    if large:
-        both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    else:
-        both = edges
-    least = both.groupBy("u").agg(F.min("v").alias("m"))
-    joined = both.join(least, "u")
-    if large:
-        out = joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
-    else:
-        linked = joined.filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        out = linked.unionByName(least.select("u", F.col("m").alias("v")))
-    return out.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+def _stars(edges: DataFrame, few: bool) -> DataFrame:
+    """A large star (larger neighbours are linked to the least one), then a small star (smaller ones are) on edges (u, v), u > v."""
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    around = both.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "v")
+    large = edges.join(F.broadcast(around) if few else around, "v").select("u", F.least("m", "v").alias("v"))
+    if not few:  # it is read twice
+        large = large.distinct()
+    below = large.groupBy("u").agg(F.min("v").alias("m"))
+    joined = large.join(F.broadcast(below) if few else below, "u")
+    return joined.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
+
+
+def _state(edges: DataFrame) -> tuple[int, int]:
+    """The number of edges (u, v), u > v, and of nodes that keep them from being stars around least nodes."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return tuple(nodes.agg(F.coalesce(F.sum("up"), F.lit(0)), F.count_if((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0)))).first())
 
 
 def components(edges: DataFrame, most: int = 50) -> DataFrame:
     """``node, root`` for every node of an edge table ``a, b``; the root is the least node."""
     current = durable(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
     for _ in range(most):
-        current = durable(_star(_star(current, True), False))
-        state = current.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
-        if state == before or not state[0]:
+        number, loose = _state(current)
+        if not loose:
             break
-        before = state
+        current = durable(_stars(current, number <= FEW_EDGES))
     else:
         raise RuntimeError("the components did not settle")
     roots = current.select("v").distinct()

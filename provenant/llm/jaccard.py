@@ -200,17 +200,17 @@ def checked(table: DataFrame, row_bytes: int) -> DataFrame:
 def candidate_links(sets: DataFrame, threshold: float) -> DataFrame:
     """Links ``a, b`` between sets that met in some bucket; ``sets`` holds ``id, sketch, keys``."""
     rows = sets.select("id", "sketch", F.explode("keys").alias("key"))
-    out = []
+    small, out = [], []
     for level in range(MOST_LEVELS + 1):
-        sizes = durable(rows.groupBy("key").agg(F.count("*").alias("c")).filter(F.col("c") > BUCKET).select("key"))
-        huge = checked(sizes, 32)
-        bucketed = rows.join(huge, "key", "left_anti").select("key", "id", "sketch")
-        out.append(bucketed.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_links, "a long, b long"))
+        sizes = durable(rows.groupBy("key").agg(F.count("*").alias("c"), F.min_by("id", F.xxhash64("id", F.lit(level))).alias("leader")).filter(F.col("c") > BUCKET).select("key", "leader"))
         if sizes.isEmpty():
+            small.append(rows.select("key", "id", "sketch"))
             break
-        members = durable(rows.join(huge, "key", "left_semi"))
-        leaders = checked(durable(members.groupBy("key").agg(F.min_by(F.struct("id", "sketch"), F.xxhash64("id", F.lit(level))).alias("leader"))), 256)
-        led = members.join(leaders, "key").select("key", "id", "sketch", F.col("leader.id").alias("leader"), F.col("leader.sketch").alias("leader_sketch"))
+        huge = checked(sizes, 48)
+        small.append(rows.join(huge, "key", "left_anti").select("key", "id", "sketch"))
+        members = durable(rows.join(huge, "key").select("key", "id", "sketch", "leader"))
+        leaders = checked(durable(members.filter("id = leader").select("key", F.col("sketch").alias("leader_sketch"))), 256)
+        led = members.join(leaders, "key").select("key", "id", "sketch", "leader", "leader_sketch")
         last = level == MOST_LEVELS
 
         def compare(batches: Iterator[pa.RecordBatch], level: int = level) -> Iterator[pa.RecordBatch]:
@@ -236,7 +236,8 @@ def candidate_links(sets: DataFrame, threshold: float) -> DataFrame:
         if last:  # what is still together is compared exactly, in blocks
             break
         rows = judged.filter(F.col("near") < SAME).select("id", "sketch", F.explode("next").alias("key"))
-    return reduce(DataFrame.unionByName, out)
+    buckets = reduce(DataFrame.unionByName, small).repartition("key").sortWithinPartitions("key")  # of all levels at once: their keys differ
+    return reduce(DataFrame.unionByName, out, buckets.mapInArrow(_bucket_links, "a long, b long"))
 
 
 _VERIFIED = pa.schema([("id", pa.int64()), ("root", pa.int64()), ("links", pa.int64())])

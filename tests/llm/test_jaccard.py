@@ -3,8 +3,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from provenant.llm import graph, jaccard, queries
+from provenant.llm.storage import durable
 from tests.llm.helpers import awkward, words
 
 
@@ -135,6 +137,33 @@ def test_components(spark):
     assert found == {n: root(n) for n in parent if n != 200}
 
 
+def test_components_of_stars_need_no_step(spark, monkeypatch):
+    """A table of stars is written once; others are settled as soon as they are stars."""
+    written = []
+    monkeypatch.setattr(graph, "durable", lambda df: written.append(df) or durable(df))
+    stars = spark.createDataFrame([(i, i // 10 * 10) for i in range(50)], "a long, b long")
+    assert {r["node"]: r["root"] for r in graph.components(stars).collect()} == {i: i // 10 * 10 for i in range(50)}
+    assert len(written) == 1
+    two = spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")
+    assert {r["node"]: r["root"] for r in graph.components(two).collect()} == {1: 1, 2: 1, 3: 1}
+    assert len(written) == 3
+
+
+def test_components_joined_by_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(graph, "FEW_EDGES", 0)
+    test_components(spark)
+
+
+def test_buckets_of_all_levels_are_dealt_once(spark, monkeypatch):
+    """However many levels there are, one shuffle deals their buckets out."""
+    monkeypatch.setattr(jaccard, "BUCKET", 6)
+    monkeypatch.setattr(jaccard, "MOST_LEVELS", 3)
+    rows = jaccard.row_keys(spark.createDataFrame(copies(1), "doc_id long, text string"), "doc_id", "text")
+    sets = durable(jaccard.signatures(rows, 0.8, 5).select(F.col("doc_id").alias("id"), "sketch", "keys"))
+    plan = jaccard.candidate_links(sets, 0.8)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("RepartitionByExpression") == 1
+
+
 def test_recall_of_runs():
     assert jaccard.run_count(0.8, 0.99) >= 5
     rng = np.random.default_rng(0)
